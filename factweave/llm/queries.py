@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, packing, shards, simhash, topk
+from . import ann, bpe, lines, packing, passages, shards, simhash, topk, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.filter("id % 50 = 0"), rows, k=5)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), shards=16)
 
@@ -30,6 +34,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.removed(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,13 +54,17 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_topk": op2_exact_topk,
+    "op3_line_dedup": op3_line_dedup,
     "op4_hash_tree_shards": op4_hash_tree_shards,
     "op5_simhash": op5_simhash,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_ann": op9_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": lines.SQL,
     "op2_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
