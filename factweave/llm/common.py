@@ -49,6 +49,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     ``df`` again, and row identifiers made before it stay as they are.
     """
     spark = df.sparkSession
+    reachable(spark)
     path = f"{shared_dir(spark)}/factweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _staged:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lines, packing, passages, shards, simhash, topk, toxicity
+from . import ann, bpe, chat, lines, packing, passages, shards, simhash, topk, toxicity
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(rows, rows.filter("id % 20 = 0"), k=20)
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_topk": op2_exact_topk,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_ann": op9_ann,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
