@@ -130,8 +130,8 @@ class RulePlan:
         only = set(self.rule.head.variables()) - set(self.shared)
         return sum(a is None for a in self.rule.head.args) + len(only)
 
-    def body(self) -> DataFrame:
-        return body_bindings(self.kb, self.rule.body, self.shared)
+    def body(self, frames: dict[int, DataFrame] | None = None) -> DataFrame:
+        return body_bindings(self.kb, self.rule.body, self.shared, frames)
 
     def positives(self, frame: DataFrame | None = None) -> DataFrame:
         """Facts of the head's relation that the rule entails."""
@@ -144,13 +144,13 @@ class RulePlan:
         on = [F.col(f"c{self.rule.head.args.index(v)}") == F.col(name_of(v)) for v in self.shared]
         return head.join(body, on, "left_semi")
 
-    def derived(self, symbols: DataFrame | None = None) -> DataFrame:
+    def derived(self, symbols: DataFrame | None = None, frames: dict[int, DataFrame] | None = None) -> DataFrame:
         """All head tuples that the rule entails, with every symbol in the free places.
 
         Its size is that of the body times a power of the number of symbols; callers
         materialise it for accepted rules only, which entail more facts than they miss.
         """
-        out = self.body()
+        out = self.body(frames)
         symbols = self.kb.constants() if symbols is None else symbols
         shared, extra, only = self.shared, [], {}
         for i, a in enumerate(self.rule.head.args):
