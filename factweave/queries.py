@@ -398,7 +398,7 @@ def candidates_case2(spark, sf_dir):
     return _refined(tables_kb(spark, sf_dir), _PARENT, 2)
 
 
-@query("candidates_case3", "@ SELECT 'supp_peer(X1,X0):-supp_peer(X0,X1)' AS rule, (SELECT CAST(count(*) AS DOUBLE) FROM supp_peer WHERE (c0, c1) IN (SELECT c1, c0 FROM supp_peer)) AS pos, (SELECT CAST(count(*) AS DOUBLE) FROM supp_peer) AS total")
+@query("candidates_case3", "@ SELECT 'supp_peer(X0,X1):-supp_peer(X1,X0)' AS rule, (SELECT CAST(count(*) AS DOUBLE) FROM supp_peer WHERE (c0, c1) IN (SELECT c1, c0 FROM supp_peer)) AS pos, (SELECT CAST(count(*) AS DOUBLE) FROM supp_peer) AS total")
 def candidates_case3(spark, sf_dir):
     return _refined(tables_kb(spark, sf_dir), "supp_peer(X,?):-supp_peer(?,X)", 3)
 
