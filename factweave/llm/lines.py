@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, with_row_id
+from .common import text_of, with_row_id
 
 WINDOW = 3
 
@@ -39,7 +39,6 @@ def windows(rows: DataFrame) -> DataFrame:
 def covered(found: DataFrame) -> DataFrame:
     """``_rid, start, stop``: the disjoint ranges of lines (both ends included) that later occurrences cover."""
     repeated = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rank", "_rid", "pos")).alias("first")).filter("n > 1").drop("n")
-    repeated = stage(repeated, "repeated-windows")
     later = found.join(repeated, "key").filter("_rid <> first._rid OR pos <> first.pos")
     start = F.when(F.col("_rid") == F.col("first._rid"), F.greatest("pos", F.col("first.pos") + WINDOW)).otherwise(F.col("pos"))
     spans = later.select("_rid", start.cast("int").alias("start"), (F.col("pos") + WINDOW - 1).cast("int").alias("stop"))
@@ -52,8 +51,8 @@ def covered(found: DataFrame) -> DataFrame:
 def marked(documents: DataFrame) -> DataFrame:
     """``documents`` with ``removed_ranges`` (array of start and stop, null if none) and ``kept_text``."""
     rows = with_row_id(documents).withColumn("text", text_of())
-    found = stage(windows(rows), "line-windows")
-    ranges = covered(found).groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed_ranges"))
+    # the windows are hashed twice, once to find the repeated ones and once to meet them, and nothing is written between
+    ranges = covered(windows(rows)).groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed_ranges"))
     lines = F.col("_lines")
     cuts = F.concat(F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"))), F.col("removed_ranges"), F.array(F.struct(F.size(lines).alias("start"), F.size(lines).alias("stop"))))
     between = F.transform(
