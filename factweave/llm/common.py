@@ -73,6 +73,22 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def boxed(documents: DataFrame) -> DataFrame:
+    """``_row`` (all columns, so that none can clash with a helper), ``_rid`` (see :func:`with_row_id`), ``doc_id`` and ``text`` (null as empty)."""
+    return documents.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_rid"), "doc_id", text_of().alias("text"))
+
+
+def unboxed(rows: DataFrame, text=None) -> DataFrame:
+    """The columns in ``_row``; with ``text`` given, that replaces theirs and ``n_chars``, if there, is counted anew."""
+    row = F.col("_row")
+    fields = {f.name: f for f in rows.schema["_row"].dataType.fields}
+    if text is not None:
+        row = row.withField("text", text.cast(fields["text"].dataType))
+        if "n_chars" in fields:
+            row = row.withField("n_chars", F.length(text).cast(fields["n_chars"].dataType))
+    return rows.select(row.alias("_row")).select("_row.*")
+
+
 def text_of(column: str = "text"):
     """The text column, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, with_row_id
+from .common import boxed, unboxed
 
 WINDOW = 3
 
@@ -48,9 +48,8 @@ def covered(found: DataFrame) -> DataFrame:
     return islands.groupBy("_rid", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
 
 
-def marked(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``removed_ranges`` (array of start and stop, null if none) and ``kept_text``."""
-    rows = with_row_id(documents).withColumn("text", text_of())
+def marked(rows: DataFrame) -> DataFrame:
+    """``rows`` (as :func:`common.boxed` gives them) with ``removed_ranges`` (array of start and stop, null if none) and ``kept_text``."""
     # the windows are hashed twice, once to find the repeated ones and once to meet them, and nothing is written between
     ranges = covered(windows(rows)).groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed_ranges"))
     lines = F.col("_lines")
@@ -61,20 +60,17 @@ def marked(documents: DataFrame) -> DataFrame:
     )
     out = rows.join(ranges, "_rid", "left").withColumn("_lines", F.when(F.col("removed_ranges").isNotNull(), lines_of(F.col("text")))).withColumn("_cuts", cuts)
     kept = F.when(F.col("removed_ranges").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), "\n"))
-    return out.withColumn("kept_text", kept).drop("_rid", "_cuts", "_lines")
+    return out.withColumn("kept_text", kept).drop("_cuts", "_lines")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """``documents`` with the repeated lines taken out of ``text``; ``n_chars``, if there, is counted anew."""
-    out = marked(documents).withColumn("text", F.col("kept_text"))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+    return unboxed(marked(boxed(documents)), F.col("kept_text"))
 
 
 def report(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_removed``, ``removed`` (ranges as text) and ``kept_sha256`` of every document."""
-    out = marked(documents.select("doc_id", "text"))
+    out = marked(boxed(documents).drop("_row"))
     ranges = F.coalesce(F.col("removed_ranges"), F.array().cast("array<struct<start:int,stop:int>>"))
     return out.select(
         "doc_id",

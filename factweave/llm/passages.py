@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, text_slices, with_row_id
+from .common import boxed, stage, text_of, text_slices, unboxed
 
 #: One word in so many ends a unit; words that a run of repeated units needs to be removed.
 UNIT_WORDS, RUN_WORDS = 6, 24
@@ -189,7 +189,7 @@ def _runs(again: list[bool], starts: list[int], stops: list[int], words: list[in
 
 def removed(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``stop``, ``n_words``, ``n_units``, ``kept_doc_id`` and ``span_sha256`` of every removed span."""
-    rows = with_row_id(documents.select("doc_id", "text"))
+    rows = boxed(documents).drop("_row")
     found = stage(spans(rows), "spans")
     whole = rows.join(found.groupBy("_rid").agg(F.collect_list(F.struct("start", "stop", "n_words", "n_units", "kept_rank")).alias("s")), "_rid")
     each = whole.select("doc_id", "text", F.explode("s").alias("s")).select("doc_id", "text", "s.*")
@@ -199,14 +199,10 @@ def removed(documents: DataFrame) -> DataFrame:
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """``documents`` without the removed spans; ``n_chars``, if there, is counted anew."""
-    rows = with_row_id(documents)
+    rows = boxed(documents)
     found = spans(rows).groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_s"))
-    out = rows.join(found, "_rid", "left")
     end = F.struct(F.length("text").alias("start"), F.length("text").alias("stop"))
     cuts = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))), "_s", F.array(end))
-    out = out.withColumn("_c", F.when(F.col("_s").isNotNull(), cuts))
+    out = rows.join(found, "_rid", "left").withColumn("_c", F.when(F.col("_s").isNotNull(), cuts))
     parts = F.transform(F.sequence(F.lit(1), F.size("_c") - 1), lambda i: F.substring(F.col("text"), F.col("_c")[i - 1]["stop"] + 1, F.col("_c")[i]["start"] - F.col("_c")[i - 1]["stop"]))
-    out = out.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(F.array_join(parts, "")))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length(text_of()).cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+    return unboxed(out, F.when(F.col("_s").isNull(), F.col("text")).otherwise(F.array_join(parts, "")))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, text_slices
+from .common import boxed, stage, text_of, text_slices, unboxed
 from .components import components
 
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
@@ -121,11 +121,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One document of each group: the first by id, then by place; rows without an id come last."""
-    rows = documents.withColumn("_rid", F.monotonically_increasing_id())
+    rows = boxed(documents)
     found = stage(fingerprints(rows, ["doc_id", "_rid"]), "simhash")
     nodes = groups(found)
     rank = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_rid").alias("c"))
     # the component's name may be null where no row has an id; its members then share a fingerprint
     key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
     first = nodes.groupBy(key.alias("k")).agg(F.min(rank).alias("first")).select(F.col("first.c").alias("_rid"))
-    return rows.join(first, "_rid", "left_semi").drop("_rid")
+    return unboxed(rows.join(first, "_rid", "left_semi"))

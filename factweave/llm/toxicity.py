@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, text_slices
+from .common import boxed, stage, text_of, text_slices, unboxed
 
 #: Labelled documents that a fit takes, and entries that a lexicon holds at most.
 SAMPLE_ROWS, MOST_ENTRIES = 20_000, 20_000
 THRESHOLD = 0.7
+#: Parts of the sample; each is matched with a lexicon of the others.
+FOLDS = 4
 #: Lengths of word beginnings that may become entries; the least log-odds of an entry.
 PREFIXES, LEAST_WEIGHT = range(3, 9), 2.5
 #: Phrases in which a hit means something else.
@@ -172,7 +174,7 @@ def held_out(doc_id) -> object:
 
 
 def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``text``, ``toxic`` and ``fold`` (0 or 1) of at most about ``rows`` labelled documents that may be learnt from."""
+    """``text``, ``toxic`` and ``fold`` of at most about ``rows`` labelled documents that may be learnt from."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     number = usable.count()
     million = 1_000_000
@@ -186,7 +188,7 @@ def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     places = F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0)))
     least = F.array_min(F.transform(places, lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
     once = words.withColumn("least", least).drop("w").groupBy("toxic", "least").agg(F.min("text").alias("text"))
-    return stage(once.select("text", "toxic", F.pmod("least", F.lit(2)).cast("int").alias("fold")), "labelled")
+    return stage(once.select("text", "toxic", F.pmod("least", F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
 
 
 def _counts(rows: DataFrame, wanted: frozenset | None) -> dict[int, Counter]:
@@ -200,10 +202,12 @@ def _counts(rows: DataFrame, wanted: frozenset | None) -> dict[int, Counter]:
                 found.update((e, part) for e in (here if wanted is None else here & wanted))
         yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in found], pa.string()), pa.array([p for _, p in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["entry", "fold", "n"])
 
-    summed = rows.select("text", "fold").mapInArrow(run, "entry string, fold int, n long").groupBy("entry").pivot("fold", [0, 1]).agg(F.sum("n")).na.fill(0)
-    out: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for entry, n0, n1 in summed.filter(F.col("0") + F.col("1") >= (2 if wanted is None else 1)).toLocalIterator():
-        out[0][entry], out[1][entry] = n0, n1
+    summed = rows.select("text", "fold").mapInArrow(run, "entry string, fold int, n long").groupBy("entry").pivot("fold", list(range(FOLDS))).agg(F.sum("n")).na.fill(0)
+    out: dict[int, Counter] = {f: Counter() for f in range(FOLDS)}
+    total = sum((F.col(str(f)) for f in range(FOLDS)), F.lit(0))
+    for entry, *counts in summed.filter(total >= (2 if wanted is None else 1)).toLocalIterator():
+        for f, n in enumerate(counts):
+            out[f][entry] = n
     return out
 
 
@@ -211,19 +215,21 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, except
     """A lexicon with its weights and coefficients, from the labels of rows that are not held out."""
     taken = sample(documents, labels, rows)
     sizes = {(t, f): n for t, f, n in taken.groupBy("toxic", "fold").count().collect()}
-    n_toxic, n_clean = ([sizes.get((t, f), 0) for f in (0, 1)] for t in (1, 0))
+    n_toxic, n_clean = ([sizes.get((t, f), 0) for f in range(FOLDS)] for t in (1, 0))
     total = sum(n_toxic) + sum(n_clean)
     if not sum(n_toxic) or not sum(n_clean):
         return Lexicon({}, exceptions, constant=(sum(n_toxic) + 0.5) / (total + 1) if total else 0.0)
     toxic = _counts(taken.filter("toxic = 1"), None)
-    clean = _counts(taken.filter("toxic = 0"), frozenset(e for e, n in (toxic[0] + toxic[1]).items() if n >= 3))
-    parts = [Lexicon(weigh(toxic[f], clean[f], n_toxic[f], n_clean[f]), exceptions) for f in (0, 1)]
-    whole = Lexicon(weigh(toxic[0] + toxic[1], clean[0] + clean[1], sum(n_toxic), sum(n_clean)), exceptions)
+    all_toxic = sum(toxic.values(), Counter())
+    clean = _counts(taken.filter("toxic = 0"), frozenset(e for e, n in all_toxic.items() if n >= 3))
+    all_clean = sum(clean.values(), Counter())
+    parts = [Lexicon(weigh(all_toxic - toxic[f], all_clean - clean[f], sum(n_toxic) - n_toxic[f], sum(n_clean) - n_clean[f]), exceptions) for f in range(FOLDS)]
+    whole = Lexicon(weigh(all_toxic, all_clean, sum(n_toxic), sum(n_clean)), exceptions)
     held = taken.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [held.value[1 - f].features(t) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
+            found = [held.value[f].features(t) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.float64()), pa.array([y for _, y in found], pa.float64()), batch.column("toxic")], names=["x", "y", "toxic"])
 
     seen = taken.mapInArrow(run, "x double, y double, toxic int").toArrow()
@@ -256,7 +262,4 @@ def judged(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
 
 def filtered(documents: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """``documents`` without those that score ``threshold`` or more."""
-    columns = [c for c in documents.columns if c != "score"]
-    named = documents.withColumnRenamed("score", "_given_score") if "score" in documents.columns else documents
-    out = score(named, lexicon).filter(F.col("score") < threshold).select(*columns, *(["_given_score"] if "score" in documents.columns else []))
-    return out.withColumnRenamed("_given_score", "score").select(*documents.columns)
+    return unboxed(score(boxed(documents), lexicon).filter(F.col("score") < threshold))
