@@ -17,19 +17,30 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as one working slice of an Arrow batch.
 SLICE_BYTES = 8 << 20
+#: Short rows that make a file of a staged table worthwhile.
+STAGED_ROWS = 200_000
+#: Cells of a table (some 20 bytes each) that may be broadcast.
+BROADCAST_CELLS = 400_000
 
 _staged: list[tuple[SparkSession, str]] = []
 
 
-def reachable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package from where the driver has it; elsewhere use ``--py-files``."""
+def prepare(spark: SparkSession) -> None:
+    """Small batches, and the package on the path of local Python workers.
+
+    Texts are long: a batch of the scan's 4096 rows is one huge array for each column, and
+    an Arrow batch is held several times on its way to Python and back, outside the heap too.
+    Elsewhere than on the driver's machine the package comes with ``--py-files``.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    reachable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,14 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: what follows survives lost executors without running
-    ``df`` again, and row identifiers made before it stay as they are.
+    ``df`` again, and row identifiers made before it stay as they are.  Where about
+    how many ``rows`` (short ones) it has is known, small ones make few files.
     """
+    if rows is not None:
+        df = df.coalesce(1 + rows // STAGED_ROWS)
     spark = df.sparkSession
-    reachable(spark)
+    prepare(spark)
     path = f"{shared_dir(spark)}/factweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _staged:
@@ -75,6 +89,7 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
 
 def boxed(documents: DataFrame) -> DataFrame:
     """``_row`` (all columns, so that none can clash with a helper), ``_rid`` (see :func:`with_row_id`), ``doc_id`` and ``text`` (null as empty)."""
+    prepare(documents.sparkSession)
     return documents.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_rid"), "doc_id", text_of().alias("text"))
 
 
@@ -89,6 +104,18 @@ def unboxed(rows: DataFrame, text=None) -> DataFrame:
     return rows.select(row.alias("_row")).select("_row.*")
 
 
+def attached(rows: DataFrame, found: DataFrame, name: str, how: str = "left", lists: str | None = None) -> DataFrame:
+    """``rows`` joined on ``_rid`` with what was found for some of them, so that texts need not be shuffled while that is little.
+
+    ``found`` is staged and its cells (rows, and entries of the column ``lists``) counted;
+    at most BROADCAST_CELLS of them are broadcast, more are joined by a shuffle.
+    """
+    staged = stage(found, name)
+    cells = F.count("*") + (F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.lit(0))
+    small = staged.agg(cells).first()[0] <= BROADCAST_CELLS
+    return rows.join(F.broadcast(staged) if small else staged, "_rid", how)
+
+
 def text_of(column: str = "text"):
     """The text column, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

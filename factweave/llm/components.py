@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     before = tuple(now.agg(*sums).first())
     while before[0]:
-        now = stage(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        now = stage(_small_star(_large_star(now).distinct()).distinct(), "edges", before[0])
         after = tuple(now.agg(*sums).first())
         if after == before:
             break

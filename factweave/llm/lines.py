@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, unboxed
+from .common import attached, boxed, unboxed
 
 WINDOW = 3
 
@@ -48,7 +48,7 @@ def covered(found: DataFrame) -> DataFrame:
     return islands.groupBy("_rid", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
 
 
-def marked(rows: DataFrame) -> DataFrame:
+def marked(rows: DataFrame, join=lambda rows, ranges: rows.join(ranges, "_rid", "left")) -> DataFrame:
     """``rows`` (as :func:`common.boxed` gives them) with ``removed_ranges`` (array of start and stop, null if none) and ``kept_text``."""
     # the windows are hashed twice, once to find the repeated ones and once to meet them, and nothing is written between
     ranges = covered(windows(rows)).groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed_ranges"))
@@ -58,14 +58,15 @@ def marked(rows: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size("_cuts") - 1),
         lambda i: F.slice(lines, F.col("_cuts")[i - 1]["stop"] + 2, F.col("_cuts")[i]["start"] - F.col("_cuts")[i - 1]["stop"] - 1),
     )
-    out = rows.join(ranges, "_rid", "left").withColumn("_lines", F.when(F.col("removed_ranges").isNotNull(), lines_of(F.col("text")))).withColumn("_cuts", cuts)
+    out = join(rows, ranges).withColumn("_lines", F.when(F.col("removed_ranges").isNotNull(), lines_of(F.col("text")))).withColumn("_cuts", cuts)
     kept = F.when(F.col("removed_ranges").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), "\n"))
     return out.withColumn("kept_text", kept).drop("_cuts", "_lines")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """``documents`` with the repeated lines taken out of ``text``; ``n_chars``, if there, is counted anew."""
-    return unboxed(marked(boxed(documents)), F.col("kept_text"))
+    join = lambda rows, ranges: attached(rows, ranges, "line-ranges", lists="removed_ranges")
+    return unboxed(marked(boxed(documents), join), F.col("kept_text"))
 
 
 def report(documents: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, stage, text_of, text_slices, unboxed
+from .common import attached, boxed, stage, text_of, text_slices, unboxed
 
 #: One word in so many ends a unit; words that a run of repeated units needs to be removed.
 UNIT_WORDS, RUN_WORDS = 6, 24
@@ -203,6 +203,6 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     found = spans(rows).groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_s"))
     end = F.struct(F.length("text").alias("start"), F.length("text").alias("stop"))
     cuts = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))), "_s", F.array(end))
-    out = rows.join(found, "_rid", "left").withColumn("_c", F.when(F.col("_s").isNotNull(), cuts))
+    out = attached(rows, found, "spans", lists="_s").withColumn("_c", F.when(F.col("_s").isNotNull(), cuts))
     parts = F.transform(F.sequence(F.lit(1), F.size("_c") - 1), lambda i: F.substring(F.col("text"), F.col("_c")[i - 1]["stop"] + 1, F.col("_c")[i]["start"] - F.col("_c")[i - 1]["stop"]))
     return unboxed(out, F.when(F.col("_s").isNull(), F.col("text")).otherwise(F.array_join(parts, "")))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, stage, text_of, text_slices, unboxed
+from .common import attached, boxed, stage, text_of, text_slices, unboxed
 from .components import components
 
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
@@ -128,4 +128,5 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     # the component's name may be null where no row has an id; its members then share a fingerprint
     key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
     first = nodes.groupBy(key.alias("k")).agg(F.min(rank).alias("first")).select(F.col("first.c").alias("_rid"))
-    return unboxed(rows.join(first, "_rid", "left_semi"))
+    others = found.select("_rid").join(first, "_rid", "left_anti")
+    return unboxed(attached(rows, others, "near-copies", "left_anti"))
