@@ -25,12 +25,10 @@ def intake(facts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
 
     def add(batch: DataFrame, _: int) -> None:
         new = batch.distinct()
-        try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             held = spark.read.schema("args array<string>, rel string").parquet(target)
             new = new.join(held, ["rel", "args"], "left_anti")
-        except Exception as e:  # the first batch finds no folder
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         new.write.mode("append").partitionBy("rel").parquet(target)
 
     return facts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
