@@ -35,6 +35,7 @@ from .common import boxed, stage, text_of, text_slices, unboxed
 
 #: Labelled documents that a fit takes, and entries that a lexicon holds at most.
 SAMPLE_ROWS, MOST_ENTRIES = 20_000, 20_000
+SAMPLE_TASKS = 12
 THRESHOLD = 0.7
 #: Parts of the sample; each is matched with a lexicon of the others.
 FOLDS = 4
@@ -129,13 +130,18 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * x + c * y))))
 
 
+def least_documents(n_toxic: int) -> int:
+    """Toxic documents that an entry needs."""
+    return max(3, math.ceil(0.008 * n_toxic))
+
+
 def weigh(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
     """The entries worth keeping with their log-odds.
 
     A beginning goes where one longer entry stands for nearly all of its documents; an
     entry goes where a shorter one that stays says as much.
     """
-    least = max(3, math.ceil(0.008 * n_toxic))
+    least = least_documents(n_toxic)
     odds = {e: math.log((n + 0.5) / (n_toxic + 1)) - math.log((clean[e] + 0.5) / (n_clean + 1)) for e, n in toxic.items() if n >= least}
     kept = {e: w for e, w in odds.items() if w >= LEAST_WEIGHT}
     largest: Counter = Counter()  # of each beginning, the documents of its most frequent longer entry
@@ -188,7 +194,8 @@ def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     places = F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0)))
     least = F.array_min(F.transform(places, lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
     once = words.withColumn("least", least).drop("w").groupBy("toxic", "least").agg(F.min("text").alias("text"))
-    return stage(once.select("text", "toxic", F.pmod("least", F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
+    # few tasks, as ``rows`` bounds them: what each counts by entry it need not send one by one
+    return stage(once.select("text", "toxic", F.pmod("least", F.lit(FOLDS)).cast("int").alias("fold")).coalesce(SAMPLE_TASKS), "labelled")
 
 
 def _counts(rows: DataFrame, wanted: frozenset | None) -> dict[int, Counter]:
@@ -221,7 +228,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, except
         return Lexicon({}, exceptions, constant=(sum(n_toxic) + 0.5) / (total + 1) if total else 0.0)
     toxic = _counts(taken.filter("toxic = 1"), None)
     all_toxic = sum(toxic.values(), Counter())
-    clean = _counts(taken.filter("toxic = 0"), frozenset(e for e, n in all_toxic.items() if n >= 3))
+    bar = least_documents(sum(n_toxic) - max(n_toxic))
+    clean = _counts(taken.filter("toxic = 0"), frozenset(e for e, n in all_toxic.items() if n >= bar))
     all_clean = sum(clean.values(), Counter())
     parts = [Lexicon(weigh(all_toxic - toxic[f], all_clean - clean[f], sum(n_toxic) - n_toxic[f], sum(n_clean) - n_clean[f]), exceptions) for f in range(FOLDS)]
     whole = Lexicon(weigh(all_toxic, all_clean, sum(n_toxic), sum(n_clean)), exceptions)
