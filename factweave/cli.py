@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import sys
+import threading
 import time
 
 from pyspark.sql import SparkSession
@@ -28,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-m", "--model", choices=["full", "symmetric"], default="full")
     p.add_argument("-r", "--most-rules", type=int)
     p.add_argument("-g", "--generalise", action="store_true", help="also try to drop arguments of rules")
+    p.add_argument("-t", "--threads", type=int, default=4, help="relations searched side by side")
+    p.add_argument("-i", "--interactive", action="store_true", help="the line 'stop' on the input ends the search with what it has")
     p.add_argument("-v", "--validate", action="store_true", help="recover and compare")
     return p
 
@@ -37,12 +41,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("factweave").getOrCreate()
     config = MinerConfig(
         beam=args.beam, fact_coverage=args.fact_coverage, constant_coverage=args.constant_coverage, strict_constants=True, column_similarity=args.column_similarity,
-        stop_ratio=args.stop_ratio, metric=Metric(args.metric), generalise=args.generalise, most_rules=args.most_rules,
+        stop_ratio=args.stop_ratio, metric=Metric(args.metric), generalise=args.generalise, most_rules=args.most_rules, threads=args.threads,
         specialise=symmetric_specialisations if args.model == "symmetric" else specialisations,
     )
     began = time.time()
     kb = read_facts(spark, args.facts).persist()
-    result = compress.compress(kb, config)
+    stop = threading.Event()
+    if args.interactive:
+        threading.Thread(target=lambda: any(x.strip() == "stop" for x in sys.stdin) and stop.set(), daemon=True).start()
+    result = compress.Compressor(kb, config, stop.is_set).run()
     for r in result.rules:
         print(r)
     print(compress.monitor_json(result))

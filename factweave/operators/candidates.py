@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.compile import RulePlan, name_of, ordered, selected
@@ -41,6 +41,8 @@ class Seen:
 
     prints: set = field(default_factory=set)
     tabu: Tabu = field(default_factory=Tabu)
+    observed: list[tuple[str, Rule, Rule | None]] | None = None  # with a list given, what was cut and why
+    first: dict = field(default_factory=dict, repr=False)
     duplicate: int = 0
     invalid: int = 0
     covered_less: int = 0
@@ -101,12 +103,18 @@ def admitted(candidates: Iterator[Candidate], seen: Seen) -> list[Candidate]:
         own = fingerprint(c.rule)
         if own in seen.prints:
             seen.duplicate += 1
+            if seen.observed is not None:
+                seen.observed.append(("duplicate", c.rule, seen.first.get(own)))
             continue
         seen.prints.add(own)
+        if seen.observed is not None:
+            seen.first[own] = c.rule
         if c.rule.invalid():
             seen.invalid += 1
         elif not seen.tabu.hit(c.rule):
             out.append(c)
+        elif seen.observed is not None:
+            seen.observed.append(("tabu", c.rule, None))
     return out
 
 
@@ -273,4 +281,4 @@ def domain_sizes(domains: DataFrame) -> dict[tuple[str, int], int]:
     return {(r["rel"], r["pos"]): r["n"] for r in domains.groupBy("rel", "pos").agg(F.count("*").alias("n")).collect()}
 
 
-__all__ = ["Candidate", "Column", "Parent", "Seen", "admitted", "domain_sizes", "generalisations", "specialisations", "symmetric_specialisations"]
+__all__ = ["Candidate", "Parent", "Seen", "admitted", "domain_sizes", "generalisations", "specialisations", "symmetric_specialisations"]

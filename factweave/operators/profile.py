@@ -93,3 +93,12 @@ def split(kb: KnowledgeBase, parts: int, steps: int = 10) -> list[list[str]]:
         if len(groups) >= parts:
             return groups
     return [[n] for n in kb.names]
+
+
+def write_split(kb: KnowledgeBase, parts: int, path: str, steps: int = 10) -> list[list[str]]:
+    """The groups of :func:`split`, each written as fact lines below ``path``."""
+    groups = split(kb, parts, steps)
+    for i, names in enumerate(groups):
+        rows = kb.facts().filter(F.col("rel").isin(*names))
+        rows.select(F.concat_ws("\t", F.array("rel"), F.col("args")).alias("value")).write.mode("overwrite").text(f"{path}/split-{i}")
+    return groups

@@ -27,11 +27,13 @@ class MinerConfig:
     metric: Metric = Metric.CAPACITY
     generalise: bool = False
     most_rules: int | None = None
+    threads: int = 4
+    observe: bool = False
     specialise: Callable = field(default=specialisations, repr=False)
 
     def __post_init__(self) -> None:
-        if self.beam < 1:
-            raise ValueError("the beam has one rule at least")
+        if self.beam < 1 or self.threads < 1:
+            raise ValueError("the beam has one rule at least, the search one thread")
         self.stop_ratio = max(0.5, self.stop_ratio)
 
 
@@ -58,6 +60,7 @@ class Miner:
         if self.config.column_similarity > 0:
             found = {frozenset([(r["rel1"], r["pos1"]), (r["rel2"], r["pos2"])]) for r in similar_columns(kb, self.config.column_similarity).collect()}
             self.similar = lambda a, b: a == b or frozenset([a, b]) in found
+        self.observed: list = []
         self.monitor = {"duplicate": 0, "invalid": 0, "tabu": 0, "low_coverage": 0, "evaluated": 0, "rounds": 0}
 
     def close(self) -> None:
@@ -128,6 +131,7 @@ class Miner:
 
     def count(self, seen: Seen) -> None:
         m = self.monitor
+        self.observed += seen.observed or []
         m["duplicate"] += seen.duplicate
         m["invalid"] += seen.invalid
         m["low_coverage"] += seen.covered_less

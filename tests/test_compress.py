@@ -140,6 +140,24 @@ def test_mining_can_be_stopped_and_restricted(spark):
     miner.close()
 
 
+def test_command_line_and_observation(spark, tmp_path, capsys):
+    from factweave import cli
+    from factweave.operators.profile import write_split
+    from factweave.sources.facts import read_facts, write_facts
+
+    kb = datagen.family_kb(spark, "tiny", 5)
+    write_facts(kb, str(tmp_path / "facts"))
+    assert cli.main([str(tmp_path / "facts"), "-o", str(tmp_path / "out"), "-s", "0", "-v"], spark) == 0
+    said = capsys.readouterr().out
+    assert "gender(X0,male):-father(X0,?)" in said and "recovered" in said
+    assert store.read_bundle(spark, str(tmp_path / "out"), kb).valid()
+    groups = write_split(kb, 2, str(tmp_path / "split"))
+    assert sorted(n for g in groups for n in g) == kb.names and read_facts(spark, str(tmp_path / "split" / "split-0")).names == sorted(groups[0])
+    c = compress.Compressor(kb, MinerConfig(observe=True, most_rules=1))
+    c.run()
+    assert {kind for kind, _, _ in c.observed} >= {"duplicate"}
+
+
 def test_hints(spark):
     lines = "0.2\n0.8\np(X,Y):-q(X,Y);[(p,q)]\np(X,Y,Z):-q(X,Z),r(Y,Z);[(p,r),(q,r)]\n"
     cover, ratio, found = hints.parse_hints(lines)
