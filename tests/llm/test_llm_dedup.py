@@ -236,3 +236,15 @@ def test_passage_edge_cases(spark):
     assert len(left[6][0]) < 1000 and left[3] == left[4] == ["few words"]
     assert all(len(t) < 1000 for t in left[None])
     assert passages.deduplicated(documents(spark, [])).count() == 0 and passages.removed(documents(spark, [])).count() == 0
+
+
+def test_large_findings_are_joined_by_a_shuffle(spark, monkeypatch):
+    from factweave.llm import common
+
+    rows = [*line_rows(), *rows_of(passage_rows()[0])]
+    docs = documents(spark, rows).coalesce(1)
+    order = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    functions = (lines.deduplicated, passages.deduplicated, simhash.deduplicated)
+    small = [order(f(docs)) for f in functions]
+    monkeypatch.setattr(common, "BROADCAST_CELLS", -1)
+    assert [order(f(docs)) for f in functions] == small
