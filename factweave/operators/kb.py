@@ -60,12 +60,15 @@ class KnowledgeBase:
         self.arities[name] = arity
         self.frames[name] = self.spark.createDataFrame([], self._schema(arity))
 
-    def attach(self, name: str, df: DataFrame) -> KnowledgeBase:
-        """A DataFrame as a relation, its columns in order; null rows and duplicates go."""
+    def attach(self, name: str, df: DataFrame, known_set: bool = False) -> KnowledgeBase:
+        """A DataFrame as a relation, its columns in order; null rows and duplicates go.
+
+        A ``known_set`` holds neither, which saves the shuffle that finds duplicates.
+        """
         if name in self.frames:
             raise KbError(f"relation {name} exists")
         self.arities[name] = len(df.columns)
-        self.frames[name] = self._facts(name, df)
+        self.frames[name] = self._facts(name, df, known_set)
         return self
 
     def attach_rows(self, name: str, rows: Iterable[Iterable[str]], arity: int | None = None) -> KnowledgeBase:
@@ -75,10 +78,12 @@ class KnowledgeBase:
             raise KbError(f"rows of {name} differ in arity")
         return self.attach(name, self.spark.createDataFrame(data, self._schema(arity)))
 
-    def _facts(self, name: str, df: DataFrame) -> DataFrame:
+    def _facts(self, name: str, df: DataFrame, known_set: bool = False) -> DataFrame:
         if len(df.columns) != self.arities[name]:
             raise KbError(f"{name} has arity {self.arities[name]}, not {len(df.columns)}")
-        return df.toDF(*columns(len(df.columns))).select(*(F.col(c).cast("string").alias(c) for c in columns(len(df.columns)))).dropna().dropDuplicates()
+        names = columns(len(df.columns))
+        out = df.toDF(*names).select(*(F.col(c).cast("string").alias(c) for c in names))
+        return out if known_set else out.dropna().dropDuplicates()
 
     def delete(self, name: str) -> None:
         self._known(name)

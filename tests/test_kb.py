@@ -123,3 +123,32 @@ def test_intake(spark, tmp_path):
     held = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r["rel"], *r["args"]) for r in held.collect()) == [("p", "a", "b"), ("p", "x", "y"), ("q", "c")]
     assert held.filter(F.col("rel") == "p").count() == 2
+
+
+def test_constants_and_columns_reach_the_scan(spark, tmp_path):
+    from factweave.plans.compile import RulePlan, selected
+    from factweave.plans.rule import parse_rule
+
+    spark.createDataFrame([(str(i), str(i % 7), "x") for i in range(100)], "a string, b string, c string").write.parquet(str(tmp_path / "r"))
+    for known in (True, False):
+        kb = KnowledgeBase(spark).attach("r", spark.read.parquet(str(tmp_path / "r")), known_set=known)
+        plan = selected(kb, parse_rule("r(?,'3',?):-").head)._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(b,3)" in plan
+    body = RulePlan(kb, parse_rule("r(X,?,?):-r(?,X,?)")).body()._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in body
+    kb = KnowledgeBase(spark).attach("r", spark.read.parquet(str(tmp_path / "r")), known_set=True)
+    body = RulePlan(kb, parse_rule("r(X,?,?):-r(?,X,?)")).body()._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<b:string>" in body
+
+
+def test_data_sets_by_name(spark, tmp_path):
+    from factweave.sources.datasets import Registry
+
+    (tmp_path / "f.tsv").write_text("p\ta\n")
+    r = Registry()
+    r.add("Facts of P", str(tmp_path / "f.tsv"), "fp")
+    assert rows(r.load(spark, "fp")["p"]) == [("a",)] and r["Facts of P"] is r["fp"]
+    with pytest.raises(KbError):
+        r["none"]
+    with pytest.raises(KbError):
+        r.add("other", "x", "fp")
