@@ -158,7 +158,8 @@ def spans(documents: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     table = stage(cut(documents), "units")
     each = table.select("_rid", "rank", F.posexplode("digests").alias("pos", "digest")).filter("digest IS NOT NULL")
     shared = each.groupBy("digest").agg(F.count("*").alias("n"), F.min_by("_rid", "rank").alias("kept_rid"), F.min("rank").alias("kept_rank")).filter("n > 1").drop("n")
-    shared = stage(shared, "shared-units")  # fixes the choice among rows of equal rank
+    if table.groupBy("rank").count().filter("count > 1").limit(1).count():
+        shared = stage(shared, "shared-units")  # fixes the choice among rows of equal rank
     later = each.join(shared, "digest").filter("_rid <> kept_rid").groupBy("_rid").agg(F.collect_list(F.struct("pos", "kept_rank")).alias("later"))
     rows = table.select("_rid", F.transform("digests", lambda x: x.isNull()).alias("again"), "starts", "stops", "words").join(later, "_rid", "left")
     rows = rows.filter(F.col("later").isNotNull() | F.exists("again", lambda x: x))
@@ -190,7 +191,7 @@ def _runs(again: list[bool], starts: list[int], stops: list[int], words: list[in
 def removed(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``stop``, ``n_words``, ``n_units``, ``kept_doc_id`` and ``span_sha256`` of every removed span."""
     rows = boxed(documents).drop("_row")
-    found = stage(spans(rows), "spans")
+    found = spans(rows)
     whole = rows.join(found.groupBy("_rid").agg(F.collect_list(F.struct("start", "stop", "n_words", "n_units", "kept_rank")).alias("s")), "_rid")
     each = whole.select("doc_id", "text", F.explode("s").alias("s")).select("doc_id", "text", "s.*")
     kept = F.when(F.col("kept_rank") < (1 << 63) - 1, F.col("kept_rank"))
