@@ -91,7 +91,6 @@ def links(nodes: DataFrame) -> DataFrame:
     tables = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks()))))
     rows = nodes.select("fp", tables.alias("x")).select("fp", "x.t", "x.key")
     buckets = rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("n > 1")
-    buckets = stage(buckets, "buckets")
     pairs = buckets.filter("n = 2").filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS).select("u", "v")
     crowded = rows.join(buckets.filter("n > 2").select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct()
     points = F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS))))
@@ -105,7 +104,7 @@ def groups(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     ``found`` has ``fp`` and the id; it should be staged, since it is read more than once.
     """
-    nodes = stage(found.groupBy("fp").agg(F.min(id_column).alias("least")), "fingerprints")
+    nodes = found.groupBy("fp").agg(F.min(id_column).alias("least"))
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
