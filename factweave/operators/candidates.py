@@ -128,8 +128,11 @@ class Parent:
         self.body_vars = sorted({v for a in rule.body for v in a.variables()})
         self.heads = [f"h{i}" for i in range(rule.head.arity)]
         self.bodies = self._bodies()
-        self.positive = self._positive()
-        self.held = [self.positive] + ([self.bodies] if self.bodies is not None else [])
+        head = rule.head.relation
+        self.positive = self._positive(kb.not_entailed(head))
+        # what was entailed before is counted in the same way, from the entailed facts
+        self.before = self._positive(kb.entailed[head]) if head in kb.entailed else None
+        self.held = [x for x in (self.positive, self.before, self.bodies) if x is not None]
         for df in self.held:
             df.persist(StorageLevel.MEMORY_AND_DISK)
         self._n: int | None = None
@@ -155,9 +158,9 @@ class Parent:
             have |= set(atom.variables())
         return now
 
-    def _positive(self) -> DataFrame:
+    def _positive(self, facts: DataFrame) -> DataFrame:
         head = self.rule.head
-        rows = selected(self.kb, head, self.kb.not_entailed(head.relation))
+        rows = selected(self.kb, head, facts)
         kept = [F.col(f"c{i}").alias(h) for i, h in enumerate(self.heads)]
         kept += [F.col(f"c{i}").alias(self.column((0, i))) for i, a in enumerate(head.args) if a is None]
         kept += [F.col(f"c{head.args.index(v)}").alias(name_of(v)) for v in head.variables()]
@@ -187,7 +190,7 @@ class Parent:
     def _in_body(self, step_arg: Place | Var) -> bool:
         return step_arg in self.body_vars if isinstance(step_arg, Var) else step_arg[0] > 0
 
-    def _counted(self, table: DataFrame, wanted: dict[int, tuple[Candidate, list[str]]], n_keys: int) -> dict[int, int]:
+    def _counted(self, table: DataFrame, wanted: dict[int, tuple[Candidate, list[str]]]) -> dict[int, int]:
         """For each number the different keys (columns of ``table``) of the rows that its refinement leaves.
 
         Every kind becomes rows of (number, key); one aggregation counts them all.
@@ -223,7 +226,7 @@ class Parent:
 
     def positives(self, candidates: list[Candidate]) -> list[int]:
         """Newly entailed head facts of each refinement."""
-        found = self._counted(self.positive, {n: (c, self.heads) for n, c in enumerate(candidates)}, len(self.heads))
+        found = self._counted(self.positive, {n: (c, self.heads) for n, c in enumerate(candidates)})
         return [found.get(n, 0) for n in range(len(candidates))]
 
     def entailments(self, candidates: list[Candidate]) -> list[float]:
@@ -256,7 +259,7 @@ class Parent:
                 else:
                     out[n] = float(self.n_bodies) * self.sizes.get((name, i), 0) * symbols ** (free - 1)
         if wanted:
-            found = self._counted(self.bodies, wanted, len(self.shared))
+            found = self._counted(self.bodies, wanted)
             out |= {n: found.get(n, 0) * symbols ** powers[n] for n in wanted}
         if wider:
             names = list(wider)
@@ -268,11 +271,9 @@ class Parent:
 
     def already(self, candidates: list[Candidate]) -> list[int]:
         """Head facts that each refinement entails and that were entailed before."""
-        old = self.kb.entailed.get(self.rule.head.relation)
-        if old is None:
+        if self.before is None:
             return [0] * len(candidates)
-        whole = union(RulePlan(self.kb, c.rule).positives(old).agg(F.count("*").alias("n")).select(F.lit(n).alias("number"), "n") for n, c in enumerate(candidates)).collect() if candidates else []
-        found = {r["number"]: r["n"] for r in whole}
+        found = self._counted(self.before, {n: (c, self.heads) for n, c in enumerate(candidates)})
         return [found.get(n, 0) for n in range(len(candidates))]
 
 
