@@ -1,9 +1,11 @@
 """Operator 6: substring deduplication by hashing normalised units.
 
-The units are lines, and long lines are cut further after words that their own content
-singles out (a hash of a word and the one before it, or the same word again).  Passages are seldom whole lines;
-wherever one stands, its inner units are the same, so equal passages of over 50 words share
-all but a few words at their ends.  Units are normalised (ASCII letters lowered, white space
+A text is cut after words that their own content singles out: the same word again, and the
+least, in each WINDOW words in a row, by a hash of a word and the one before it.  A window
+inside a passage cuts it at the same word wherever it stands, so of equal passages of L words
+at least L - 2 * WINDOW in a row are the same units: 29 of 51, more than RUN_WORDS.  A unit
+with line breaks inside is taken whole and line by line, so that passages broken
+elsewhere meet as well as single lines do.  Units are normalised (ASCII letters lowered, white space
 collapsed), their digests grouped globally, and the earliest ranked occurrence of each stays.
 The others are removed where an unbroken run of them has RUN_WORDS words or more, so that
 short coincidences stay; the removed spans carry their places in the original text.
@@ -27,6 +29,8 @@ from .common import attached, boxed, stage, text_of, text_slices, unboxed
 
 #: One word in so many ends a unit; words that a run of repeated units needs to be removed.
 UNIT_WORDS, RUN_WORDS = 6, 24
+#: Of so many words in a row one ends a unit; the least of w are one in (w + 1) / 2.
+WINDOW = 2 * UNIT_WORDS - 1
 CHUNK = 1 << 19
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -58,25 +62,58 @@ def _sums(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: int)
     return (upto[stops] - upto[starts]) * down[starts]
 
 
-def units(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, first byte, end and number of words of each unit of UTF-8 ``data``; newlines end units."""
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word of UTF-8 ``data``, and whether it is the first of its line."""
     raw = np.frombuffer(data, np.uint8)
     word = ~_SPACE[raw]
     edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        none = np.empty(0, np.int64)
-        return none, none, none, none
+        return np.empty(0, np.uint64), starts, stops, np.empty(0, bool)
     lowered = np.frombuffer(data.translate(_LOWER), np.uint8).astype(np.uint64) + np.uint64(1)
     words = _mix(_sums(lowered, starts, stops, _BASE) + (stops - starts).astype(np.uint64))
     newlines = np.concatenate(([0], np.cumsum(raw == 10)))
-    ends_line = np.concatenate((newlines[starts[1:]] > newlines[stops[:-1]], [True]))
-    before = np.concatenate((np.zeros(1, np.uint64), np.where(ends_line[:-1], np.uint64(0), words[:-1])))
-    cut = ends_line | (words == before) | (_mix(words + before * np.uint64(_BASE)) % np.uint64(UNIT_WORDS) == 0)
+    return words, starts, stops, np.concatenate(([True], newlines[starts[1:]] > newlines[stops[:-1]]))
+
+
+def _least(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places of the least of each WINDOW values in a row of one owner, the last of equal ones."""
+    n = len(values) - WINDOW + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    least, place = values[:n].copy(), np.arange(n)
+    for k in range(1, WINDOW):
+        lower = values[k : k + n] <= least
+        np.copyto(least, values[k : k + n], where=lower)
+        np.copyto(place, np.arange(k, k + n), where=lower)
+    return place[owner[:n] == owner[WINDOW - 1 :]]
+
+
+def _units(words: np.ndarray, begins: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, first and last word of each unit, by first word; a whole unit comes before its parts."""
+    if not len(words):
+        return (np.empty(0, np.int64),) * 3
+    ends = np.concatenate((owner[1:] != owner[:-1], [True]))
+    before = np.concatenate((np.zeros(1, np.uint64), np.where(ends[:-1], np.uint64(0), words[:-1])))
+    cut = ends | (words == before)
+    cut[_least(_mix(words + before * np.uint64(_BASE)), owner)] = True
     last = np.flatnonzero(cut)
     first = np.concatenate(([0], last[:-1] + 1))
+    part_last = np.flatnonzero(cut | np.concatenate((begins[1:], [True])))
+    part_first = np.concatenate(([0], part_last[:-1] + 1))
+    broken = np.diff(np.searchsorted(part_last, last), prepend=-1) > 1  # has a line break inside
+    first, last = np.concatenate((first[broken], part_first)), np.concatenate((last[broken], part_last))
+    order = np.lexsort((-last, first))
+    first, last = first[order], last[order]
     digests = _mix(_sums(words, first, last + 1, _UNIT_BASE) + (last - first).astype(np.uint64))
-    return digests.view(np.int64), starts[first], stops[last], last - first + 1
+    return digests.view(np.int64), first, last
+
+
+def units(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, first byte, end and number of words of each unit of the one text ``data`` (UTF-8)."""
+    words, starts, stops, begins = _words(data)
+    digests, first, last = _units(words, begins, np.zeros(len(words), np.int64))
+    return digests, starts[first], stops[last], last - first + 1
 
 
 def chunks(data: bytes, limit: int = CHUNK) -> Iterator[tuple[int, bytes]]:
@@ -110,30 +147,47 @@ def cut(documents: DataFrame) -> DataFrame:
 def _cut_batch(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
     found: list[list[np.ndarray]] = []  # owner, digest, start, stop, words
-    group: list[tuple[int, int, bytes]] = []
+    held: list[list[np.ndarray]] = []  # word, start, stop, whether it begins a line, owner
+    group: list[tuple[int, int, bytes, bool]] = []  # owner, characters before, piece, whether it begins a line
     pending = 0
 
-    def flush() -> None:
+    def read() -> None:
+        """The words of the pieces."""
         nonlocal pending
         if not group:
             return
-        joined = b"\n".join(d for _, _, d in group) + b"\n"
-        sizes = np.array([len(d) + 1 for _, _, d in group])
-        begins = np.cumsum(sizes) - sizes
-        digest, start, stop, words = units(joined)
-        piece = np.searchsorted(begins, start, side="right") - 1
+        joined = b"\n".join(d for _, _, d, _ in group) + b"\n"
+        sizes = np.array([len(d) + 1 for _, _, d, _ in group])
+        places = np.cumsum(sizes) - sizes
+        word, start, stop, begins = _words(joined)
+        piece = np.searchsorted(places, start, side="right") - 1
+        for first, place, (_, _, d, fresh) in zip(np.searchsorted(start, places).tolist(), places.tolist(), group, strict=True):
+            if not fresh and first < len(start) and start[first] < place + len(d):
+                begins[first] = b"\n" in d[: start[first] - place]
         chars = np.concatenate(([0], np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)))
-        shift = np.array([s for _, s, _ in group]) - chars[begins]
-        found.append([np.array([o for o, _, _ in group])[piece], digest, chars[start] + shift[piece], chars[stop] + shift[piece], words])
+        shift = np.array([s for _, s, _, _ in group]) - chars[places]
+        held.append([word, chars[start] + shift[piece], chars[stop] + shift[piece], begins, np.array([o for o, *_ in group])[piece]])
         group.clear()
         pending = 0
 
+    def flush() -> None:
+        """The units of whole texts, so that the ends of pieces make no difference."""
+        read()
+        if not held:
+            return
+        word, start, stop, begins, owner = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        digest, first, last = _units(word, begins, owner)
+        found.append([owner[first], digest, start[first], stop[last], last - first + 1])
+
     for owner, data in enumerate(texts):
+        if pending + len(data) > CHUNK:
+            flush()
         seen = 0  # characters of this text before the piece
-        for _, piece in chunks(data):
+        for at, piece in chunks(data):
             if pending and pending + len(piece) > CHUNK:
-                flush()
-            group.append((owner, seen, piece))
+                read()
+            group.append((owner, seen, piece, at == 0 or data[at - 1] == 10))
             pending += len(piece) + 1
             if len(data) > CHUNK:
                 seen += int(((np.frombuffer(piece, np.uint8) & 0xC0) != 0x80).sum())
@@ -180,11 +234,20 @@ def _runs(again: list[bool], starts: list[int], stops: list[int], words: list[in
     gone = np.array(again, bool)
     kept = {x["pos"]: x["kept_rank"] for x in later}
     gone[list(kept)] = True
-    edge = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
+    begin, end = np.array(starts), np.array(stops)
+    whole = np.flatnonzero(begin[:-1] == begin[1:])  # units with parts, which come next
+    for i in whole[gone[whole]].tolist():
+        to = int(np.searchsorted(begin, end[i]))
+        gone[i + 1 : to] = True
+        if i in kept:
+            kept.setdefault(i + 1, kept[i])
+    parts = np.delete(np.arange(len(gone)), whole)
+    edge = np.diff(np.concatenate(([False], gone[parts], [False])).astype(np.int8))
     for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-        n = sum(words[a:b])
+        run = parts[a:b].tolist()
+        n = sum(words[i] for i in run)
         if n >= run_words:
-            yield starts[a], stops[b - 1], n, b - a, kept.get(a)
+            yield starts[run[0]], stops[run[-1]], n, b - a, kept.get(run[0])
 
 
 def removed(documents: DataFrame) -> DataFrame:

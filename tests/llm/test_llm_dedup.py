@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import xxhash
 
 from factweave.llm import components, lines, passages, simhash
@@ -248,3 +249,44 @@ def test_large_findings_are_joined_by_a_shuffle(spark, monkeypatch):
     small = [order(f(docs)) for f in functions]
     monkeypatch.setattr(common, "BROADCAST_CELLS", -1)
     assert [order(f(docs)) for f in functions] == small
+
+
+def plain_left(texts, words=51):
+    """Places of windows of so many words that stand elsewhere too."""
+    places = {}
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        for p in range(len(w) - words + 1):
+            places.setdefault(tuple(w[p : p + words]), []).append((i, p))
+    return [p for p in places.values() if len(p) > 1]
+
+
+def test_no_passage_of_51_words_is_left(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: ["".join(rng.choices("abcdefgh", k=rng.randint(5, 9))) for _ in range(n)]
+    texts = []
+    for i in range(600):
+        passage = text(51 + i % 4)
+        for wrapped in (False, i % 3 == 0):
+            shown = list(passage)
+            for at in rng.sample(range(1, 50), 3 if wrapped else 0):
+                shown[at] = "\n" + shown[at]
+            texts.append(" ".join([*text(rng.randint(0, 30)), *shown, *text(rng.randint(0, 30))]))
+    assert len(plain_left(texts)) >= 600
+    for chunk in (passages.CHUNK, 300):  # pieces of 300 bytes end inside the passages
+        monkeypatch.setattr(passages, "CHUNK", chunk)
+        monkeypatch.setattr(passages.chunks, "__defaults__", (chunk,))
+        batch = pa.RecordBatch.from_pydict({"_rid": list(range(len(texts))), "rank": list(range(len(texts))), "text": texts})
+        (out,) = passages._cut_batch(batch)
+        seen, left = set(), []
+        for i, r in enumerate(out.to_pylist()):
+            later = [{"pos": p, "kept_rank": 0} for p, d in enumerate(r["digests"]) if d in seen]
+            t, at = "", 0
+            for start, stop, n, _, _ in passages._runs([d is None for d in r["digests"]], r["starts"], r["stops"], r["words"], later, passages.RUN_WORDS):
+                assert n == len(texts[i][start:stop].split())
+                t, at = t + texts[i][at:start], stop
+            left.append(t + texts[i][at:])
+            seen |= set(r["digests"])
+        assert left[::2] == texts[::2] and not plain_left(left)
+    kept = {r["doc_id"]: r["text"] for r in passages.deduplicated(documents(spark, rows_of(texts))).collect()}
+    assert [kept[i] for i in range(len(texts))] == left
