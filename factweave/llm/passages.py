@@ -10,7 +10,7 @@ collapsed), their digests grouped globally, and the earliest ranked occurrence o
 The others are removed where an unbroken run of them has RUN_WORDS words or more, so that
 short coincidences stay; the removed spans carry their places in the original text.
 
-Results: a null or empty text has no units; repeated rows lose their text but for the first;
+Results: a null or empty text has no units; repeated rows lose their text but for the first, rows of equal id in their order;
 rows without an id rank last; a word is what stands between white space of ASCII.  Texts are
 read in pieces of CHUNK bytes, cut at white space, so very long ones need no more memory.
 """
@@ -211,8 +211,8 @@ def spans(documents: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """
     table = stage(cut(documents), "units")
     each = table.select("_rid", "rank", F.posexplode("digests").alias("pos", "digest")).filter("digest IS NOT NULL")
-    shared = each.groupBy("digest").agg(F.count("*").alias("n"), F.min_by("_rid", "rank").alias("kept_rid"), F.min("rank").alias("kept_rank")).filter("n > 1").drop("n")
-    shared = stage(shared, "shared-units")  # fixes the choice among rows of equal rank
+    shared = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("rank", "_rid")).alias("first")).filter("n > 1")
+    shared = stage(shared.select("digest", F.col("first._rid").alias("kept_rid"), F.col("first.rank").alias("kept_rank")), "shared-units")
     later = each.join(shared, "digest").filter("_rid <> kept_rid").groupBy("_rid").agg(F.collect_list(F.struct("pos", "kept_rank")).alias("later"))
     rows = table.select("_rid", F.transform("digests", lambda x: x.isNull()).alias("again"), "starts", "stops", "words").join(later, "_rid", "left")
     rows = rows.filter(F.col("later").isNotNull() | F.exists("again", lambda x: x))

@@ -290,3 +290,14 @@ def test_no_passage_of_51_words_is_left(spark, monkeypatch):
         assert left[::2] == texts[::2] and not plain_left(left)
     kept = {r["doc_id"]: r["text"] for r in passages.deduplicated(documents(spark, rows_of(texts))).collect()}
     assert [kept[i] for i in range(len(texts))] == left
+
+
+def test_first_of_rows_of_equal_rank_stays(spark):
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(2000))
+    for doc_id in (7, None):
+        rows = documents(spark, [(doc_id, text, len(text), "x", "y")] * 3).repartition(3).selectExpr("monotonically_increasing_id() AS _rid", "doc_id", "text")
+        rows = rows.localCheckpoint()
+        first, *others = sorted(r["_rid"] for r in rows.select("_rid").collect())
+        found = {(r["_rid"], r["n_words"]) for r in passages.spans(rows).collect()}
+        assert found == {(i, 2000) for i in others}
