@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fingerprint import fingerprint
-from ..plans.rule import Rule, parse_rule
+from ..plans.rule import Rule, Var, parse_rule
 from .evaluate import scored
 from .kb import KnowledgeBase, union
 from .profile import sizes
@@ -60,9 +60,22 @@ def instances(hint: Hint, arities: dict[str, int]) -> Iterator[Rule]:
     yield from go(0, {})
 
 
+def _joinable(kb: KnowledgeBase, rules: list[Rule]) -> list[Rule]:
+    """The rules each of whose variables stands in columns that meet pairwise; the others entail no fact."""
+    a, b = (kb.domains().select(F.struct("rel", "pos").alias(x), "val") for x in "ab")
+    meet = {(tuple(r["a"]), tuple(r["b"])) for r in a.join(b, "val").select("a", "b").distinct().collect()}  # pairs of the catalogue
+
+    def fits(rule: Rule) -> bool:
+        places = [(x, (a.relation, i)) for a in rule.atoms for i, x in enumerate(a.args) if isinstance(x, Var)]
+        return all((p, q) in meet for x, p in places for y, q in places if x == y)
+
+    return [r for r in rules if fits(r)]
+
+
 def discover(kb: KnowledgeBase, hints: list[Hint], coverage: float, ratio: float, batch: int = 24) -> DataFrame:
     """``rule, length, pos, neg, coverage_percent, tau, delta`` of the instances that reach both thresholds, best ratio first."""
     rules = [r for h in hints for r in instances(h, kb.arities)]
+    rules = _joinable(kb, rules) if rules and coverage >= 0 else rules
     schema = "rule string, length double, pos double, neg double, coverage_percent double, tau double, delta double"
     if not rules:
         return kb.spark.createDataFrame([], schema)

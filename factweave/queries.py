@@ -456,13 +456,19 @@ _INVERSE = " UNION ALL ".join(
 )
 _HINTED = "rule, length, pos, total - pos AS neg, round(100 * pos / size, 9) AS coverage_percent, round(pos / (total + length), 9) AS tau, pos - (total - pos) - length AS delta"
 _TWO = ("cust_nation", "cust_region", "nation_region", "supp_nation")
-_HOPS = " UNION ALL ".join(
-    f"SELECT '{h}(X0,X1):-{q}(X0,X2),{r}(X2,X1)' AS rule, (SELECT CAST(count(*) AS DOUBLE) FROM {h} WHERE (c0, c1) IN (SELECT a.c0, b.c1 FROM {q} a JOIN {r} b ON a.c1 = b.c0)) AS pos, (SELECT CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT a.c0, b.c1 FROM {q} a JOIN {r} b ON a.c1 = b.c0)) AS total, (SELECT CAST(count(*) AS DOUBLE) FROM {h}) AS size, CAST(3 AS DOUBLE) AS length"
-    for h in _TWO
-    for q in _TWO
-    for r in _TWO
-    if h not in (q, r)
-)
+
+
+def _hops(names) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{h}(X0,X1):-{q}(X0,X2),{r}(X2,X1)' AS rule, (SELECT CAST(count(*) AS DOUBLE) FROM {h} WHERE (c0, c1) IN (SELECT a.c0, b.c1 FROM {q} a JOIN {r} b ON a.c1 = b.c0)) AS pos, (SELECT CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT a.c0, b.c1 FROM {q} a JOIN {r} b ON a.c1 = b.c0)) AS total, (SELECT CAST(count(*) AS DOUBLE) FROM {h}) AS size, CAST(3 AS DOUBLE) AS length"
+        for h in names
+        for q in names
+        for r in names
+        if h not in (q, r)
+    )
+
+
+_HOPS, _HOPS_ALL = _hops(_TWO), _hops(_BINARY)
 
 
 def _hinted(out):
@@ -479,6 +485,11 @@ def hint_two_hop(spark, sf_dir):
     return _hinted(hints.discover(tables_kb(spark, sf_dir, _TWO), [hints.parse_hint("p(X,Y):-q(X,Z),r(Z,Y);[(p,q),(p,r)]")], 0.2, 0.8))
 
 
+@query("hint_two_hop_all", f"@, e AS ({_HOPS_ALL}) SELECT {_HINTED} FROM e WHERE pos / size > 0.2 AND pos / (total + length) >= 0.8")
+def hint_two_hop_all(spark, sf_dir):
+    return _hinted(hints.discover(tables_kb(spark, sf_dir), [hints.parse_hint("p(X,Y):-q(X,Z),r(Z,Y);[(p,q),(p,r)]")], 0.2, 0.8))
+
+
 # -- recovery and compression ------------------------------------------------------------
 
 
