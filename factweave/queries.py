@@ -421,8 +421,9 @@ def candidates_case4(spark, sf_dir):
     SELECT 'turn_role(?,?,' || c2 || '):-' AS rule, CAST(n AS DOUBLE) AS pos, pow((SELECT n FROM sz), 2) AS total FROM c WHERE n >= ceil((SELECT count(*) FROM turn_role) * 0.25)""")
 def candidates_case5(spark, sf_dir):
     kb = tables_kb(spark, sf_dir, ("turn_role",))
-    found = profile.promising_constants(kb).filter("rel = 'turn_role' AND pos = 2").collect()  # 4 at most
-    return _refined(tables_kb(spark, sf_dir), "turn_role(?,?,?):-", 5, {("turn_role", 2): sorted(r["val"] for r in found)})
+    found = profile.promising_constants(kb).filter("rel = 'turn_role'").collect()  # 4 at most of each position
+    constants = {("turn_role", i): sorted(r["val"] for r in found if r["pos"] == i) for i in range(3)}
+    return _refined(tables_kb(spark, sf_dir), "turn_role(?,?,?):-", 5, constants)
 
 
 @query("beam_top_k", f"@, e AS ({_NEW_SQL}) SELECT rule, pos, total FROM (SELECT rule, pos, total, row_number() OVER (ORDER BY round(pos / (total + 1), 12) DESC, rule) AS k FROM e WHERE pos > 0) WHERE k <= 3")
