@@ -1,15 +1,19 @@
-"""Refinements of a rule, and the scores of all of them in a few jobs.
-
-A refinement changes one thing in its parent, so none needs a plan of its own.  Of the
-parent two tables are made: ``positive`` (head facts not yet entailed, joined with the body)
-and ``bodies`` (the body alone), each with the variables and the empty places as columns.
-Then
-
-* a constant or an equality in a place is a filter on these tables, and
-* a further atom, which has one bound argument, is a semi-join with a column's domain,
-  and one join with the long domain table serves every relation and position.
-
-Head facts are counted first; only refinements with enough of them are counted further.
+"""Refinements of a rule, and the scores of all refinements of a whole level of the search in one job.
+
+A refinement changes one thing in its parent, so none needs a plan of its own, and none needs
+more of the parent's body than one projection.  Let a *key* be the values of the variables that
+head and body share.  For each parent there are
+
+* its head facts, counted by key, with those entailed before told apart;
+* for each body column that some refinement asks for, the different pairs of key and value; no
+  table ever holds two open columns at once, so none is larger than one refinement's own body;
+  Parts of a body that share no variable are kept apart, and their numbers multiplied;
+* for each head column, its values among the facts that the body reaches, counted.
+
+Then a further atom is a join with the long table of column domains, a constant a join with the
+values asked for, an equality a filter or a join of head and body by key and value.  What is
+counted are different keys, to which the head's counts are added by one join.  The tables of all
+parents of a level are stacked, so their number does not change the number of jobs.
 """
 
 from __future__ import annotations
@@ -17,11 +21,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.compile import RulePlan, name_of, ordered, selected
+from ..plans.compile import RulePlan, body_bindings, connected, name_of, selected
 from ..plans.fingerprint import Tabu, fingerprint
 from ..plans.rule import Rule, Step, Var
 from .kb import KnowledgeBase, union
@@ -118,163 +121,250 @@ def admitted(candidates: Iterator[Candidate], seen: Seen) -> list[Candidate]:
     return out
 
 
+@dataclass
+class Count:
+    """Head facts that a refinement entails, not yet (``new``) and already (``old``) entailed, and all that it entails."""
+
+    new: int = 0
+    old: int = 0
+    all: float = 0.0
+
+
 class Parent:
-    """Tables of a rule from which its refinements are counted."""
+    """Projections of one rule of which its refinements are counted."""
 
-    def __init__(self, kb: KnowledgeBase, rule: Rule, domains: DataFrame, sizes: dict[tuple[str, int], int], symbols: int):
-        self.kb, self.rule, self.domains, self.sizes, self.symbols = kb, rule, domains, sizes, symbols
+    def __init__(self, kb: KnowledgeBase, rule: Rule):
+        self.kb, self.rule = kb, rule
         plan = RulePlan(kb, rule)
         self.free, self.shared = plan.free, plan.shared
-        self.body_vars = sorted({v for a in rule.body for v in a.variables()})
-        self.heads = [f"h{i}" for i in range(rule.head.arity)]
-        self.bodies = self._bodies()
-        head = rule.head.relation
-        self.positive = self._positive(kb.not_entailed(head))
-        # what was entailed before is counted in the same way, from the entailed facts
-        self.before = self._positive(kb.entailed[head]) if head in kb.entailed else None
-        self.held = [x for x in (self.positive, self.before, self.bodies) if x is not None]
-        for df in self.held:
-            df.persist(StorageLevel.MEMORY_AND_DISK)
-        self._n: int | None = None
-
-    def release(self) -> None:
-        for df in self.held:
-            df.unpersist()
+        #: Atoms of each part of the body; a rule without a body has one empty part.
+        self.parts: list[tuple[int, ...]] = connected(rule.body) or [()]
+
+    def part_of(self, column: Place | Var) -> int | None:
+        """The part of the body that a place or a variable is in."""
+        at = {i for i, a in enumerate(self.rule.body) if column in a.args} if isinstance(column, Var) else {column[0] - 1} - {-1}
+        return next((n for n, part in enumerate(self.parts) if at & set(part)), None)
+
+    def head_column(self, column: Place | Var) -> str:
+        """The head's column of a place or of a variable that the head has."""
+        return f"c{self.rule.head.args.index(column) if isinstance(column, Var) else column[1]}"
+
+    def bound(self, part: tuple[int, ...]) -> list[Var]:
+        """The shared variables of a part."""
+        own = {v for i in part for v in self.rule.body[i].variables()}
+        return [v for v in self.shared if v in own]
 
     @staticmethod
-    def column(place: Place) -> str:
-        return f"p{place[0]}_{place[1]}"
-
-    def _bodies(self) -> DataFrame | None:
-        """Different values of the body's variables and empty places."""
-        now, have = None, set()
-        for i in ordered(list(self.rule.body)):
-            atom = self.rule.body[i]
-            kept = [F.col(f"c{atom.args.index(v)}").alias(name_of(v)) for v in atom.variables()]
-            kept += [F.col(f"c{j}").alias(self.column((i + 1, j))) for j, a in enumerate(atom.args) if a is None]
-            part = selected(self.kb, atom).select(*kept)
-            shared = [name_of(v) for v in atom.variables() if v in have]
-            now = part if now is None else now.join(part, shared) if shared else now.crossJoin(part)
-            have |= set(atom.variables())
-        return now
-
-    def _positive(self, facts: DataFrame) -> DataFrame:
+    def _key(columns: list[str]) -> Column:
+        return F.array(*columns).cast("array<string>")
+
+    def head_key(self, part: tuple[int, ...]) -> Column:
+        return self._key([self.head_column(v) for v in self.bound(part)])
+
+    def facts(self) -> DataFrame:
+        """Facts that fit the head, with ``is_old``."""
         head = self.rule.head
-        rows = selected(self.kb, head, facts)
-        kept = [F.col(f"c{i}").alias(h) for i, h in enumerate(self.heads)]
-        kept += [F.col(f"c{i}").alias(self.column((0, i))) for i, a in enumerate(head.args) if a is None]
-        kept += [F.col(f"c{head.args.index(v)}").alias(name_of(v)) for v in head.variables()]
-        rows = rows.select(*kept)
-        if self.bodies is None:
-            return rows
-        return rows.join(self.bodies, [name_of(v) for v in self.shared]) if self.shared else rows.crossJoin(self.bodies)
-
-    @property
-    def n_bodies(self) -> int:
-        if self._n is None:
-            self._n = 1 if self.bodies is None else self.bodies.select(*self._keys()).distinct().count() if self.shared else int(self.bodies.limit(1).count() > 0)
-        return self._n
-
-    def _keys(self, more: list[str] | None = None) -> list[str]:
-        return list(dict.fromkeys([*(name_of(v) for v in self.shared), *(more or [])]))
-
-    def _equal(self, step: Step) -> tuple[str, str]:
-        """The two columns that a refinement of kind 1 or 3 makes equal."""
-        one, other = step.args
-        return self.column(one), name_of(other) if step.case == 1 else self.column(other)
-
-    def _bound(self, step: Step) -> str:
-        """The column that a further atom is bound to."""
-        return name_of(step.args[3]) if step.case == 2 else self.column(step.args[3])
-
-    def _in_body(self, step_arg: Place | Var) -> bool:
-        return step_arg in self.body_vars if isinstance(step_arg, Var) else step_arg[0] > 0
-
-    def _counted(self, table: DataFrame, wanted: dict[int, tuple[Candidate, list[str]]]) -> dict[int, int]:
-        """For each number the different keys (columns of ``table``) of the rows that its refinement leaves.
-
-        Every kind becomes rows of (number, key); one aggregation counts them all.
-        """
-        if not wanted:
-            return {}
-        parts: list[DataFrame] = []
-        key_of = lambda cols: F.to_json(F.array(*(F.col(c) for c in cols))) if cols else F.lit("")
-        equal, slots, constants = [], [], []
-        for number, (c, keys) in wanted.items():
-            if c.step.case in (1, 3):
-                a, b = self._equal(c.step)
-                equal.append(F.when(F.col(a) == F.col(b), F.struct(F.lit(number).alias("number"), key_of(keys).alias("key"))))
-            elif c.step.case == 5:
-                constants.append((number, self.column(c.step.args[0]), c.step.args[1], keys))
+        return selected(self.kb, head, self.kb.marked(head.relation))
+
+    def reached(self) -> DataFrame:
+        """Those of the facts that the body reaches."""
+        out = self.facts()
+        for part in self.parts:
+            if part:
+                out = out.withColumn("key", self.head_key(part)).join(self.keys(part), "key", "left_semi").drop("key")
+        return out
+
+    def keys(self, part: tuple[int, ...], body: tuple | None = None) -> DataFrame:
+        """The different keys of a part of the body, or of the refined ``body``."""
+        if not part:
+            return self.kb.spark.range(1).select(self._key([]).alias("key"))
+        body, bound = body or self.rule.body, self.bound(part)
+        return body_bindings(self.kb, tuple(body[i] for i in part), bound).select(self._key([name_of(v) for v in bound]).alias("key"))
+
+    def pairs(self, part: tuple[int, ...], columns: dict[Place | Var, int]) -> DataFrame:
+        """``slot, key, val``: for each numbered column of a part the different pairs of key and value."""
+        bound = self.bound(part)
+        if len(part) == 1:  # one scan and one shuffle for all columns
+            atom = self.rule.body[part[0]]
+            at = lambda c: f"c{atom.args.index(c) if isinstance(c, Var) else c[1]}"
+            each = F.explode(F.array(*(F.struct(F.lit(slot).alias("slot"), F.col(at(c)).alias("val")) for c, slot in columns.items())))
+            rows = selected(self.kb, atom).select(self._key([at(v) for v in bound]).alias("key"), each.alias("x"))
+            return rows.select("x.slot", "key", "x.val").distinct()
+        out = []
+        for c, slot in columns.items():
+            var = c if isinstance(c, Var) else Var(self.rule.n_vars)
+            body = self.rule.body if isinstance(c, Var) else self.rule.with_arg(c, var).body
+            found = body_bindings(self.kb, tuple(body[i] for i in part), bound if var in bound else [*bound, var])
+            out.append(found.select(F.lit(slot).alias("slot"), self._key([name_of(v) for v in bound]).alias("key"), F.col(name_of(var)).alias("val")))
+        return union(out)
+
+
+def _sums() -> list[Column]:
+    return [F.sum("new").alias("new"), F.sum("old").alias("old")]
+
+
+def _marks() -> list[Column]:
+    return [F.count_if(~F.col("is_old")).alias("new"), F.count_if("is_old").alias("old")]
+
+
+class Level:
+    """Counts the refinements of several parents, which may be of one relation or of many."""
+
+    def __init__(self, kb: KnowledgeBase, domains: DataFrame, sizes: dict[tuple[str, int], int], symbols: int):
+        self.kb, self.domains, self.sizes, self.symbols = kb, domains, sizes, float(symbols)
+
+    def count(self, work: list[tuple[Rule, list[Candidate]]]) -> list[list[Count]]:
+        """For each parent the counts of its refinements."""
+        ask = _Asked(self.kb)
+        for rule, candidates in work:
+            ask.parent(Parent(self.kb, rule), candidates)
+        found = {r["number"]: r for r in ask.frame(self.domains).collect()} if ask.refinements else {}
+        size = lambda number: found[number]["n"] if number in found else 0
+        out: list[list[Count]] = [[] for _ in work]
+        for number, (n, candidate, how, touched) in enumerate(ask.refinements):
+            p, r = ask.parents[n], found.get(number)
+            c = Count(int(r["new"] or 0), int(r["old"] or 0)) if r else Count()
+            others = 1.0
+            for k in range(len(p.parts)):
+                others *= 1 if k in touched else size(ask.sizes[n, k])
+            if how == "body":
+                c.all = (r["n"] if r else 0) * others * self.symbols**p.free
+            elif how == "both":
+                c.all = size(ask.slot_size[ask.mixed[number][0]]) * others * self.symbols ** (p.free - 1)
             else:
-                name, _, i, _ = c.step.args
-                slots.append((number, self._bound(c.step), name, i, keys))
-        if equal:
-            parts.append(table.select(F.explode(F.filter(F.array(*equal), lambda x: x.isNotNull())).alias("x")).select("x.number", "x.key"))
-        if constants:
-            cases = [F.when(F.col(col) == F.lit(value), F.struct(F.lit(number).alias("number"), key_of(keys).alias("key"))) for number, col, value, keys in constants]
-            parts.append(table.select(F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("x")).select("x.number", "x.key"))
-        if slots:
-            kinds = list(dict.fromkeys((col, tuple(keys)) for _, col, _, _, keys in slots))
-            each = F.explode(F.array(*(F.struct(F.lit(k).alias("slot"), F.col(col).alias("val"), key_of(list(keys)).alias("key")) for k, (col, keys) in enumerate(kinds))))
-            values = table.select(each.alias("x")).select("x.slot", "x.val", "x.key").distinct()
-            asked = self.kb.spark.createDataFrame([(number, kinds.index((col, tuple(keys))), name, i) for number, col, name, i, keys in slots], "number int, slot int, rel string, pos int")
-            # the refinements that are asked for are bounded by the catalogue
-            parts.append(values.join(self.domains, "val").join(F.broadcast(asked), ["slot", "rel", "pos"]).select("number", "key"))
-        found = union(parts).groupBy("number").agg(F.countDistinct("key").alias("n")).collect()
-        return {r["number"]: r["n"] for r in found}
-
-    def positives(self, candidates: list[Candidate]) -> list[int]:
-        """Newly entailed head facts of each refinement."""
-        found = self._counted(self.positive, {n: (c, self.heads) for n, c in enumerate(candidates)})
-        return [found.get(n, 0) for n in range(len(candidates))]
-
-    def entailments(self, candidates: list[Candidate]) -> list[float]:
-        """All head tuples that each refinement entails."""
-        symbols, free = float(self.symbols), self.free
-        out: dict[int, float] = {}
-        wanted: dict[int, tuple[Candidate, list[str]]] = {}
-        wider: dict[tuple[str, ...], list[int]] = {}
-        powers: dict[int, int] = {}
-        for n, c in enumerate(candidates):
-            step = c.step
-            if step.case == 5:
-                if step.args[0][0] == 0:
-                    out[n] = self.n_bodies * symbols ** (free - 1)
-                else:
-                    wanted[n], powers[n] = (c, self._keys()), free
-            elif step.case in (1, 3):
-                inside = [self._in_body(a) for a in step.args]
-                if all(inside):
-                    wanted[n], powers[n] = (c, self._keys()), free
-                elif any(inside):
-                    a, b = self._equal(step)
-                    wider.setdefault(tuple(self._keys([a if inside[0] else b])), []).append(n)
+                values = self.sizes.get((candidate.step.args[0], candidate.step.args[2]), 0) if candidate.step.case in (2, 4) else 1
+                c.all = others * values * self.symbols ** (p.free - 1)
+            out[n].append(c)
+        return out
+
+
+class _Asked:
+    """What a level asks for, gathered into few tables.
+
+    Numbers from 0 are refinements; those beyond are sizes of parts and of slots.
+    """
+
+    def __init__(self, kb: KnowledgeBase):
+        self.kb = kb
+        self.parents: list[Parent] = []
+        #: Parent, refinement, where it works, and the parts that it touches.
+        self.refinements: list[tuple[int, Candidate, str, tuple[int, ...]]] = []
+        self.n_slots = 0
+        self.slots: dict[tuple[int, int], dict[Place | Var, int]] = {}  # body columns by parent and part
+        self.values: list[dict[Place | Var, int]] = []  # head columns by parent
+        self.domain: list[tuple[int, int, str, int]] = []
+        self.constant: list[tuple[int, int, str]] = []
+        self.mixed: dict[int, tuple[int, int]] = {}
+        self.meeting: dict[tuple[int, int], set[int]] = {}  # slots of head columns that meet a column of a part
+        self.in_body: list[tuple[int, int, tuple[int, ...], tuple]] = []
+        self.in_head: list[list[tuple[int, str, str]]] = []
+        self.sizes: dict[tuple[int, int], int] = {}
+        self.slot_size: dict[int, int] = {}
+
+    def _slot(self, column: Place | Var, table: dict) -> int:
+        if column not in table:
+            table[column] = self.n_slots
+            self.n_slots += 1
+        return table[column]
+
+    def parent(self, p: Parent, candidates: list[Candidate]) -> None:
+        n = len(self.parents)
+        self.parents.append(p)
+        self.values.append({})
+        self.in_head.append([])
+        for c in candidates:
+            number, step = len(self.refinements), c.step
+            touched: tuple[int, ...] = ()
+            if step.case in (1, 3):
+                parts = [p.part_of(x) for x in step.args]
+                if parts[0] is None and (parts[1] is None or step.args[1] in p.shared):
+                    how = "head"
+                    self.in_head[n].append((number, *(p.head_column(x) for x in step.args)))
+                elif None in parts:
+                    how = "both"
+                    (head, _), (body, part) = sorted(zip(step.args, parts, strict=True), key=lambda x: x[1] is not None)
+                    touched = (part,)
+                    self.mixed[number] = (self._slot(body, self.slots.setdefault((n, part), {})), self._slot(head, self.values[n]))
+                    self.meeting.setdefault((n, part), set()).add(self.mixed[number][1])
                 else:
-                    out[n] = self.n_bodies * symbols ** (free - 1)
+                    how, touched = "body", tuple(sorted(set(parts)))
+                    self.in_body.append((n, number, touched, c.rule.body))
             else:
-                name, _, i, bound = step.args
-                if self._in_body(bound):
-                    wanted[n], powers[n] = (c, self._keys()), free
+                column = step.args[3] if step.case in (2, 4) else step.args[0]
+                part = p.part_of(column)
+                how, touched = ("head", ()) if part is None else ("body", (part,))
+                slot = self._slot(column, self.values[n] if part is None else self.slots.setdefault((n, part), {}))
+                if step.case == 5:
+                    self.constant.append((number, slot, step.args[1]))
                 else:
-                    out[n] = float(self.n_bodies) * self.sizes.get((name, i), 0) * symbols ** (free - 1)
-        if wanted:
-            found = self._counted(self.bodies, wanted)
-            out |= {n: found.get(n, 0) * symbols ** powers[n] for n in wanted}
-        if wider:
-            names = list(wider)
-            counts = union(self.bodies.select(*k).distinct().agg(F.count("*").alias("n")).select(F.lit(j).alias("j"), "n") for j, k in enumerate(names)).collect()
-            for r in counts:
-                for n in wider[names[r["j"]]]:
-                    out[n] = r["n"] * symbols ** (free - 1)
-        return [out[n] for n in range(len(candidates))]
-
-    def already(self, candidates: list[Candidate]) -> list[int]:
-        """Head facts that each refinement entails and that were entailed before."""
-        if self.before is None:
-            return [0] * len(candidates)
-        found = self._counted(self.before, {n: (c, self.heads) for n, c in enumerate(candidates)})
-        return [found.get(n, 0) for n in range(len(candidates))]
+                    self.domain.append((number, slot, step.args[0], step.args[2]))
+            self.refinements.append((n, c, how, touched))
+
+    def frame(self, domains: DataFrame) -> DataFrame:
+        """``number, new, old, n``: one row for each refinement and for each size that is needed beside."""
+        spark, used = self.kb.spark, sorted({n for n, *_ in self.refinements})
+        number_of: dict[tuple[int, tuple[int, ...]], int] = {}  # parent and parts that are counted together
+        group = lambda n, parts: F.lit(number_of.setdefault((n, parts), len(number_of))).alias("grp")
+        for n in used:
+            for k in range(len(self.parents[n].parts)):
+                self.sizes[n, k] = len(self.refinements) + len(self.sizes)
+        # what is asked for is bounded by the catalogue
+        asked = F.broadcast(spark.createDataFrame(self.domain, "number int, slot int, rel string, pos int")) if self.domain else None
+        constants = F.broadcast(spark.createDataFrame(self.constant, "number int, slot int, val string")) if self.constant else None
+
+        def joined(table: DataFrame) -> list[DataFrame]:
+            """The rows of a table of slots and values that refinements ask for."""
+            out = [table.join(domains, "val").join(asked, ["slot", "rel", "pos"]).drop("rel", "pos", "val", "slot")] if asked is not None else []
+            return out + ([table.join(constants, ["slot", "val"]).drop("val", "slot")] if constants is not None else [])
+
+        pairs, hits, counted, equal, levels, heads = [], [], [], [], [], []
+        for (n, k), slots in self.slots.items():
+            p = self.parents[n]
+            pairs.append(p.pairs(p.parts[k], slots).withColumn("grp", group(n, (k,))))
+        table = union(pairs) if pairs else None
+        if table is not None:
+            hits += [x.select("number", "grp", "key").distinct() for x in joined(table)]
+        for (n, k), number in self.sizes.items():
+            p = self.parents[n]
+            hits.append(p.keys(p.parts[k]).select(F.lit(number).alias("number"), group(n, (k,)), "key"))
+        for n, number, parts, body in self.in_body:
+            p = self.parents[n]
+            atoms = tuple(sorted(i for k in parts for i in p.parts[k]))
+            hits.append(p.keys(atoms, body).select(F.lit(number).alias("number"), group(n, parts), "key"))
+        for n in used:
+            p, single = self.parents[n], self.values[n]
+            seen = p.reached()
+            facts = seen if len(p.parts) > 1 else p.facts()  # with a single part the join below tells what is reached
+            for (m, parts), _ in list(number_of.items()):
+                if m == n:
+                    atoms = tuple(sorted(i for k in parts for i in p.parts[k]))
+                    heads.append(facts.groupBy(p.head_key(atoms).alias("key")).agg(*_marks()).withColumn("grp", group(n, parts)))
+            if single:
+                each = F.explode(F.array(*(F.struct(F.lit(s).alias("slot"), F.col(p.head_column(c)).alias("val")) for c, s in single.items())))
+                if {x[1] for x in (*self.domain, *self.constant)} & set(single.values()):
+                    counted.append(seen.select("is_old", each.alias("x")).groupBy("x.slot", "x.val").agg(*_marks()))
+                for k, part in enumerate(p.parts):
+                    if (n, k) in self.meeting:
+                        rows = facts.select(p.head_key(part).alias("key"), "is_old", each.alias("x")).filter(F.col("x.slot").isin(*self.meeting[n, k]))
+                        levels.append(rows.groupBy(F.col("x.slot").alias("head_slot"), "key", F.col("x.val").alias("val")).agg(*_marks()).withColumn("grp", group(n, (k,))))
+            if self.in_head[n]:
+                cases = F.array(*(F.when(F.col(a) == F.col(b), F.lit(number)) for number, a, b in self.in_head[n]))
+                equal.append(seen.select("is_old", F.explode(F.array_compact(cases)).alias("number")).groupBy("number").agg(*_marks()))
+        none = F.lit(None).cast("long")
+        out = [union(hits).join(union(heads), ["grp", "key"], "left").groupBy("number").agg(*_sums(), F.count("*").alias("n"))]
+        if counted:
+            equal += joined(union(counted))
+        if equal:
+            out.append(union(x.select("number", "new", "old") for x in equal).groupBy("number").agg(*_sums()).select("number", "new", "old", none.alias("n")))
+        if levels:
+            wanted = F.broadcast(spark.createDataFrame([(k, a, b) for k, (a, b) in self.mixed.items()], "number int, slot int, head_slot int"))
+            met = table.join(union(levels), ["grp", "key", "val"]).join(wanted, ["slot", "head_slot"])
+            out.append(met.groupBy("number").agg(*_sums()).select("number", "new", "old", none.alias("n")))
+            first = len(self.refinements) + len(self.sizes)
+            self.slot_size = {slot: first + slot for slot, _ in self.mixed.values()}
+            sized = table.filter(F.col("slot").isin(*self.slot_size)).groupBy("slot").agg(F.count("*").alias("n"))
+            out.append(sized.select((F.col("slot") + first).alias("number"), none.alias("new"), none.alias("old"), "n"))
+        return union(out)
 
 
 def domain_sizes(domains: DataFrame) -> dict[tuple[str, int], int]:
@@ -282,4 +372,4 @@ def domain_sizes(domains: DataFrame) -> dict[tuple[str, int], int]:
     return {(r["rel"], r["pos"]): r["n"] for r in domains.groupBy("rel", "pos").agg(F.count("*").alias("n")).collect()}
 
 
-__all__ = ["Candidate", "Parent", "Seen", "admitted", "domain_sizes", "generalisations", "specialisations", "symmetric_specialisations"]
+__all__ = ["Candidate", "Count", "Level", "Parent", "Seen", "admitted", "domain_sizes", "generalisations", "specialisations", "symmetric_specialisations"]

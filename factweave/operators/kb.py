@@ -7,9 +7,6 @@ driver, everything else stays a plan.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable
 from functools import reduce
 
@@ -18,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import shared_dir
+
 
 class KbError(ValueError):
     """A name is unknown or taken, or an arity does not fit."""
@@ -32,14 +31,18 @@ def union(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(given or "file://" + os.path.join(tempfile.gettempdir(), f"factweave-{uuid.uuid4().hex}"))
+    """A reliable checkpoint in the shared folder; its files go when nothing refers to it any more, if the session cleans checkpoints."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager)
 
 
+def counted(frames: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows of several frames, in one job."""
+    if not frames:
+        return {}
+    return {r["rel"]: r["n"] for r in union(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("rel"), "n") for name, df in frames.items()).collect()}
+
+
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, name: str = "kb"):
         self.spark, self.name = spark, name
@@ -153,6 +156,18 @@ class KnowledgeBase:
         old = self.entailed.get(name)
         self.entailed[name] = found if old is None else old.unionByName(found).dropDuplicates()
 
+    def mark(self, name: str, found: DataFrame) -> None:
+        """Marks facts that are in the relation, each once, and are not marked yet."""
+        old = self.entailed.get(name)
+        self.entailed[name] = found if old is None else old.unionByName(found)
+
+    def marked(self, name: str) -> DataFrame:
+        """The relation with ``is_old``: whether a fact is entailed already."""
+        old = self.entailed.get(name)
+        if old is None:
+            return self[name].withColumn("is_old", F.lit(False))
+        return self[name].join(old.withColumn("_old", F.lit(True)), columns(self.arities[name]), "left").withColumn("is_old", F.col("_old").isNotNull()).drop("_old")
+
     def not_entailed(self, name: str) -> DataFrame:
         old = self.entailed.get(name)
         return self[name] if old is None else self[name].join(old, columns(self.arities[name]), "left_anti")

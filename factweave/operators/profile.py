@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import tarjan
-from .kb import KnowledgeBase, union
+from .kb import KnowledgeBase, cut_lineage, union
 
 
 def value_counts(kb: KnowledgeBase) -> DataFrame:
@@ -20,49 +20,61 @@ def sizes(kb: KnowledgeBase) -> DataFrame:
     return union(kb[n].agg(F.count("*").alias("total")).select(F.lit(n).alias("rel"), F.lit(kb.arity(n)).alias("arity"), "total") for n in kb.names)
 
 
-def promising_constants(kb: KnowledgeBase, coverage: float = 0.25, strict: bool = False) -> DataFrame:
-    """``rel, pos, val, n`` with ``n >= ceil(coverage * total)``, or ``n > floor(coverage * total)`` if strict."""
-    # one row for each relation: the catalogue bounds what is broadcast
-    found = value_counts(kb).join(F.broadcast(sizes(kb)), "rel")
+def promising_constants(kb: KnowledgeBase, coverage: float = 0.25, strict: bool = False, counts: DataFrame | None = None) -> DataFrame:
+    """``rel, pos, val, n`` with ``n >= ceil(coverage * total)``, or ``n > floor(coverage * total)`` if strict.
+
+    ``counts`` are the :func:`value_counts`, where somebody has them already; so below.
+    """
+    counts = value_counts(kb) if counts is None else counts
+    totals = counts.groupBy("rel", "pos").agg(F.sum("n").alias("total"))
+    # one row for each column of the catalogue is broadcast
+    found = counts.join(F.broadcast(totals), ["rel", "pos"])
     bar = F.col("total") * F.lit(coverage)
     return found.filter(F.col("n") > F.floor(bar) if strict else F.col("n") >= F.ceil(bar)).select("rel", "pos", "val", "n")
 
 
-def column_jaccard(kb: KnowledgeBase) -> DataFrame:
+def column_jaccard(kb: KnowledgeBase, counts: DataFrame | None = None) -> DataFrame:
     """``rel1, pos1, rel2, pos2, jaccard``: shared over united occurrences of values, for pairs of different columns in order.
 
-    Pairs without a common value are left out; theirs is 0.
+    Pairs without a common value are left out; theirs is 0.  A value meets itself in each pair of
+    columns that have it, so it adds no more rows than there are pairs in the catalogue.
     """
-    counts = value_counts(kb)
+    counts = value_counts(kb) if counts is None else counts
     totals = counts.groupBy("rel", "pos").agg(F.sum("n").alias("all"))
-    a = counts.select(F.struct("rel", "pos").alias("a"), "val", F.col("n").alias("n1"))
-    b = counts.select(F.struct("rel", "pos").alias("b"), "val", F.col("n").alias("n2"))
-    common = a.join(b, "val").filter("a < b").groupBy("a", "b").agg(F.sum(F.least("n1", "n2")).alias("common"))
+    columns = F.sort_array(F.collect_list(F.struct("rel", "pos", "n")))
+    pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.filter("x", lambda b, j: j > i), lambda b: F.struct(F.struct(a["rel"], a["pos"]).alias("a"), F.struct(b["rel"], b["pos"]).alias("b"), F.least(a["n"], b["n"]).alias("n")))))
+    # the columns of one value are one row, bounded by the catalogue
+    common = counts.groupBy("val").agg(columns.alias("x")).filter(F.size("x") > 1).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.n").alias("common"))
     t1 = totals.select(F.struct("rel", "pos").alias("a"), F.col("all").alias("t1"))
     t2 = totals.select(F.struct("rel", "pos").alias("b"), F.col("all").alias("t2"))
     out = common.join(F.broadcast(t1), "a").join(F.broadcast(t2), "b")  # one row for each column of the catalogue
     return out.select(F.col("a.rel").alias("rel1"), F.col("a.pos").alias("pos1"), F.col("b.rel").alias("rel2"), F.col("b.pos").alias("pos2"), (F.col("common") / (F.col("t1") + F.col("t2") - F.col("common"))).alias("jaccard"))
 
 
-def similar_columns(kb: KnowledgeBase, least: float = 0.1) -> DataFrame:
-    return column_jaccard(kb).filter(F.col("jaccard") >= least)
+def similar_columns(kb: KnowledgeBase, least: float = 0.1, counts: DataFrame | None = None) -> DataFrame:
+    return column_jaccard(kb, counts).filter(F.col("jaccard") >= least)
 
 
 def statistics(kb: KnowledgeBase, constant_coverage: float = 0.25, similarity: float = 0.1) -> DataFrame:
-    """One row: facts, functors, constants, constant substitutions (promising and all), column pairs (similar and all)."""
+    """One row: facts, functors, constants, constant substitutions (promising and all), column pairs (similar and all).
+
+    All of it follows from the counts of values, which are written once.
+    """
     n_columns = sum(kb.arities.values())
     pairs = n_columns * (n_columns - 1) // 2
+    counts = cut_lineage(value_counts(kb))
+    whole = counts.agg(F.coalesce(F.sum(F.when(F.col("pos") == 0, F.col("n"))), F.lit(0)).alias("facts"), F.count("*").alias("substitutions"))
     parts = [
-        sizes(kb).agg(F.sum("total").alias("facts"), F.count("*").alias("functors")),
-        kb.constants().agg(F.count("*").alias("constants")),
-        promising_constants(kb, constant_coverage, strict=True).agg(F.count("*").alias("promising_substitutions")),
-        kb.domains().agg(F.count("*").alias("substitutions")),
-        similar_columns(kb, similarity).agg(F.count("*").alias("similar_pairs")),
+        whole.select("facts", F.lit(len(kb.names)).cast("long").alias("functors"), "substitutions"),
+        counts.select("val").distinct().agg(F.count("*").alias("constants")),
+        promising_constants(kb, constant_coverage, True, counts).agg(F.count("*").alias("promising_substitutions")),
+        similar_columns(kb, similarity, counts).agg(F.count("*").alias("similar_pairs")),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)  # single rows
-    return out.withColumn("column_pairs", F.lit(pairs).cast("long"))
+    names = ["facts", "functors", "constants", "promising_substitutions", "substitutions", "similar_pairs"]
+    return out.select(*names, F.lit(pairs).cast("long").alias("column_pairs"))
 
 
 def relation_similarity(kb: KnowledgeBase) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import Eval, Metric, evaluation
 from ..plans.rule import Rule, start_rule
-from .candidates import Parent, Seen, admitted, domain_sizes, generalisations, specialisations
-from .evaluate import evaluate
+from .candidates import Level, Seen, admitted, domain_sizes, generalisations, specialisations
+from .evaluate import evaluate, scored
 from .kb import KnowledgeBase
-from .profile import promising_constants, similar_columns
+from .profile import promising_constants, similar_columns, value_counts
 
 
 @dataclass
@@ -46,63 +47,56 @@ class Miner:
 
     def __init__(self, kb: KnowledgeBase, config: MinerConfig | None = None, stop: Callable[[], bool] = lambda: False):
         self.kb, self.config, self.stop = kb, config or MinerConfig(), stop
-        self.domains = kb.domains().persist()
-        self.sizes = domain_sizes(self.domains)
-        self.totals = {r["rel"]: r["n"] for r in kb.facts().groupBy("rel").agg(F.count("*").alias("n")).collect()}
-        self.symbols = kb.constants().count()
+        self.lock = threading.Lock()
+        # one table of values by column serves everything that is needed of the knowledge base as a whole
+        self.values = value_counts(kb).persist()
+        self.domains = self.values.select("rel", "pos", "val")
+        self.sizes, self.totals = {}, {}
+        for r in self.values.groupBy("rel", "pos").agg(F.count("*").alias("different"), F.sum("n").alias("all")).collect():  # columns of the catalogue
+            self.sizes[(r["rel"], r["pos"])], self.totals[r["rel"]] = r["different"], r["all"]
+        self.symbols = self.values.select("val").distinct().count()
+        self.level = Level(kb, self.domains, self.sizes, self.symbols)
         self.constants: dict[tuple[str, int], list[str]] = {}
         # at most 1 / coverage constants for each column
-        for r in promising_constants(kb, self.config.constant_coverage, self.config.strict_constants).collect():
+        for r in promising_constants(kb, self.config.constant_coverage, self.config.strict_constants, self.values).collect():
             self.constants.setdefault((r["rel"], r["pos"]), []).append(r["val"])
         for values in self.constants.values():
             values.sort()
         self.similar = lambda a, b: True
         if self.config.column_similarity > 0:
-            found = {frozenset([(r["rel1"], r["pos1"]), (r["rel2"], r["pos2"])]) for r in similar_columns(kb, self.config.column_similarity).collect()}
+            found = {frozenset([(r["rel1"], r["pos1"]), (r["rel2"], r["pos2"])]) for r in similar_columns(kb, self.config.column_similarity, self.values).collect()}
             self.similar = lambda a, b: a == b or frozenset([a, b]) in found
         self.observed: list = []
         self.monitor = {"duplicate": 0, "invalid": 0, "tabu": 0, "low_coverage": 0, "evaluated": 0, "rounds": 0}
 
     def close(self) -> None:
-        self.domains.unpersist()
+        self.values.unpersist()
 
     def order(self, item: tuple[Rule, Eval]) -> tuple:
         """Better first: score, then shorter, then by text."""
         rule, e = item
         return (-e.value(self.config.metric), rule.length, str(rule))
 
-    def children(self, rule: Rule, parent: Eval, seen: Seen) -> list[tuple[Rule, Eval]]:
-        """Refinements that score better than their parent."""
+    def children(self, beams: list[tuple[Rule, Eval]], seen: Seen) -> list[tuple[Rule, Eval]]:
+        """Refinements of a whole level that score better than their parents; one job counts them all."""
         c = self.config
-        found = admitted(c.specialise(rule, self.kb.arities, self.constants, self.similar), seen)
-        tables = Parent(self.kb, rule, self.domains, self.sizes, self.symbols)
-        try:
+        work = [(rule, admitted(c.specialise(rule, self.kb.arities, self.constants, self.similar), seen)) for rule, _ in beams]
+        out = []
+        for (rule, parent), (_, found), counts in zip(beams, work, self.level.count(work), strict=True):
             total = self.totals.get(rule.head.relation, 0)
-            covered = tables.positives(found)
-            kept = []
-            for x, pos in zip(found, covered, strict=True):
-                if total and pos / total > c.fact_coverage:
-                    kept.append((x, pos))
-                else:
+            for x, n in zip(found, counts, strict=True):
+                if not total or n.new / total <= c.fact_coverage:
                     seen.covered_less += 1
                     seen.tabu.add(x.rule)
-            candidates = [x for x, _ in kept]
-            totals, old = tables.entailments(candidates), tables.already(candidates)
-        finally:
-            tables.release()
-        seen.evaluated += len(kept)
-        out = []
-        for (x, pos), all_, before in zip(kept, totals, old, strict=True):
-            e = evaluation(float(pos), all_ - before, x.rule.length, parent)
-            if e.value(c.metric) > parent.value(c.metric):
-                out.append((x.rule, e))
+                    continue
+                seen.evaluated += 1
+                out.append((x.rule, evaluation(float(n.new), n.all - n.old, x.rule.length, parent), parent))
         if c.generalise:
-            for r in generalisations(rule):
-                if not r.invalid():
-                    e = evaluate(self.kb, r, self.symbols)
-                    if e.value(c.metric) > parent.value(c.metric):
-                        out.append((r, e))
-        return out
+            wider = {str(r): (r, parent) for rule, parent in beams for r in generalisations(rule) if not r.invalid()}
+            for row in scored(self.kb, [r for r, _ in wider.values()]).collect() if wider else []:
+                r, parent = wider[row["rule"]]
+                out.append((r, evaluation(row["pos"], row["all"], r.length, parent), parent))
+        return [(r, e) for r, e, parent in out if e.value(c.metric) > parent.value(c.metric)]
 
     def find_rule(self, relation: str, seen: Seen) -> tuple[Rule, Eval] | None:
         """The best rule that a beam search meets, if it is useful."""
@@ -114,10 +108,9 @@ class Miner:
                 if best[1].useful:
                     return best
                 raise Interrupted
-            self.monitor["rounds"] += 1
-            level: list[tuple[Rule, Eval]] = []
-            for rule, e in beams:
-                level += self.children(rule, e, seen)
+            with self.lock:
+                self.monitor["rounds"] += 1
+            level = self.children(beams, seen)
             best_now = min(beams, key=self.order)
             if not level:
                 return best_now if best_now[1].useful else None
@@ -130,11 +123,10 @@ class Miner:
             beams = level
 
     def count(self, seen: Seen) -> None:
-        m = self.monitor
-        self.observed += seen.observed or []
-        m["duplicate"] += seen.duplicate
-        m["invalid"] += seen.invalid
-        m["low_coverage"] += seen.covered_less
-        m["evaluated"] += seen.evaluated
-        m["tabu"] += seen.tabu.hits
-        seen.duplicate = seen.invalid = seen.covered_less = seen.evaluated = seen.tabu.hits = 0
+        """Adds what a search met to the totals; searches run side by side."""
+        with self.lock:
+            self.observed += seen.observed or []
+            met = {"duplicate": seen.duplicate, "invalid": seen.invalid, "low_coverage": seen.covered_less, "evaluated": seen.evaluated, "tabu": seen.tabu.hits}
+            for name, n in met.items():
+                self.monitor[name] += n
+            seen.duplicate = seen.invalid = seen.covered_less = seen.evaluated = seen.tabu.hits = 0

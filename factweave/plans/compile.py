@@ -69,6 +69,16 @@ def ordered(atoms: list[Atom]) -> list[int]:
     return out
 
 
+def connected(body: tuple[Atom, ...]) -> list[tuple[int, ...]]:
+    """Numbers of the atoms of each part of a body; atoms that share a variable are in one part."""
+    parts: list[tuple[set[Var], list[int]]] = []
+    for i, atom in enumerate(body):
+        own = set(atom.variables())
+        near = [p for p in parts if p[0] & own]
+        parts = [p for p in parts if not p[0] & own] + [(own.union(*(v for v, _ in near)), sorted([i, *(j for _, at in near for j in at)]))]
+    return sorted(tuple(at) for _, at in parts)
+
+
 def body_bindings(kb: KnowledgeBase, body: tuple[Atom, ...], wanted: list[Var], frames: dict[int, DataFrame] | None = None) -> DataFrame:
     """The different bindings of ``wanted`` in a join of the atoms; ``frames`` replaces relations by atom.
 
@@ -133,16 +143,28 @@ class RulePlan:
     def body(self, frames: dict[int, DataFrame] | None = None) -> DataFrame:
         return body_bindings(self.kb, self.rule.body, self.shared, frames)
 
+    def parts(self) -> list[tuple[DataFrame, list[Var]]]:
+        """The different bindings of each part of the body with the head variables that they bind.
+
+        Parts have no variable in common, so the body's bindings are their product, which is never made to count it.
+        """
+        out = []
+        for at in connected(self.rule.body):
+            atoms = tuple(self.rule.body[i] for i in at)
+            own = {v for a in atoms for v in a.variables()}
+            shared = [v for v in self.shared if v in own]
+            out.append((body_bindings(self.kb, atoms, shared), shared))
+        return out
+
     def positives(self, frame: DataFrame | None = None) -> DataFrame:
         """Facts of the head's relation that the rule entails."""
         head = selected(self.kb, self.rule.head, frame)
-        if not self.rule.body:
-            return head
-        body = self.body()
-        if not self.shared:
-            return head.join(F.broadcast(body.limit(1).withColumnRenamed("one", "_one")), F.lit(True), "left_semi")
-        on = [F.col(f"c{self.rule.head.args.index(v)}") == F.col(name_of(v)) for v in self.shared]
-        return head.join(body, on, "left_semi")
+        for part, shared in self.parts():
+            if shared:
+                head = head.join(part, [F.col(f"c{self.rule.head.args.index(v)}") == F.col(name_of(v)) for v in shared], "left_semi")
+            else:
+                head = head.join(F.broadcast(part.limit(1).withColumnRenamed("one", "_one")), F.lit(True), "left_semi")
+        return head
 
     def derived(self, symbols: DataFrame | None = None, frames: dict[int, DataFrame] | None = None) -> DataFrame:
         """All head tuples that the rule entails, with every symbol in the free places.
@@ -170,16 +192,16 @@ class RulePlan:
         return self.derived(symbols).join(self.kb[self.rule.head.relation], on, "left_anti")
 
     def counts(self) -> DataFrame:
-        """One row: ``new`` and ``old`` (entailed facts, not yet and already entailed), ``bodies``."""
-        pos = self.positives()
-        old = self.kb.entailed.get(self.rule.head.relation)
-        if old is None:
-            counted = pos.agg(F.count("*").alias("new"), F.lit(0).cast("long").alias("old"))
-        else:
-            marked = pos.join(old.withColumn("_old", F.lit(1)), columns(self.rule.head.arity), "left")
-            counted = marked.agg(F.count_if(F.col("_old").isNull()).alias("new"), F.count("_old").alias("old"))
-        bodies = self.body().agg(F.count("*").alias("bodies")) if self.rule.body else self.kb.spark.range(1).select(F.lit(1).cast("long").alias("bodies"))
-        return counted.crossJoin(bodies)  # one row each
+        """One row: ``new`` and ``old`` (entailed facts, not yet and already entailed), ``bodies`` (a double: it may be a huge product)."""
+        out = self.positives(self.kb.marked(self.rule.head.relation)).agg(F.count_if(~F.col("is_old")).alias("new"), F.count_if("is_old").alias("old"))
+        names = []
+        for i, (part, _) in enumerate(self.parts()):
+            names.append(f"_n{i}")
+            out = out.crossJoin(part.agg(F.count("*").cast("double").alias(f"_n{i}")))  # one row each
+        product = F.lit(1.0)
+        for n in names:
+            product = product * F.col(n)
+        return out.select("new", "old", product.alias("bodies"))
 
     def grounded(self) -> DataFrame:
         """The least body facts for each newly entailed head fact: head columns and ``b0 .. bm``, arrays of arguments."""

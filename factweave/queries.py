@@ -361,14 +361,11 @@ def supplementary_constants(spark, sf_dir):
 
 def _refined(kb: KnowledgeBase, rule: str, case: int, constants=None):
     """Counts of all admitted refinements of one kind that entail anything."""
-    spark, r = kb.spark, parse_rule(rule)
+    r = parse_rule(rule)
     domains = kb.domains()
-    sizes = cand.domain_sizes(domains)
     found = [c for c in cand.admitted(cand.specialisations(r, kb.arities, constants or {}), cand.Seen()) if c.step.case == case]
-    tables = cand.Parent(kb, r, domains, sizes, kb.constants().count())
-    pos, total = tables.positives(found), tables.entailments(found)
-    tables.release()
-    return spark.createDataFrame([(str(c.rule), float(p), float(t)) for c, p, t in zip(found, pos, total, strict=True) if p], "rule string, pos double, total double")
+    counts = cand.Level(kb, domains, cand.domain_sizes(domains), kb.constants().count()).count([(r, found)])[0]
+    return kb.spark.createDataFrame([(str(c.rule), float(n.new), n.all) for c, n in zip(found, counts, strict=True) if n.new], "rule string, pos double, total double")
 
 
 def _mates_kb(spark, sf_dir):
