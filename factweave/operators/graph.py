@@ -14,18 +14,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import done_with
 from .kb import cut_lineage
 
 CORE_EDGES = 500_000
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
-    """Edges whose ends both have ways in and out, repeatedly."""
+    """Edges whose ends both have ways in and out, repeatedly; tables of earlier rounds are deleted."""
     now = cut_lineage(edges.select("src", "dst").distinct())
     count = now.count()
     while count:
-        now = cut_lineage(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        left = now.count()
+        after = cut_lineage(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        left = after.count()
+        done_with(now)
+        now = after
         if left == count:
             break
         count = left
@@ -125,6 +128,7 @@ def _spread(start: DataFrame, steps: DataFrame) -> DataFrame:
         arrived = now.join(steps.withColumnRenamed("a", "node"), "node").select(F.col("b").alias("node"), "colour")
         after = cut_lineage(now.unionByName(arrived).groupBy("node").agg(F.min("colour").alias("colour")))
         changed = after.join(now, ["node", "colour"], "left_anti").limit(1).count()
+        done_with(now)
         now = after
         if not changed:
             return now

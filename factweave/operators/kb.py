@@ -7,6 +7,7 @@ driver, everything else stays a plan.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import shared_dir
+from ..sources.shared import written
 
 
 class KbError(ValueError):
@@ -30,10 +31,9 @@ def union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """A reliable checkpoint in the shared folder; its files go when nothing refers to it any more, if the session cleans checkpoints."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A table in the shared folder instead of a plan; see :func:`sources.shared.written`."""
+    return written(df)
 
 
 def counted(frames: dict[str, DataFrame]) -> dict[str, int]:
@@ -237,24 +237,28 @@ class NameMap:
     def __init__(self, names: Iterable[str] = ()):
         self.to_num: dict[str, int] = {}
         self.to_name: dict[int, str] = {}
+        self.freed: list[int] = []  # a heap of numbers that were given and came back
         for n in names:
             self.map(n)
 
     def map(self, name: str) -> int:
         if name not in self.to_num:
-            num = take_number(self.to_name)
+            num = heapq.heappop(self.freed) if self.freed else len(self.to_num) + 1
             self.to_num[name], self.to_name[num] = num, name
         return self.to_num[name]
 
     def unmap(self, name: str) -> int:
         """The number that becomes free, 0 if the name is unknown."""
         num = self.to_num.pop(name, 0)
-        self.to_name.pop(num, None)
+        if num:
+            del self.to_name[num]
+            heapq.heappush(self.freed, num)
         return num
 
     def unmap_number(self, num: int) -> str | None:
-        name = self.to_name.pop(num, None)
-        self.to_num.pop(name, None)
+        name = self.to_name.get(num)
+        if name is not None:
+            self.unmap(name)
         return name
 
     def __len__(self) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -99,18 +100,25 @@ def connectivity(kb: KnowledgeBase, steps: int = 10) -> list[tuple[float, list[l
     return [(i / steps, components_at(kb.names, pairs, i / steps)) for i in range(steps + 1)]
 
 
-def split(kb: KnowledgeBase, parts: int, steps: int = 10) -> list[list[str]]:
-    """Groups of relations at the first threshold that leaves ``parts`` groups at least."""
-    for _, groups in connectivity(kb, steps):
-        if len(groups) >= parts:
-            return groups
-    return [[n] for n in kb.names]
+def pivot(found: list[tuple[float, list[list[str]]]]) -> int:
+    """Where the number of groups first grows by less than it did one threshold before; the last threshold if it never does."""
+    grown = [len(b) - len(a) for (_, a), (_, b) in zip(found, found[1:], strict=False)]
+    return next((i for i, (before, now) in enumerate(zip([0, *grown], grown, strict=False)) if now < before), len(found) - 1)
 
 
-def write_split(kb: KnowledgeBase, parts: int, path: str, steps: int = 10) -> list[list[str]]:
-    """The groups of :func:`split`, each written as fact lines below ``path``."""
+def split(kb: KnowledgeBase, parts: int | None = None, steps: int = 10) -> list[list[str]]:
+    """Groups of relations at the pivot, or at the first threshold that leaves ``parts`` groups at least; relations without a group are one each."""
+    found = connectivity(kb, steps)
+    groups = found[pivot(found)][1] if parts is None else next((g for _, g in found if len(g) >= parts), [])
+    return groups + [[n] for n in kb.names if n not in {x for g in groups for x in g}]
+
+
+def write_split(kb: KnowledgeBase, parts: int | None, path: str, steps: int = 10) -> list[list[str]]:
+    """The groups of :func:`split`, each written as fact lines below ``path``, and the groups of every threshold as JSON."""
     groups = split(kb, parts, steps)
     for i, names in enumerate(groups):
         rows = kb.facts().filter(F.col("rel").isin(*names))
         rows.select(F.concat_ws("\t", F.array("rel"), F.col("args")).alias("value")).write.mode("overwrite").text(f"{path}/split-{i}")
+    lines = [(json.dumps({"threshold": bar, "groups": g}),) for bar, g in connectivity(kb, steps)]
+    kb.spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/connectivity")
     return groups

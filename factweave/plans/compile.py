@@ -19,6 +19,14 @@ from ..operators.kb import KnowledgeBase, columns
 from .rule import Atom, Const, Rule, Var
 
 
+#: Tuples that a rule with free places in its head may be asked to write out.
+MOST_TUPLES = 10**11
+
+
+class TooManyTuples(ValueError):
+    """A rule with free places entails more tuples than anybody should write out."""
+
+
 def name_of(var: Var) -> str:
     return f"v{var.id}"
 
@@ -171,9 +179,14 @@ class RulePlan:
 
         Its size is that of the body times a power of the number of symbols; callers
         materialise it for accepted rules only, which entail more facts than they miss.
+        Given rules may entail more: beyond MOST_TUPLES that is an error, found by counting first.
         """
         out = self.body(frames)
         symbols = self.kb.constants() if symbols is None else symbols
+        if self.free:
+            n = out.agg(F.count("*").alias("bodies")).crossJoin(symbols.agg(F.count("*").alias("symbols"))).first()  # one row each
+            if n["bodies"] * power(n["symbols"], self.free) > MOST_TUPLES:
+                raise TooManyTuples(f"{self.rule} entails {n['bodies']} * {n['symbols']}^{self.free} tuples")
         shared, extra, only = self.shared, [], {}
         for i, a in enumerate(self.rule.head.args):
             if a is None:

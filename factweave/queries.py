@@ -17,8 +17,12 @@ from .operators import compress as comp
 from .operators import datagen, evidence, graph, hints, profile, recover
 from .operators.evaluate import coverage, scored
 from .operators.kb import KnowledgeBase
+from .operators.search import MinerConfig
 from .plans.compile import RulePlan, body_bindings, selected
 from .plans.rule import Rule, Var, parse_rule
+from .sources import facts, legacy, store
+from .sources.shared import scratch
+from .streaming.intake import fact_stream, intake
 
 #: Relation: source table and the expressions of its columns; both engines read them.
 RELATIONS: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -526,6 +530,169 @@ def compress_summary(spark, sf_dir):
     return spark.createDataFrame([row], "facts long, rule_length long, necessary long, counterexamples long, feedback long, compression_percent double")
 
 
+# -- the search for rules ----------------------------------------------------------------
+
+_FACT_SQL = f"@, facts(rel, a, b, c) AS ({_FACTS}) SELECT rel, concat_ws(',', a, b, c) AS fact FROM facts"
+
+
+def _facts(kb: KnowledgeBase) -> DataFrame:
+    return kb.facts().select("rel", F.concat_ws(",", "args").alias("fact"))
+
+
+def _mined(spark, sf_dir) -> comp.CompressedKb:
+    """All relations of the tables, searched with the default settings."""
+    return comp.compress(tables_kb(spark, sf_dir).persist(), MinerConfig())
+
+
+@query("mine_tables")
+def mine_tables(spark, sf_dir):
+    """The rules that the search finds, with their scores over all facts, and the sizes of the parts."""
+    result = _mined(spark, sf_dir)
+    sizes = [(k, float(v)) for k, v in result.sizes().items()]
+    out = spark.createDataFrame(sizes, "item string, value double")
+    if result.rules:
+        found = scored(tables_kb(spark, sf_dir), result.rules)
+        out = out.unionByName(found.select(F.col("rule").alias("item"), F.col("pos").alias("value")))
+    return out
+
+
+@query("mine_tables_recovered", _FACT_SQL)
+def mine_tables_recovered(spark, sf_dir):
+    """What comes back from the necessary facts, the mined rules and the counterexamples: every fact of the tables."""
+    return _facts(_mined(spark, sf_dir).recover())
+
+
+@query("mine_family")
+def mine_family(spark, sf_dir):
+    """Rules of generated families, by the capacity and by the ratio."""
+    rows = []
+    for size, families in (("tiny", 100), ("simple", 20)):
+        for metric in (scores.Metric.CAPACITY, scores.Metric.RATIO):
+            kb = datagen.family_kb(spark, size, families).persist()
+            result = comp.compress(kb, MinerConfig(beam=5, stop_ratio=1.0, metric=metric))
+            kb.unpersist()
+            rows += [(size, metric.value, str(r), float(result.sizes()["compression_percent"])) for r in result.rules]
+    return spark.createDataFrame(rows, "size string, metric string, rule string, compression_percent double")
+
+
+_STEPS = ("cust_region(?,?):-", "cust_region(X0,?):-cust_nation(X0,?)", "cust_region(X0,?):-cust_nation(X0,X1),nation_region(X1,?)", "cust_region(X0,X1):-cust_nation(X0,X2),nation_region(X2,X1)")
+
+
+@query("rule_chained_gain", """@, j AS (SELECT a.c0, b.c1 FROM cust_nation a JOIN nation_region b ON a.c1 = b.c0), e AS (
+        SELECT 0 AS step, (SELECT CAST(count(*) AS DOUBLE) FROM cust_region) AS pos, pow((SELECT n FROM sz), 2) AS total
+        UNION ALL SELECT 1, (SELECT count(*) FROM cust_region WHERE c0 IN (SELECT c0 FROM cust_nation)), (SELECT count(DISTINCT c0) FROM cust_nation) * (SELECT n FROM sz)
+        UNION ALL SELECT 2, (SELECT count(*) FROM cust_region WHERE c0 IN (SELECT c0 FROM j)), (SELECT count(DISTINCT c0) FROM j) * (SELECT n FROM sz)
+        UNION ALL SELECT 3, (SELECT count(*) FROM cust_region WHERE (c0, c1) IN (SELECT c0, c1 FROM j)), (SELECT count(*) FROM (SELECT DISTINCT c0, c1 FROM j))
+    ), g AS (SELECT step, pos, total, pos * (ln(pos / total) - coalesce(lag(ln(pos / total)) OVER (ORDER BY step), 0)) AS gain FROM e)
+    SELECT CAST(step AS INTEGER) AS step, pos, total, round(gain, 4) AS gain, round(sum(gain) OVER (ORDER BY step), 4) AS cumulated FROM g""")
+def rule_chained_gain(spark, sf_dir):
+    """The gain of each refinement that leads to a rule, and their sum."""
+    from .plans.rule import construction, start_rule
+
+    kb = tables_kb(spark, sf_dir)
+    rule = parse_rule(_STEPS[-1])
+    chain = [start_rule("cust_region", 2)]
+    for step in construction(rule):
+        chain.append(step.apply(chain[-1]))
+    found = {r["rule"]: r for r in scored(kb, chain).collect()}
+    rows, parent = [], None
+    for i, r in enumerate(chain):
+        parent = scores.evaluation(found[str(r)]["pos"], found[str(r)]["all"], r.length, parent)
+        rows.append((i, parent.pos, parent.all, round(parent.step, 4), round(parent.gain, 4)))
+    return spark.createDataFrame(rows, "step int, pos double, total double, gain double, cumulated double")
+
+
+@query("recovered_facts", _FACT_SQL)
+def recovered_facts(spark, sf_dir):
+    """The facts that come back after compression by given rules."""
+    return _facts(comp.compress_with(tables_kb(spark, sf_dir).persist(), [*_LIST, _PEER]).recover())
+
+
+_RING = """ring AS (SELECT c0 AS src, coalesce(lead(c0) OVER (PARTITION BY c1 ORDER BY c0), first_value(c0) OVER (PARTITION BY c1 ORDER BY c0)) AS dst FROM supp_nation
+        UNION SELECT c1, c0 FROM supp_nation)"""
+
+
+@query("graph_scc_rings", f"@, {_RING}, reach(a, b) AS (SELECT src, dst FROM ring UNION SELECT reach.a, ring.dst FROM reach JOIN ring ON reach.b = ring.src) SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+def graph_scc_rings(spark, sf_dir):
+    """Components of rings of suppliers, one for each nation, which leads into its ring but not back."""
+    return graph.components(_rings(spark, sf_dir))
+
+
+def _rings(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n = tables_kb(spark, sf_dir, ("supp_nation",))["supp_nation"]
+    own = Window.partitionBy("c1").orderBy("c0")
+    ring = n.select(F.col("c0").alias("src"), F.coalesce(F.lead("c0").over(own), F.first("c0").over(own)).alias("dst"))
+    return ring.unionByName(n.select(F.col("c1").alias("src"), F.col("c0").alias("dst"))).distinct()
+
+
+@query("graph_feedback_rings", "@ SELECT min(c0) AS component, CAST(1 AS BIGINT) AS chosen FROM supp_nation GROUP BY c1")
+def graph_feedback_rings(spark, sf_dir):
+    """One supplier of each ring is enough to cut it."""
+    return graph.feedback_set(_rings(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("chosen"))
+
+
+# -- sources and sinks: what was written comes back --------------------------------------
+
+
+@query("facts_text_round_trip", _FACT_SQL)
+def facts_text_round_trip(spark, sf_dir):
+    path = scratch(spark, "facts-text")
+    facts.write_facts(tables_kb(spark, sf_dir), path)
+    return _facts(facts.read_facts(spark, path))
+
+
+@query("kb_folder_round_trip", _FACT_SQL)
+def kb_folder_round_trip(spark, sf_dir):
+    """With the dictionary, against which the symbols are checked."""
+    path = scratch(spark, "kb-folder")
+    store.write_kb(tables_kb(spark, sf_dir).persist(), path, dictionary=True)
+    return _facts(store.read_kb(spark, path, check=spark.read.parquet(f"{path}/dictionary")))
+
+
+@query("kb_binary_round_trip", _FACT_SQL)
+def kb_binary_round_trip(spark, sf_dir):
+    path = scratch(spark, "kb-binary")
+    legacy.write_folder(tables_kb(spark, sf_dir).persist(), path)
+    return _facts(legacy.read_folder(spark, path))
+
+
+def _compressed(spark, sf_dir) -> comp.CompressedKb:
+    return comp.compress_with(tables_kb(spark, sf_dir).persist(), [*_LIST, _PEER])
+
+
+@query("bundle_recovered", _FACT_SQL)
+def bundle_recovered(spark, sf_dir):
+    path = scratch(spark, "bundle")
+    store.write_bundle(_compressed(spark, sf_dir), path)
+    return _facts(store.read_bundle(spark, path).recover())
+
+
+@query("binary_compressed_recovered", _FACT_SQL)
+def binary_compressed_recovered(spark, sf_dir):
+    path = scratch(spark, "compressed-binary")
+    legacy.write_compressed(_compressed(spark, sf_dir), path)
+    return _facts(legacy.read_compressed(spark, path, ARITIES).recover())
+
+
+@query("dictionary_round_trip", f"@ SELECT val AS name, dense_rank() OVER (ORDER BY val) AS num FROM (SELECT val FROM sigma UNION {_NAMES})")
+def dictionary_round_trip(spark, sf_dir):
+    path = scratch(spark, "dictionary")
+    store.write_dictionary(tables_kb(spark, sf_dir).numeration(), path, rows=1000)
+    return spark.read.parquet(path)
+
+
+@query("facts_stream", _FACT_SQL)
+def facts_stream(spark, sf_dir):
+    """Facts that arrive as a stream of text files, run twice over to show that they are taken once."""
+    source, target, state = (scratch(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    facts.write_facts(tables_kb(spark, sf_dir), source)
+    for run in (0, 1):
+        intake(fact_stream(spark, source), target, f"{state}/{run}").awaitTermination()
+    return spark.read.schema("args array<string>, rel string").parquet(target).select("rel", F.concat_ws(",", "args").alias("fact"))
+
+
 @query("family_facts", """
     SELECT * FROM (VALUES ('aunt', CAST(600 AS BIGINT)), ('brother', 1200), ('father', 800), ('gender', 1400), ('mother', 1000), ('parent', 1800), ('sibling', 2400), ('sister', 1200), ('uncle', 600)) t(rel, facts)
 """)

@@ -36,6 +36,16 @@ class Registry:
             raise KbError(f"no data set {name}")
         return self.sets[name]
 
+    @classmethod
+    def from_file(cls, path: str) -> Registry:
+        """Data sets from a file of lines ``name<TAB>path<TAB>short name``, the last optional."""
+        out = cls()
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                if line.strip():
+                    out.add(*line.rstrip("\n").split("\t"))
+        return out
+
     def load(self, spark: SparkSession, name: str) -> KnowledgeBase:
         d = self[name]
         return read_facts(spark, d.path, d.name)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.kb import KnowledgeBase, columns
+from .shared import scratch
 
 
 def read_fact_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -15,17 +16,40 @@ def read_fact_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_facts(spark: SparkSession, path: str, name: str = "kb") -> KnowledgeBase:
-    """A knowledge base from fact lines.  Lines of one relation that differ in arity are an error."""
-    lines = read_fact_lines(spark, path)
+    """A knowledge base from fact lines.  Lines of one relation that differ in arity are an error.
+
+    The text is read once: its different facts are written by relation, and a relation reads its own folder.
+    """
+    held = scratch(spark, "facts")
+    read_fact_lines(spark, path).distinct().withColumn("folder", F.col("rel")).write.partitionBy("folder").parquet(held)
+    table = spark.read.schema("rel string, args array<string>, folder string").parquet(held)
     # one row for each relation of the catalogue
-    found = lines.groupBy("rel").agg(F.min(F.size("args")).alias("least"), F.max(F.size("args")).alias("most")).collect()
+    found = table.groupBy("rel").agg(F.min(F.size("args")).alias("least"), F.max(F.size("args")).alias("most")).collect()
     kb = KnowledgeBase(spark, name)
     for r in sorted(found, key=lambda r: r["rel"]):
         if r["least"] != r["most"] or r["least"] < 1:
             raise ValueError(f"facts of {r['rel']} have {r['least']} to {r['most']} arguments")
-        kb.attach(r["rel"], lines.filter(F.col("rel") == r["rel"]).select(*(F.col("args")[i].alias(c) for i, c in enumerate(columns(r["most"])))))
+        own = table.filter(F.col("folder") == r["rel"]).select(*(F.col("args")[i].alias(c) for i, c in enumerate(columns(r["most"]))))
+        kb.attach(r["rel"], own, known_set=True)
     return kb
 
 
+def fact_lines(kb: KnowledgeBase) -> DataFrame:
+    return kb.facts().select(F.concat_ws("\t", F.array("rel"), F.col("args")).alias("value"))
+
+
 def write_facts(kb: KnowledgeBase, path: str) -> None:
-    kb.facts().select(F.concat_ws("\t", F.array("rel"), F.col("args")).alias("value")).write.text(path)
+    fact_lines(kb).write.text(path)
+
+
+def write_result(result, path: str) -> None:
+    """A compressed knowledge base as text: rules, then fact lines of the necessary part and of the counterexamples, and symbols."""
+    spark = result.necessary.spark
+    spark.createDataFrame([(str(r),) for r in result.rules], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/rules")
+    write_facts(result.necessary, f"{path}/necessary")
+    wrong = KnowledgeBase(spark, "counterexamples")
+    for name, df in result.counterexamples.items():
+        wrong.attach(name, df, known_set=True)
+    if wrong.names:
+        write_facts(wrong, f"{path}/counterexamples")
+    result.supplementary.select(F.col("val").alias("value")).write.text(f"{path}/supplementary")

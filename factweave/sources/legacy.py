@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compress import CompressedKb
-from ..operators.kb import KbError, KnowledgeBase, columns
+from ..operators.kb import KbError, KnowledgeBase, columns, counted, cut_lineage, numbered
 from ..plans.rule import parse_rule
 
 _REL = re.compile(r"(?P<name>.+)_(?P<arity>\d+)_(?P<rows>\d+)\.rel\Z")
@@ -69,7 +70,7 @@ def _named(kb: KnowledgeBase, numbers: DataFrame, names: DataFrame, check: bool)
 
 def _files(spark: SparkSession, folder: str, glob: str) -> list[str]:
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path")
-    return sorted(r["path"] for r in found.collect())  # names of relation files
+    return sorted(unquote(r["path"]) for r in found.collect())  # names of relation files
 
 
 def read_folder(spark: SparkSession, folder: str, name: str = "kb", check: bool = True) -> KnowledgeBase:
@@ -90,20 +91,64 @@ def read_compressed(spark: SparkSession, folder: str, arities: dict[str, int], c
     rules = [parse_rule(r["value"]) for r in spark.read.text(f"{folder}/rules.hyp").collect() if r["value"].strip()]
     cst = _files(spark, folder, "supplementary.cst")
     more = _named(kept, _numbers(spark, cst[0], 1), names, check).select(F.col("c0").alias("val")) if cst else spark.createDataFrame([], "val string")
-    return CompressedKb(kept, rules, kept, wrong, more)
+    return CompressedKb(None, rules, kept, wrong, more)
 
 
-def write_folder(kb: KnowledgeBase, folder: str) -> None:
-    """Maps and relation files of a small knowledge base; one file per relation, as the format asks."""
-    from pathlib import Path
+def _blocks(numbers: DataFrame) -> DataFrame:
+    """Rows of numbers as blocks of bytes."""
 
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
-    numbers = kb.numeration().persist()
-    with (out / "map1.tsv").open("w", encoding="utf-8") as f:
-        f.writelines(f"{r['name']}\t{r['num']:x}\n" for r in numbers.orderBy("num").toLocalIterator())
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"content": [f.to_numpy("<i4").tobytes()]})
+
+    return numbers.mapInPandas(pack, "content binary")
+
+
+def _write_file(spark: SparkSession, path: str, blocks: Iterator[bytes]) -> None:
+    """One file in any file system that Spark knows, block by block: the driver holds one block at a time."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        for block in blocks:
+            out.write(bytearray(block))
+    finally:
+        out.close()
+
+
+def _write_numbers(spark: SparkSession, path: str, numbers: DataFrame) -> None:
+    _write_file(spark, path, (r["content"] for r in _blocks(numbers).toLocalIterator()))
+
+
+def _write_map(numbers: DataFrame, folder: str) -> None:
+    rows = numbers.select(F.concat_ws("\t", "name", F.lower(F.hex("num"))).alias("line"), F.spark_partition_id().alias("part"))
+    lines = rows.groupBy("part").agg(F.concat(F.array_join(F.collect_list("line"), "\n"), F.lit("\n")).alias("text"))
+    _write_file(numbers.sparkSession, f"{folder}/map1.tsv", (r["text"].encode() for r in lines.toLocalIterator()))
+
+
+def write_folder(kb: KnowledgeBase, folder: str, numbers: DataFrame | None = None) -> None:
+    """Maps and relation files.  The format asks for one file for each relation, so files are written one after the other."""
+    numbers = cut_lineage(kb.numeration()) if numbers is None else numbers
+    _write_map(numbers, folder)
+    rows = counted(kb.frames)
     for name in kb.names:
-        rows = [list(r) for r in kb.encoded(name, numbers).toLocalIterator()]
-        if rows:
-            (out / file_name(name, kb.arity(name), len(rows))).write_bytes(encode_ints(x for r in rows for x in r))
-    numbers.unpersist()
+        if rows[name]:
+            _write_numbers(kb.spark, f"{folder}/{file_name(name, kb.arity(name), rows[name])}", kb.encoded(name, numbers))
+
+
+def write_compressed(result: CompressedKb, folder: str) -> None:
+    """A compressed knowledge base in the binary format; parts that are empty have no file."""
+    kept, spark = result.necessary, result.necessary.spark
+    names = result.symbols().select(F.col("val").alias("name")).unionByName(spark.createDataFrame([(n,) for n in kept.names], "name string")).distinct()
+    numbers = cut_lineage(numbered(names, "name", "num"))
+    write_folder(kept, folder, numbers)
+    if result.rules:
+        _write_file(spark, f"{folder}/rules.hyp", [f"{r}\n".encode() for r in result.rules])
+    wrong = KnowledgeBase(spark, "counterexamples")
+    for name, df in result.counterexamples.items():
+        wrong.attach(name, df, known_set=True)
+    for name, n in counted(wrong.frames).items():
+        if n:
+            _write_numbers(spark, f"{folder}/{name}.ceg", wrong.encoded(name, numbers))
+    more = KnowledgeBase(spark).attach("supplementary", result.supplementary.select("val"), known_set=True)
+    if counted(more.frames)["supplementary"]:
+        _write_numbers(spark, f"{folder}/supplementary.cst", more.encoded("supplementary", numbers))

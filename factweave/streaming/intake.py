@@ -24,11 +24,14 @@ def intake(facts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     spark = facts.sparkSession
 
     def add(batch: DataFrame, _: int) -> None:
-        new = batch.distinct()
+        new = batch.distinct().persist()
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            held = spark.read.schema("args array<string>, rel string").parquet(target)
-            new = new.join(held, ["rel", "args"], "left_anti")
-        new.write.mode("append").partitionBy("rel").parquet(target)
+            met = [r["rel"] for r in new.select("rel").distinct().collect()]  # relations of the catalogue: others are not read
+            held = spark.read.schema("args array<string>, rel string").parquet(target).filter(F.col("rel").isin(*met))
+            new.join(held, ["rel", "args"], "left_anti").write.mode("append").partitionBy("rel").parquet(target)
+        else:
+            new.write.mode("append").partitionBy("rel").parquet(target)
+        new.unpersist()
 
     return facts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

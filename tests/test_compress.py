@@ -8,7 +8,7 @@ from factweave.functions.scores import Eval, Metric, evaluation
 from factweave.operators import candidates as cand
 from factweave.operators import compress, datagen, evidence, graph, hints, recover
 from factweave.operators.evaluate import scored
-from factweave.operators.kb import KnowledgeBase
+from factweave.operators.kb import KbError, KnowledgeBase
 from factweave.operators.search import Miner, MinerConfig
 from factweave.plans.rule import parse_rule
 from factweave.sources import store
@@ -73,6 +73,7 @@ def test_components_by_colouring_equal_tarjan(spark):
     assert graph.acyclic(left) and not graph.acyclic(df)
 
 
+# Small cases of each kind of rule and what its closure must be.
 RECOVERY = [
     ({"h": ["a b"]}, ["h(?,?):-"], {"h": ["a a", "b b", "c c"]}, "d", {"h": {(x, y) for x in "abcd" for y in "abcd"} - {("a", "a"), ("b", "b"), ("c", "c")}}),
     ({"h": ["a b"]}, ["h(X,X):-"], {"h": ["b b"]}, "c", {"h": {("a", "b"), ("a", "a"), ("c", "c")}}),
@@ -104,6 +105,66 @@ def test_given_rules_and_bundle(spark, tmp_path):
     store.write_bundle(result, str(tmp_path / "b"))
     back = store.read_bundle(spark, str(tmp_path / "b"), kb)
     assert back.valid() and [str(r) for r in back.rules] == [str(r) for r in result.rules]
+    alone = store.read_bundle(spark, str(tmp_path / "b"))
+    assert alone.sizes() == sizes and recover.same(alone.recover(), kb)
+    with pytest.raises(KbError):
+        alone.valid()
+    assert rows(alone.feedback) == rows(result.feedback) and rows(alone.edges) == rows(result.edges)
+    store.write_graph(result.edges, str(tmp_path / "g"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "g" / "edges")).count() == result.edges.count()
+
+
+def test_binary_format_of_a_compressed_base(spark, tmp_path):
+    from factweave.sources import legacy
+
+    kb = kb_of(spark, FAMILY)
+    result = compress.compress_with(kb, ["parent(X,Y):-father(X,Y)", "grandParent(X,Z):-parent(X,Y),parent(Y,Z)"])
+    legacy.write_compressed(result, str(tmp_path / "c"))
+    back = legacy.read_compressed(spark, str(tmp_path / "c"), kb.arities)
+    assert recover.same(back.recover(), kb) and [str(r) for r in back.rules] == [str(r) for r in result.rules]
+    assert {n: rows(d) for n, d in back.counterexamples.items()} == {n: rows(d) for n, d in result.counterexamples.items()}
+
+
+def test_hypothesis_and_counterexamples_change(spark):
+    c = compress.compress_with(kb_of(spark, FAMILY), ["parent(X,Y):-father(X,Y)"])
+    assert c.has_rule("parent(A,B):-father(A,B)") and not c.add_rule("parent(A,B):-father(A,B)") and c.add_rule("father(X,Y):-parent(X,Y)")
+    assert c.remove_rule("father(X,Y):-parent(X,Y)") and not c.remove_rule("father(X,Y):-parent(X,Y)") and len(c.rules) == 1
+    before = set(rows(c.counterexamples["parent"]))
+    c.add_counterexamples("parent", [("x", "y")])
+    assert set(rows(c.counterexamples["parent"])) == before | {("x", "y")}
+    assert dict((r[:2], r[2]) for r in rows(c.has_counterexamples("parent", [("x", "y"), ("p", "q")]))) == {("x", "y"): True, ("p", "q"): False}
+    c.remove_counterexamples("parent", [("x", "y")])
+    assert set(rows(c.counterexamples["parent"])) == before
+
+
+def test_parts_of_a_body_are_not_multiplied(spark):
+    """The rule's body has a million bindings; they are counted, not made."""
+    kb = KnowledgeBase(spark)
+    for name in ("left", "right"):
+        kb.attach(name, spark.range(1000).selectExpr("'v' || id", f"'{name}' || id"))
+    kb.attach_rows("both", [("left1", "right2"), ("left3", "right9999")])
+    rule = parse_rule("both(X,Y):-left(?,X),right(?,Y)")
+    assert scored(kb, [rule]).select("pos", "all").first()[:] == (1.0, 1e6)
+    domains = kb.domains()
+    found = cand.admitted(cand.specialisations(rule, kb.arities, {}), cand.Seen())
+    ask = cand._Asked(kb)
+    ask.parent(cand.Parent(kb, rule), found)
+    assert ask.frame(domains).count() <= len(found) + 2
+    p = cand.Parent(kb, rule)
+    assert all(p.keys(part).count() == 1000 for part in p.parts)
+    counts = cand.Level(kb, domains, cand.domain_sizes(domains), 4002).count([(rule, found)])[0]
+    want = {r["rule"]: (r["pos"], r["all"]) for r in scored(kb, [c.rule for c in found]).collect()}
+    assert {str(c.rule): (n.new, n.all - n.old) for c, n in zip(found, counts, strict=True)} == want
+
+
+def test_products_beyond_reason_are_refused(spark, monkeypatch):
+    from factweave.plans import compile as plans
+
+    monkeypatch.setattr(plans, "MOST_TUPLES", 100)
+    kb = kb_of(spark, FAMILY)
+    with pytest.raises(plans.TooManyTuples):
+        evidence.counterexamples(kb, "parent(?,?):-")
+    assert evidence.counterexamples(kb, "parent(X,Y):-father(X,Y)").count() == 2  # f3 s3 and f4 d4
 
 
 def test_random_relations_come_back(spark):
@@ -145,7 +206,15 @@ def test_command_line_and_observation(spark, tmp_path, capsys):
 
     kb = datagen.family_kb(spark, "tiny", 5)
     write_facts(kb, str(tmp_path / "facts"))
-    assert cli.main([str(tmp_path / "facts"), "-o", str(tmp_path / "out"), "-s", "0", "-v"], spark) == 0
+    (tmp_path / "sets.tsv").write_text(f"Families\t{tmp_path}/facts\tfam\n")
+    more = ["-r", str(tmp_path / "text"), "-l", str(tmp_path / "log"), "--observe", str(tmp_path / "cut"), "--graph", str(tmp_path / "graph")]
+    assert cli.main(["-D", "fam", "--datasets", str(tmp_path / "sets.tsv"), "-o", str(tmp_path / "out"), "-s", "0", "-v", *more], spark) == 0
+    assert "total_s" in (tmp_path / "log").read_text()
+    from factweave.operators.studies import observed_study, read_observed
+
+    cut = read_observed(spark, str(tmp_path / "cut"))
+    assert cut and observed_study(cut)["pairwise"]["missed"] == 0
+    assert read_facts(spark, str(tmp_path / "text" / "necessary")).names
     said = capsys.readouterr().out
     assert "gender(X0,male):-father(X0,?)" in said and "recovered" in said
     assert store.read_bundle(spark, str(tmp_path / "out"), kb).valid()

@@ -5,6 +5,7 @@ import pytest
 from factweave.operators.evaluate import coverage, evaluate, scored
 from factweave.operators.kb import KnowledgeBase
 
+# FAMILY, GOLDEN and OTHER are fixed values: scores that any engine for such rules must give.
 FAMILY = {
     "father": ["f1 s1", "f2 s2", "f2 d2", "f3 s3", "f4 d4"],
     "parent": ["f1 s1", "f1 d1", "f2 s2", "f2 d2", "m2 d2", "g1 f1", "g2 f2", "g2 m2", "g3 f3"],

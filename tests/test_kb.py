@@ -65,6 +65,8 @@ def test_profiles(spark):
     assert j == {("p", 0, "q", 0): pytest.approx(1 / 5)}
     s = profile.statistics(kb, 0.5, 0.1).first()
     assert (s["facts"], s["functors"], s["constants"], s["similar_pairs"], s["column_pairs"]) == (6, 2, 7, 1, 3)
+    assert profile.pivot([(0, [["a"]]), (0.5, [["a"], ["b"], ["c"]]), (1, [["a"], ["b"], ["c"], ["d"]])]) == 1
+    assert sorted(profile.split(kb)) in ([["p"], ["q"]], [["p", "q"]])
     assert profile.split(kb, 2) == [["p"], ["q"]] and profile.components_at(["a", "b", "c"], [("a", "b", 0.5)], 0.5) == [["a", "b"], ["c"]]
 
 
