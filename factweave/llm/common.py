@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: Bytes of text that a Python worker holds as one working slice of an Arrow batch.
 SLICE_BYTES = 8 << 20
 #: Short rows that make a file of a staged table worthwhile.
@@ -22,7 +21,8 @@ STAGED_ROWS = 200_000
 #: Cells of a table (some 20 bytes each) that may be broadcast.
 BROADCAST_CELLS = 400_000
 
-_staged: list[tuple[SparkSession, str]] = []
+#: Settings of the session that the operators ask for, where nobody has set them.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(SLICE_BYTES), "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -30,10 +30,13 @@ def prepare(spark: SparkSession) -> None:
 
     Texts are long: a batch of the scan's 4096 rows is one huge array for each column, and
     an Arrow batch is held several times on its way to Python and back, outside the heap too.
+    The settings are the session's, as plans read them when they run; what the caller has set stays.
     Elsewhere than on the driver's machine the package comes with ``--py-files``.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+    given = spark.conf.getAll
+    for key, value in SETTINGS.items():
+        if key not in given:
+            spark.conf.set(key, value)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
@@ -44,42 +47,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all nodes see; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="factweave-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+    """``df`` written into the shared folder and read back; see :func:`sources.shared.written`.
 
-    This cuts the lineage: what follows survives lost executors without running
-    ``df`` again, and row identifiers made before it stay as they are.  Where about
-    how many ``rows`` (short ones) it has is known, small ones make few files.
+    Row identifiers made before it stay as they are.  Where about how many ``rows`` (short
+    ones) it has is known, small ones make few files.
     """
     if rows is not None:
         df = df.coalesce(1 + rows // STAGED_ROWS)
-    spark = df.sparkSession
-    prepare(spark)
-    path = f"{shared_dir(spark)}/factweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _staged:
-        atexit.register(_forget)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _forget() -> None:
-    for spark, path in _staged:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
+    prepare(df.sparkSession)
+    return written(df, name)
 
 
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:

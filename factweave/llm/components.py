@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import done_with
 from .common import stage
 
 
@@ -33,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     before = tuple(now.agg(*sums).first())
     while before[0]:
-        now = stage(_small_star(_large_star(now).distinct()).distinct(), "edges", before[0])
+        last, now = now, stage(_small_star(_large_star(now).distinct()).distinct(), "edges", before[0])
+        done_with(last)
         after = tuple(now.agg(*sums).first())
         if after == before:
             break
