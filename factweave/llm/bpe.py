@@ -6,9 +6,15 @@ in ascending order, each merge is applied at all of its positions together, and
 only the pairs beside a merged position are entered anew.  Words do not influence
 each other, so this equals merging each word by itself.
 
+Words are split by ``regex``.  Characters that Python's Unicode does not know yet may be known to
+``tokenizers``; texts with any of them are lowered and split by its normaliser and pre-tokeniser
+instead, and their words are merged like all others.
+
 Results: a null text is encoded as an empty one (no tokens, empty bytes, empty
 decoded text).  Strings of special tokens inside a text become their ids.  Rows
 are independent: repeated rows give repeated results, an empty table an empty one.
+A very long text is a slice by itself.  Other columns stay; those with the names of
+results are replaced.
 """
 
 from __future__ import annotations
@@ -57,6 +63,7 @@ class PairIndexBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path, self.library = path, None
         vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.special.values()])
@@ -65,6 +72,7 @@ class PairIndexBPE:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         chars = _byte_chars()
+        self.byte_of = {c: b for b, c in enumerate(chars)}
         self.inner = np.array([vocab[c] for c in chars], np.int64)
         self.final = np.array([vocab[c + suffix] for c in chars], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -80,16 +88,31 @@ class PairIndexBPE:
 
     def split(self, text: str) -> list[str]:
         """The words of ``text``; special tokens stand as themselves after a NUL prefix that no word has."""
+        words = self.plain_words
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            words = self.library_words
         if self.specials is None or not self.specials.search(text):
-            return self.words.findall(self.normal(text))
+            return words(text)
         out: list[str] = []
         for part in self.specials.split(text):
             if part in self.special:
                 out.append("\0" + part)
             else:
-                out += self.words.findall(self.normal(part))
+                out += words(part)
         return out
 
+    def plain_words(self, text: str) -> list[str]:
+        return self.words.findall(self.normal(text))
+
+    def library_words(self, text: str) -> list[str]:
+        """The words as ``tokenizers`` sees them, byte by byte."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.byte_of[c] for c in word).decode("utf-8") for word, _ in found]
+
     @staticmethod
     def normal(text: str) -> str:
         if not text.isascii():
