@@ -1,19 +1,23 @@
 """Operator 4: sharding by a hierarchical weighted hash tree.
 
-Shards are leaves of a tree of regions, racks and shards.  Every leaf draws
-``-ln(u) / weight`` with ``u`` from a hash of the row's key and the leaf's path; a rack's
-draw is the least of its shards', a region's the least of its racks'.  A row descends to
-the region, rack and shard with the least draw.  The least of exponential draws is an
-exponential draw for the summed weight, so each level is a weighted choice; and since a
-subtree's draw only changes when a leaf inside it does, rows move into a subtree whose
-weight grew or out of one whose weight shrank, and nowhere else.
+Shards are leaves of a tree of regions, racks and shards.  A row descends it: at each node every
+child draws ``-ln(u) / weight``, with ``u`` from a hash of the row's key and the child's path and
+the weight summed over the leaves below it, and the least draw is the way down.  The least of
+exponential draws is a choice by weight, so each leaf gets its share, at the cost of the children
+along one path only.
+
+A draw depends on the row, the child's path and the child's weight.  A weight that changes
+therefore moves rows between its own subtree and the rest at each level above it, and nowhere
+else: the ways inside all other subtrees stay.  A further shard opens a region of its own, so that
+rows only move into that shard.  (Put below an old region it would draw rows into that region, and
+these could land on any shard there.)
 
 The law is ``key``: the key and the tree decide, without looking at other rows.  Slots
 are counted within each shard by input partition, so no task sees a whole shard.
 
-Results: null texts have size 1 and the checksum of nothing; null keys form a key of
-their own; repeated rows share a shard and have slots of their own; an empty table gives
-no rows.
+Results: null texts have size 1 and the checksum of nothing, very long ones are measured like any
+other; null keys form a key of their own; repeated rows share a shard and have slots of their own;
+an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -38,46 +42,59 @@ class Leaf:
 
 
 def tree(shards: int, weights: dict[int, float] | None = None, racks: int = RACKS, per_rack: int = SHARDS) -> list[Leaf]:
-    """Shards 0 to ``shards - 1`` in their places; a further one opens a new place and moves no other."""
+    """Shards 0 to ``shards - 1`` in their places, region by region."""
     weights = weights or {}
     return [Leaf(i // (racks * per_rack), i // per_rack % racks, i, weights.get(i, 1.0)) for i in range(shards)]
 
 
-def _draw(key: Column, leaf: Leaf) -> Column:
-    """An exponential draw whose rate is the leaf's weight; 53 bits of the hash, never 0."""
-    path = F.lit(f"region {leaf.region} rack {leaf.rack} shard {leaf.shard}")
-    u = (F.shiftrightunsigned(F.xxhash64(key, path), 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.log(u) / leaf.weight
+def grown(leaves: list[Leaf], weight: float = 1.0) -> list[Leaf]:
+    """The tree with one more shard, in a region of its own."""
+    return [*leaves, Leaf(max((x.region for x in leaves), default=-1) + 1, 0, len(leaves), weight)]
 
 
-def place(key: Column, leaves: list[Leaf]) -> Column:
-    """The shard of a key: the least draw of a region, in it of a rack, in it of a shard."""
-
-    def least(options: list[Column]) -> Column:
-        return options[0] if len(options) == 1 else F.least(*options)
+def _draw(key: Column, path: str, weight: float) -> Column:
+    """An exponential draw whose rate is the weight; 53 bits of the hash, never 0."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(path)), 11).cast("double") + 0.5) / float(1 << 53)
+    return -F.log(u) / weight
 
-    def node(leaf: Leaf) -> Column:
-        return F.struct(_draw(key, leaf).alias("draw"), F.lit(leaf.shard).alias("shard"))
 
-    regions = []
+def place(key: Column, leaves: list[Leaf]) -> Column:
+    """The shard of a key: the region of least draw, in it the rack, in it the shard."""
+
+    def descend(options: dict[str, tuple[float, Column]]) -> Column:
+        """What lies below the child of least draw; only that one is evaluated."""
+        if len(options) == 1:
+            return next(iter(options.values()))[1]
+        draws = F.least(*(F.struct(_draw(key, path, weight).alias("draw"), F.lit(i).alias("child")) for i, (path, (weight, _)) in enumerate(options.items())))
+        chosen, out = draws.getField("child"), None
+        for i, (_, below) in enumerate(options.values()):
+            out = F.when(chosen == i, below) if out is None else out.when(chosen == i, below)
+        return out
+
+    total = lambda inside: sum(x.weight for x in inside)
+    regions = {}
     for region in sorted({x.region for x in leaves}):
         inside = [x for x in leaves if x.region == region]
-        racks = [least([node(x) for x in inside if x.rack == rack]) for rack in sorted({x.rack for x in inside})]
-        regions.append(least(racks))
-    return least(regions).getField("shard").cast("int")
+        racks = {}
+        for rack in sorted({x.rack for x in inside}):
+            own = [x for x in inside if x.rack == rack]
+            racks[f"region {region} rack {rack}"] = (total(own), descend({f"region {region} rack {rack} shard {x.shard}": (x.weight, F.lit(x.shard)) for x in own}))
+        regions[f"region {region}"] = (total(inside), descend(racks))
+    return descend(regions).cast("int")
 
 
 def shard(documents: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", weights: dict[int, float] | None = None) -> DataFrame:
     """Key, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard`` of every row."""
     content = F.encode(text_of(text), "UTF-8")
     keyed = F.coalesce(F.col(key).cast("string"), F.lit("null key"))
+    leaves = tree(shards, weights)
     rows = documents.select(
         F.col(key),
         (F.length(content) + 1).cast("long").alias("size"),
         F.crc32(content).alias("text_crc32"),
         F.lit("key").alias("law"),
-        place(keyed, tree(shards, weights)).alias("shard"),
-        place(keyed, tree(shards + 1, weights)).alias("grown_shard"),
+        place(keyed, leaves).alias("shard"),
+        place(keyed, grown(leaves)).alias("grown_shard"),
         F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().alias("_row"),
     )
