@@ -1,16 +1,22 @@
 """Operator 9: approximate nearest neighbours by inner product, an inverted file with product quantisation.
 
-Coarse centroids and the codebooks of residuals are fitted by k-means on a bounded
-sample; every row is indexed.  The index is cut into blocks of rows, each with inverted
-lists of its own (rows ordered by list, the lists' bounds, one byte per subspace), so that
-a list of any size is spread over as many tasks as it has blocks.  A query visits its
-nearest lists in each block, ranks their rows by asymmetric distance tables, and the best
-``rerank`` of a block are scored again on the original vectors in double precision.
+Coarse centroids and the codebooks of residuals are fitted by k-means on a bounded sample; every
+row is indexed, under its two nearest lists.  How many lists a query visits is found by
+measurement: queries that are held back from the fit look for the k best rows of the sample, and
+the least number of lists is taken that holds RECALL of them.  The rule is the same at any size.
+
+The index is cut into blocks of rows, each with inverted lists of its own (places ordered by
+list, the lists' bounds, one byte per subspace), so that a list of any size is spread over as many
+tasks as it has blocks.  A block goes to its task once, and the queries are streamed past it.  A
+query visits its lists, ranks their rows by asymmetric distance tables, and the best ``rerank`` of a
+block are scored again on the original vectors in double precision.
 
 Results: vectors that are null, all zero, or hold null or non-finite components take no
-part; neither do rows without an id.  Shorter vectors count as padded with zeros.  A query's
-own id is no candidate.  Equal vectors share list and code, and ties go to the smaller id.
-A block that has fewer than k rows in the visited lists goes on to further lists.
+part; neither do rows without an id.  Shorter vectors count as padded with zeros, long ones take
+more memory by their length only.  A query's own id is no candidate.  Repeated rows are candidates
+each, equal vectors share lists and codes, and ties go to the smaller id.  An empty table gives an
+empty one.  Other columns, whatever their names, are not read.  A block that has fewer than k rows
+in the visited lists goes on to further lists.
 """
 
 from __future__ import annotations
@@ -24,16 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .topk import QUERY_BLOCK, best, blocks, matrix, paired, unpacked, vectors
+from .topk import QUERY_BLOCK, best, block_bytes, blocks, matrix, streamed, unpacked, vectors
 
-#: The fit takes about so many rows, by a hash of their ids, and at most twice as many.
-SAMPLE_ROWS = 16_384
-#: Share of the lists that is visited, large because vectors may hardly cluster; candidates that a block scores exactly, as a multiple of k.
-PROBED, RERANK = 0.75, 20
-#: Below so many rows every list is visited.
-SMALL = 4_000
-SUBSPACES, CODES, ROUNDS = 16, 256, 8
-INDEX_BLOCK = 8 << 20
+#: The fit takes about so many rows, by a hash of their ids, and at most twice as many; queries that are held back from it.
+SAMPLE_ROWS, HELD_BACK = 32_768, 256
+#: Share of the held-back queries' neighbours that the visited lists must hold; candidates that a block scores exactly, as a multiple of k.
+RECALL, RERANK = 0.94, 20
+#: Lists for each square root of the rows, as far as the sample has SAMPLE_PER_LIST rows for each; lists that a row stands in.
+LISTS, SAMPLE_PER_LIST, ASSIGNED = 4, 8, 2
+SUBSPACES, CODES, ROUNDS = 8, 256, 8
 
 
 @dataclass
@@ -43,6 +48,7 @@ class Quantiser:
     centroids: np.ndarray
     spans: list[tuple[int, int]]
     books: list[np.ndarray]
+    probes: int = 1
 
     @property
     def width(self) -> int:
@@ -52,12 +58,13 @@ class Quantiser:
         """``x`` with as many columns as the centroids; what lies beyond adds nothing to the choice of lists."""
         return np.pad(x, ((0, 0), (0, max(0, self.width - x.shape[1]))))[:, : self.width]
 
-    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and codes of each row."""
-        lists = nearest(x, self.centroids)
-        rest = x - self.centroids[lists]
-        codes = np.stack([nearest(rest[:, a:b], book) for (a, b), book in zip(self.spans, self.books, strict=True)], 1)
-        return lists, codes.astype(np.uint8)
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, lists and codes of all places: each row has one in each of its lists."""
+        lists = nearest(x, self.centroids, min(ASSIGNED, len(self.centroids)))
+        rows, lists = np.repeat(np.arange(len(x)), lists.shape[1]), lists.ravel()
+        rest = x[rows] - self.centroids[lists]
+        codes = np.stack([nearest(rest[:, a:b], book)[:, 0] for (a, b), book in zip(self.spans, self.books, strict=True)], 1)
+        return rows, lists, codes.astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of one query with every code, by subspace."""
@@ -67,11 +74,18 @@ class Quantiser:
         return out
 
 
-def nearest(x: np.ndarray, centres: np.ndarray, rows: int = 4096) -> np.ndarray:
-    """The nearest centre of each row by Euclidean distance."""
+def nearest(x: np.ndarray, centres: np.ndarray, many: int = 1, rows: int = 2048) -> np.ndarray:
+    """The ``many`` nearest centres of each row by Euclidean distance, the nearest first."""
     half = (centres * centres).sum(1) / 2
-    parts = [np.argmax(x[i : i + rows] @ centres.T - half, axis=1) for i in range(0, len(x), rows)]
-    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+    parts = [np.empty((0, many), np.int64)]
+    for i in range(0, len(x), rows):
+        score = x[i : i + rows] @ centres.T - half
+        if many == 1:
+            parts.append(score.argmax(1)[:, None])
+        else:
+            found = np.argpartition(-score, many - 1, axis=1)[:, :many]
+            parts.append(np.take_along_axis(found, np.argsort(-np.take_along_axis(score, found, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(parts)
 
 
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -81,7 +95,7 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
         return different
     centres = different[rng.choice(len(different), k, replace=False)]
     for _ in range(ROUNDS):
-        owner = nearest(x, centres)
+        owner = nearest(x, centres)[:, 0]
         counts = np.bincount(owner, minlength=k)
         sums = np.stack([np.bincount(owner, weights=x[:, d], minlength=k) for d in range(x.shape[1])], 1)
         centres = sums / np.maximum(counts, 1)[:, None]
@@ -90,23 +104,46 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centres
 
 
-def fit(sample: np.ndarray, rows: int, seed: int = 7) -> Quantiser:
-    """A quantiser for ``rows`` rows; the number of lists grows with their square root, to 1024."""
+def fit(sample: np.ndarray, rows: int, k: int, recall: float = RECALL, seed: int = 7) -> Quantiser:
+    """A quantiser for ``rows`` rows.
+
+    The number of lists grows with their square root, as far as the sample can place their centres.
+    """
     rng = np.random.default_rng(seed)
-    lists = min(1024, max(16, math.isqrt(rows)))
-    centroids = k_means(sample, lists, rng)
-    rest = sample - centroids[nearest(sample, centroids)]
+    mixed = rng.permutation(len(sample))
+    held = sample[mixed[: min(HELD_BACK, len(sample) // 5)]]
+    learnt = sample[mixed[len(held) :]] if len(held) else sample
+    lists = max(1, min(LISTS * math.isqrt(rows), len(learnt) // SAMPLE_PER_LIST))
+    centroids = k_means(learnt, lists, rng)
+    rest = learnt - centroids[nearest(learnt, centroids)[:, 0]]
     cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, max(1, sample.shape[1])) + 1).astype(int).tolist()
     spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-    return Quantiser(centroids, spans, [k_means(rest[:, a:b], CODES, rng) for a, b in spans])
-
-
-def index_block(model: Quantiser, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in the order of their lists and ids, the lists' bounds, and the codes."""
-    lists, codes = model.assign(model.fitted(x))
-    order = np.lexsort((ids, lists))
+    model = Quantiser(centroids, spans, [k_means(rest[:, a:b], CODES, rng) for a, b in spans])
+    model.probes = probes_for(model, learnt, held, k, recall)
+    return model
+
+
+def probes_for(model: Quantiser, rows: np.ndarray, held: np.ndarray, k: int, recall: float) -> int:
+    """The least number of lists that hold ``recall`` of the held-back queries' k best rows; all lists without such queries."""
+    total = len(model.centroids)
+    if not len(held) or len(rows) <= k:
+        return total
+    lists = nearest(rows, model.centroids, min(ASSIGNED, total))
+    deepest = []
+    for q in held:
+        turn = np.empty(total, np.int64)
+        turn[np.argsort(-(model.centroids @ q), kind="stable")] = np.arange(total)
+        top = np.argpartition(-(rows @ q), k)[:k]
+        deepest.append(turn[lists[top]].min(1))
+    return int(np.sort(np.concatenate(deepest))[max(0, math.ceil(recall * k * len(held)) - 1)]) + 1
+
+
+def index_block(model: Quantiser, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of all places in the order of their lists and ids, the lists' bounds, and the codes."""
+    rows, lists, codes = model.assign(model.fitted(x))
+    order = np.lexsort((ids[rows], lists))
     bounds = np.searchsorted(lists[order], np.arange(len(model.centroids) + 1))
-    return ids[order], x[order], bounds, codes[order]
+    return rows[order], bounds, codes[order]
 
 
 def first_by(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -121,76 +158,109 @@ def first_by(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate((over, level))
 
 
-def search_block(model: Quantiser, qi: np.ndarray, qv: np.ndarray, ids: np.ndarray, x: np.ndarray, bounds: np.ndarray, codes: np.ndarray, k: int, probes: int, rerank: int):
-    width = max(qv.shape[1], x.shape[1])
-    qv, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (qv, x))
-    near = model.fitted(qv)
-    coarse = near @ model.centroids.T
-    sizes = np.diff(bounds)
-    subspaces = np.arange(codes.shape[1]) * CODES
-    flat = codes.astype(np.int32) + subspaces
-    out = []
-    for n, own in enumerate(qi.tolist()):
-        order = np.argsort(-coarse[n], kind="stable")
-        upto = np.searchsorted(np.cumsum(sizes[order]), k + 1) + 1  # at least k besides the query itself
-        lists = order[: max(probes, upto)]
-        lists = lists[sizes[lists] > 0]
-        if not len(lists):
-            continue
-        rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in lists.tolist()])
-        score = np.repeat(coarse[n][lists], sizes[lists]) + model.tables(near[n]).ravel()[flat[rows]].sum(1)
-        stays = ids[rows] != own
-        rows, score = rows[stays], score[stays]
-        rows = rows[first_by(score, ids[rows], rerank)]
-        exact = (x[rows] * qv[n]).sum(1)
-        top = first_by(exact, ids[rows], k)
-        out.append((np.full(len(top), own), ids[rows][top], exact[top]))
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-
-
-def neighbours(embeddings: DataFrame, queries: DataFrame, k: int, probed: float = PROBED, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's k nearest found.
-
-    Both frames are ``id, v`` as ``topk.vectors`` gives them; all of ``embeddings`` is indexed.
-    """
-    spark = embeddings.sparkSession
-    not_zero = F.exists("v", lambda x: x != 0)
-    rows, chosen = embeddings.filter(not_zero), queries.filter(not_zero)
+@dataclass
+class Block:
+    """Vectors with inverted lists of their own."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    rows: np.ndarray
+    bounds: np.ndarray
+    codes: np.ndarray
+
+    @classmethod
+    def read(cls, ids: np.ndarray, x: np.ndarray, data: bytes, lists: int) -> Block:
+        """From the bytes that :meth:`written` made."""
+        head = np.frombuffer(data, "<i4", lists + 2)
+        places, at = int(head[0]), 4 * (lists + 2)
+        rows = np.frombuffer(data, "<i4", places, at)
+        return cls(ids, x, rows, head[1:], np.frombuffer(data, np.uint8, offset=at + 4 * places).reshape(places, -1))
+
+    @staticmethod
+    def written(rows: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> bytes:
+        return np.concatenate(([len(rows)], bounds, rows)).astype("<i4").tobytes() + codes.tobytes()
+
+    def search(self, model: Quantiser, qi: np.ndarray, qv: np.ndarray, k: int, rerank: int) -> tuple[list[np.ndarray], int]:
+        """Query ids, ids and scores of the k best found for each query; and how many rows were looked at."""
+        width = max(qv.shape[1], self.x.shape[1])
+        exact_q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (qv, self.x))
+        near = model.fitted(qv)
+        coarse = near @ model.centroids.T
+        sizes = np.diff(self.bounds)
+        subspaces = np.arange(self.codes.shape[1]) * CODES
+        out, looked = [], 0
+        for n, own in enumerate(qi.tolist()):
+            order = np.argsort(-coarse[n], kind="stable")
+            upto = np.searchsorted(np.cumsum(sizes[order]), ASSIGNED * (k + 1)) + 1  # at least k besides the query itself
+            lists = order[: max(model.probes, upto)]
+            lists = lists[sizes[lists] > 0]
+            if not len(lists):
+                continue
+            places = np.concatenate([np.arange(self.bounds[i], self.bounds[i + 1]) for i in lists.tolist()])
+            score = np.repeat(coarse[n][lists], sizes[lists]) + model.tables(near[n]).ravel()[self.codes[places] + subspaces].sum(1)
+            rows = self.rows[places]
+            best_of = np.full(len(x), -np.inf)
+            np.maximum.at(best_of, rows, score)
+            rows = np.flatnonzero(best_of > -np.inf)
+            looked += len(rows)
+            rows = rows[self.ids[rows] != own]
+            rows = rows[first_by(best_of[rows], self.ids[rows], rerank)]
+            exact = (x[rows] * exact_q[n]).sum(1)
+            top = first_by(exact, self.ids[rows], k)
+            out.append((np.full(len(top), own), self.ids[rows][top], exact[top]))
+        return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)], looked
+
+
+def fitted(rows: DataFrame, k: int, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL) -> Quantiser | None:
+    """A quantiser for all of ``rows`` (``id, v``), from a bounded sample of them; nothing for an empty table."""
     total = rows.count()
     if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return None
     million = 1_000_000
     share = min(million, math.ceil(million * sample_rows / total))
     taken = rows.filter(F.pmod(F.xxhash64("id"), F.lit(million)) < share).limit(2 * sample_rows).select("v").toArrow()
     sample = matrix(taken.column("v"))
     if not len(sample):  # so few rows that the hash took none
         sample = matrix(rows.limit(sample_rows).select("v").toArrow().column("v"))
-    held = spark.sparkContext.broadcast(fit(sample, total))  # at most 1024 + 256 vectors
+    return fit(sample, total, k, recall)
+
+
+def neighbours(embeddings: DataFrame, queries: DataFrame, k: int, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL) -> DataFrame:
+    """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's k nearest found.
+
+    Both frames are ``id, v`` as ``topk.vectors`` gives them; all of ``embeddings`` is indexed.
+    """
+    spark = embeddings.sparkSession
+    not_zero = F.exists("v", lambda x: x != 0)
+    rows, chosen = embeddings.filter(not_zero), queries.filter(not_zero)
+    model = fitted(rows, k, sample_rows, recall)
+    if model is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    held = spark.sparkContext.broadcast(model)  # bounded by the sample
+    size = rows.agg(F.count("*"), F.max(F.size("v"))).first()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, x = unpacked(*(batch.column(c)[row].as_py() for c in ("c_ids", "c_data", "c_width")))
-                ids, x, bounds, codes = index_block(held.value, ids, x)
-                made = [ids.astype("<i8"), x.astype("<f8"), bounds.astype("<i8"), codes]
-                yield pa.RecordBatch.from_arrays([*(pa.array([m.tobytes()]) for m in made), pa.array([x.shape[1]], pa.int32())], names=["c_ids", "c_data", "c_bounds", "c_codes", "c_width"])
+                ids, x = unpacked(*(batch.column(c)[row].as_py() for c in ("ids", "data", "width")))
+                made = Block.written(*index_block(held.value, ids, x))
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(row, 1) for c in ("ids", "data", "width")] + [pa.array([made])], names=["ids", "data", "width", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        lists = len(model.centroids)
-        probes = lists if total < SMALL else max(1, math.ceil(lists * probed))
+        model, block = held.value, None
         for batch in batches:
             for row in range(batch.num_rows):
                 of = lambda name: batch.column(name)[row].as_py()  # noqa: B023, E731
-                qi, qv = unpacked(of("q_ids"), of("q_data"), of("q_width"))
-                ci, cv = unpacked(of("c_ids"), of("c_data"), of("c_width"))
-                bounds, codes = np.frombuffer(of("c_bounds"), "<i8"), np.frombuffer(of("c_codes"), np.uint8).reshape(len(ci), -1)
-                found = search_block(model, qi, qv, ci, cv, bounds, codes, k, probes, rerank * k)
+                ids, x = unpacked(of("ids"), of("data"), of("width"))
+                if not of("is_query"):
+                    block = Block.read(ids, x, of("more"), len(model.centroids))
+                    continue
+                found, _ = block.search(model, ids, x, k, rerank * k)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
-    index = blocks(rows, INDEX_BLOCK, "c").mapInArrow(build, "c_ids binary, c_data binary, c_bounds binary, c_codes binary, c_width int")
-    found = paired(blocks(chosen, QUERY_BLOCK, "q"), index).mapInArrow(run, "query_id long, vec_id long, score double")
+    index = blocks(rows, block_bytes(size[0], size[1], spark.sparkContext.defaultParallelism)).mapInArrow(build, "ids binary, data binary, width int, more binary")
+    found = streamed(blocks(chosen, QUERY_BLOCK).withColumn("more", F.lit(b"")), index).mapInArrow(run, "query_id long, vec_id long, score double")
     return best(found, k)
 
 
-__all__ = ["neighbours", "vectors"]
+__all__ = ["fitted", "neighbours", "vectors"]

@@ -1,18 +1,22 @@
 """Operator 2: exact top-k search by inner product, columnar branch and bound.
 
-Vectors are packed into blocks, dimension by dimension.  A query takes the dimensions
-of a candidate block in groups: after each group a candidate's score can grow by no
-more than the product of the two remaining norms (Cauchy-Schwarz), and candidates whose
-bound falls below the k-th best score so far are compacted away.  Candidate blocks meet
-query blocks by an equi-join on the candidate block's number, so that a task holds one
-of each; the best k of every pair of blocks are then reduced by query.
+Candidates are packed into blocks, stored dimension by dimension with the mass of each group of
+dimensions.  A query takes the groups of a block in the order of its own mass: after each group a
+candidate's score can grow by no more than the product of the two remaining norms
+(Cauchy-Schwarz), and candidates whose bound falls below the query's floor are compacted away.
+The floor is the k-th best score so far; it begins with the k-th best among a bounded sample of
+all candidates, which a first pass over the queries finds.
+
+A candidate block is sent to its task once, and the query blocks are streamed past it: a task
+holds one of each.  The best k of every block are then reduced by query.
 
 Scores are exact integers: float64 holds them while the squared norms stay below 2^52,
 otherwise Python integers are used.  Results: vectors that are null or hold null or
 non-finite components take no part, as query or candidate; neither do rows without an
-id.  A shorter vector counts as padded with zeros.  Rows with equal ids are candidates
-each; a query's own id is no candidate.  Ties go to the smaller id.  Scores beyond 64
-bits are an error.
+id.  A shorter vector counts as padded with zeros, a long one takes more memory by its
+length only.  Rows with equal ids are candidates each; a query's own id is no candidate.
+Ties go to the smaller id.  An empty table gives an empty one.  Other columns, whatever their
+names, are not read.  Scores beyond 64 bits are an error.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: Bytes of a candidate block and of a query block; dimensions taken at a time.
-CANDIDATE_BLOCK, QUERY_BLOCK, DIMENSIONS = 4 << 20, 256 << 10, 8
+#: Bytes of a query block, and of a candidate block at most; smaller ones where there are few rows, so that all cores work.
+QUERY_BLOCK, CANDIDATE_BLOCK = 256 << 10, 16 << 20
+#: Dimensions taken at a time; rows of the sample that gives the first floors.
+DIMENSIONS, SEED_ROWS = 8, 4096
 _EXACT = float(1 << 52)
 
 
@@ -54,8 +60,8 @@ def matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
-def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows of ``id, v`` packed into blocks of ``size`` bytes: ``<name>_ids`` (int64), ``<name>_data`` (float64, row-major), ``<name>_width``."""
+def blocks(df: DataFrame, size: int) -> DataFrame:
+    """Rows of ``id, v`` packed into blocks of ``size`` bytes: ``ids`` (int64), ``data`` (float64, row-major), ``width``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, data = np.empty(0, np.int64), np.empty((0, 0))
@@ -67,11 +73,11 @@ def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
             while len(ids) >= rows or batch is None and len(ids):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[:rows].astype("<i8").tobytes()]), pa.array([np.ascontiguousarray(data[:rows], "<f8").tobytes()]), pa.array([data.shape[1]], pa.int32())],
-                    names=[f"{name}_ids", f"{name}_data", f"{name}_width"],
+                    names=["ids", "data", "width"],
                 )
                 ids, data = ids[rows:], data[rows:]
 
-    return df.mapInArrow(run, f"{name}_ids binary, {name}_data binary, {name}_width int")
+    return df.mapInArrow(run, "ids binary, data binary, width int")
 
 
 def stacked(above: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -85,70 +91,109 @@ def unpacked(ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarra
     return found, np.frombuffer(data, "<f8").reshape(len(found), width)
 
 
-def paired(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every query block beside every candidate block.
+def block_bytes(rows: int, width: int, cores: int, most: int = CANDIDATE_BLOCK) -> int:
+    """The size of candidate blocks: two for each core, of 512 rows at least and ``most`` bytes at most."""
+    return min(most, 8 * max(1, width) * max(512, -(-rows // (2 * cores))))
 
-    The candidate blocks are staged with a lane, the partition that made them; each
-    query block is dealt to all lanes, and the two meet in an equi-join on it.
-    """
-    staged = stage(candidates.withColumn("lane", F.spark_partition_id()), "blocks")
-    last = staged.agg(F.max("lane")).first()[0]
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(last or 0))).alias("lane")
-    return staged.join(queries.select("*", lanes), "lane")
 
+def streamed(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Rows ``block, is_query, ids, data, width, more``: each candidate block, and after it every query block.
 
-def search(queries: np.ndarray, query_ids: np.ndarray, table: np.ndarray, ids: np.ndarray, k: int, step: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of ``table`` for each query: query numbers, ids and integer scores."""
-    width = max(queries.shape[1], table.shape[1])
-    queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
-    table = np.pad(table, ((0, 0), (0, width - table.shape[1])))
-    q_norms, x_norms = (np.sqrt((m * m).sum(1)).max(initial=0.0) for m in (queries, table))
-    if q_norms * x_norms >= _EXACT or max(q_norms, x_norms) ** 2 >= _EXACT:
-        return _by_integers(queries, query_ids, table, ids, k)
-    # in the order of ids, so that of equal scores the first is the smaller id
-    order = np.argsort(ids, kind="stable")
-    ids, columns = ids[order], np.ascontiguousarray(table[order].T)
-    starts = list(range(0, width, step)) or [0]
-    # squared masses are integers; the roots are raised a little to stay bounds
-    rest_x = [np.sqrt((columns[s:] ** 2).sum(0)) * (1 + 1e-12) for s in starts[1:]] + [np.zeros(len(ids))]
-    out_q, out_i, out_s = [], [], []
-    for number, (q, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
-        alive = np.flatnonzero(ids != own)
-        if not len(alive):
-            continue
-        score = np.zeros(len(alive))
-        floor = -math.inf
-        for part, start in enumerate(starts):
-            stop = min(start + step, width)
-            if len(alive) == len(ids):
-                score += q[start:stop] @ columns[start:stop]
+    ``candidates`` is staged and numbered.  A block is a partition: it is read once, and the queries, which
+    are few, are copied to each block.
+    """
+    staged = stage(candidates.withColumn("number", F.monotonically_increasing_id()), "blocks")
+    order = Window.orderBy("number")  # one number for each block
+    numbers = staged.select("number").withColumn("block", F.row_number().over(order) - 1)
+    count = max(1, numbers.count())
+    blocks_ = staged.join(F.broadcast(numbers), "number").select("block", F.lit(False).alias("is_query"), "ids", "data", "width", "more")
+    copies = queries.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"), F.lit(True).alias("is_query"), "ids", "data", "width", "more")
+    return blocks_.unionByName(copies).repartitionById(count, "block").sortWithinPartitions("block", "is_query")
+
+
+class Columns:
+    """A candidate block, dimension by dimension, its rows in the order of ids."""
+
+    def __init__(self, table: np.ndarray, ids: np.ndarray, step: int = DIMENSIONS):
+        order = np.argsort(ids, kind="stable")  # of equal scores the first is the smaller id
+        self.ids, self.columns, self.step = ids[order], np.ascontiguousarray(table[order].T), step
+        self.starts = list(range(0, len(self.columns), step)) or [0]
+        squares = self.columns**2
+        self.mass = np.stack([squares[s : s + step].sum(0) for s in self.starts]) if len(self.columns) else np.zeros((1, len(ids)))
+        self.total = self.mass.sum(0)
+
+    @property
+    def exact(self) -> bool:
+        """Whether squared norms, and so everything that is added up, are exact in float64."""
+        return float(self.total.max(initial=0.0)) < _EXACT
+
+    def best(self, q: np.ndarray, own: int, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best for one query, or of fewer where others fall below ``floor``."""
+        width = len(self.columns)
+        q = np.pad(q, (0, max(0, width - len(q))))[:width]
+        mine = np.array([float(q[s : s + self.step] @ q[s : s + self.step]) for s in self.starts])
+        order = np.argsort(-mine, kind="stable")
+        left_q = np.maximum(mine.sum() - np.cumsum(mine[order]), 0.0)
+        alive, score, rest = np.flatnonzero(self.ids != own), None, None
+        for part, g in enumerate(order.tolist()):
+            if not len(alive):
+                break
+            dims = slice(self.starts[g], self.starts[g] + self.step)
+            if score is None:
+                score, rest = (q[dims] @ self.columns[dims])[alive], (self.total - self.mass[g])[alive]
+            elif len(alive) == len(self.ids):
+                score, rest = score + q[dims] @ self.columns[dims], rest - self.mass[g]
             else:
-                score += q[start:stop] @ columns[start:stop, alive]
-            if stop >= width or len(alive) <= k:
-                continue
-            if floor == -math.inf or part % 3 == 0:  # the k-th best full score of the most promising
+                score, rest = score + q[dims] @ self.columns[dims][:, alive], rest - self.mass[g][alive]
+            if left_q[part] == 0.0 or part + 1 == len(order):
+                break
+            if part % 3 == 0 and len(alive) > k:  # the k-th best full score of the most promising
                 ahead = alive[np.argpartition(-score, min(4 * k, len(alive) - 1))[: 4 * k]]
-                full = np.sort(q @ columns[:, ahead])[::-1]
-                floor = max(floor, full[min(k, len(full)) - 1] if len(full) >= k else -math.inf)
-            rest_q = math.sqrt(float((q[stop:] ** 2).sum())) * (1 + 1e-12)
-            stays = score + rest_q * rest_x[part][alive] + 1e-6 >= floor
+                full = np.sort(q @ self.columns[:, ahead])[::-1]
+                floor = max(floor, full[k - 1])
+            # squared masses are integers; the root is raised a little to stay a bound
+            stays = score + np.sqrt(left_q[part] * rest) * (1 + 1e-12) + 1e-6 >= floor
             if not stays.all():
-                alive, score = alive[stays], score[stays]
+                alive, score, rest = alive[stays], score[stays], rest[stays]
+        if not len(alive):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         if len(alive) > k:
             bar = np.partition(score, len(score) - k)[len(score) - k]
             over, level = np.flatnonzero(score > bar), np.flatnonzero(score == bar)
             kept = np.concatenate((over, level[: k - len(over)]))
             alive, score = alive[kept], score[kept]
-        out_q.append(np.full(len(alive), number))
-        out_i.append(ids[alive])
-        out_s.append(score.astype(np.int64))
-    if not out_q:
-        return (np.empty(0, np.int64),) * 3
-    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
+        return self.ids[alive], score.astype(np.int64)
+
+
+def search(queries: np.ndarray, query_ids: np.ndarray, block: Columns, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a block for each query, as far as they can be among the k best of all: query numbers, ids and integer scores."""
+    exact = block.exact and float((queries * queries).sum(1).max(initial=0.0)) < _EXACT
+    if not exact:
+        return _by_integers(queries, query_ids, block.columns.T, block.ids, k)
+    out_q, out_i, out_s = [], [], []
+    for number, (q, own, floor) in enumerate(zip(queries, query_ids.tolist(), floors.tolist(), strict=True)):
+        ids, scores = block.best(q, own, floor, k)
+        out_q.append(np.full(len(ids), number))
+        out_i.append(ids)
+        out_s.append(scores)
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_q, out_i, out_s))
+
+
+def first_floors(queries: np.ndarray, query_ids: np.ndarray, table: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among a sample of the candidates; minus infinity where it is not known."""
+    width = min(queries.shape[1], table.shape[1])
+    norms = [float((m * m).sum(1).max(initial=0.0)) for m in (queries, table)]
+    if len(ids) <= k or max(norms) >= _EXACT:
+        return np.full(len(queries), -math.inf)
+    scores = queries[:, :width] @ table[:, :width].T
+    scores[query_ids[:, None] == ids[None, :]] = -math.inf
+    return np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
 
 
 def _by_integers(queries, query_ids, table, ids, k):
     """The same for components too large for float64, by plain integers."""
+    width = max(queries.shape[1], table.shape[1])
+    queries, table = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (queries, table))
     rows = [[int(x) for x in r] for r in table]
     found = []
     for number, (q, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
@@ -164,20 +209,42 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 256.
 
     Both sides are frames of ``id`` and ``v``; components become ``floor(scale * x)``.
     """
+    spark = candidates.sparkSession
     scaled = F.transform("v", lambda x: _floor(x * scale))
-    q = blocks(queries.select("id", scaled.alias("v")), QUERY_BLOCK, "q")
-    c = blocks(candidates.select("id", scaled.alias("v")), CANDIDATE_BLOCK, "c")
+    rows, asked = (df.select("id", scaled.alias("v")) for df in (candidates, queries))
+    size = candidates.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not size[0]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # rows of small hash are a sample of at most SEED_ROWS rows
+    share = min(1_000_000, 1_000_000 * SEED_ROWS // size[0])
+    taken = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) <= share).limit(SEED_ROWS).toArrow()
+    seed = spark.sparkContext.broadcast((matrix(taken.column("v")), taken.column("id").to_numpy()))
+    none = F.lit(b"").alias("more")
+    c = blocks(rows, block_bytes(size[0], size[1], spark.sparkContext.defaultParallelism)).select("*", none)
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, ids = seed.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                qi, qv = unpacked(*(batch.column(c)[row].as_py() for c in ("ids", "data", "width")))
+                found = first_floors(qv, qi, table, ids, k).astype("<f8").tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(row, 1) for c in ("ids", "data", "width")] + [pa.array([found])], names=["ids", "data", "width", "more"])
+
+    q = blocks(asked, QUERY_BLOCK).mapInArrow(floors, "ids binary, data binary, width int, more binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Columns | None = None
         for batch in batches:
             for row in range(batch.num_rows):
                 of = lambda name: batch.column(name)[row].as_py()  # noqa: B023, E731
-                qi, qv = unpacked(of("q_ids"), of("q_data"), of("q_width"))
-                ci, cv = unpacked(of("c_ids"), of("c_data"), of("c_width"))
-                number, ids, scores = search(qv, qi, cv, ci, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[number]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-    found = paired(q, c).mapInArrow(run, "query_id long, vec_id long, score long")
+                ids, rows = unpacked(of("ids"), of("data"), of("width"))
+                if not of("is_query"):
+                    block = Columns(rows, ids)
+                    continue
+                number, found, scores = search(rows, ids, block, np.frombuffer(of("more"), "<f8"), k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[number]), pa.array(found, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
+
+    found = streamed(q, c).mapInArrow(run, "query_id long, vec_id long, score long")
     return best(found, k)
 
 

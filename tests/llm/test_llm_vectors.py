@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factweave.llm import ann, topk
 
@@ -45,7 +46,8 @@ def test_search_prunes_but_loses_nothing():
     rng = np.random.default_rng(2)
     x = np.floor(256 * rng.normal(size=(2000, 64)) * np.linspace(2, 0.1, 64))
     ids = rng.permutation(2000)
-    number, found, score = topk.search(x[:40], ids[:40], x, ids, 5)
+    floors = topk.first_floors(x[:40], ids[:40], x[::7], ids[::7], 5)
+    number, found, score = topk.search(x[:40], ids[:40], topk.Columns(x, ids), floors, 5)
     for n in range(40):
         s = x @ x[n]
         order = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[n]][:5]
@@ -53,6 +55,46 @@ def test_search_prunes_but_loses_nothing():
         assert mine == [(-int(s[i]), int(ids[i])) for i in order]
 
 
+def test_blocks_stream_past_queries_once(spark):
+    """Each candidate block is one row of the plan's output, before all query blocks."""
+    rng = np.random.default_rng(5)
+    v = topk.vectors(frame(spark, [(i, x.tolist(), "s") for i, x in enumerate(rng.normal(size=(900, 8)))]).repartition(3))
+    c, q = (topk.blocks(v, size).withColumn("more", F.lit(b"")) for size in (64 * 100, 64 * 50))
+    got = topk.streamed(q, c).select("block", "is_query", F.length("ids").alias("n"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")).collect()
+    blocks = {r["block"] for r in got}
+    assert len(blocks) >= 9 and sum(r["n"] for r in got if not r["is_query"]) == 8 * 900
+    for b in blocks:
+        rows = sorted((r["at"], r["is_query"], r["p"]) for r in got if r["block"] == b)
+        assert [r[1] for r in rows] == [False] + [True] * (len(rows) - 1) and len({r[2] for r in rows}) == 1
+
+
+@pytest.mark.parametrize(("rows", "most"), [(500, 0.85), (2000, 0.62), (20_000, 0.45)])
+def test_lists_save_work_at_every_size(rows, most):
+    """On vectors without any clusters, the hardest there are: recall, and the share of the rows that are looked at."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(rows, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    model = ann.fit(x, rows, 20)
+    ids = np.arange(rows)
+    hits = looked = 0
+    parts = np.array_split(ids, 3)
+    queries = ids[:: max(1, rows // 100)]
+    found = {int(q): [] for q in queries}
+    for part in parts:
+        places = ann.index_block(model, part, x[part])
+        block = ann.Block.read(part, x[part], ann.Block.written(*places), len(model.centroids))
+        (q, i, s), n = block.search(model, queries, x[queries], 20, 400)
+        looked += n
+        for a, b, c in zip(q.tolist(), i.tolist(), s.tolist(), strict=True):
+            found[a].append((-c, b))
+    for q in queries.tolist():
+        s = x @ x[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:20].tolist()) & {b for _, b in sorted(found[q])[:20]})
+    assert hits / (20 * len(queries)) >= 0.9
+    assert looked / (rows * len(queries)) <= most
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(6000, 16)) + 3 * rng.normal(size=(12, 16))[rng.integers(0, 12, 6000)]
