@@ -1,17 +1,26 @@
 """Operator 10: transcript parsing by a hidden Markov model, then canonical turns.
 
-The hidden states are the roles.  A turn is observed through its speaker marker (a role
-column, or a marker at the head of the text) and through features of its lines: length,
-number of lines, a question at the end.  Probabilities are counted on a bounded sample of
-conversations whose roles are known.  Viterbi runs over conversations laid out in order of
-conversation and turn; a conversation that crosses task boundaries is cut into segments,
-each reduced to the best path between every pair of states around it, and the segments are
-joined by a max-plus product.  So one conversation may hold any share of all rows, and the
-result is the same as in one piece.
-
-Results: null texts are empty; unknown or null roles are unmarked turns; null conversation
-ids form one conversation; null turns come first; repeated rows follow each other; an empty
-table gives an empty one.  Control tokens inside a text are broken up before rendering.
+A transcript is a sequence of lines.  The hidden state of a line is the role that speaks and
+whether the line begins a turn.  Lines are observed through the speaker marker at their head, if
+there is one, and through features: an empty line before, the length, a question at the end.
+Probabilities are counted on a bounded sample of conversations whose roles are known; a turn goes
+on in its own role, and a conversation begins with a turn.  Viterbi finds the states, lines from
+one beginning to the next are a turn, and turns are rendered in one canonical form.
+
+:func:`flattened` makes transcripts of a table of turns: turns follow each other, an empty line
+between them, most with one of many markers, one in HIDDEN without any.  The given roles enter the
+text of these markers and the counts of the fit, and nothing else.
+
+Lines are laid out in order of conversation and turn and read batch by batch; a conversation that
+crosses the end of a batch is cut into segments, each reduced to the best path between every pair
+of states around it, and the segments are joined by a max-plus product.  So one conversation may
+hold any share of all rows, and the result is the same as in one piece.
+
+Results: null texts are empty; turns of unknown or null roles have no marker, and without a text
+they leave no line; null conversation ids form one conversation; null turns come first; repeated
+rows follow each other; very long texts are many lines, a very long line is one; an empty table
+gives an empty one; other columns, whatever their names, are not read.  Control tokens inside a text
+are broken up before rendering.
 """
 
 from __future__ import annotations
@@ -23,10 +32,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, with_row_id
+from .common import prepare, stage, text_of, with_row_id
 
 ROLES = ("system", "user", "assistant", "tool")
 #: What speakers are called, by role.
@@ -36,80 +45,103 @@ MARKERS = {
     "assistant": ("assistant", "ai", "bot", "model", "gpt", "answer", "a", "agent", "chatbot"),
     "tool": ("tool", "function", "observation", "ipython"),
 }
+#: How a marker may stand at the head of a turn; one turn in so many has none.
+FRAMES, HIDDEN = ("{}: ", "[{}] ", "**{}:** ", "### {}:\n", "<|{}|>\n", "{}> "), 4
 #: Conversations that the fit takes at most, about, by a hash of their ids.
 SAMPLE_CONVERSATIONS = 50_000
-#: Chance that a marker names the right speaker; classes of length (powers of two) and of line counts.
-TRUST, LENGTHS, LINES = 0.995, 24, 9
+#: Classes of length (powers of two).  States: a role that begins a turn, a role that goes on.
+LENGTHS, STATES = 24, 2 * len(ROLES)
+#: Share that the expectation of a feature has in its probabilities, so that classes a state was hardly met with do not decide.
+PRIOR = 0.1
+_NEVER = -1e9
 
 _NAMES = "|".join(sorted((n for names in MARKERS.values() for n in names), key=len, reverse=True))
 #: A marker at the head of a line: an optional frame, the name, and a sign that ends it.
 HEAD = rf"^\s*(?:<\|(?:im_start\|>)?|\[|\*\*|#{{1,3}} )?\s*(?i:({_NAMES}))\s*(?:\d*\s*)(?:\|>|\]\s*:?|:\s*\*\*|\*\*\s*:?|:|>)[ \t]*"
+#: Features, with the number of their classes; a marker's class is 0 for none, else the role's number from 1.
+FEATURES = {"marker": len(ROLES) + 1, "gap_before": 2, "length": LENGTHS, "question": 2}
+
+
+def _marker_prior() -> np.ndarray:
+    """What markers are expected before any are counted: a beginning has its role's marker or none, a line that goes on has none."""
+    out = np.full((STATES, len(ROLES) + 1), 0.01)
+    for state in range(STATES):
+        role, goes_on = divmod(state, 2)
+        out[state, 0] = 1.0 if goes_on else 1 / HIDDEN
+        out[state, role + 1] += 0.0 if goes_on else 1 - 1 / HIDDEN
+    return out / out.sum(1, keepdims=True)
+
+
+def _mixed(counts: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """The shares that were counted, mixed with what is expected; states that were not met have the latter alone."""
+    n = counts.sum(1, keepdims=True)
+    return np.where(n > 0, (1 - PRIOR) * counts / np.maximum(n, 1) + PRIOR * expected, expected)
+
+
+def _alike(counts: np.ndarray) -> np.ndarray:
+    """For each state the share of each class over all states that begin a turn as it does, or go on as it does."""
+    kinds = np.stack([counts[k::2].sum(0) + 1 for k in (0, 1)])
+    return (kinds / kinds.sum(1, keepdims=True))[np.arange(STATES) % 2]
 
 
 @dataclass
 class Model:
-    """Log-probabilities: of starts, of steps, and of each feature's classes by role."""
+    """Log-probabilities: of starts, of steps, and of each feature's classes by state."""
 
     start: np.ndarray
     step: np.ndarray
-    lengths: np.ndarray
-    lines: np.ndarray
-    question: np.ndarray
+    features: dict[str, np.ndarray]
 
     @classmethod
-    def counted(cls, start: np.ndarray, step: np.ndarray, lengths: np.ndarray, lines: np.ndarray, question: np.ndarray) -> Model:
-        logs = [np.log((c + 0.5) / (c + 0.5).sum(-1, keepdims=True)) for c in (start, step, lengths, lines, question)]
-        return cls(*logs)
-
-    def emissions(self, marker: np.ndarray, length: np.ndarray, lines: np.ndarray, question: np.ndarray, markers: bool) -> np.ndarray:
-        out = self.lengths[:, length].T + self.lines[:, lines].T + self.question[:, question].T
-        if markers:
-            n = len(ROLES)
-            known = np.log(np.full((n, n), (1 - TRUST) / (n - 1)) + np.eye(n) * (TRUST - (1 - TRUST) / (n - 1)))
-            out = out + np.where(marker[:, None] >= 0, known[:, np.maximum(marker, 0)].T, 0.0)
-        return out
-
-
-def viterbi(first: np.ndarray, step: np.ndarray, emissions: np.ndarray, last: int | None = None) -> tuple[list[int], np.ndarray]:
-    """The best path from the scores ``first`` of the first state, ending in ``last`` if given; and the final scores."""
-    score = first + emissions[0]
-    back = np.zeros((len(emissions), len(first)), np.int8)
-    for t in range(1, len(emissions)):
-        ways = score[:, None] + step
-        back[t] = ways.argmax(0)
-        score = ways.max(0) + emissions[t]
-    path = [int(score.argmax()) if last is None else last]
-    for t in range(len(emissions) - 1, 0, -1):
-        path.append(int(back[t][path[-1]]))
-    return path[::-1], score
+    def counted(cls, start: np.ndarray, step: np.ndarray, features: dict[str, np.ndarray]) -> Model:
+        logs = lambda c: np.log((c + 0.5) / (c + 0.5).sum(-1, keepdims=True))
+        state = np.arange(STATES)
+        goes_on, role = state % 2 == 1, state // 2
+        first, steps = logs(start), logs(step)
+        first[goes_on] = _NEVER
+        steps[(role[:, None] != role[None, :]) & goes_on[None, :]] = _NEVER
+        return cls(first, steps, {name: np.log(_mixed(c, _marker_prior() if name == "marker" else _alike(c))) for name, c in features.items()})
+
+    def emissions(self, observed: dict[str, np.ndarray], markers: bool) -> np.ndarray:
+        """Scores of each line's features in each state; without ``markers``, of the others."""
+        return sum(table[:, observed[name]].T for name, table in self.features.items() if markers or name != "marker")
+
+
+def viterbi(first: np.ndarray, step: np.ndarray, emissions: np.ndarray) -> np.ndarray:
+    """The best paths of several sequences of equal length, from (sequences, lines, states) to (sequences, lines)."""
+    score = first + emissions[:, 0]
+    back = np.zeros(emissions.shape, np.int8)
+    for t in range(1, emissions.shape[1]):
+        ways = score[:, :, None] + step
+        back[:, t] = ways.argmax(1)
+        score = ways.max(1) + emissions[:, t]
+    path = np.empty(emissions.shape[:2], np.int64)
+    path[:, -1] = score.argmax(1)
+    every = np.arange(len(path))
+    for t in range(emissions.shape[1] - 1, 0, -1):
+        path[:, t - 1] = back[every, t, path[:, t]]
+    return path
 
 
 def between(step: np.ndarray, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every first and last state of a segment the best score, and the states on that path as (rows, first * roles + last)."""
-    n, rows = len(ROLES), len(emissions)
-    scores = np.full((n, n), -math.inf)
-    paths = np.zeros((rows, n * n), np.int8)
-    for a in range(n):
-        first = np.full(n, -1e300)
-        first[a] = 0.0
-        score = first + emissions[0]
-        back = np.zeros((rows, n), np.int8)
-        for t in range(1, rows):
-            ways = score[:, None] + step
-            back[t] = ways.argmax(0)
-            score = ways.max(0) + emissions[t]
-        scores[a] = score
-        state = np.arange(n)
-        paths[rows - 1, a * n : a * n + n] = state
-        for t in range(rows - 1, 0, -1):
-            state = back[t][state]
-            paths[t - 1, a * n : a * n + n] = state
-    return scores, paths
+    """For every first and last state of a segment the best score, and the states on that path as (lines, first * STATES + last)."""
+    n, rows = len(step), len(emissions)
+    score = np.where(np.eye(n, dtype=bool), 0.0, -1e300) + emissions[0]
+    back = np.zeros((rows, n, n), np.int8)
+    for t in range(1, rows):
+        ways = score[:, :, None] + step
+        back[t] = ways.argmax(1)
+        score = ways.max(1) + emissions[t]
+    paths = np.empty((rows, n, n), np.int8)
+    paths[-1] = np.arange(n)
+    for t in range(rows - 1, 0, -1):
+        paths[t - 1] = np.take_along_axis(back[t], paths[t].astype(np.int64), 1)
+    return score, paths.reshape(rows, n * n)
 
 
 def stitched(model: Model, segments: list[np.ndarray]) -> list[int]:
     """For each segment of one conversation, in order, the index of its pair of first and last state."""
-    n = len(ROLES)
+    n = len(model.start)
     ways = model.start[:, None] + segments[0]
     score, entry = ways.max(0), [np.argmax(ways, 0)]
     befores = [np.zeros(n, int)]
@@ -128,137 +160,168 @@ def stitched(model: Model, segments: list[np.ndarray]) -> list[int]:
     return out[::-1]
 
 
-def marker_of(role: Column) -> Column:
-    """The number of the role that a name stands for, -1 if none."""
-    out = F.lit(-1)
-    name = F.lower(F.btrim(role.cast("string")))
+def role_of(name: Column) -> Column:
+    """The number of the role that a name stands for, null if none."""
+    name, out = F.lower(F.btrim(name.cast("string"))), F.lit(None).cast("int")
     for i, r in enumerate(ROLES):
         out = F.when(name.isin(*MARKERS[r]), F.lit(i)).otherwise(out)
-    return F.coalesce(out, F.lit(-1))
+    return out
 
 
-def laid_out(conversations: DataFrame) -> DataFrame:
-    """The rows in order, with their features; staged, so that what follows finds them in place."""
+def split_lines(rows: DataFrame) -> DataFrame:
+    """The lines of ``text`` that are not empty: all other columns, ``line``, ``raw`` and ``gap``, the empty lines before (one before the first)."""
+    lines = rows.withColumn("_l", F.split("text", "\n", -1)).withColumn("_i", F.filter(F.transform("_l", lambda x, i: F.when(F.btrim(x, F.lit(" \t\r")) != "", i)), lambda i: i.isNotNull()))
+    each = F.transform("_i", lambda i, k: F.struct(k.alias("line"), F.get("_l", i).alias("raw"), F.when(k == 0, F.lit(1)).otherwise(i - F.get("_i", k - 1) - 1).alias("gap")))
+    return lines.select(*(c for c in rows.columns if c != "text"), F.inline(each))
+
+
+def flattened(conversations: DataFrame) -> DataFrame:
+    """The lines of the transcripts of a table of turns: ``conv_id, turn, _rid, role`` of the turn, ``line, raw, gap``."""
+    prepare(conversations.sparkSession)
     rows = with_row_id(conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), text_of().alias("text")))
-    head = F.regexp_extract("text", HEAD, 1)
-    body = F.btrim(F.regexp_replace("text", HEAD, ""))
-    named = marker_of(F.col("role"))
-    out = rows.select(
-        "conv_id", "turn", "_rid", "role", body.alias("body"),
-        F.when(named >= 0, named).otherwise(marker_of(head)).cast("int").alias("marker"),
-    )
+    number = role_of(F.col("role"))
+    pick = F.xxhash64("conv_id", "turn", "text")
+    names = F.element_at(F.array(*(F.array(*map(F.lit, MARKERS[r])) for r in ROLES)), number + 1)
+    name = F.get(names, F.pmod(F.shiftright(pick, 8), F.size(names)).cast("int"))
+    shown = F.element_at(F.array(*(F.concat(F.lit(f.split("{}")[0]), F.initcap(name), F.lit(f.split("{}")[1])) for f in FRAMES)), (F.pmod(F.shiftright(pick, 24), F.lit(len(FRAMES))) + 1).cast("int"))
+    marked = number.isNotNull() & ((F.pmod(pick, F.lit(HIDDEN)) != 0) | (F.btrim("text", F.lit(" \t\r\n")) == ""))
+    return split_lines(rows.withColumn("text", F.when(marked, F.concat(shown, "text")).otherwise(F.col("text"))))
+
+
+def from_transcripts(transcripts: DataFrame, id_column: str = "conv_id", text: str = "text") -> DataFrame:
+    """The lines of flat transcripts, one a row, as :func:`flattened` gives them."""
+    rows = with_row_id(transcripts.select(F.col(id_column).alias("conv_id"), F.lit(0).cast("long").alias("turn"), text_of(text).alias("text"), F.lit(None).cast("string").alias("role")))
+    return split_lines(rows.select("conv_id", "turn", "_rid", "role", "text"))
+
+
+def laid_out(lines: DataFrame) -> DataFrame:
+    """The lines in order, with their features and ``truth``, the state that the given role tells; staged, so that what follows finds them in place."""
+    body = F.btrim(F.regexp_replace("raw", HEAD, ""), F.lit(" \t\r"))
     size = F.least(F.floor(F.log2(F.length("body") + 1)), F.lit(LENGTHS - 1))
-    count = F.least(F.size(F.split("body", "\n")) - 1, F.lit(LINES - 1))
-    out = out.withColumns({"length": size.cast("int"), "lines": count.cast("int"), "question": F.col("body").endswith("?").cast("int")})
-    return stage(out.repartitionByRange("conv_id", "turn", "_rid").sortWithinPartitions("conv_id", "turn", "_rid").withColumn("_part", F.spark_partition_id()), "turns")
-
-
-def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int, bool]]:
-    """One table of a task's rows, and the bounds of each run of one conversation; true where the run may go on elsewhere."""
-    found = [b for b in batches if b.num_rows]
-    if not found:
-        return
-    rows = pa.Table.from_batches(found)
-    conv = rows.column("conv_id").to_pandas()
-    part = rows.column("_part").to_numpy()
-    codes = pd.factorize(conv, use_na_sentinel=False)[0]
+    out = lines.withColumn("body", body).withColumns({
+        "marker": F.coalesce(role_of(F.regexp_extract("raw", HEAD, 1)) + 1, F.lit(0)),
+        "gap_before": (F.col("gap") > 0).cast("int"),
+        "length": size.cast("int"),
+        "question": F.col("body").endswith("?").cast("int"),
+        "truth": 2 * role_of(F.col("role")) + (F.col("line") > 0).cast("int"),
+    }).drop("raw")
+    order = ("conv_id", "turn", "_rid", "line")
+    return stage(out.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "lines")
+
+
+def runs(batch: pa.RecordBatch) -> list[tuple[int, int, bool]]:
+    """The bounds of each run of one conversation in a batch; true where it may go on elsewhere."""
+    codes = pd.factorize(batch.column("conv_id").to_pandas(), use_na_sentinel=False)[0]
+    part = batch.column("_part").to_numpy()
     broken = part[1:] != part[:-1]
-    cuts = np.flatnonzero((codes[1:] != codes[:-1]) | broken) + 1
-    bounds = [0, *cuts.tolist(), len(part)]
+    bounds = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | broken) + 1).tolist(), len(part)]
     open_at = {0, len(part), *(np.flatnonzero(broken) + 1).tolist()}
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        yield rows, a, b, a in open_at or b in open_at
+    return [(a, b, a in open_at or b in open_at) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def fit(turns: DataFrame, conversations: int = SAMPLE_CONVERSATIONS) -> Model:
+def fit(lines: DataFrame, conversations: int = SAMPLE_CONVERSATIONS) -> Model:
     """Counts over a sample of conversations; steps are counted between neighbours in place."""
-    known = turns.filter("marker >= 0")
+    known = lines.filter("truth IS NOT NULL")
     number = known.agg(F.approx_count_distinct("conv_id")).first()[0]
     million = 1_000_000
     share = million if number <= conversations else math.ceil(million * conversations / number)
-    taken = turns.filter(F.pmod(F.xxhash64("conv_id"), F.lit(million)) < share)
-    n = len(ROLES)
-    start, step = np.zeros(n), np.zeros((n, n))
-    lengths, lines, question = np.zeros((n, LENGTHS)), np.zeros((n, LINES)), np.zeros((n, 2))
+    taken = lines.filter(F.pmod(F.xxhash64("conv_id"), F.lit(million)) < share)
+    n = STATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, steps = np.zeros(n, np.int64), np.zeros((n, n), np.int64)
-        for rows, a, b, _ in segments(batches):
-            marks = rows.column("marker").slice(a, b - a).to_numpy()
-            both = (marks[1:] >= 0) & (marks[:-1] >= 0)
-            np.add.at(steps, (marks[:-1][both], marks[1:][both]), 1)
-            if a and marks[0] >= 0:  # a run that begins inside the task begins its conversation
-                starts[marks[0]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*range(n), *(n + i for i in range(n * n))]), pa.array([*starts.tolist(), *steps.ravel().tolist()])], names=["cell", "n"])
-
-    for cell, count in taken.select("conv_id", "_part", "marker").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
-        if cell < n:
-            start[cell] += count
-        else:
-            step[divmod(cell - n, n)] += count
-    classes = taken.filter("marker >= 0").groupBy("marker", "length", "lines", "question").count()
-    for m, size, count, q, rows in classes.collect():  # at most roles * LENGTHS * LINES * 2 rows
-        lengths[m, size] += rows
-        lines[m, count] += rows
-        question[m, q] += rows
-    return Model.counted(start, step, lengths, lines, question)
-
-
-def decoded(turns: DataFrame, model: Model) -> DataFrame:
-    """``turns`` with ``state`` (markers and features) and ``blind`` (features alone), as numbers of roles."""
-    held = turns.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in turns.columns]
-    schema = f"{', '.join(f'`{c}` {t}' for c, t in turns.dtypes)}, state int, blind int, ways binary, joint array<double>, segment string"
+        counts = np.zeros((n + 1, n), np.int64)  # the last row holds starts
+        for batch in batches:
+            truth = batch.column("truth").to_numpy(zero_copy_only=False) if batch.num_rows else ()
+            for a, b, _ in runs(batch) if batch.num_rows else ():
+                states = np.nan_to_num(np.asarray(truth[a:b], float), nan=-1).astype(int)
+                both = (states[1:] >= 0) & (states[:-1] >= 0)
+                np.add.at(counts, (states[:-1][both], states[1:][both]), 1)
+                if a and states[0] >= 0:  # a run that begins inside a batch begins its conversation
+                    counts[n, states[0]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range((n + 1) * n)), pa.array(counts.ravel())], names=["cell", "n"])
+
+    counts = np.zeros((n + 1, n))
+    for cell, count in taken.select("conv_id", "_part", "truth").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        counts[divmod(cell, n)] += count
+    features = {name: np.zeros((n, classes)) for name, classes in FEATURES.items()}
+    # at most states * classes rows, whatever the size of the table
+    for truth, *values, rows in taken.filter("truth IS NOT NULL").groupBy("truth", *FEATURES).count().collect():
+        for (name, table), value in zip(features.items(), values, strict=True):
+            table[truth, value] += rows
+    return Model.counted(counts[n], counts[:n], features)
+
+
+def decoded(lines: DataFrame, model: Model) -> DataFrame:
+    """``lines`` with ``state`` (markers and features), ``blind`` (features alone) and ``start``, the place of the line that begins the turn."""
+    held = lines.sparkSession.sparkContext.broadcast(model)
+    fields = [c for c in lines.columns if c not in (*FEATURES, "truth")]
+    schema = f"{', '.join(f'`{c}` {t}' for c, t in lines.dtypes if c in fields)}, state int, blind int, start long, ways binary, joint array<double>, segment string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m, task = held.value, TaskContext.get().partitionId()
-        rows, states, ways, joints, names = None, ([], []), [], [], []
-        kinds: list[np.ndarray] = []
-        for rows, a, b, edge in segments(batches):
-            if not kinds:
-                f = [rows.column(c).to_numpy() for c in ("marker", "length", "lines", "question")]
-                kinds = [m.emissions(*f, markers) for markers in (True, False)]
-            if not edge:
-                for out, e in zip(states, kinds, strict=True):
-                    out.extend(viterbi(m.start, m.step, e[a:b])[0])
-                ways.extend([None] * (b - a))
-                joints.extend([None] * (b - a))
-                names.extend([None] * (b - a))
+        for number, batch in enumerate(batches):
+            if not batch.num_rows:
                 continue
-            (s1, p1), (s2, p2) = (between(m.step, e[a:b]) for e in kinds)
-            for out in states:
-                out.extend([None] * (b - a))
-            both = np.concatenate((p1, p2), 1).astype(np.uint8)
-            ways.extend(r.tobytes() for r in both)
-            joints.extend([[*s1.ravel().tolist(), *s2.ravel().tolist()], *[None] * (b - a - 1)])
-            names.extend([f"{task}-{a}"] * (b - a))
-        if rows is None:
-            return
-        more = [pa.array(states[0], pa.int32()), pa.array(states[1], pa.int32()), pa.array(ways, pa.binary()), pa.array(joints, pa.list_(pa.float64())), pa.array(names, pa.string())]
-        table = pa.Table.from_arrays([*(rows.column(c) for c in fields), *more], names=[*fields, "state", "blind", "ways", "joint", "segment"])
-        yield from table.to_batches(max_chunksize=4096)
-
-    found = stage(turns.mapInArrow(run, schema), "decoded")
-    cells = len(ROLES) ** 2
+            rows = batch.num_rows
+            observed = {name: batch.column(name).to_numpy() for name in FEATURES}
+            kinds = [m.emissions(observed, markers) for markers in (True, False)]
+            states, inside = [np.zeros(rows, np.int64) for _ in kinds], np.ones(rows, bool)
+            ways: list[bytes | None] = [None] * rows
+            joints: list[list[float] | None] = [None] * rows
+            names: list[str | None] = [None] * rows
+            by_length: dict[int, list[int]] = {}
+            for a, b, edge in runs(batch):
+                if not edge:
+                    by_length.setdefault(b - a, []).append(a)
+                    continue
+                (s1, p1), (s2, p2) = (between(m.step, e[a:b]) for e in kinds)
+                inside[a:b] = False
+                ways[a:b] = [r.tobytes() for r in np.concatenate((p1, p2), 1).astype(np.uint8)]
+                joints[a] = [*s1.ravel().tolist(), *s2.ravel().tolist()]
+                names[a:b] = [f"{task}-{number}-{a}"] * (b - a)
+            for length, begins in by_length.items():
+                at = np.array(begins)[:, None] + np.arange(length)
+                for out, e in zip(states, kinds, strict=True):
+                    out[at] = viterbi(m.start, m.step, e[at])
+            place = batch.column("_at").to_numpy()
+            begun = np.maximum.accumulate(np.where(inside & (states[0] % 2 == 0), np.arange(rows), 0))
+            found = [pa.array(states[0], pa.int32(), mask=~inside), pa.array(states[1], pa.int32(), mask=~inside), pa.array(place[begun], pa.int64(), mask=~inside)]
+            more = [pa.array(ways, pa.binary()), pa.array(joints, pa.list_(pa.float64())), pa.array(names, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), *found, *more], names=[*fields, "state", "blind", "start", "ways", "joint", "segment"])
+
+    found = stage(lines.drop("truth").mapInArrow(run, schema), "decoded")
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["turn", "_rid"], na_position="first")
-        joint = np.array(group["joint"].tolist()).reshape(len(group), 2, len(ROLES), len(ROLES))
+        group = group.sort_values("_at")
+        joint = np.array(group["joint"].tolist()).reshape(len(group), 2, STATES, STATES)
         return pd.DataFrame({"segment": group["segment"], "pair": stitched(held.value, list(joint[:, 0])), "blind_pair": stitched(held.value, list(joint[:, 1]))})
 
-    # a few rows for each task, whatever the length of a conversation
-    edges = found.filter("joint IS NOT NULL").select("conv_id", "turn", "_rid", "joint", "segment")
-    pairs = edges.groupBy("conv_id").applyInPandas(join, "segment string, pair int, blind_pair int")
-    inner = found.filter("segment IS NULL").select(*fields, "state", "blind")
+    # two rows for each batch at most, whatever the length of a conversation
+    pairs = found.filter("joint IS NOT NULL").select("conv_id", "_at", "joint", "segment").groupBy("conv_id").applyInPandas(join, "segment string, pair int, blind_pair int")
     at = lambda i: F.conv(F.hex(F.expr(f"substring(ways, {i} + 1, 1)")), 16, 10).cast("int")
-    outer = found.filter("segment IS NOT NULL").drop("state", "blind").join(pairs, "segment")
-    return inner.unionByName(outer.select(*fields, at("pair").alias("state"), at(f"{cells} + blind_pair").alias("blind")))
+    cells = STATES**2
+    outer = found.filter("segment IS NOT NULL").drop("state", "blind", "start").join(pairs, "segment")
+    outer = outer.select(*fields, at("pair").alias("state"), at(f"{cells} + blind_pair").alias("blind"))
+    inner = found.filter("segment IS NULL").select(*fields, "state", "blind", "start")
+    return inner.unionByName(_begun(outer, fields))
+
+
+def _begun(lines: DataFrame, fields: list[str]) -> DataFrame:
+    """``lines`` with ``start``: the last beginning of a turn at or before each, in its conversation, whose parts are looked at one by one."""
+    begins = F.when(F.col("state") % 2 == 0, F.col("_at"))
+    own = Window.partitionBy("conv_id", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("start", F.last(begins, ignorenulls=True).over(own))
+    before = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    lasts = lines.groupBy("conv_id", "_part").agg(F.max(begins).alias("last")).select(F.col("conv_id").alias("_c"), F.col("_part").alias("_p"), F.last("last", ignorenulls=True).over(before).alias("_before"))
+    out = [*fields, "state", "blind", "start"]
+    ahead = rows.filter("start IS NULL").join(lasts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_part") == F.col("_p")), "left").withColumn("start", F.coalesce("_before", "_at"))
+    return rows.filter("start IS NOT NULL").select(*out).unionByName(ahead.select(*out))
 
 
 def role_name(state: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(r) for r in ROLES)), state + 1)
+    return F.element_at(F.array(*(F.lit(r) for r in ROLES)), F.floor(state / 2).cast("int") + 1)
 
 
 def rendered(role: Column, body: Column) -> Column:
@@ -267,20 +330,32 @@ def rendered(role: Column, body: Column) -> Column:
     return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), safe, F.lit("<|im_end|>\n"))
 
 
-def from_transcripts(transcripts: DataFrame, id_column: str = "conv_id", text: str = "text") -> DataFrame:
-    """Turns of flat transcripts: a line with a marker at its head, or one after an empty line, begins a turn."""
-    starts = F.regexp_replace(text_of(text), r"(?m)\n[ \t]*\n+", "\n\u0001")
-    starts = F.regexp_replace(starts, rf"(?m){HEAD.replace('^', '^(?=', 1)})", "\u0001")
-    parts = F.filter(F.split(starts, "\u0001+"), lambda x: F.btrim(x) != "")
-    return transcripts.select(F.col(id_column).alias("conv_id"), F.posexplode(parts).alias("turn", "text")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.btrim("text", F.lit(" \n\t\r")).alias("text"))
+def turns_of(lines: DataFrame) -> DataFrame:
+    """The turns that decoded lines make up.
+
+    ``conv_id``; ``turn`` and ``role`` as given for the first line; ``parsed_role``; ``blind_role``, found without
+    markers; ``n_lines``; ``n_given``, how many given turns its lines come from (one where all is right); ``rendered``.
+    """
+    grouped = lines.groupBy("start").agg(
+        F.sort_array(F.collect_list(F.struct("_at", "gap", "body"))).alias("l"),
+        F.min_by(F.struct("conv_id", "turn", "role", "state", "blind"), "_at").alias("first"),
+        F.count_if((F.col("line") == 0) | (F.col("_at") == F.col("start"))).alias("n_given"),
+    )
+    pieces = F.transform("l", lambda x, i: F.when(i == 0, x["body"]).otherwise(F.concat(F.repeat(F.lit("\n"), x["gap"] + 1), x["body"])))
+    parsed = role_name(F.col("first.state"))
+    text = F.btrim(F.array_join(pieces, ""), F.lit(" \t\r\n"))
+    return grouped.select("first.conv_id", "first.turn", "first.role", parsed.alias("parsed_role"), role_name(F.col("first.blind")).alias("blind_role"), F.size("l").cast("long").alias("n_lines"), "n_given", rendered(parsed, text).alias("rendered"))
 
 
 def parse(conversations: DataFrame, model: Model | None = None) -> DataFrame:
-    """``conv_id``, ``turn``, ``role`` as given, ``parsed_role``, ``blind_role`` (without markers) and ``rendered``."""
-    turns = laid_out(conversations)
-    out = decoded(turns, model or fit(turns))
-    parsed = role_name(F.col("state"))
-    return out.select("conv_id", "turn", "role", parsed.alias("parsed_role"), role_name(F.col("blind")).alias("blind_role"), rendered(parsed, F.col("body")).alias("rendered"))
+    """The turns found in the transcripts of ``conversations``; see :func:`turns_of`."""
+    lines = laid_out(flattened(conversations))
+    return turns_of(decoded(lines, model or fit(lines)))
+
+
+def parse_transcripts(transcripts: DataFrame, model: Model, id_column: str = "conv_id", text: str = "text") -> DataFrame:
+    """The turns found in flat transcripts, by a model that was fitted elsewhere."""
+    return turns_of(decoded(laid_out(from_transcripts(transcripts, id_column, text)), model))
 
 
-__all__ = ["HEAD", "Model", "between", "decoded", "fit", "from_transcripts", "laid_out", "parse", "stitched", "viterbi"]
+__all__ = ["HEAD", "Model", "between", "decoded", "fit", "flattened", "from_transcripts", "laid_out", "parse", "parse_transcripts", "stitched", "turns_of", "viterbi"]
