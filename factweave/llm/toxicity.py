@@ -6,6 +6,9 @@ Entries are words or beginnings of words; of several that match at a word the he
 counts, and hits inside exception phrases do not count.  The weights, their sum normalised
 by length and the sum over different entries give a score between 0 and 1.
 
+Exception phrases are two words, one of which an entry matches, that labelled clean documents hold
+and toxic ones do not: they are learnt like the entries, and given ones may be added.
+
 Weights are log-odds of an entry's document frequencies in labelled documents; the three
 numbers of the last step are fitted by logistic regression on hits of a lexicon that did
 not see the document.  The fit takes at most about SAMPLE_ROWS labelled documents, chosen
@@ -13,7 +16,9 @@ by a hash of their ids; what a document is scored by is its text alone.
 
 Results: a null or empty text has no hits and the lowest score; without labels of both
 classes every score is the smoothed share of toxic labels; contradicting labels of one id
-count as toxic; repeated rows are scored each.
+count as toxic; repeated rows are scored each; very long texts are folded and matched like any
+other, in time proportional to their length; an empty table gives an empty one; other columns
+stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,16 +39,16 @@ from pyspark.sql import functions as F
 
 from .common import boxed, stage, text_of, text_slices, unboxed
 
-#: Labelled documents that a fit takes, and entries that a lexicon holds at most.
-SAMPLE_ROWS, MOST_ENTRIES = 20_000, 20_000
+#: Labelled documents that a fit takes, about; with them its lexicon is bounded, too.
+SAMPLE_ROWS = 20_000
 SAMPLE_TASKS = 12
 THRESHOLD = 0.7
 #: Parts of the sample; each is matched with a lexicon of the others.
 FOLDS = 4
 #: Lengths of word beginnings that may become entries; the least log-odds of an entry.
 PREFIXES, LEAST_WEIGHT = range(3, 9), 2.5
-#: Phrases in which a hit means something else.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "take out the trash", "clown fish", "circus clown", "not stupid", "no idiot")
+#: Clean documents that make a phrase of two words an exception, if no toxic one has it.
+LEAST_CLEAN = 5
 
 # Letters of other scripts that look like Latin ones, in pairs.
 _ALIKE = "аaеeоoрpсcуyхxіiјjѕsԁdһhκkοoρpαaνvτtιiεeυuｏo"
@@ -51,12 +57,22 @@ _SUBSTITUTES = "0o1i3e4a5s7tli|i"
 _SIGNS = re.compile(r"[@$](?=[^\W\d_])")
 
 
+#: Names of further characters that show one Latin letter.  Accented ones are letters of their languages and stay.
+_NAMED = re.compile(r"(?:LATIN LETTER SMALL CAPITAL|.* SYMBOL LETTER|.*(?:SQUARED|CIRCLED) LATIN CAPITAL LETTER) ([A-Z])\Z")
+
+
+def _letter(c: str) -> str:
+    """The plain letter that a character shows: by the pairs, or by its name."""
+    m = None if c in _PAIRS or c.isascii() else _NAMED.match(unicodedata.name(c, ""))
+    return _PAIRS.get(c, m[1].lower() if m else c)
+
+
 class _Folds(dict):
     """What each character folds to, found when it is first met."""
 
     def __missing__(self, code: int) -> str:
         c = unicodedata.normalize("NFKC", chr(code)).lower()
-        c = "".join(_PAIRS.get(x, x) for x in c)
+        c = "".join(map(_letter, c))
         self[code] = out = c if c.isalpha() else "" if unicodedata.category(chr(code)) in ("Cf", "Mn") else " "
         return out
 
@@ -81,7 +97,7 @@ def entries(folded: str) -> set[str]:
 @dataclass
 class Lexicon:
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     coefficients: tuple[float, float, float] = (0.0, 0.0, 0.0)
     constant: float | None = None
     automaton: object = field(default=None, repr=False)
@@ -95,33 +111,55 @@ class Lexicon:
             for entry, weight in self.weights.items():
                 a.add_word(entry, (entry, weight))
             for phrase in self.exceptions:
-                p = fold(phrase)
+                p = phrase if phrase[:1] == " " else fold(phrase)
                 a.add_word(p, (p, 0.0))
             if len(a):
                 a.make_automaton()
             self.automaton = a
         return self.automaton
 
-    def features(self, text: str) -> tuple[float, float]:
-        """Weight by length and weight of different entries, both as logarithms."""
-        folded, a = fold(text), self.matcher()
-        if not len(a):
-            return 0.0, 0.0
+    def hits(self, folded: str) -> tuple[dict[int, tuple[float, str]], list[tuple[int, int]]]:
+        """The heaviest entry at each word that has any, by its place, and the ranges of exception phrases."""
         best: dict[int, tuple[float, str]] = {}
         excused: list[tuple[int, int]] = []
-        for end, (entry, weight) in a.iter(folded):
+        a = self.matcher()
+        for end, (entry, weight) in a.iter(folded) if len(a) else ():
             start = end - len(entry) + 1
             if weight == 0.0:
                 excused.append((start, end))
             elif weight > best.get(start, (0.0, ""))[0]:
                 best[start] = (weight, entry)
-        for a_, b_ in excused:
-            for start in [s for s in best if a_ <= s < b_]:
-                del best[start]
+        return best, excused
+
+    def features(self, text: str) -> tuple[float, float]:
+        """Weight by length and weight of different entries, both as logarithms."""
+        folded = fold(text)
+        best, excused = self.hits(folded)
+        if excused and best:
+            places = sorted(best)
+            for first, last in excused:  # each looks at the few hits that it holds
+                i = bisect_left(places, first)
+                while i < len(places) and places[i] < last:
+                    best.pop(places[i], None)
+                    i += 1
         total = sum(w for w, _ in best.values())
         different = {entry: w for w, entry in best.values()}
         return math.log1p(100 * total / (folded.count(" ") + 20)), math.log1p(sum(different.values()))
 
+    def phrases(self, text: str) -> set[str]:
+        """The pairs of words around each hit, as exceptions are written."""
+        folded = fold(text)
+        best, _ = self.hits(folded)
+        if not best:
+            return set()
+        words = folded.split()
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+        out = set()
+        for place in best:
+            i = int(np.searchsorted(starts, place))
+            out |= {f" {words[j]} {words[j + 1]} " for j in (i - 1, i) if 0 <= j < len(words) - 1}
+        return out
+
     def score(self, text: str) -> float:
         if self.constant is not None:
             return self.constant
@@ -152,7 +190,7 @@ def weigh(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[st
     for e in sorted(kept, key=len, reverse=True):
         if any(kept.get(s, 0.0) >= kept[e] for s in shorter(e)):
             del kept[e]
-    return dict(sorted(kept.items(), key=lambda x: (-x[1] * math.sqrt(toxic[x[0]]), x[0]))[:MOST_ENTRIES])
+    return dict(sorted(kept.items()))
 
 
 def shorter(entry: str) -> list[str]:
@@ -198,41 +236,53 @@ def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     return stage(once.select("text", "toxic", F.pmod("least", F.lit(FOLDS)).cast("int").alias("fold")).coalesce(SAMPLE_TASKS), "labelled")
 
 
-def _counts(rows: DataFrame, wanted: frozenset | None) -> dict[int, Counter]:
-    """Documents by entry and fold; only ``wanted`` entries, where given."""
+def _counts(rows: DataFrame, things, least: int) -> dict[int, Counter]:
+    """Documents by thing (what ``things`` finds in a text) and fold, of things that ``least`` of them have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
             for text, part in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
-                here = entries(fold(text))
-                found.update((e, part) for e in (here if wanted is None else here & wanted))
+                found.update((e, part) for e in things(text))
         yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in found], pa.string()), pa.array([p for _, p in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["entry", "fold", "n"])
 
     summed = rows.select("text", "fold").mapInArrow(run, "entry string, fold int, n long").groupBy("entry").pivot("fold", list(range(FOLDS))).agg(F.sum("n")).na.fill(0)
     out: dict[int, Counter] = {f: Counter() for f in range(FOLDS)}
     total = sum((F.col(str(f)) for f in range(FOLDS)), F.lit(0))
-    for entry, *counts in summed.filter(total >= (2 if wanted is None else 1)).toLocalIterator():
+    for entry, *counts in summed.filter(total >= least).toLocalIterator():
         for f, n in enumerate(counts):
             out[f][entry] = n
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon with its weights and coefficients, from the labels of rows that are not held out."""
+def exceptions_of(toxic: Counter, clean: Counter) -> tuple[str, ...]:
+    """Phrases around hits that enough clean documents have and no toxic one."""
+    return tuple(sorted(p for p, n in clean.items() if n >= LEAST_CLEAN and not toxic[p]))
+
+
+def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """A lexicon with its weights, exceptions (besides those given) and coefficients, from the labels of rows that are not held out."""
     taken = sample(documents, labels, rows)
     sizes = {(t, f): n for t, f, n in taken.groupBy("toxic", "fold").count().collect()}
     n_toxic, n_clean = ([sizes.get((t, f), 0) for f in range(FOLDS)] for t in (1, 0))
     total = sum(n_toxic) + sum(n_clean)
     if not sum(n_toxic) or not sum(n_clean):
         return Lexicon({}, exceptions, constant=(sum(n_toxic) + 0.5) / (total + 1) if total else 0.0)
-    toxic = _counts(taken.filter("toxic = 1"), None)
+    bad, good = taken.filter("toxic = 1"), taken.filter("toxic = 0")
+    toxic = _counts(bad, lambda text: entries(fold(text)), 2)
     all_toxic = sum(toxic.values(), Counter())
     bar = least_documents(sum(n_toxic) - max(n_toxic))
-    clean = _counts(taken.filter("toxic = 0"), frozenset(e for e, n in all_toxic.items() if n >= bar))
+    wanted = frozenset(e for e, n in all_toxic.items() if n >= bar)
+    clean = _counts(good, lambda text: entries(fold(text)) & wanted, 1)
     all_clean = sum(clean.values(), Counter())
-    parts = [Lexicon(weigh(all_toxic - toxic[f], all_clean - clean[f], sum(n_toxic) - n_toxic[f], sum(n_clean) - n_clean[f]), exceptions) for f in range(FOLDS)]
-    whole = Lexicon(weigh(all_toxic, all_clean, sum(n_toxic), sum(n_clean)), exceptions)
+    whole = Lexicon(weigh(all_toxic, all_clean, sum(n_toxic), sum(n_clean)))
+    around = [_counts(part, whole.phrases, least) for part, least in ((bad, 1), (good, 1))]
+    all_around = [sum(found.values(), Counter()) for found in around]
+    whole = Lexicon(whole.weights, exceptions + exceptions_of(*all_around))
+    parts = [
+        Lexicon(weigh(all_toxic - toxic[f], all_clean - clean[f], sum(n_toxic) - n_toxic[f], sum(n_clean) - n_clean[f]), exceptions + exceptions_of(*(a - found[f] for a, found in zip(all_around, around, strict=True))))
+        for f in range(FOLDS)
+    ]
     held = taken.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
