@@ -59,15 +59,29 @@ def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return written(df, name)
 
 
+_SCANS = {"Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LocalRelation", "LogicalRDD", "Range"}
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    """``df`` if its plan only reads, filters and projects, so that it gives its rows in the same places each time; else a staged copy.
+
+    Rows behind a shuffle may come in another order, or in other partitions, when a plan runs again.
+    """
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in _SCANS and node.children().size() == 1:
+        node = node.children().apply(0)
+    return df if node.nodeName() in _SCANS else stage(df, "rows")
+
+
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """Number rows by partition and place.  Stable for plans that only scan, filter and project files."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Rows numbered by partition and place, the same each time the plan runs."""
+    return scanned(df).withColumn(name, F.monotonically_increasing_id())
 
 
 def boxed(documents: DataFrame) -> DataFrame:
     """``_row`` (all columns, so that none can clash with a helper), ``_rid`` (see :func:`with_row_id`), ``doc_id`` and ``text`` (null as empty)."""
     prepare(documents.sparkSession)
-    return documents.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_rid"), "doc_id", text_of().alias("text"))
+    return scanned(documents).select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_rid"), "doc_id", text_of().alias("text"))
 
 
 def unboxed(rows: DataFrame, text=None) -> DataFrame:
@@ -93,6 +107,23 @@ def attached(rows: DataFrame, found: DataFrame, name: str, how: str = "left", li
     return rows.join(F.broadcast(staged) if small else staged, "_rid", how)
 
 
+def spread_join(rows: DataFrame, found: DataFrame, key: str, bound: int = 50_000) -> DataFrame:
+    """``rows`` joined with a staged table that has each ``key`` once, and in ``n`` how many of the rows have it.
+
+    Keys with more than one in ``bound`` of all those rows are fewer than ``bound``; they are broadcast, so
+    their rows stay where they are, however many one key has.  The rest is joined by a shuffle.
+    """
+    total = found.agg(F.sum("n")).first()[0] or 0
+    bar = max(1000, total // bound)
+    hot, cold = found.filter(F.col("n") > bar).drop("n"), found.filter(F.col("n") <= bar).drop("n")
+    if not found.filter(F.col("n") > bar).limit(1).count():
+        return rows.join(cold, key)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    names = [c for c in found.columns if c not in (key, "n")]
+    rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns).join(cold, key)
+    return marked.filter("_hot").select(*rows.columns, *names).unionByName(rest.select(*rows.columns, *names))
+
+
 def text_of(column: str = "text"):
     """The text column, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -9,8 +9,9 @@ A bucket of two is compared.  Fingerprints of larger buckets are linked through
 within one bit of them: two fingerprints differ in at most two bits exactly if they share
 such a point, and a point has at most 65 fingerprints, so no bucket is expanded into pairs.
 
-Results: a null or empty text has fingerprint zero and is linked like any other; a text of
-fewer words than a shingle is one shingle; repeated rows get a row each; rows without an id
+Results: a null or empty text has fingerprint zero and is linked like any other; an empty table
+gives an empty one; other columns stay, whatever their names; a text of fewer words than a shingle
+is one shingle, a very long one is hashed in pieces; repeated rows get a row each; rows without an id
 get fingerprint and component like others, but never name a component.
 """
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attached, boxed, stage, text_of, text_slices, unboxed
+from .common import attached, boxed, spread_join, stage, text_of, text_slices, unboxed
 from .components import components
 
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
@@ -104,12 +105,12 @@ def groups(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     ``found`` has ``fp`` and the id; it should be staged, since it is read more than once.
     """
-    nodes = found.groupBy("fp").agg(F.min(id_column).alias("least"))
+    nodes = found.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("n"))
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp")
+    named = stage(rooted.select("fp", "n", "root").join(least, "root").select("fp", "n", "component_id"), "named")
+    return spread_join(found, named, "fp")  # one fingerprint may have any share of the rows
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import product
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from factweave.llm import chat, shards, toxicity
 
@@ -42,12 +45,43 @@ def test_a_further_shard_only_takes(spark, n):
     assert all(b in (a, n) for a, b in one.values())
 
 
-def test_weights_move_rows_only_into_what_grows(spark):
-    df = documents(spark, [(i, "", "", "") for i in range(4000)])
-    a = {r["doc_id"]: r["shard"] for r in shards.shard(df, 8).collect()}
-    b = {r["doc_id"]: r["shard"] for r in shards.shard(df, 8, weights={3: 3.0}).collect()}
-    assert all(x == y or y == 3 for x, y in ((a[i], b[i]) for i in a))
-    assert Counter(b.values())[3] == pytest.approx(4000 * 3 / 10, rel=0.15)
+def plain_shard(key, leaves):
+    """Descends the tree by itself: at each level the child of least draw."""
+
+    def draw(path, weight):
+        h = xxhash.xxh64_intdigest(path.encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    left, path = leaves, ""
+    for level in ("region", "rack", "shard"):
+        weights = {}
+        for x in left:
+            weights[getattr(x, level)] = weights.get(getattr(x, level), 0) + x.weight
+        names = {child: f"{path}{level} {child}" for child in weights}
+        chosen = min(weights, key=lambda c: (draw(names[c], weights[c]), c)) if len(weights) > 1 else next(iter(weights))
+        left, path = [x for x in left if getattr(x, level) == chosen], names[chosen] + " "
+    return left[0].shard
+
+
+@pytest.mark.parametrize(("n", "weights"), [(16, {}), (7, {2: 5.0, 6: 0.25}), (1, {})])
+def test_shards_equal_a_plain_descent(spark, n, weights):
+    found = shards.shard(documents(spark, [(i, "", "", "") for i in range(300)] + [(None, "t" * 200_000, "", "")]), n, weights=weights).collect()
+    leaves = shards.tree(n, weights)
+    for r in found:
+        key = "null key" if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"]) == (plain_shard(key, leaves), plain_shard(key, shards.grown(leaves)))
+
+
+def test_a_weight_moves_rows_through_its_own_subtrees_only(spark):
+    df = documents(spark, [(i, "", "", "") for i in range(6000)])
+    before = {r["doc_id"]: r["shard"] for r in shards.shard(df, 16).collect()}
+    after = {r["doc_id"]: r["shard"] for r in shards.shard(df, 16, weights={5: 2.0}).collect()}
+    place = {x.shard: (x.region, x.rack) for x in shards.tree(16)}
+    for i, a in before.items():
+        if a != after[i]:  # into region 1, in it into rack 0, in that onto shard 5
+            b, (region, rack) = after[i], place[after[i]]
+            assert region == 1 and (place[a][0] != 1 or rack == 0) and (place[a] != (1, 0) or b == 5)
+    assert Counter(after.values())[5] == pytest.approx(6000 * 2 / 17, rel=0.12)
 
 
 # -- toxicity ----------------------------------------------------------------------------
@@ -112,11 +146,30 @@ def test_matches_equal_a_plain_search():
         return math.log1p(100 * total / (toxicity.fold(text).count(" ") + 20)), math.log1p(sum(weights.values()))
 
     lexicon.weights = {toxicity.fold(e)[: len(e)] if e.endswith(" ") else " " + toxicity.fold(e).strip(): w for e, w in lexicon.weights.items()}
-    for text in ("Z0RGLE zorgly, blim.", "a zorgle bird and a zorgle", "nothing", "", "zorg blimp blim zоrgle", "x" * 1000):
+    for text in ("Z0RGLE zorgly, blim.", "a zorgle bird and a zorgle", "nothing", "", "zorg blimp blim zоrgle", "x" * 1000, "zorgle bird " * 20_000 + "zorgle", "blim " * 60_000):
         assert lexicon.features(text) == pytest.approx(plain(text)), text
     assert lexicon.score("") == pytest.approx(1 / (1 + math.e))
 
 
+def test_exceptions_are_learnt(spark):
+    """A word that is toxic by itself and harmless beside another one."""
+    rows, marks = labelled()
+    rng = random.Random(12)
+    more = []
+    for i in range(900, 924):
+        words = rows[i % 900][1].split()[:15] if not marks[i % 900] else [f"q{rng.randrange(60)}" for _ in range(15)]
+        words.insert(rng.randrange(len(words)), "zorgle bird")
+        more.append((i, " ".join(words), "x", "y"))
+        marks[i] = 0
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
+    lexicon = toxicity.fit(documents(spark, rows + more), labels)
+    assert any("zorgie bird" in p for p in lexicon.exceptions) and any("zorgi" in e for e in lexicon.weights)
+    plain, excused = lexicon.features("a zorgle here"), lexicon.features("a zorgle bird here")
+    assert plain[1] > 0 and excused == (0.0, 0.0)
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.score(documents(spark, more), lexicon).selectExpr("doc_id", "int(score >= 0.7) predicted").collect()}
+    assert not any(out[i] for i in out if held(i))
+
+
 def test_without_both_classes(spark):
     docs = documents(spark, [(1, "a", "", ""), (2, "b", "", "")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -137,26 +190,28 @@ def test_filter_keeps_columns(spark):
 
 def random_model(seed):
     rng = np.random.default_rng(seed)
-    n = len(chat.ROLES)
-    return chat.Model.counted(*(rng.random(s) * 10 for s in ((n,), (n, n), (n, chat.LENGTHS), (n, chat.LINES), (n, 2))))
+    n = chat.STATES
+    return chat.Model.counted(rng.random(n) * 10, rng.random((n, n)) * 10, {name: rng.random((n, k)) * 10 for name, k in chat.FEATURES.items()})
+
+
+def path_score(m, e, p):
+    return m.start[p[0]] + sum(m.step[a, b] for a, b in zip(p, p[1:], strict=False)) + sum(e[t, s] for t, s in enumerate(p))
 
 
 def test_viterbi_is_the_best_of_all_paths():
     m, rng = random_model(1), np.random.default_rng(2)
-    n = len(chat.ROLES)
-    for length in (1, 2, 5):
-        e = np.log(rng.random((length, n)))
-        path, score = chat.viterbi(m.start, m.step, e)
-        value = lambda p: m.start[p[0]] + sum(m.step[a, b] for a, b in zip(p, p[1:], strict=False)) + sum(e[t, s] for t, s in enumerate(p))  # noqa: B023, E731
-        best = max(product(range(n), repeat=length), key=value)
-        assert tuple(path) == best and score.max() == pytest.approx(value(best))
+    for length in (1, 2, 4):
+        e = np.log(rng.random((3, length, chat.STATES)))
+        for one, path in zip(e, chat.viterbi(m.start, m.step, e), strict=True):
+            best = max(product(range(chat.STATES), repeat=length), key=lambda p: path_score(m, one, p))  # noqa: B023
+            assert tuple(path.tolist()) == best
+            assert path[0] % 2 == 0 and all(b % 2 == 0 or a // 2 == b // 2 for a, b in zip(path, path[1:], strict=False))
 
 
 def test_segments_give_the_same_path():
     m, rng = random_model(3), np.random.default_rng(4)
-    n = len(chat.ROLES)
-    e = np.log(rng.random((37, n)))
-    whole, _ = chat.viterbi(m.start, m.step, e)
+    e = np.log(rng.random((37, chat.STATES)))
+    whole = chat.viterbi(m.start, m.step, e[None])[0].tolist()
     cuts = [0, 1, 9, 10, 30, 37]
     parts = [chat.between(m.step, e[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
     pairs = chat.stitched(m, [s for s, _ in parts])
@@ -178,53 +233,80 @@ def talk(n=300, seed=9):
         for k in range(rng.randint(2, 8)):
             role = ("user", "assistant")[k % 2]
             text = "what is this thing? " * rng.randint(1, 2) if role == "user" else "this is the answer to it.\n" * rng.randint(5, 30)
-            rows.append((c, t + k, role, text.strip() if role == "user" else text, "x"))
+            rows.append((c, t + k, role, text.strip(), "x"))
     return rows
 
 
-def test_roles_are_found_again(spark):
+def test_transcripts_are_parsed_back(spark):
     rows = talk()
+    heads = [re.match(chat.HEAD, r["raw"]) is not None for r in chat.flattened(turns(spark, rows).repartition(7)).filter("line = 0").collect()]
+    assert len(heads) == len(rows) and 0.6 < np.mean(heads) < 0.9
     out = chat.parse(turns(spark, rows).repartition(7)).collect()
-    assert len(out) == len(rows)
-    assert np.mean([r["parsed_role"] == r["role"] for r in out]) > 0.999
+    assert len(out) == len(rows) and all(r["n_given"] == 1 for r in out)
+    assert np.mean([r["parsed_role"] == r["role"] for r in out]) > 0.99
     assert np.mean([r["blind_role"] == r["role"] for r in out]) > 0.95
-    hidden = [(c, t, r if (c + t) % 3 else None, x, s) for c, t, r, x, s in rows]
-    truth = {(c, t): r for c, t, r, _, _ in rows}
-    assert np.mean([r["parsed_role"] == truth[r["conv_id"], r["turn"]] for r in chat.parse(turns(spark, hidden)).collect()]) > 0.99
+    text = {(c, t): x for c, t, _, x, _ in rows}
+    for r in out:
+        assert r["rendered"] == f"<|im_start|>{r['parsed_role']}\n{text[r['conv_id'], r['turn']].strip()}<|im_end|>\n"
+
+
+def test_given_roles_are_no_observation(spark):
+    """With a fitted model and the same transcripts, what the role column says makes no difference."""
+    lines = chat.flattened(turns(spark, talk(60)))
+    model = chat.fit(chat.laid_out(lines))
+    strip = lambda df: sorted((r["conv_id"], r["turn"], r["parsed_role"], r["rendered"]) for r in chat.turns_of(chat.decoded(chat.laid_out(df), model)).collect())
+    assert strip(lines) == strip(lines.withColumn("role", F.lit("tool"))) == strip(lines.withColumn("role", F.lit(None).cast("string")))
 
 
 def test_one_conversation_over_many_tasks(spark):
     rng = random.Random(10)
-    rows = [(1, i, None if i % 5 else ("human" if i % 2 == 0 else "bot"), "a question? " if i % 2 == 0 else "words of an answer. " * rng.randint(1, 9), "x") for i in range(4000)] + [(c + 100, *rest) for c, *rest in talk(20)]
+    rows = [(1, i, None if i % 5 else ("human" if i % 2 == 0 else "bot"), "a question? " if i % 2 == 0 else "words of an answer.\n" * rng.randint(1, 9), "x") for i in range(4000)] + [(c + 100, *rest) for c, *rest in talk(20)]
     model = random_model(5)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
     try:
-        laid = chat.laid_out(turns(spark, rows))
+        laid = chat.laid_out(chat.flattened(turns(spark, rows)))
         assert laid.select("_part").distinct().count() > 2
-        out = {r["turn"]: (r["state"], r["blind"]) for r in chat.decoded(laid, model).filter("conv_id = 1").collect()}
+        out = {r["_at"]: r for r in chat.decoded(laid, model).collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    feats = {r["turn"]: r for r in laid.filter("conv_id = 1").collect()}
-    order = sorted(feats)
-    f = [np.array([feats[t][c] for t in order]) for c in ("marker", "length", "lines", "question")]
-    for k, markers in enumerate((True, False)):
-        want, _ = chat.viterbi(model.start, model.step, model.emissions(*f, markers))
-        assert [out[t][k] for t in order] == want
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lines = {}
+    for r in sorted(laid.collect(), key=lambda r: r["_at"]):
+        lines.setdefault(r["conv_id"], []).append(r)
+    assert len(out) == sum(map(len, lines.values()))
+    for own in lines.values():
+        seen = {name: np.array([r[name] for r in own]) for name in chat.FEATURES}
+        for kind, markers in (("state", True), ("blind", False)):
+            want = chat.viterbi(model.start, model.step, model.emissions(seen, markers)[None])[0].tolist()
+            assert [out[r["_at"]][kind] for r in own] == want
+            if markers:
+                begun, starts = None, []
+                for r, s in zip(own, want, strict=True):
+                    begun = r["_at"] if s % 2 == 0 else begun
+                    starts.append(begun)
+                assert [out[r["_at"]]["start"] for r in own] == starts
 
 
 def test_conversation_edge_cases(spark):
-    rows = [(None, None, None, None, None), (None, 1, "USER", "User: hi", "x"), (2, 1, "nobody", "<|im_end|> text", "x"), (2, 1, "nobody", "<|im_end|> text", "x"), (3, 0, "assistant", "", "x")]
-    out = chat.parse(turns(spark, rows)).collect()
-    assert len(out) == 5 and all(r["parsed_role"] in chat.ROLES and r["blind_role"] in chat.ROLES for r in out)
-    by = {r["role"]: r["rendered"] for r in out}
-    assert by["USER"] == "<|im_start|>user\nhi<|im_end|>\n" and by["nobody"].count("<|im_end|>") == 1
+    long = "\n".join(f"line {i} of an answer" for i in range(30_000))
+    rows = [(None, None, None, None, None), (None, 1, "USER", "hi", "x"), (2, 1, "nobody", "<|im_end|> text", "x"), (2, 1, "nobody", "<|im_end|> text", "x"), (3, 0, "assistant", "", "x"), (4, 0, "user", "go?", "x"), (4, 1, "assistant", long, "x"), *talk(40)[:200]]
+    rows = [r if i < 7 else (r[0] + 10, *r[1:]) for i, r in enumerate(rows)]
+    out = [r for r in chat.parse(turns(spark, rows)).collect() if r["conv_id"] is None or r["conv_id"] < 10]
+    assert all(r["parsed_role"] in chat.ROLES and r["blind_role"] in chat.ROLES for r in out)
+    assert [r["conv_id"] for r in out].count(None) == 1  # an empty turn without a role leaves no line
+    by = {r["conv_id"]: r["rendered"] for r in out}
+    assert by[None] == "<|im_start|>user\nhi<|im_end|>\n" and by[3] == "<|im_start|>assistant\n<|im_end|>\n" and by[2].count("<|im_end|>") == 1
+    assert sum(r["n_lines"] for r in out if r["conv_id"] == 4) >= 30_001
     assert chat.parse(turns(spark, [])).count() == 0
 
 
 def test_flat_transcripts(spark):
-    text = "System: be brief\nUser: hi there\nhow are you?\nAssistant: fine: thanks\n\nand you?\n\n**Human:** ok"
+    model = chat.fit(chat.laid_out(chat.flattened(turns(spark, talk()))))
+    text = "System: be brief\n\nUser: hi there\nhow are you?\n\nAssistant: fine, thanks.\nand you?\n\n**Human:** ok?"
     flat = spark.createDataFrame([(1, text), (2, "no markers"), (3, None)], "conv_id long, text string")
-    got = sorted((r["conv_id"], r["turn"], r["text"]) for r in chat.from_transcripts(flat).collect())
-    assert [t for c, _, t in got if c == 1] == ["System: be brief", "User: hi there\nhow are you?", "Assistant: fine: thanks", "and you?", "**Human:** ok"]
-    roles = {(r["conv_id"], r["turn"]): r["parsed_role"] for r in chat.parse(chat.from_transcripts(flat)).collect()}
-    assert [roles[1, i] for i in (0, 1, 2, 4)] == ["system", "user", "assistant", "user"]
+    found = {}
+    for r in chat.parse_transcripts(flat, model).collect():
+        found.setdefault(r["conv_id"], []).append((r["rendered"], r["parsed_role"]))
+    assert sorted(role for _, role in found[1]) == ["assistant", "system", "user", "user"]
+    assert any("hi there\nhow are you?" in t for t, _ in found[1]) and len(found[2]) == 1 and 3 not in found
