@@ -8,8 +8,8 @@ the least number of lists is taken that holds RECALL of them.  The rule is the s
 The index is cut into blocks of rows, each with inverted lists of its own (places ordered by
 list, the lists' bounds, one byte per subspace), so that a list of any size is spread over as many
 tasks as it has blocks.  A block goes to its task once, and the queries are streamed past it.  A
-query visits its lists, ranks their rows by asymmetric distance tables, and the best ``rerank`` of a
-block are scored again on the original vectors in double precision.
+query visits its lists, ranks their rows by asymmetric distance tables, and the best of each block are scored
+again on the original vectors in double precision, ``rerank * k`` or more over all blocks.
 
 Results: vectors that are null, all zero, or hold null or non-finite components take no
 part; neither do rows without an id.  Shorter vectors count as padded with zeros, long ones take
@@ -34,7 +34,7 @@ from .topk import QUERY_BLOCK, best, block_bytes, blocks, matrix, streamed, unpa
 
 #: The fit takes about so many rows, by a hash of their ids, and at most twice as many; queries that are held back from it.
 SAMPLE_ROWS, HELD_BACK = 32_768, 256
-#: Share of the held-back queries' neighbours that the visited lists must hold; candidates that a block scores exactly, as a multiple of k.
+#: Share of the held-back queries' neighbours that the visited lists must hold; candidates that are scored exactly, as a multiple of k.
 RECALL, RERANK = 0.94, 20
 #: Lists for each square root of the rows, as far as the sample has SAMPLE_PER_LIST rows for each; lists that a row stands in.
 LISTS, SAMPLE_PER_LIST, ASSIGNED = 4, 8, 2
@@ -67,11 +67,11 @@ class Quantiser:
         return rows, lists, codes.astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of one query with every code, by subspace."""
-        out = np.zeros((len(self.books), CODES))
+        """Inner products of each query with every code, subspace after subspace."""
+        out = np.zeros((len(q), len(self.books), CODES))
         for i, ((a, b), book) in enumerate(zip(self.spans, self.books, strict=True)):
-            out[i, : len(book)] = book @ q[a:b]
-        return out
+            out[:, i, : len(book)] = q[:, a:b] @ book.T
+        return out.reshape(len(q), -1)
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, many: int = 1, rows: int = 2048) -> np.ndarray:
@@ -181,30 +181,32 @@ class Block:
         return np.concatenate(([len(rows)], bounds, rows)).astype("<i4").tobytes() + codes.tobytes()
 
     def search(self, model: Quantiser, qi: np.ndarray, qv: np.ndarray, k: int, rerank: int) -> tuple[list[np.ndarray], int]:
-        """Query ids, ids and scores of the k best found for each query; and how many rows were looked at."""
+        """Query ids, ids and scores of the k best found for each query; and how many places were looked at."""
         width = max(qv.shape[1], self.x.shape[1])
         exact_q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (qv, self.x))
         near = model.fitted(qv)
         coarse = near @ model.centroids.T
+        tables = model.tables(near)
         sizes = np.diff(self.bounds)
-        subspaces = np.arange(self.codes.shape[1]) * CODES
+        flat = self.codes.astype(np.intp) + np.arange(self.codes.shape[1]) * CODES
+        least = ASSIGNED * (k + 1)  # places that hold k rows besides the query itself, at least
         out, looked = [], 0
         for n, own in enumerate(qi.tolist()):
-            order = np.argsort(-coarse[n], kind="stable")
-            upto = np.searchsorted(np.cumsum(sizes[order]), ASSIGNED * (k + 1)) + 1  # at least k besides the query itself
-            lists = order[: max(model.probes, upto)]
-            lists = lists[sizes[lists] > 0]
-            if not len(lists):
+            lists = np.argpartition(-coarse[n], model.probes - 1)[: model.probes]
+            if sizes[lists].sum() < least:
+                order = np.argsort(-coarse[n], kind="stable")
+                lists = order[: max(model.probes, int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1)]
+            many = sizes[lists]
+            total = int(many.sum())
+            if not total:
                 continue
-            places = np.concatenate([np.arange(self.bounds[i], self.bounds[i + 1]) for i in lists.tolist()])
-            score = np.repeat(coarse[n][lists], sizes[lists]) + model.tables(near[n]).ravel()[self.codes[places] + subspaces].sum(1)
-            rows = self.rows[places]
-            best_of = np.full(len(x), -np.inf)
-            np.maximum.at(best_of, rows, score)
-            rows = np.flatnonzero(best_of > -np.inf)
-            looked += len(rows)
+            places = np.repeat(self.bounds[lists] - (np.cumsum(many) - many), many) + np.arange(total)
+            score = np.repeat(coarse[n][lists], many) + tables[n].take(flat[places]).sum(1)
+            looked += total
+            # a row stands in ASSIGNED lists at most, so the best places hold ``rerank`` rows besides the query
+            best_ = first_by(score, self.rows[places], ASSIGNED * (rerank + 1))
+            rows = np.unique(self.rows[places[best_]])
             rows = rows[self.ids[rows] != own]
-            rows = rows[first_by(best_of[rows], self.ids[rows], rerank)]
             exact = (x[rows] * exact_q[n]).sum(1)
             top = first_by(exact, self.ids[rows], k)
             out.append((np.full(len(top), own), self.ids[rows][top], exact[top]))
@@ -238,6 +240,9 @@ def neighbours(embeddings: DataFrame, queries: DataFrame, k: int, rerank: int =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     held = spark.sparkContext.broadcast(model)  # bounded by the sample
     size = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    block = block_bytes(size[0], size[1], spark.sparkContext.defaultParallelism)
+    # what a block scores exactly is its share of rerank * k, taken twice, as shares vary, and 2 * k at least
+    share = max(2 * k, 2 * rerank * k * block // (8 * max(1, size[1]) * size[0]))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,10 +260,10 @@ def neighbours(embeddings: DataFrame, queries: DataFrame, k: int, rerank: int =
                 if not of("is_query"):
                     block = Block.read(ids, x, of("more"), len(model.centroids))
                     continue
-                found, _ = block.search(model, ids, x, k, rerank * k)
+                found, _ = block.search(model, ids, x, k, min(share, rerank * k))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
-    index = blocks(rows, block_bytes(size[0], size[1], spark.sparkContext.defaultParallelism)).mapInArrow(build, "ids binary, data binary, width int, more binary")
+    index = blocks(rows, block).mapInArrow(build, "ids binary, data binary, width int, more binary")
     found = streamed(blocks(chosen, QUERY_BLOCK).withColumn("more", F.lit(b"")), index).mapInArrow(run, "query_id long, vec_id long, score double")
     return best(found, k)
 

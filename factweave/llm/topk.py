@@ -92,8 +92,8 @@ def unpacked(ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def block_bytes(rows: int, width: int, cores: int, most: int = CANDIDATE_BLOCK) -> int:
-    """The size of candidate blocks: two for each core, of 512 rows at least and ``most`` bytes at most."""
-    return min(most, 8 * max(1, width) * max(512, -(-rows // (2 * cores))))
+    """The size of candidate blocks: about one for each core, of 512 rows at least and ``most`` bytes at most."""
+    return min(most, 8 * max(1, width) * max(512, rows * 5 // (4 * cores)))
 
 
 def streamed(queries: DataFrame, candidates: DataFrame) -> DataFrame:

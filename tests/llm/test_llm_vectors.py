@@ -68,9 +68,9 @@ def test_blocks_stream_past_queries_once(spark):
         assert [r[1] for r in rows] == [False] + [True] * (len(rows) - 1) and len({r[2] for r in rows}) == 1
 
 
-@pytest.mark.parametrize(("rows", "most"), [(500, 0.85), (2000, 0.62), (20_000, 0.45)])
+@pytest.mark.parametrize(("rows", "most"), [(500, 1.0), (2000, 0.7), (20_000, 0.55)])
 def test_lists_save_work_at_every_size(rows, most):
-    """On vectors without any clusters, the hardest there are: recall, and the share of the rows that are looked at."""
+    """On vectors without any clusters, the hardest there are: recall, and the places that are looked at, for each row (which stands in two lists)."""
     rng = np.random.default_rng(6)
     x = rng.normal(size=(rows, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -83,7 +83,7 @@ def test_lists_save_work_at_every_size(rows, most):
     for part in parts:
         places = ann.index_block(model, part, x[part])
         block = ann.Block.read(part, x[part], ann.Block.written(*places), len(model.centroids))
-        (q, i, s), n = block.search(model, queries, x[queries], 20, 400)
+        (q, i, s), n = block.search(model, queries, x[queries], 20, 250)
         looked += n
         for a, b, c in zip(q.tolist(), i.tolist(), s.tolist(), strict=True):
             found[a].append((-c, b))
