@@ -176,7 +176,7 @@ def split_lines(rows: DataFrame) -> DataFrame:
 
 
 def flattened(conversations: DataFrame) -> DataFrame:
-    """The lines of the transcripts of a table of turns: ``conv_id, turn, _rid, role`` of the turn, ``line, raw, gap``."""
+    """The transcripts of a table of turns, piece by piece: ``conv_id, turn, _rid, role`` of the turn and its ``text`` as it stands there."""
     prepare(conversations.sparkSession)
     rows = with_row_id(conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), text_of().alias("text")))
     number = role_of(F.col("role"))
@@ -185,17 +185,22 @@ def flattened(conversations: DataFrame) -> DataFrame:
     name = F.get(names, F.pmod(F.shiftright(pick, 8), F.size(names)).cast("int"))
     shown = F.element_at(F.array(*(F.concat(F.lit(f.split("{}")[0]), F.initcap(name), F.lit(f.split("{}")[1])) for f in FRAMES)), (F.pmod(F.shiftright(pick, 24), F.lit(len(FRAMES))) + 1).cast("int"))
     marked = number.isNotNull() & ((F.pmod(pick, F.lit(HIDDEN)) != 0) | (F.btrim("text", F.lit(" \t\r\n")) == ""))
-    return split_lines(rows.withColumn("text", F.when(marked, F.concat(shown, "text")).otherwise(F.col("text"))))
+    return rows.withColumn("text", F.when(marked, F.concat(shown, "text")).otherwise(F.col("text")))
 
 
 def from_transcripts(transcripts: DataFrame, id_column: str = "conv_id", text: str = "text") -> DataFrame:
-    """The lines of flat transcripts, one a row, as :func:`flattened` gives them."""
+    """Flat transcripts, one a row, as :func:`flattened` gives their pieces."""
     rows = with_row_id(transcripts.select(F.col(id_column).alias("conv_id"), F.lit(0).cast("long").alias("turn"), text_of(text).alias("text"), F.lit(None).cast("string").alias("role")))
-    return split_lines(rows.select("conv_id", "turn", "_rid", "role", "text"))
+    return rows.select("conv_id", "turn", "_rid", "role", "text")
 
 
-def laid_out(lines: DataFrame) -> DataFrame:
-    """The lines in order, with their features and ``truth``, the state that the given role tells; staged, so that what follows finds them in place."""
+def laid_out(pieces: DataFrame) -> DataFrame:
+    """The lines in order, with their features and ``truth``, the state that the given role tells; staged, so that what follows finds them in place.
+
+    Pieces are put in order before they are cut into lines, which keeps it.
+    """
+    order = ("conv_id", "turn", "_rid")
+    lines = split_lines(pieces.repartitionByRange(*order).sortWithinPartitions(*order))
     body = F.btrim(F.regexp_replace("raw", HEAD, ""), F.lit(" \t\r"))
     size = F.least(F.floor(F.log2(F.length("body") + 1)), F.lit(LENGTHS - 1))
     out = lines.withColumn("body", body).withColumns({
@@ -205,8 +210,7 @@ def laid_out(lines: DataFrame) -> DataFrame:
         "question": F.col("body").endswith("?").cast("int"),
         "truth": 2 * role_of(F.col("role")) + (F.col("line") > 0).cast("int"),
     }).drop("raw")
-    order = ("conv_id", "turn", "_rid", "line")
-    return stage(out.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "lines")
+    return stage(out.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "lines")
 
 
 def runs(batch: pa.RecordBatch) -> list[tuple[int, int, bool]]:

@@ -239,7 +239,7 @@ def talk(n=300, seed=9):
 
 def test_transcripts_are_parsed_back(spark):
     rows = talk()
-    heads = [re.match(chat.HEAD, r["raw"]) is not None for r in chat.flattened(turns(spark, rows).repartition(7)).filter("line = 0").collect()]
+    heads = [re.match(chat.HEAD, r["text"]) is not None for r in chat.flattened(turns(spark, rows).repartition(7)).collect()]
     assert len(heads) == len(rows) and 0.6 < np.mean(heads) < 0.9
     out = chat.parse(turns(spark, rows).repartition(7)).collect()
     assert len(out) == len(rows) and all(r["n_given"] == 1 for r in out)
