@@ -62,8 +62,10 @@ def instances(hint: Hint, arities: dict[str, int]) -> Iterator[Rule]:
 
 def _joinable(kb: KnowledgeBase, rules: list[Rule]) -> list[Rule]:
     """The rules each of whose variables stands in columns that meet pairwise; the others entail no fact."""
-    a, b = (kb.domains().select(F.struct("rel", "pos").alias(x), "val") for x in "ab")
-    meet = {(tuple(r["a"]), tuple(r["b"])) for r in a.join(b, "val").select("a", "b").distinct().collect()}  # pairs of the catalogue
+    columns = F.sort_array(F.collect_set(F.struct("rel", "pos")))
+    # the columns that one value stands in; how many such sets there are the catalogue bounds
+    sets = kb.domains().groupBy("val").agg(columns.alias("at")).select("at").distinct().collect()
+    meet = {(tuple(p), tuple(q)) for r in sets for p in r["at"] for q in r["at"]}
 
     def fits(rule: Rule) -> bool:
         places = [(x, (a.relation, i)) for a in rule.atoms for i, x in enumerate(a.args) if isinstance(x, Var)]

@@ -182,9 +182,14 @@ class KnowledgeBase:
         """``rel, arity, pos, val``: one row for each argument of each fact."""
         return self.facts().select("rel", F.size("args").alias("arity"), F.posexplode("args").alias("pos", "val"))
 
+    def values(self) -> DataFrame:
+        """``rel, pos, val``: one row for each different value of each column, found relation by relation."""
+        each = lambda n: F.explode(F.array(*(F.struct(F.lit(i).alias("pos"), F.col(c).alias("val")) for i, c in enumerate(columns(self.arities[n])))))
+        return union(self[n].select(F.lit(n).alias("rel"), each(n).alias("x")).select("rel", "x.pos", "x.val") for n in self.names)
+
     def domains(self) -> DataFrame:
         """``rel, pos, val``: the different values of each column."""
-        return self.cells().select("rel", "pos", "val").distinct()
+        return self.values().distinct()
 
     def constants(self) -> DataFrame:
         """``val``: all symbols of the facts."""

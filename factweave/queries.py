@@ -479,7 +479,7 @@ def _hinted(out):
 
 @query("hint_inverse", f"@, e AS ({_INVERSE}) SELECT {_HINTED} FROM e WHERE pos / size > 0.2 AND pos / (total + length) >= 0.8")
 def hint_inverse(spark, sf_dir):
-    return _hinted(hints.discover(tables_kb(spark, sf_dir), [hints.parse_hint("p(X,Y):-q(Y,X);[]")], 0.2, 0.8))
+    return _hinted(hints.discover(tables_kb(spark, sf_dir).persist(), [hints.parse_hint("p(X,Y):-q(Y,X);[]")], 0.2, 0.8))
 
 
 @query("hint_two_hop", f"@, e AS ({_HOPS}) SELECT {_HINTED} FROM e WHERE pos / size > 0.2 AND pos / (total + length) >= 0.8")
@@ -608,6 +608,22 @@ def recovered_facts(spark, sf_dir):
     return _facts(comp.compress_with(tables_kb(spark, sf_dir).persist(), [*_LIST, _PEER]).recover())
 
 
+@query("compress_sizes", f"""@, {_EDGES}, {_PAIRS}, n AS (SELECT count(*) AS facts FROM cells WHERE pos = 0), cut AS (SELECT count(*) // 2 AS fvs FROM pairs), entailed AS (
+        SELECT (SELECT count(*) FROM cust_region h WHERE (c0, c1) IN (SELECT a.c0, b.c1 FROM cust_nation a JOIN nation_region b ON a.c1 = b.c0))
+            + (SELECT count(*) FROM order_nation h WHERE (c0, c1) IN (SELECT a.c0, b.c1 FROM order_cust a JOIN cust_nation b ON a.c1 = b.c0))
+            + (SELECT count(*) FROM cust_nation h WHERE (c0, c1) IN (SELECT a.c1, b.c1 FROM order_cust a JOIN order_nation b ON a.c0 = b.c0))
+            + (SELECT count(*) FROM supp_peer h WHERE (c0, c1) IN (SELECT c1, c0 FROM supp_peer)) AS e
+    ), wrong AS (
+        SELECT (SELECT count(*) FROM (SELECT DISTINCT a.c0, b.c1 FROM cust_nation a JOIN nation_region b ON a.c1 = b.c0) x WHERE (c0, c1) NOT IN (SELECT c0, c1 FROM cust_region))
+            + (SELECT count(*) FROM (SELECT DISTINCT a.c1 AS c0, b.c1 FROM order_cust a JOIN order_nation b ON a.c0 = b.c0) x WHERE (c0, c1) NOT IN (SELECT c0, c1 FROM cust_nation)) AS w
+    ) SELECT CAST(facts AS BIGINT) AS facts, CAST(e AS BIGINT) AS entailed, CAST(facts - e + fvs AS BIGINT) AS necessary, CAST(w AS BIGINT) AS counterexamples, CAST(fvs AS BIGINT) AS feedback FROM n, cut, entailed, wrong""")
+def compress_sizes(spark, sf_dir):
+    """Sizes of the parts, where not every customer has orders."""
+    s = comp.compress_with(tables_kb(spark, sf_dir).persist(), _LIST).sizes()
+    row = (s["facts"], s["facts"] - s["necessary"] + s["feedback"], s["necessary"], s["counterexamples"], s["feedback"])
+    return spark.createDataFrame([row], "facts long, entailed long, necessary long, counterexamples long, feedback long")
+
+
 _RING = """ring AS (SELECT c0 AS src, coalesce(lead(c0) OVER (PARTITION BY c1 ORDER BY c0), first_value(c0) OVER (PARTITION BY c1 ORDER BY c0)) AS dst FROM supp_nation
         UNION SELECT c1, c0 FROM supp_nation)"""
 
