@@ -4,6 +4,11 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
 All but the last return the columns of ``documents``; the last returns pieces of packed
 sequences.  A document whose lines all occur earlier stays as an empty one until the
 near-dedup stage, which keeps one empty document.
+
+Null texts count as empty, and rows without an id come last wherever documents are ranked; of
+repeated rows, and of rows of equal id, the first in place stays; texts of any length are taken
+whole; empty tables give no rows; columns beside ``doc_id`` and ``text`` go along, whatever their
+names, and ``n_chars`` is counted anew where a stage changes a text.
 """
 
 from __future__ import annotations
