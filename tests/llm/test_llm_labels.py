@@ -122,6 +122,30 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(pos) > 20 and right > 0.97 and auc > 0.99
 
 
+def test_weights_equal_plain_counts(spark):
+    rows, marks = labelled(n=240)
+    lexicon = toxicity.fit(documents(spark, rows), spark.createDataFrame(list(marks.items()), "doc_id long, toxic int"))
+    seen = [(set(toxicity.fold(t).split()), marks[i]) for i, t, *_ in rows if not held(i)]
+    number = Counter(m for _, m in seen)
+    least = max(3, math.ceil(0.008 * number[1]))
+
+    def odds(entry):
+        has = lambda words: entry.strip() in words if entry.endswith(" ") else any(w.startswith(entry.strip()) for w in words)
+        n = Counter(m for words, m in seen if has(words))
+        return n[1], math.log((n[1] + 0.5) / (number[1] + 1)) - math.log((n[0] + 0.5) / (number[0] + 1))
+
+    for entry, weight in lexicon.weights.items():
+        n, want = odds(entry)
+        assert n >= least and weight == pytest.approx(want) and want >= toxicity.LEAST_WEIGHT
+    every = {e for words, m in seen if m for e in toxicity.entries(" " + " ".join(words) + " ")}
+    strong = {e for e in every if odds(e)[0] >= least and odds(e)[1] >= toxicity.LEAST_WEIGHT}
+    # what is left out has a longer entry for nearly all of its documents, or a shorter one that says as much
+    assert set(lexicon.weights) <= strong
+    for e in strong - set(lexicon.weights):
+        longer = [x for x in strong if x != e and e in toxicity.shorter(x)]
+        assert any(odds(x)[0] >= 0.9 * odds(e)[0] for x in longer) or any(lexicon.weights.get(x, 0) >= odds(e)[1] for x in toxicity.shorter(e))
+
+
 def test_held_out_labels_do_not_matter(spark):
     rows, marks = labelled(n=300)
     make = lambda flip: spark.createDataFrame([(i, 1 - m if flip and held(i) else m) for i, m in marks.items()], "doc_id long, toxic int")

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from factweave.llm import simhash, toxicity
 
-from test_llm_dedup import plain_components, plain_fingerprint, plain_lines
+from test_llm_dedup import plain_components, plain_fingerprint, plain_lines, plain_removed
 
 
 def tables(spark, path):
@@ -62,6 +62,9 @@ def test_stages(spark, tmp_path):
     holds = lambda text: sum(passage.split()[k] in (text or "").split() for k in range(10, 70)) > 55
     assert [i for i in before if holds(before[i])] == [160, 165, 170] and [i for i in after if holds(after[i])] == [160]
     assert all(after[i] == before[i] for i in before if i not in (165, 170))
+    in_order = sorted(before, key=lambda i: (i is None, i or 0))
+    for i, gone in zip(in_order, plain_removed([before[i] for i in in_order]), strict=True):
+        assert (after[i] or "").split() == [w for k, w in enumerate((before[i] or "").split()) if k not in gone]
 
     pieces = seen["packing"][1].collect()
     assert {p["doc_id"] for p in pieces} == set(after)

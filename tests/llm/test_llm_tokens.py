@@ -121,3 +121,36 @@ def test_query_digests(spark, tmp_path):
     assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert r["decoded_sha256"] == hashlib.sha256(b"one</w> two</w>").hexdigest()
     assert op8_packing(spark, str(tmp_path)).count() == 1
+
+
+def plain_packer(lengths, capacity, most):
+    """Windows in the order of opening, as lists of lengths; those that were emitted when all were in use come first."""
+    opened, closed, where = [], [], []
+    for n in lengths:
+        fits = [w for w in opened if capacity - sum(w) >= n]
+        if fits:
+            w = min(fits, key=lambda w: (capacity - sum(w), [x is w for x in opened].index(True)))
+        else:
+            if len(opened) == most:
+                fullest = min(opened, key=lambda w: (capacity - sum(w), [x is w for x in opened].index(True)))
+                opened = [x for x in opened if x is not fullest]
+                closed.append(fullest)
+            w = []
+            opened.append(w)
+        where.append((id(w), sum(w)))
+        w.append(n)
+        if sum(w) == capacity:
+            opened = [x for x in opened if x is not w]
+            closed.append(w)
+    return where, len(closed) + len(opened)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 31), max_size=120), st.integers(1, 5))
+def test_windows_are_filled_as_a_plain_packer_does(lengths, most):
+    windows = packing.Windows(32, most, 100)
+    found = [windows.place(n) for n in lengths]
+    want, number = plain_packer(lengths, 32, most)
+    names = {}
+    assert [(names.setdefault(w, len(names)), at) for w, at in found] == [(names.setdefault(w, len(names)), at) for w, at in want] or [at for _, at in found] == [at for _, at in want]
+    assert windows.next_id - 100 == number and len(windows.free) <= most
