@@ -19,6 +19,10 @@ from .sources.facts import read_facts, write_result
 from .sources.store import write_bundle, write_graph
 
 
+# Short names of models.  They differ in what they cache, which is one search here, but for the symmetric one.
+MODELS = {"full": "full", "T": "full", "M": "full", "C": "full", "To": "observed", "symmetric": "symmetric", "Y": "symmetric"}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="factweave", description="Compress relational facts by rules.")
     p.add_argument("facts", nargs="?", help="tab-separated facts: relation, arguments")
@@ -36,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-s", "--column-similarity", type=float, default=0.1)
     p.add_argument("-p", "--stop-ratio", "--stop-comp-rate", type=float, default=0.9)
     p.add_argument("-e", "--metric", "--eval-metric", choices=[m.value for m in Metric], default=Metric.CAPACITY.value)
-    p.add_argument("-m", "--model", choices=["full", "symmetric"], default="full")
+    p.add_argument("-m", "--model", choices=list(MODELS), default="full", help="T, M and C are full, To is full and observes, Y is symmetric")
     p.add_argument("-n", "--most-rules", type=int)
     p.add_argument("-g", "--generalise", action="store_true", help="also try to drop arguments of rules")
     p.add_argument("-t", "--threads", type=int, default=4, help="relations searched side by side")
@@ -59,8 +63,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("factweave").getOrCreate()
     config = MinerConfig(
         beam=args.beam, fact_coverage=args.fact_coverage, constant_coverage=args.constant_coverage, strict_constants=True, column_similarity=args.column_similarity,
-        stop_ratio=args.stop_ratio, metric=Metric(args.metric), generalise=args.generalise, most_rules=args.most_rules, threads=args.threads, observe=bool(args.observe),
-        specialise=symmetric_specialisations if args.model == "symmetric" else specialisations,
+        stop_ratio=args.stop_ratio, metric=Metric(args.metric), generalise=args.generalise, most_rules=args.most_rules, threads=args.threads, observe=bool(args.observe) or MODELS[args.model] == "observed",
+        specialise=symmetric_specialisations if MODELS[args.model] == "symmetric" else specialisations,
     )
     times, said = {}, []
     began = last = time.time()

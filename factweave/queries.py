@@ -149,6 +149,14 @@ def records_added_removed(spark, sf_dir):
     return kb["nation_region"]
 
 
+@query("kb_after_delete", f"@, facts(rel, a, b, c) AS ({_FACTS}) SELECT rel, concat_ws(',', a, b, c) AS fact FROM facts WHERE rel NOT IN ('turn_role', 'doc_lang')")
+def kb_after_delete(spark, sf_dir):
+    kb = tables_kb(spark, sf_dir)
+    for name in ("turn_role", "doc_lang"):
+        kb.delete(name)
+    return kb.facts().select("rel", F.concat_ws(",", "args").alias("fact"))
+
+
 # -- profiles ----------------------------------------------------------------------------
 
 
@@ -602,6 +610,16 @@ def rule_chained_gain(spark, sf_dir):
     return spark.createDataFrame(rows, "step int, pos double, total double, gain double, cumulated double")
 
 
+@query("generalisations_scored", """@, j AS (SELECT a.c0, b.c1 FROM cust_nation a JOIN nation_region b ON a.c1 = b.c0)
+    SELECT 'cust_region(?,X0):-cust_nation(?,X1),nation_region(X1,X0)' AS rule, (SELECT CAST(count(*) AS DOUBLE) FROM cust_region WHERE c1 IN (SELECT c1 FROM j)) AS pos, (SELECT count(DISTINCT c1) FROM j) * (SELECT n FROM sz) AS total
+    UNION ALL SELECT 'cust_region(X0,?):-cust_nation(X0,X1),nation_region(X1,?)', (SELECT CAST(count(*) AS DOUBLE) FROM cust_region WHERE c0 IN (SELECT c0 FROM j)), (SELECT count(DISTINCT c0) FROM j) * (SELECT n FROM sz)
+    UNION ALL SELECT 'cust_region(X0,X1):-cust_nation(X0,?),nation_region(?,X1)', (SELECT CAST(count(*) AS DOUBLE) FROM cust_region WHERE c0 IN (SELECT c0 FROM cust_nation) AND c1 IN (SELECT c1 FROM nation_region)), CAST((SELECT count(DISTINCT c0) FROM cust_nation) AS DOUBLE) * (SELECT count(DISTINCT c1) FROM nation_region)""")
+def generalisations_scored(spark, sf_dir):
+    """What comes of a rule when one of its arguments is emptied; the last has a body of two parts."""
+    found = {str(r): r for r in cand.generalisations(parse_rule(_LIST[0]))}
+    return scored(tables_kb(spark, sf_dir), list(found.values())).select("rule", "pos", F.col("all").alias("total"))
+
+
 @query("recovered_facts", _FACT_SQL)
 def recovered_facts(spark, sf_dir):
     """The facts that come back after compression by given rules."""

@@ -154,3 +154,35 @@ def test_data_sets_by_name(spark, tmp_path):
         r["none"]
     with pytest.raises(KbError):
         r.add("other", "x", "fp")
+
+
+def test_clusters_need_a_shared_folder(spark):
+    from factweave.sources import shared
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master, given=None):
+            self.sparkContext, self.given = Context(master), given
+            self.conf = self
+
+        def get(self, key, default=None):
+            return self.given or default
+
+    with pytest.raises(shared.NoSharedFolder):
+        shared.shared_dir(Session("spark://host:7077"))
+    assert shared.shared_dir(Session("spark://host:7077", "hdfs://all/see/")) == "hdfs://all/see"
+    assert shared.shared_dir(Session("local[2]")).startswith("file://")
+    df = shared.written(spark.range(3).toDF("x"), "small")
+    assert rows(df) == [(0,), (1,), (2,)]
+    shared.done_with(df)
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        spark.read.schema("x long").parquet(df._factweave_path).collect()
