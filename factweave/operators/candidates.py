@@ -6,7 +6,8 @@ head and body share.  For each parent there are
 
 * its head facts, counted by key, with those entailed before told apart;
 * for each body column that some refinement asks for, the different pairs of key and value; no
-  table ever holds two open columns at once, so none is larger than one refinement's own body;
+  table ever holds two open columns at once; of a body of one atom they are no more than its
+  facts, of a joined body as many as the join has;
   Parts of a body that share no variable are kept apart, and their numbers multiplied;
 * for each head column, its values among the facts that the body reaches, counted.
 
