@@ -47,14 +47,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, rows: int | None = None, compact: bool = False) -> DataFrame:
     """``df`` written into the shared folder and read back; see :func:`sources.shared.written`.
 
     Row identifiers made before it stay as they are.  Where about how many ``rows`` (short
-    ones) it has is known, small ones make few files.
+    ones) it has is known, small ones make few files.  ``compact`` is for tables far smaller than
+    what they are made from: they are gathered to files of the advisory size, not one for each task.
     """
     if rows is not None:
         df = df.coalesce(1 + rows // STAGED_ROWS)
+    if compact:
+        df = df.hint("rebalance")
     prepare(df.sparkSession)
     return written(df, name)
 

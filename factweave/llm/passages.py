@@ -253,7 +253,7 @@ def spans(documents: DataFrame) -> DataFrame:
     rows = rows.withColumnsRenamed({"digests": "digest", "starts": "start", "stops": "stop", "firsts": "first", "sizes": "size"})
     each = rows.filter(~F.col("own"))
     shared = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("rank", "_rid")).alias("keeper")).filter("n > 1")
-    shared = stage(shared.select("digest", "n", F.col("keeper._rid").alias("kept_rid"), F.col("keeper.rank").alias("kept_rank")), "shared-units")
+    shared = stage(shared.select("digest", "n", F.col("keeper._rid").alias("kept_rid"), F.col("keeper.rank").alias("kept_rank")), "shared-units", compact=True)
     place = F.struct("start", "stop", "first", "size").alias("at")
     later = spread_join(each.select("_rid", "digest", place), shared, "digest").filter("_rid <> kept_rid").select("_rid", "at", "kept_rank")
     # a second occurrence in one document goes whoever keeps the first

@@ -115,14 +115,14 @@ def groups(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``fingerprint`` and ``component_id`` of every document."""
-    found = stage(fingerprints(documents), "simhash")
+    found = stage(fingerprints(documents), "simhash", compact=True)
     return groups(found).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One document of each group: the first by id, then by place; rows without an id come last."""
     rows = boxed(documents)
-    found = stage(fingerprints(rows, ["doc_id", "_rid"]), "simhash")
+    found = stage(fingerprints(rows, ["doc_id", "_rid"]), "simhash", compact=True)
     nodes = groups(found)
     rank = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_rid").alias("c"))
     # the component's name may be null where no row has an id; its members then share a fingerprint
