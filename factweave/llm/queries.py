@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, lines, packing, passages, shards, simhash, topk, toxicity
+from . import ann, bpe, chat, clustering, lines, packing, passages, resampling, shards, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -55,6 +55,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.parse(table(spark, sf_dir, "conversations"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(clustering.kept(table(spark, sf_dir, "embeddings"))).rows
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_topk": op2_exact_topk,
@@ -66,10 +78,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_ann": op9_ann,
     "op10_chat": op10_chat,
+    "op11_resampling": op11_resampling,
+    "op12_warc": op12_warc,
+    "op13_hamerly": op13_hamerly,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": lines.SQL,
+    "op11_resampling": resampling.SQL,
+    "op12_warc": warc.SQL,
+    "op13_hamerly": clustering.SQL,
     "op2_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
