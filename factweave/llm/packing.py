@@ -8,7 +8,10 @@ partitions merge theirs by best fit, and the pieces follow.
 
 Nothing but the pieces leaves a task: ids are packed by length, and only their
 checksum is returned.  Results: a null text is packed as an empty one (the closing id
-alone), repeated rows are packed each, an empty table gives no pieces.
+alone); a very long text is encoded whole, long words and long runs of white space by a slower way
+that needs no more stack, and cut into as many windows as it takes; of windows with equal space the first
+opened is taken; repeated rows, and rows without an id, are packed each; an empty table gives no
+pieces; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -41,8 +44,9 @@ _PIECES = T.StructType([
 
 #: Beyond these scripts the two libraries may know different versions of Unicode; such texts take the slower one.
 _RARE = re.compile("[^\x00-ԯḀ-‧　-ヿ一-龥가-힣]")
-#: A word of more letters takes the slower library, whose time stays in proportion.
-_LONG_WORD = 4000
+#: A word of more letters, or a run of as much white space, takes the slower library, whose time and stack stay in proportion.
+_LONG_RUN = 4000
+_LONG_BLANK = re.compile(r"\s{%d}" % _LONG_RUN)
 
 
 @lru_cache(maxsize=2)
@@ -71,9 +75,13 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     quick = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> np.ndarray:
-        if _RARE.search(text) or len(text) > _LONG_WORD and max(map(len, text.split()), default=0) > _LONG_WORD:
-            return np.array(plain.encode(text, add_special_tokens=False).ids, "<u4")
-        return quick.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+        long = len(text) > _LONG_RUN and (_LONG_BLANK.search(text) is not None or max(map(len, text.split()), default=0) > _LONG_RUN)
+        if not long and not _RARE.search(text):
+            try:
+                return quick.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+            except ValueError:  # its patterns gave up
+                pass
+        return np.array(plain.encode(text, add_special_tokens=False).ids, "<u4")
 
     return encode
 

@@ -65,6 +65,19 @@ def test_long_words_in_the_byte_vocabulary():
             assert ours(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_long_white_space_in_the_byte_vocabulary(spark):
+    """Runs that the quick library's stack does not stand, alone and through the operator."""
+    theirs, ours = Tokenizer.from_file(BYTE), packing.encoder(BYTE)
+    texts = [*(c * 10**6 + "x" for c in " \n\t"), "a" + " \n" * 500_000 + "b", "\n" * 10**7 + "x"]
+    counts = []
+    for text in texts:
+        want = theirs.encode(text, add_special_tokens=False).ids
+        assert ours(text).tolist() == want
+        counts.append(len(want) + 1)
+    found = packing.pack(documents(spark, [(i, t, "a", "b") for i, t in enumerate(texts[:4])]), BYTE).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert dict(map(tuple, found)) == dict(enumerate(counts[:4]))
+
+
 def documents(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, sequence_id string")
 
