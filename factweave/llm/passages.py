@@ -14,12 +14,13 @@ places in the original text.  There are three kinds of units:
 
 A unit is removed as a whole, so whatever goes has an earlier equal in one place; where removed
 units overlap or touch they are one span.  Units in which most words repeat one of the four before
-them are no passages and stay: a word said a hundred times is for another operator to judge.
+them in the unit are no passages and stay: a word said a hundred times is for another operator to judge.
 
 Results: a null or empty text has no units, an empty table gives an empty one; repeated rows lose
 their text but for the first, rows of equal id in their order; rows without an id rank last; other
 columns stay, whatever their names; a word is what stands between white space of ASCII.  Texts are
-read in pieces of CHUNK bytes, cut at white space, so very long ones need no more memory.
+taken whole: they are read in pieces of CHUNK bytes, cut at white space, and of each word some 40 bytes
+are held until its text ends, so a very long text needs memory in proportion to its words.
 """
 
 from __future__ import annotations
@@ -100,6 +101,16 @@ def _least(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return place[owner[:n] == owner[WINDOW - 1 :]]
 
 
+def _repeats(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many words of each range equal one of the PERIOD words before them in the range; what stands before the range makes no difference."""
+    again, out = np.zeros(len(words), bool), np.zeros(len(first), np.int64)
+    for k in range(1, min(PERIOD, len(words) - 1) + 1):
+        out += again[np.minimum(first + k - 1, len(words) - 1)] & (first + k - 1 < end)  # a range's k-th word has k - 1 words before it
+        again[k:] |= words[k:] == words[:-k]
+    upto = np.concatenate(([0], np.cumsum(again)))
+    return out + upto[end] - upto[np.minimum(first + PERIOD, end)]
+
+
 def _units(words: np.ndarray, breaks: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digest, first word and end of each unit, in the order of their first words."""
     n = len(words)
@@ -126,11 +137,7 @@ def _units(words: np.ndarray, breaks: np.ndarray, owner: np.ndarray) -> tuple[np
     ends.append(first + RUN_WORDS)
     kinds.append(np.full(len(first), _WINDOW, np.uint64))
     first, end, kind = (np.concatenate(x) for x in (firsts, ends, kinds))
-    again = np.zeros(n, bool)
-    for k in range(1, min(PERIOD, n - 1) + 1):
-        again[k:] |= words[k:] == words[:-k]
-    upto = np.concatenate(([0], np.cumsum(again)))
-    varied = 2 * (upto[end] - upto[first]) <= end - first
+    varied = 2 * _repeats(words, first, end) <= end - first
     first, end, kind = first[varied], end[varied], kind[varied]
     order = np.lexsort((kind, first))
     first, end, kind = first[order], end[order], kind[order]

@@ -215,6 +215,25 @@ def test_units_do_not_depend_on_their_place():
     assert passages.units(b"")[0].size == 0 and passages.units(b" \n ")[0].size == 0
 
 
+def lines_that_are_units(*texts):
+    """For each text of one batch the lines that are units."""
+    batch = pa.RecordBatch.from_pydict({"_rid": list(range(len(texts))), "rank": list(range(len(texts))), "text": list(texts)})
+    (found,) = passages._cut_batch(batch)
+    return [{t[a:b] for a, b in zip(x, y, strict=True) if "\n" not in t[a:b] and t[a:b] in t.split("\n")} for t, x, y in zip(texts, found.column("starts").to_pylist(), found.column("stops").to_pylist(), strict=True)]
+
+
+def test_a_unit_is_one_after_any_text_and_in_any_batch():
+    rng = random.Random(31)
+    for _ in range(400):
+        letters = "abcdefgh"[: rng.randint(2, 8)]
+        line = " ".join(rng.choice(letters) for _ in range(rng.randint(passages.LINE_WORDS, 24)))
+        words = line.split()
+        varied = 2 * sum(w in words[max(0, i - passages.PERIOD) : i] for i, w in enumerate(words)) <= len(words)
+        before = " ".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+        alone, behind, after_others = lines_that_are_units(line)[0], lines_that_are_units(before + "\n" + line)[0], lines_that_are_units(before, before * 3, line)[2]
+        assert (line in alone) == (line in behind) == (line in after_others) == varied
+
+
 def test_units_of_equal_digest_are_equal():
     by_digest = {}
     for t in passage_rows()[0]:
@@ -321,8 +340,8 @@ def plain_units(text):
         part = pairs[i : i + passages.WINDOW]
         begins.add(i + max(k for k, p in enumerate(part) if p == min(part)))
     found += [("window", i, i + passages.RUN_WORDS) for i in begins if i + passages.RUN_WORDS <= len(words)]
-    again = [any(i >= k and words[i] == words[i - k] for k in range(1, passages.PERIOD + 1)) for i in range(len(words))]
-    return sorted((a, kind, b) for kind, a, b in found if 2 * sum(again[a:b]) <= b - a), words
+    varied = lambda unit: 2 * sum(w in unit[max(0, i - passages.PERIOD) : i] for i, w in enumerate(unit)) <= len(unit)
+    return sorted((a, kind, b) for kind, a, b in found if varied(words[a:b])), words
 
 
 def plain_removed(texts):
