@@ -5,29 +5,32 @@ more of the parent's body than one projection.  Let a *key* be the values of the
 head and body share.  For each parent there are
 
 * its head facts, counted by key, with those entailed before told apart;
-* for each body column that some refinement asks for, the different pairs of key and value; no
-  table ever holds two open columns at once; of a body of one atom they are no more than its
-  facts, of a joined body as many as the join has;
+* the keys of its body, with masks that tell for each column that some refinement asks for which columns of the
+  knowledge base, and which constants, hold a value bound with the key; pairs of key and value are never made (:mod:`plans.masks`).
   Parts of a body that share no variable are kept apart, and their numbers multiplied;
+* where a head column may equal one of a body of one atom, the different pairs of key and value, no more than it has facts;
 * for each head column, its values among the facts that the body reaches, counted.
 
-Then a further atom is a join with the long table of column domains, a constant a join with the
-values asked for, an equality a filter or a join of head and body by key and value.  What is
+Then a further atom or a constant is a bit of a mask, or of the head's values a join with the long table of
+column domains; an equality is a filter or a join of head and body by key and value.  What is
 counted are different keys, to which the head's counts are added by one join.  The tables of all
 parents of a level are stacked, so their number does not change the number of jobs.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.compile import RulePlan, body_bindings, connected, name_of, selected
+from ..plans.compile import RulePlan, connected, selected
 from ..plans.fingerprint import Tabu, fingerprint
+from ..plans.masks import Keys, Wish, column_masks, key_of, keys
 from ..plans.rule import Rule, Step, Var
+from ..sources.shared import done_with, written
 from .kb import KnowledgeBase, union
 
 Place = tuple[int, int]
@@ -155,49 +158,47 @@ class Parent:
         own = {v for i in part for v in self.rule.body[i].variables()}
         return [v for v in self.shared if v in own]
 
-    @staticmethod
-    def _key(columns: list[str]) -> Column:
-        return F.array(*columns).cast("array<string>")
-
     def head_key(self, part: tuple[int, ...]) -> Column:
-        return self._key([self.head_column(v) for v in self.bound(part)])
+        return key_of([F.col(self.head_column(v)) for v in self.bound(part)])
 
     def facts(self) -> DataFrame:
         """Facts that fit the head, with ``is_old``."""
         head = self.rule.head
         return selected(self.kb, head, self.kb.marked(head.relation))
 
+    def keyed(self, facts: DataFrame, part: tuple[int, ...], found: Keys) -> DataFrame:
+        """The facts with their ``key`` of a part, in the form that ``found`` has keys."""
+        return found.facts(facts, {v: F.col(self.head_column(v)) for v in self.bound(part)}, self.bound(part))
+
     def reached(self) -> DataFrame:
         """Those of the facts that the body reaches."""
         out = self.facts()
         for part in self.parts:
             if part:
-                out = out.withColumn("key", self.head_key(part)).join(self.keys(part), "key", "left_semi").drop("key")
+                found = self.keys(part)
+                out = self.keyed(out, part, found).join(found.frame.select(found.key(self.bound(part)).alias("key")), "key", "left_semi").drop("key")
         return out
 
-    def keys(self, part: tuple[int, ...], body: tuple | None = None) -> DataFrame:
-        """The different keys of a part of the body, or of the refined ``body``."""
+    def keys(self, part: tuple[int, ...], body: tuple | None = None, wishes: dict | None = None, masks: DataFrame | None = None) -> Keys:
+        """The different keys of connected atoms of the body, or of the refined ``body``."""
         if not part:
-            return self.kb.spark.range(1).select(self._key([]).alias("key"))
+            return Keys(self.kb.spark.range(1).select(F.lit(1.0).alias("w")))
         body, bound = body or self.rule.body, self.bound(part)
-        return body_bindings(self.kb, tuple(body[i] for i in part), bound).select(self._key([name_of(v) for v in bound]).alias("key"))
+        return keys(self.kb, tuple(body[i] for i in part), bound, wishes, masks)
 
     def pairs(self, part: tuple[int, ...], columns: dict[Place | Var, int]) -> DataFrame:
-        """``slot, key, val``: for each numbered column of a part the different pairs of key and value."""
-        bound = self.bound(part)
-        if len(part) == 1:  # one scan and one shuffle for all columns
-            atom = self.rule.body[part[0]]
-            at = lambda c: f"c{atom.args.index(c) if isinstance(c, Var) else c[1]}"
-            each = F.explode(F.array(*(F.struct(F.lit(slot).alias("slot"), F.col(at(c)).alias("val")) for c, slot in columns.items())))
-            rows = selected(self.kb, atom).select(self._key([at(v) for v in bound]).alias("key"), each.alias("x"))
-            return rows.select("x.slot", "key", "x.val").distinct()
-        out = []
-        for c, slot in columns.items():
-            var = c if isinstance(c, Var) else Var(self.rule.n_vars)
-            body = self.rule.body if isinstance(c, Var) else self.rule.with_arg(c, var).body
-            found = body_bindings(self.kb, tuple(body[i] for i in part), bound if var in bound else [*bound, var])
-            out.append(found.select(F.lit(slot).alias("slot"), self._key([name_of(v) for v in bound]).alias("key"), F.col(name_of(var)).alias("val")))
-        return union(out)
+        """``slot, key, val``: for each numbered column of the one atom of a part the different pairs of key and value, by one scan and one shuffle."""
+        atom = self.rule.body[part[0]]
+        at = lambda c: f"c{atom.args.index(c) if isinstance(c, Var) else c[1]}"
+        each = F.explode(F.array(*(F.struct(F.lit(slot).alias("slot"), F.col(at(c)).alias("val")) for c, slot in columns.items())))
+        rows = selected(self.kb, atom).select(key_of([F.col(at(v)) for v in self.bound(part)]).alias("key"), each.alias("x"))
+        return rows.select("x.slot", "key", "x.val").distinct()
+
+    def column_in(self, part: tuple[int, ...], column: Place | Var) -> Place:
+        """Atom of a part and position where a column stands, a variable where it stands first."""
+        if isinstance(column, Var):
+            return next((k, self.rule.body[i].args.index(column)) for k, i in enumerate(part) if column in self.rule.body[i].args)
+        return part.index(column[0] - 1), column[1]
 
 
 def _sums() -> list[Column]:
@@ -213,13 +214,29 @@ class Level:
 
     def __init__(self, kb: KnowledgeBase, domains: DataFrame, sizes: dict[tuple[str, int], int], symbols: int):
         self.kb, self.domains, self.sizes, self.symbols = kb, domains, sizes, float(symbols)
+        self.places = {c: n for n, c in enumerate(sorted(sizes))}
+        self._masks: DataFrame | None = None
+        self._lock = threading.Lock()  # searches run side by side
+
+    @property
+    def masks(self) -> DataFrame:
+        """The columns that hold each symbol; written once, when a joined body is first counted."""
+        with self._lock:
+            if self._masks is None:
+                self._masks = written(column_masks(self.domains, list(self.places)), "masks")
+            return self._masks
+
+    def close(self) -> None:
+        if self._masks is not None:
+            done_with(self._masks)
+            self._masks = None
 
     def count(self, work: list[tuple[Rule, list[Candidate]]]) -> list[list[Count]]:
         """For each parent the counts of its refinements."""
-        ask = _Asked(self.kb)
+        ask = _Asked(self)
         for rule, candidates in work:
             ask.parent(Parent(self.kb, rule), candidates)
-        found = {r["number"]: r for r in ask.frame(self.domains).collect()} if ask.refinements else {}
+        found = {r["number"]: r for r in ask.frame().collect()} if ask.refinements else {}
         size = lambda number: found[number]["n"] if number in found else 0
         out: list[list[Count]] = [[] for _ in work]
         for number, (n, candidate, how, touched) in enumerate(ask.refinements):
@@ -230,6 +247,8 @@ class Level:
                 others *= 1 if k in touched else size(ask.sizes[n, k])
             if how == "body":
                 c.all = (r["n"] if r else 0) * others * self.symbols**p.free
+            elif how == "joined":
+                c.all = (r["n"] if r else 0) * others * self.symbols ** (p.free - 1)
             elif how == "both":
                 c.all = size(ask.slot_size[ask.mixed[number][0]]) * others * self.symbols ** (p.free - 1)
             else:
@@ -245,19 +264,21 @@ class _Asked:
     Numbers from 0 are refinements; those beyond are sizes of parts and of slots.
     """
 
-    def __init__(self, kb: KnowledgeBase):
-        self.kb = kb
+    def __init__(self, level: Level):
+        self.kb, self.level = level.kb, level
         self.parents: list[Parent] = []
         #: Parent, refinement, where it works, and the parts that it touches.
         self.refinements: list[tuple[int, Candidate, str, tuple[int, ...]]] = []
         self.n_slots = 0
-        self.slots: dict[tuple[int, int], dict[Place | Var, int]] = {}  # body columns by parent and part
+        self.wishes: dict[tuple[int, int], dict[Place, Wish]] = {}  # what is asked of body columns by parent and part
+        self.slots: dict[tuple[int, int], dict[Place | Var, int]] = {}  # columns of bodies of one atom that a head column may equal
         self.values: list[dict[Place | Var, int]] = []  # head columns by parent
         self.domain: list[tuple[int, int, str, int]] = []
         self.constant: list[tuple[int, int, str]] = []
         self.mixed: dict[int, tuple[int, int]] = {}
         self.meeting: dict[tuple[int, int], set[int]] = {}  # slots of head columns that meet a column of a part
         self.in_body: list[tuple[int, int, tuple[int, ...], tuple]] = []
+        self.joined: list[tuple[int, int, Parent, tuple[int, ...]]] = []  # head and a joined body share a further variable
         self.in_head: list[list[tuple[int, str, str]]] = []
         self.sizes: dict[tuple[int, int], int] = {}
         self.slot_size: dict[int, int] = {}
@@ -285,6 +306,10 @@ class _Asked:
                     how = "both"
                     (head, _), (body, part) = sorted(zip(step.args, parts, strict=True), key=lambda x: x[1] is not None)
                     touched = (part,)
+                    if len(p.parts[part]) > 1:
+                        self.joined.append((n, number, Parent(self.kb, c.rule), p.parts[part]))
+                        self.refinements.append((n, c, "joined", touched))
+                        continue
                     self.mixed[number] = (self._slot(body, self.slots.setdefault((n, part), {})), self._slot(head, self.values[n]))
                     self.meeting.setdefault((n, part), set()).add(self.mixed[number][1])
                 else:
@@ -294,15 +319,24 @@ class _Asked:
                 column = step.args[3] if step.case in (2, 4) else step.args[0]
                 part = p.part_of(column)
                 how, touched = ("head", ()) if part is None else ("body", (part,))
-                slot = self._slot(column, self.values[n] if part is None else self.slots.setdefault((n, part), {}))
+                if part is not None:
+                    wish = self.wishes.setdefault((n, part), {}).setdefault(p.column_in(p.parts[part], column), Wish())
+                    if step.case == 5:
+                        wish.constants[step.args[1]] = number
+                    elif (step.args[0], step.args[2]) in self.level.places:
+                        wish.places[self.level.places[step.args[0], step.args[2]]] = number
+                    self.refinements.append((n, c, how, touched))
+                    continue
+                slot = self._slot(column, self.values[n])
                 if step.case == 5:
                     self.constant.append((number, slot, step.args[1]))
                 else:
                     self.domain.append((number, slot, step.args[0], step.args[2]))
             self.refinements.append((n, c, how, touched))
 
-    def frame(self, domains: DataFrame) -> DataFrame:
+    def frame(self) -> DataFrame:
         """``number, new, old, n``: one row for each refinement and for each size that is needed beside."""
+        domains = self.level.domains
         spark, used = self.kb.spark, sorted({n for n, *_ in self.refinements})
         number_of: dict[tuple[int, tuple[int, ...]], int] = {}  # parent and parts that are counted together
         group = lambda n, parts: F.lit(number_of.setdefault((n, parts), len(number_of))).alias("grp")
@@ -323,21 +357,35 @@ class _Asked:
             p = self.parents[n]
             pairs.append(p.pairs(p.parts[k], slots).withColumn("grp", group(n, (k,))))
         table = union(pairs) if pairs else None
-        if table is not None:
-            hits += [x.select("number", "grp", "key").distinct() for x in joined(table)]
+        own_heads: list[tuple[Parent, tuple[int, ...], Keys, Column]] = []  # groups whose keys have a form of their own
+
+        def met(n: int, p: Parent, atoms: tuple[int, ...], found: Keys, numbers: list[Column], shared: tuple[int, ...] | None) -> None:
+            """Keys, each with the refinements of ``numbers`` that bind it, to be met by the facts of a parent, as far as they have the form that all of its groups share."""
+            if found.classes or shared is None:
+                grp = F.lit(number_of.setdefault((n, ("own", len(own_heads))), len(number_of))).alias("grp")
+                own_heads.append((p, atoms, found, grp))
+            else:
+                grp = group(n, shared)
+            hits.append(found.frame.select(F.array_compact(F.array(*numbers)).alias("numbers"), grp, found.key(p.bound(atoms)).alias("key"), "w"))
+
         for (n, k), number in self.sizes.items():
             p = self.parents[n]
-            hits.append(p.keys(p.parts[k]).select(F.lit(number).alias("number"), group(n, (k,)), "key"))
+            found = p.keys(p.parts[k], None, self.wishes.get((n, k)), self.level.masks if (n, k) in self.wishes else None)
+            met(n, p, p.parts[k], found, [F.lit(number), *(F.when(is_in, F.lit(i)) for i, is_in in found.numbers.items())], (k,))
         for n, number, parts, body in self.in_body:
             p = self.parents[n]
             atoms = tuple(sorted(i for k in parts for i in p.parts[k]))
-            hits.append(p.keys(atoms, body).select(F.lit(number).alias("number"), group(n, parts), "key"))
+            met(n, p, atoms, p.keys(atoms, body), [F.lit(number)], parts)
+        for n, number, p, atoms in self.joined:
+            met(n, p, atoms, p.keys(atoms), [F.lit(number)], None)
+        for p, atoms, found, grp in own_heads:
+            heads.append(p.keyed(p.reached() if len(p.parts) > 1 else p.facts(), atoms, found).groupBy("key").agg(*_marks()).withColumn("grp", grp))
         for n in used:
             p, single = self.parents[n], self.values[n]
             seen = p.reached()
             facts = seen if len(p.parts) > 1 else p.facts()  # with a single part the join below tells what is reached
             for (m, parts), _ in list(number_of.items()):
-                if m == n:
+                if m == n and parts[:1] != ("own",):
                     atoms = tuple(sorted(i for k in parts for i in p.parts[k]))
                     heads.append(facts.groupBy(p.head_key(atoms).alias("key")).agg(*_marks()).withColumn("grp", group(n, parts)))
             if single:
@@ -351,8 +399,10 @@ class _Asked:
             if self.in_head[n]:
                 cases = F.array(*(F.when(F.col(a) == F.col(b), F.lit(number)) for number, a, b in self.in_head[n]))
                 equal.append(seen.select("is_old", F.explode(F.array_compact(cases)).alias("number")).groupBy("number").agg(*_marks()))
-        none = F.lit(None).cast("long")
-        out = [union(hits).join(union(heads), ["grp", "key"], "left").groupBy("number").agg(*_sums(), F.count("*").alias("n"))]
+        none = F.lit(None).cast("double")
+        # a key meets its facts once, whatever the number of refinements that bind it
+        held = union(hits).join(union(heads), ["grp", "key"], "left").select(F.explode("numbers").alias("number"), "new", "old", "w")
+        out = [held.groupBy("number").agg(*_sums(), F.sum("w").alias("n"))]
         if counted:
             equal += joined(union(counted))
         if equal:
@@ -363,8 +413,8 @@ class _Asked:
             out.append(met.groupBy("number").agg(*_sums()).select("number", "new", "old", none.alias("n")))
             first = len(self.refinements) + len(self.sizes)
             self.slot_size = {slot: first + slot for slot, _ in self.mixed.values()}
-            sized = table.filter(F.col("slot").isin(*self.slot_size)).groupBy("slot").agg(F.count("*").alias("n"))
-            out.append(sized.select((F.col("slot") + first).alias("number"), none.alias("new"), none.alias("old"), "n"))
+            sized = table.filter(F.col("slot").isin(*self.slot_size)).groupBy("slot").agg(F.count("*").cast("double").alias("n"))
+            out.append(sized.select((F.col("slot") + first).alias("number"), F.lit(None).cast("long").alias("new"), F.lit(None).cast("long").alias("old"), "n"))
         return union(out)
 
 

@@ -70,6 +70,7 @@ class Miner:
         self.monitor = {"duplicate": 0, "invalid": 0, "tabu": 0, "low_coverage": 0, "evaluated": 0, "rounds": 0}
 
     def close(self) -> None:
+        self.level.close()
         self.values.unpersist()
 
     def order(self, item: tuple[Rule, Eval]) -> tuple:

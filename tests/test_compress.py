@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factweave.functions.scores import Eval, Metric, evaluation
 from factweave.operators import candidates as cand
@@ -10,6 +11,7 @@ from factweave.operators import compress, datagen, evidence, graph, hints, recov
 from factweave.operators.evaluate import scored
 from factweave.operators.kb import KbError, KnowledgeBase
 from factweave.operators.search import Miner, MinerConfig
+from factweave.plans import masks
 from factweave.plans.rule import parse_rule
 from factweave.sources import store
 
@@ -73,6 +75,58 @@ def test_components_by_colouring_equal_tarjan(spark):
     assert graph.acyclic(left) and not graph.acyclic(df)
 
 
+def graph_of(spark, edges):
+    return spark.createDataFrame(sorted(edges), "src string, dst string")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_reduced_graphs_equal_tarjan(spark, seed):
+    """Random graphs with chains, rings and chords put in, reduced and coloured."""
+    rng = random.Random(seed)
+    edges = {(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(30)} | {("lone", "lone")}
+    for k in range(6):
+        way = [f"n{rng.randrange(25)}", *(f"{rng.choice('az')}{k}_{i}" for i in range(rng.randint(1, 9))), f"n{rng.randrange(25)}"]
+        edges |= set(zip(way[:-1], way[1:], strict=True))
+    for k in range(3):
+        ring = [f"ring{k}_{i}" for i in range(rng.randint(2, 6))]
+        edges |= set(zip(ring, [*ring[1:], ring[0]], strict=True))
+    by_node = {}
+    for a, b in edges:
+        by_node.setdefault(a, []).append(b)
+    want = sorted((n, min(part)) for part in graph.tarjan(by_node) for n in part)
+    df = graph_of(spark, edges)
+    assert rows(graph.components(df)) == rows(graph.components(df, core_edges=0)) == want
+    chosen = {r["node"] for r in graph.feedback_set(df, core_edges=0).collect()}
+    left = {}
+    for a, b in edges:
+        if not {a, b} & chosen:
+            left.setdefault(a, []).append(b)
+    assert not graph.tarjan(left)
+    assert not graph.acyclic(df)
+
+
+def test_long_rings_and_paths_take_few_rounds(spark):
+    n = 50_000
+    path = spark.range(n).select(F.concat(F.lit("p"), "id").alias("src"), F.concat(F.lit("p"), F.col("id") + 1).alias("dst"))
+    ring = spark.range(n).select(F.concat(F.lit("r"), "id").alias("src"), F.concat(F.lit("r"), (F.col("id") + 1) % n).alias("dst"))
+    assert graph.reduced(path).rounds <= 2 and graph.acyclic(path)
+    found = graph.components(path.unionByName(ring), core_edges=0)
+    assert found.groupBy("component").count().collect() == [("r0", n)]
+    assert graph.feedback_set(ring, found, core_edges=1000).collect() == [("r0", "r0")]
+
+
+def test_feedback_sets_of_a_large_component_are_small(spark):
+    """One component in rounds against the greedy choice one by one."""
+    rng = random.Random(7)
+    edges = {(f"n{i}", f"n{rng.randrange(150)}") for i in range(150) for _ in range(3)} | {(f"n{rng.randrange(150)}", f"n{rng.randrange(5)}") for _ in range(150)}
+    by_node = {}
+    for a, b in edges:
+        by_node.setdefault(a, set()).add(b)
+    chosen = {r["node"] for r in graph.feedback_set(graph_of(spark, edges), core_edges=40).collect()}
+    assert not graph.tarjan({a: [b for b in m if b not in chosen] for a, m in by_node.items() if a not in chosen})
+    assert len(chosen) <= 1.2 * len(graph.feedback_vertices(by_node))
+
+
 # Small cases of each kind of rule and what its closure must be.
 RECOVERY = [
     ({"h": ["a b"]}, ["h(?,?):-"], {"h": ["a a", "b b", "c c"]}, "d", {"h": {(x, y) for x in "abcd" for y in "abcd"} - {("a", "a"), ("b", "b"), ("c", "c")}}),
@@ -147,16 +201,94 @@ def test_parts_of_a_body_are_not_multiplied(spark):
     assert scored(kb, [rule]).select("pos", "all").first()[:] == (1.0, 1e6)
     domains = kb.domains()
     found = cand.admitted(cand.specialisations(rule, kb.arities, {}), cand.Seen())
-    ask = cand._Asked(kb)
+    level = cand.Level(kb, domains, cand.domain_sizes(domains), 4002)
+    ask = cand._Asked(level)
     ask.parent(cand.Parent(kb, rule), found)
-    assert ask.frame(domains).count() <= len(found) + 2
+    assert ask.frame().count() <= len(found) + 2
     p = cand.Parent(kb, rule)
-    assert all(p.keys(part).count() == 1000 for part in p.parts)
-    counts = cand.Level(kb, domains, cand.domain_sizes(domains), 4002).count([(rule, found)])[0]
+    assert all(p.keys(part).frame.count() == 1000 for part in p.parts)
+    counts = level.count([(rule, found)])[0]
     want = {r["rule"]: (r["pos"], r["all"]) for r in scored(kb, [c.rule for c in found]).collect()}
     assert {str(c.rule): (n.new, n.all - n.old) for c, n in zip(found, counts, strict=True)} == want
 
 
+JOINED = [
+    "h(X,?):-p(X,Y),q(Y,?)",
+    "h(X,Y):-p(X,Z),q(Z,Y)",
+    "h(X,Y):-p(X,Z),q(Z,V),p(Y,V)",
+    "h(X,?):-p(X,Y),q(Y,Z),p(Z,X)",
+    "h(?,?):-p(X,Y),q(Y,?)",
+    "r(X,Y,?):-p(X,Z),r(Z,Y,?),q(Z,?)",
+    "h(X,Y):-p(X,Z),q(Z,?),r(Y,?,V),q(V,?)",
+    "r(X,a1,Y):-r(X,Z,?),r(Z,Y,Y)",
+]
+
+
+@pytest.mark.parametrize("text", JOINED)
+def test_refinements_of_joined_bodies_equal_each_by_itself(spark, text):
+    rng = random.Random(text)
+    name = lambda: f"a{rng.randint(0, 5)}"
+    kb = kb_of(spark, {"h": [f"{name()} {name()}" for _ in range(14)], "p": [f"{name()} {name()}" for _ in range(9)], "q": [f"{name()} {name()}" for _ in range(8)], "r": [f"{name()} {name()} {name()}" for _ in range(20)]}).persist()
+    rule = parse_rule(text)
+    kb.entail(rule.head.relation, [tuple(kb[rule.head.relation].first())])
+    domains = kb.domains()
+    constants = {("q", 1): ["a1", "a2"], ("h", 1): ["a0"], ("r", 2): ["a3"], ("p", 0): ["a1", "none"]}
+    found = cand.admitted(cand.specialisations(rule, kb.arities, constants), cand.Seen())
+    level = cand.Level(kb, domains, cand.domain_sizes(domains), kb.constants().count())
+    counts = level.count([(rule, found)])[0]
+    got = {str(c.rule): (n.new, n.all - n.old) for c, n in zip(found, counts, strict=True)}
+    # all but the further atoms, of which some; each is a plan of its own
+    some = [c.rule for c in found if c.step.case in (1, 3, 5)] + [c.rule for c in found if c.step.case in (2, 4)][::5]
+    for i in range(0, len(some), 12):
+        for r in scored(kb, some[i : i + 12]).collect():
+            assert got[r["rule"]] == (r["pos"], r["all"]), r["rule"]
+    level.close()
+    kb.unpersist()
+
+
+def test_more_columns_and_constants_than_a_mask_has_bits(spark, monkeypatch):
+    monkeypatch.setattr(masks, "BITS", 3)
+    test_refinements_of_joined_bodies_equal_each_by_itself(spark, JOINED[0])
+
+
+def test_joined_bodies_make_no_pairs(spark):
+    """200 by 300 values meet in each of five groups: 60,000 keys and as many pairs of key and column, that no operator makes."""
+    kb = KnowledgeBase(spark)
+    kb.attach("left", spark.range(1000).selectExpr("'l' || id", "'g' || id % 5")).attach("right", spark.range(1500).selectExpr("'r' || id", "'g' || id % 5"))
+    kb.attach("both", spark.range(1000).selectExpr("'l' || id", "'r' || (id + id % 2)"))
+    domains = kb.domains()
+    level = cand.Level(kb, domains, cand.domain_sizes(domains), kb.constants().count())
+    for text in ("both(X,?):-left(X,Z),right(?,Z)", "both(X,Y):-left(X,Z),right(Y,Z)"):
+        rule = parse_rule(text)
+        found = cand.admitted(cand.specialisations(rule, kb.arities, {("right", 0): ["r7"], ("left", 1): ["g1"]}), cand.Seen())
+        ask = cand._Asked(level)
+        ask.parent(cand.Parent(kb, rule), found)
+        frame = ask.frame()
+        frame.collect()
+        assert most_rows(frame) <= 20 * (1000 + 1500)
+        counts = dict(zip((str(c.rule) for c in found), level.count([(rule, found)])[0], strict=True))
+        some = [c.rule for c in found if c.step.case in (1, 3, 5)] + [c.rule for c in found if c.step.case in (2, 4)][::7]
+        for r in scored(kb, some).collect():
+            assert (counts[r["rule"]].new, counts[r["rule"]].all - counts[r["rule"]].old) == (r["pos"], r["all"])
+    level.close()
+
+
+def most_rows(frame):
+    """The most rows that a join or generator of the plan gave, when it ran last."""
+    plan, out = frame._jdf.queryExecution().executedPlan(), 0
+    nodes = [plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") and plan.nodeName().startswith("Adaptive") else plan]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+            continue
+        name, metric = node.nodeName(), node.metrics().get("numOutputRows")
+        if ("Join" in name or "Generate" in name or "Cartesian" in name) and metric.isDefined():
+            out = max(out, metric.get().value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
 def test_products_beyond_reason_are_refused(spark, monkeypatch):
     from factweave.plans import compile as plans
 
