@@ -20,7 +20,7 @@ parents of a level are stacked, so their number does not change the number of jo
 from __future__ import annotations
 
 import threading
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..plans.compile import RulePlan, connected, selected
 from ..plans.fingerprint import Tabu, fingerprint
-from ..plans.masks import Keys, Wish, column_masks, key_of, keys
+from ..plans.masks import Keys, Wish, column_masks, key_of, keys, with_masks
 from ..plans.rule import Rule, Step, Var
 from ..sources.shared import done_with, written
 from .kb import KnowledgeBase, union
@@ -179,12 +179,12 @@ class Parent:
                 out = self.keyed(out, part, found).join(found.frame.select(found.key(self.bound(part)).alias("key")), "key", "left_semi").drop("key")
         return out
 
-    def keys(self, part: tuple[int, ...], body: tuple | None = None, wishes: dict | None = None, masks: DataFrame | None = None) -> Keys:
+    def keys(self, part: tuple[int, ...], body: tuple | None = None, wishes: dict | None = None, masked: Callable[[str], DataFrame] | None = None) -> Keys:
         """The different keys of connected atoms of the body, or of the refined ``body``."""
         if not part:
             return Keys(self.kb.spark.range(1).select(F.lit(1.0).alias("w")))
         body, bound = body or self.rule.body, self.bound(part)
-        return keys(self.kb, tuple(body[i] for i in part), bound, wishes, masks)
+        return keys(self.kb, tuple(body[i] for i in part), bound, wishes, masked)
 
     def pairs(self, part: tuple[int, ...], columns: dict[Place | Var, int]) -> DataFrame:
         """``slot, key, val``: for each numbered column of the one atom of a part the different pairs of key and value, by one scan and one shuffle."""
@@ -216,20 +216,22 @@ class Level:
         self.kb, self.domains, self.sizes, self.symbols = kb, domains, sizes, float(symbols)
         self.places = {c: n for n, c in enumerate(sorted(sizes))}
         self._masks: DataFrame | None = None
+        self._masked: dict[str, DataFrame] = {}
         self._lock = threading.Lock()  # searches run side by side
 
-    @property
-    def masks(self) -> DataFrame:
-        """The columns that hold each symbol; written once, when a joined body is first counted."""
+    def masked(self, relation: str) -> DataFrame:
+        """A relation with the masks of its values; written once, when it is first asked for."""
         with self._lock:
             if self._masks is None:
                 self._masks = written(column_masks(self.domains, list(self.places)), "masks")
-            return self._masks
+            if relation not in self._masked:
+                self._masked[relation] = written(with_masks(self.kb[relation], self._masks), "masked")
+            return self._masked[relation]
 
     def close(self) -> None:
-        if self._masks is not None:
-            done_with(self._masks)
-            self._masks = None
+        for df in [*self._masked.values(), *([] if self._masks is None else [self._masks])]:
+            done_with(df)
+        self._masks, self._masked = None, {}
 
     def count(self, work: list[tuple[Rule, list[Candidate]]]) -> list[list[Count]]:
         """For each parent the counts of its refinements."""
@@ -370,7 +372,7 @@ class _Asked:
 
         for (n, k), number in self.sizes.items():
             p = self.parents[n]
-            found = p.keys(p.parts[k], None, self.wishes.get((n, k)), self.level.masks if (n, k) in self.wishes else None)
+            found = p.keys(p.parts[k], None, self.wishes.get((n, k)), self.level.masked)
             met(n, p, p.parts[k], found, [F.lit(number), *(F.when(is_in, F.lit(i)) for i, is_in in found.numbers.items())], (k,))
         for n, number, parts, body in self.in_body:
             p = self.parents[n]
@@ -384,10 +386,10 @@ class _Asked:
             p, single = self.parents[n], self.values[n]
             seen = p.reached()
             facts = seen if len(p.parts) > 1 else p.facts()  # with a single part the join below tells what is reached
-            for (m, parts), _ in list(number_of.items()):
-                if m == n and parts[:1] != ("own",):
-                    atoms = tuple(sorted(i for k in parts for i in p.parts[k]))
-                    heads.append(facts.groupBy(p.head_key(atoms).alias("key")).agg(*_marks()).withColumn("grp", group(n, parts)))
+            shared = [(grp, tuple(sorted(i for k in parts for i in p.parts[k]))) for (m, parts), grp in number_of.items() if m == n and parts[:1] != ("own",)]
+            if shared:  # one pass over the facts for all groups
+                groups = F.explode(F.array(*(F.struct(F.lit(grp).alias("grp"), p.head_key(atoms).alias("key")) for grp, atoms in shared)))
+                heads.append(facts.select("is_old", groups.alias("g")).groupBy("g.grp", "g.key").agg(*_marks()))
             if single:
                 each = F.explode(F.array(*(F.struct(F.lit(s).alias("slot"), F.col(p.head_column(c)).alias("val")) for c, s in single.items())))
                 if {x[1] for x in (*self.domain, *self.constant)} & set(single.values()):

@@ -18,10 +18,10 @@ of their neighbours exceeds, then the rest is trimmed and chains are passed agai
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -249,13 +249,26 @@ def _coloured(core: DataFrame) -> DataFrame:
     return spark.createDataFrame([], "node string, component string") if out is None else out
 
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """The feedback vertices of one small component."""
-    graph: dict[str, set[str]] = {}
-    for a, b in zip(group["src"], group["dst"], strict=True):
-        graph.setdefault(a, set()).add(b)
-    nodes = feedback_vertices(graph)
-    return pd.DataFrame({"node": nodes, "component": [group["component"].iloc[0]] * len(nodes)})
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The feedback vertices of components that follow one another; there may be very many small ones."""
+
+    def chosen(name: str, graph: dict[str, set[str]]) -> list[tuple[str, str]]:
+        return [(n, name) for n in feedback_vertices(graph)]
+
+    name, graph = None, {}
+    for batch in batches:
+        out: list[tuple[str, str]] = []
+        for component, src, dst in zip(*(batch.column(c).to_pylist() for c in ("component", "src", "dst")), strict=True):
+            if component != name:
+                out += chosen(name, graph)
+                name, graph = component, {}
+            graph.setdefault(src, set()).add(dst)
+        yield _chosen(out)
+    yield _chosen(chosen(name, graph))
+
+
+def _chosen(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["node", "component"])
 
 
 def feedback_set(edges: DataFrame, found: DataFrame | None = None, core_edges: int = CORE_EDGES) -> DataFrame:
@@ -268,7 +281,7 @@ def feedback_set(edges: DataFrame, found: DataFrame | None = None, core_edges: i
     inside = cut_lineage(inside)
     large = [r["component"] for r in inside.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > core_edges).collect()]  # few: each has that many edges
     small = inside.filter(~F.col("component").isin(large)) if large else inside
-    out = [small.groupBy("component").applyInPandas(_greedy, "node string, component string")]
+    out = [small.repartition("component").sortWithinPartitions("component").mapInArrow(_greedy, "node string, component string")]
     for name in large:
         one = inside.filter(F.col("component") == name).select("src", "dst")
         out.append(_in_rounds(one, core_edges).select("node", F.lit(name).alias("component")))

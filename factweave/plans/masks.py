@@ -15,6 +15,7 @@ nation make 25 classes on either side, whatever the number of orders.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -25,6 +26,7 @@ from ..operators.kb import KnowledgeBase
 from .compile import name_of, ordered, selected
 from .rule import Atom, Var
 
+Masked = Callable[[str], DataFrame]
 #: Bits of a mask that one column holds.
 BITS = 62
 
@@ -41,6 +43,14 @@ def column_masks(domains: DataFrame, places: list[tuple[str, int]]) -> DataFrame
     return domains.join(bits, ["rel", "pos"]).groupBy("val").agg(*(F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(0)).alias(f"m{w}") for w in words))
 
 
+def with_masks(frame: DataFrame, masks: DataFrame) -> DataFrame:
+    """A relation with the masks of each of its values beside: ``m0_0, m0_1, .., m1_0, ..`` by position and word."""
+    for c in frame.columns:
+        at = c.removeprefix("c")
+        frame = frame.join(masks.select(*(F.col(m).alias(c if m == "val" else f"m{at}_{m.removeprefix('m')}") for m in masks.columns)), c)
+    return frame
+
+
 @dataclass
 class Wish:
     """What is asked of the values in a column of an atom: by number, the places and constants that they may be in."""
@@ -104,25 +114,24 @@ class _Part:
         return _Part(self.frame.join(other.frame, on, "left_semi" if semi else "inner"), self.variables | other.variables, self.masks + other.masks)
 
 
-def _atom(kb: KnowledgeBase, atom: Atom, number: int, needed: set[Var], wishes: dict[int, Wish], masks: DataFrame | None) -> tuple[_Part, dict[int, Column]]:
+def _atom(kb: KnowledgeBase, atom: Atom, number: int, needed: set[Var], wishes: dict[int, Wish], masked: Masked | None) -> tuple[_Part, dict[int, Column]]:
     """An atom's bindings of its needed variables with the masks of the columns that wishes are for, and how to read these."""
-    rows = selected(kb, atom).select(*(F.col(f"c{atom.args.index(v)}").alias(name_of(v)) for v in atom.variables() if v in needed), *(F.col(f"c{i}").alias(f"_s{i}") for i in wishes))
-    names, read = [], {}
+    frame = masked(atom.relation) if any(w.places for w in wishes.values()) else None
+    held, names, read = [], [], {}
     for i, wish in wishes.items():
         at = f"p{number}_{i}_"
-        words = sorted({b // BITS for b in wish.places})
-        if words:
-            rows = rows.join(masks.select(F.col("val").alias(f"_s{i}"), *(F.col(f"m{w}").alias(f"{at}m{w}") for w in words)), f"_s{i}")
-            names += [f"{at}m{w}" for w in words]
-            read |= {n: F.col(f"{at}m{b // BITS}").bitwiseAND(F.lit(bit(b))) != 0 for b, n in wish.places.items()}
+        for w in sorted({b // BITS for b in wish.places}):
+            held.append(F.col(f"m{i}_{w}").alias(f"{at}m{w}"))
+            names.append(f"{at}m{w}")
+        read |= {n: F.col(f"{at}m{b // BITS}").bitwiseAND(F.lit(bit(b))) != 0 for b, n in wish.places.items()}
         values = sorted(wish.constants)
         for w in range(-(-len(values) // BITS)):
             own = values[w * BITS : (w + 1) * BITS]
-            held = reduce(lambda out, x: out.when(F.col(f"_s{i}") == x[1], F.lit(bit(x[0]))), enumerate(own), F.when(F.lit(False), F.lit(0)))  # noqa: B023
-            rows = rows.withColumn(f"{at}c{w}", F.coalesce(held, F.lit(0)).cast("long"))
+            found = reduce(lambda out, x: out.when(F.col(f"c{i}") == x[1], F.lit(bit(x[0]))), enumerate(own), F.when(F.lit(False), F.lit(0)))  # noqa: B023
+            held.append(F.coalesce(found, F.lit(0)).cast("long").alias(f"{at}c{w}"))
             names.append(f"{at}c{w}")
             read |= {wish.constants[x]: F.col(f"{at}c{w}").bitwiseAND(F.lit(bit(k))) != 0 for k, x in enumerate(own)}
-    rows = rows.drop(*(f"_s{i}" for i in wishes))
+    rows = selected(kb, atom, frame).select(*(F.col(f"c{atom.args.index(v)}").alias(name_of(v)) for v in atom.variables() if v in needed), *held)
     if names:
         return _Part(rows, needed, names).cut(needed), read
     if not needed:
@@ -159,13 +168,16 @@ def _classes(part: _Part, own: list[Var]) -> tuple[_Part, DataFrame, DataFrame]:
     return _Part(frame, part.variables, part.masks), found, weights
 
 
-def keys(kb: KnowledgeBase, atoms: tuple[Atom, ...], bound: list[Var], wishes: dict[tuple[int, int], Wish] | None = None, masks: DataFrame | None = None) -> Keys:
-    """The different bindings of ``bound`` in a join of connected atoms, with what is wished for columns (atom, position)."""
+def keys(kb: KnowledgeBase, atoms: tuple[Atom, ...], bound: list[Var], wishes: dict[tuple[int, int], Wish] | None = None, masked: Masked | None = None) -> Keys:
+    """The different bindings of ``bound`` in a join of connected atoms, with what is wished for columns (atom, position).
+
+    ``masked`` gives a relation with its masks (:func:`with_masks`), where places are wished for.
+    """
     wanted, parts, read = set(bound), [], {}
     uses = lambda i: {v for k, a in enumerate(atoms) if k != i for v in a.variables()}
     for i, atom in enumerate(atoms):
         own = {at: w for (k, at), w in (wishes or {}).items() if k == i}
-        part, numbers = _atom(kb, atom, i, set(atom.variables()) & (wanted | uses(i)), own, masks)
+        part, numbers = _atom(kb, atom, i, set(atom.variables()) & (wanted | uses(i)), own, masked)
         parts.append(part)
         read |= numbers
     parts = _eliminated(parts, wanted)

@@ -570,13 +570,32 @@ def mine_tables_recovered(spark, sf_dir):
     return _facts(_mined(spark, sf_dir).recover())
 
 
+_LAWS = {
+    "cust_region(X1,X0):-nation_region(X2,X0),cust_nation(X1,X2)": ("cust_region", "SELECT c.c0, n.c1 FROM cust_nation c JOIN nation_region n ON c.c1 = n.c0"),
+    "doc_lang(X0,lang_en):-doc_quality(X0,?)": ("doc_lang", "SELECT c0, 'lang_en' AS c1 FROM doc_quality"),
+    "nation_region(X1,X0):-cust_region(X2,X0),cust_nation(X2,X1)": ("nation_region", "SELECT n.c1 AS c0, r.c1 FROM cust_nation n JOIN cust_region r ON n.c0 = r.c0"),
+    "order_nation(X1,X0):-cust_nation(X2,X0),order_cust(X1,X2)": ("order_nation", "SELECT o.c0, c.c1 FROM order_cust o JOIN cust_nation c ON o.c1 = c.c0"),
+    "supp_peer(X1,X0):-supp_nation(X0,X2),supp_nation(X1,X2)": ("supp_peer", "SELECT a.c0, b.c0 AS c1 FROM supp_nation a JOIN supp_nation b ON a.c1 = b.c1"),
+}
+_LAW_SQL = " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, (SELECT CAST(count(*) AS DOUBLE) FROM (SELECT c0, c1 FROM {head} INTERSECT {body})) AS pos, (SELECT CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT * FROM ({body}))) AS total"
+    for rule, (head, body) in _LAWS.items()
+)
+
+
+@query("mine_tables_rules", f"@ {_LAW_SQL}")
+def mine_tables_rules(spark, sf_dir):
+    """The rules that the search finds, with what they entail of all facts; the SQL has the rules that it must find at sf0.01, and joins to count them."""
+    return scored(tables_kb(spark, sf_dir), _mined(spark, sf_dir).rules).select("rule", "pos", F.col("all").alias("total"))
+
+
 @query("mine_family")
 def mine_family(spark, sf_dir):
-    """Rules of generated families, by the capacity and by the ratio."""
+    """Rules of generated families, one for each supplier or nation, by the capacity and by the ratio."""
     rows = []
-    for size, families in (("tiny", 100), ("simple", 20)):
+    for size, ids in (("tiny", _table_ids(spark, sf_dir, "supplier", "s_suppkey")), ("simple", _table_ids(spark, sf_dir, "nation", "n_nationkey"))):
         for metric in (scores.Metric.CAPACITY, scores.Metric.RATIO):
-            kb = datagen.family_kb(spark, size, families).persist()
+            kb = datagen.family_kb(spark, size, ids).persist()
             result = comp.compress(kb, MinerConfig(beam=5, stop_ratio=1.0, metric=metric))
             kb.unpersist()
             rows += [(size, metric.value, str(r), float(result.sizes()["compression_percent"])) for r in result.rules]
@@ -728,13 +747,19 @@ def facts_stream(spark, sf_dir):
 
 
 @query("family_facts", """
-    SELECT * FROM (VALUES ('aunt', CAST(600 AS BIGINT)), ('brother', 1200), ('father', 800), ('gender', 1400), ('mother', 1000), ('parent', 1800), ('sibling', 2400), ('sister', 1200), ('uncle', 600)) t(rel, facts)
+    SELECT rel, CAST(n * (SELECT count(DISTINCT s_suppkey) FROM supplier) AS BIGINT) AS facts
+    FROM (VALUES ('aunt', 6), ('brother', 12), ('father', 8), ('gender', 14), ('mother', 10), ('parent', 18), ('sibling', 24), ('sister', 12), ('uncle', 6)) t(rel, n)
 """)
 def family_facts(spark, sf_dir):
-    out = datagen.triples(spark, "medium", 100)
+    """One family for each supplier."""
+    out = datagen.triples(spark, "medium", _table_ids(spark, sf_dir, "supplier", "s_suppkey"))
     return out.groupBy("rel").agg(F.count("*").alias("facts"))
 
 
+def _table_ids(spark, sf_dir, table, key):
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("id")).dropna().distinct()
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule over three relations of the tables, scored."""
     return scored(tables_kb(spark, sf_dir, ("cust_nation", "nation_region", "cust_region")), ["cust_region(X,Y):-cust_nation(X,Z),nation_region(Z,Y)"])

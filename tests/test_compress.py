@@ -1,5 +1,6 @@
 """Search, evidence, graphs, recovery and compression."""
 
+import math
 import random
 
 import pytest
@@ -12,7 +13,8 @@ from factweave.operators.evaluate import scored
 from factweave.operators.kb import KbError, KnowledgeBase
 from factweave.operators.search import Miner, MinerConfig
 from factweave.plans import masks
-from factweave.plans.rule import parse_rule
+from factweave.plans.fingerprint import fingerprint
+from factweave.plans.rule import Const, Var, parse_rule, start_rule
 from factweave.sources import store
 
 from test_evaluate import FAMILY, kb_of
@@ -309,6 +311,86 @@ def test_random_relations_come_back(spark):
     assert result.valid()
 
 
+def plain_search(facts, config):
+    """The rules of every relation by a beam search that enumerates all bindings of every rule, and what they entail."""
+    symbols = {v for rel in facts.values() for t in rel for v in t}
+    arities = {n: len(next(iter(ts))) for n, ts in facts.items()}
+
+    def entailed(rule):
+        """Different head bindings of the body, and how many places are free."""
+        found = [{}]
+        for atom in rule.body:
+            found = [new for b in found for t in facts[atom.relation] if (new := fitted(b, atom, t)) is not None]
+        bound = [v for v in rule.head.variables() if any(v in a.args for a in rule.body)]
+        free = sum(a is None for a in rule.head.args) + len(set(rule.head.variables()) - set(bound))
+        return {tuple(b[v] for v in bound) for b in found}, bound, free
+
+    def fitted(b, atom, t):
+        new = dict(b)
+        for a, value in zip(atom.args, t, strict=True):
+            if isinstance(a, Const) and a.value != value or isinstance(a, Var) and new.setdefault(a, value) != value:
+                return None
+        return new
+
+    def evaluate(rule, old, parent):
+        bodies, bound, free = entailed(rule)
+        heads = [(t, b) for t in facts[rule.head.relation] if (b := fitted({}, rule.head, t)) is not None]
+        reached = {t for t, b in heads if tuple(b[v] for v in bound) in bodies}
+        return evaluation(float(len(reached - old)), len(bodies) * float(len(symbols)) ** free - len(reached & old), rule.length, parent), reached
+
+    order = lambda x: (-x[1].value(config.metric), x[0].length, str(x[0]))
+    constants = {}
+    for name, ts in facts.items():
+        for i in range(arities[name]):
+            column = [t[i] for t in ts]
+            constants[name, i] = sorted({v for v in column if column.count(v) >= math.ceil(len(ts) * config.constant_coverage)})
+
+    def best_rule(name, old):
+        first = start_rule(name, arities[name])
+        beams, met = [(first, evaluate(first, old, None)[0])], set()
+        while True:
+            level = []
+            for rule, e in beams:
+                for c in cand.specialisations(rule, arities, constants):
+                    own = fingerprint(c.rule)
+                    if own in met or met.add(own) or c.rule.invalid():
+                        continue
+                    new, reached = evaluate(c.rule, old, e)
+                    if len(reached - old) / len(facts[name]) > config.fact_coverage and new.value(config.metric) > e.value(config.metric):
+                        level.append((c.rule, new))
+            now = min(beams, key=order)
+            level = sorted(level, key=order)[: config.beam]
+            if not level or order(now)[0] <= order(level[0])[0]:
+                return now if now[1].useful else None
+            if (level[0][1].tau >= config.stop_ratio or level[0][1].neg == 0) and level[0][1].useful:
+                return level[0]
+            beams = level
+
+    out = []
+    for name in sorted(facts):
+        old = set()
+        while (found := best_rule(name, old)) is not None:
+            out.append(str(found[0]))
+            old |= evaluate(found[0], old, None)[1]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_search_finds_what_a_plain_search_finds(spark, seed):
+    rng = random.Random(seed)
+    p = {(f"a{i}", f"b{rng.randrange(3)}") for i in range(12)}
+    q = {(f"b{i}", f"c{i % 2}") for i in range(3)}
+    h = {(x, z) for x, y in p for w, z in q if y == w} - {("a3", "c1"), ("a4", "c0")} | {("a1", "c9")}
+    r = {(y, x) for x, y in sorted(p)[2:]} | {("b7", "a0")}
+    facts = {"p": p, "q": q, "h": h, "r": r}
+    kb = kb_of(spark, {n: [" ".join(t) for t in sorted(ts)] for n, ts in facts.items()}).persist()
+    config = MinerConfig(beam=2)
+    result = compress.compress(kb, config)
+    assert [str(x) for x in result.rules] == plain_search(facts, config) and result.rules
+    assert result.valid()
+    kb.unpersist()
+
+
 def test_mined_rules_of_families(spark):
     kb = datagen.family_kb(spark, "tiny", 10).persist()
     result = compress.compress(kb, MinerConfig(beam=5, stop_ratio=1.0))
