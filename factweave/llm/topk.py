@@ -10,17 +10,19 @@ all candidates, which a first pass over the queries finds.
 A candidate block is sent to its task once, and the query blocks are streamed past it: a task
 holds one of each.  The best k of every block are then reduced by query.
 
-Scores are exact integers: float64 holds them while the squared norms stay below 2^52,
-otherwise Python integers are used.  Results: vectors that are null or hold null or
+Scores are exact integers: float64 holds them while the squared norms stay below 2^52; of vectors beyond
+that Python integers are used, row by row, and only of these.  Results: vectors that are null or hold null or
 non-finite components take no part, as query or candidate; neither do rows without an
 id.  A shorter vector counts as padded with zeros, a long one takes more memory by its
 length only.  Rows with equal ids are candidates each; a query's own id is no candidate.
 Ties go to the smaller id.  An empty table gives an empty one.  Other columns, whatever their
-names, are not read.  Scores beyond 64 bits are an error.
+names, are not read.  Components beyond 1e300 count as 1e300, and scores beyond 64 bits as the greatest or
+least number of 64 bits, by which they are ranked.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from itertools import chain
@@ -115,6 +117,9 @@ class Columns:
     """A candidate block, dimension by dimension, its rows in the order of ids."""
 
     def __init__(self, table: np.ndarray, ids: np.ndarray, step: int = DIMENSIONS):
+        exact = norms(table) < _EXACT
+        self.large, self.large_ids = table[~exact], ids[~exact]
+        table, ids = table[exact], ids[exact]
         order = np.argsort(ids, kind="stable")  # of equal scores the first is the smaller id
         self.ids, self.columns, self.step = ids[order], np.ascontiguousarray(table[order].T), step
         self.starts = list(range(0, len(self.columns), step)) or [0]
@@ -122,11 +127,6 @@ class Columns:
         self.mass = np.stack([squares[s : s + step].sum(0) for s in self.starts]) if len(self.columns) else np.zeros((1, len(ids)))
         self.total = self.mass.sum(0)
 
-    @property
-    def exact(self) -> bool:
-        """Whether squared norms, and so everything that is added up, are exact in float64."""
-        return float(self.total.max(initial=0.0)) < _EXACT
-
     def best(self, q: np.ndarray, own: int, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best for one query, or of fewer where others fall below ``floor``."""
         width = len(self.columns)
@@ -167,41 +167,43 @@ class Columns:
 
 def search(queries: np.ndarray, query_ids: np.ndarray, block: Columns, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of a block for each query, as far as they can be among the k best of all: query numbers, ids and integer scores."""
-    exact = block.exact and float((queries * queries).sum(1).max(initial=0.0)) < _EXACT
-    if not exact:
-        return _by_integers(queries, query_ids, block.columns.T, block.ids, k)
+    exact = norms(queries) < _EXACT
+    small = (block.columns.T, block.ids)
     out_q, out_i, out_s = [], [], []
     for number, (q, own, floor) in enumerate(zip(queries, query_ids.tolist(), floors.tolist(), strict=True)):
-        ids, scores = block.best(q, own, floor, k)
+        ids, scores = block.best(q, own, floor, k) if exact[number] else _by_integers(q, own, *small, k)
+        if len(block.large):
+            more, theirs = _by_integers(q, own, block.large, block.large_ids, k)
+            ids, scores = np.concatenate((ids, more)), np.concatenate((scores, theirs))
         out_q.append(np.full(len(ids), number))
         out_i.append(ids)
         out_s.append(scores)
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_q, out_i, out_s))
 
 
+def norms(table: np.ndarray) -> np.ndarray:
+    """Squared norms of the rows, infinite where they are beyond float64."""
+    with np.errstate(over="ignore"):
+        return (table * table).sum(1)
+
+
 def first_floors(queries: np.ndarray, query_ids: np.ndarray, table: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """The k-th best score of each query among a sample of the candidates; minus infinity where it is not known."""
     width = min(queries.shape[1], table.shape[1])
-    norms = [float((m * m).sum(1).max(initial=0.0)) for m in (queries, table)]
-    if len(ids) <= k or max(norms) >= _EXACT:
+    if len(ids) <= k or max(float(norms(m).max(initial=0.0)) for m in (queries, table)) >= _EXACT:
         return np.full(len(queries), -math.inf)
     scores = queries[:, :width] @ table[:, :width].T
     scores[query_ids[:, None] == ids[None, :]] = -math.inf
     return np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
 
 
-def _by_integers(queries, query_ids, table, ids, k):
-    """The same for components too large for float64, by plain integers."""
-    width = max(queries.shape[1], table.shape[1])
-    queries, table = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (queries, table))
-    rows = [[int(x) for x in r] for r in table]
-    found = []
-    for number, (q, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
-        q = [int(x) for x in q]
-        best = sorted((-sum(a * b for a, b in zip(q, r, strict=True)), i) for r, i in zip(rows, ids.tolist(), strict=True) if i != own)[:k]
-        found += [(number, i, -s) for s, i in best]
-    columns = list(zip(*found, strict=True)) or [[]] * 3
-    return tuple(np.array(c, np.int64) for c in columns)
+def _by_integers(q: np.ndarray, own: int, table: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of one query by plain integers, for components too large for float64."""
+    q = [int(x) for x in q]
+    score = lambda row: sum(a * int(b) for a, b in zip(q, row, strict=False))  # noqa: E731  the shorter one goes on with zeros
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    best_ = heapq.nsmallest(k, ((-max(least, min(most, score(r))), i) for r, i in zip(table, ids.tolist(), strict=True) if i != own))
+    return np.array([i for _, i in best_], np.int64), np.array([-s for s, _ in best_], np.int64)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 256.0) -> DataFrame:
@@ -210,7 +212,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 256.
     Both sides are frames of ``id`` and ``v``; components become ``floor(scale * x)``.
     """
     spark = candidates.sparkSession
-    scaled = F.transform("v", lambda x: _floor(x * scale))
+    most = F.lit(1e300)
+    scaled = F.transform("v", lambda x: _floor(F.greatest(F.least(x * scale, most), -most)))
     rows, asked = (df.select("id", scaled.alias("v")) for df in (candidates, queries))
     size = candidates.agg(F.count("*"), F.max(F.size("v"))).first()
     if not size[0]:

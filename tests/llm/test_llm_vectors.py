@@ -42,6 +42,22 @@ def test_top_k_of_large_components_few_rows_and_none(spark):
     assert topk.top_k(none, none, 5).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    """Some rows beyond float64 and beyond 64 bits among common ones, as queries and as candidates."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(120)]
+    rows += [(200, [1e17] * 8), (250, [-1e17] * 8), (203, [1e308, -1e308, *[0.0] * 6]), (300, [1e308] * 8), (301, [-1e308] * 8), (350, [3e7] * 8)]
+    most = (1 << 63) - 1
+    whole = lambda v: [int(np.floor(max(-1e300, min(1e300, 256 * x)))) for x in v]
+    want = []
+    for q, a in rows:
+        if q % 50 == 0:
+            all_ = sorted((-max(-most - 1, min(most, sum(x * y for x, y in zip(whole(a), whole(b), strict=True)))), i) for i, b in rows if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(all_[:5])]
+    v = topk.vectors(frame(spark, [(*r, "s") for r in rows]).repartition(2))
+    assert sorted(map(tuple, topk.top_k(v.filter("id % 50 = 0"), v, 5).collect())) == sorted(want)
+
+
 def test_search_prunes_but_loses_nothing():
     rng = np.random.default_rng(2)
     x = np.floor(256 * rng.normal(size=(2000, 64)) * np.linspace(2, 0.1, 64))
