@@ -16,7 +16,7 @@ from .operators import candidates as cand
 from .operators import compress as comp
 from .operators import datagen, evidence, graph, hints, profile, recover
 from .operators.evaluate import coverage, scored
-from .operators.kb import KnowledgeBase
+from .operators.kb import KbError, KnowledgeBase, union
 from .operators.search import MinerConfig
 from .plans.compile import RulePlan, body_bindings, selected
 from .plans.rule import Rule, Var, parse_rule
@@ -760,6 +760,90 @@ def _table_ids(spark, sf_dir, table, key):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("id")).dropna().distinct()
 
 
+# -- parts of a compressed base, exports and splits --------------------------------------
+
+_ONE = ("cust_nation", "nation_region", "cust_region")
+_ENTAILED = "entailed AS (SELECT DISTINCT a.c0, b.c1 FROM cust_nation a JOIN nation_region b ON a.c1 = b.c0)"
+
+
+def _by_one_rule(spark, sf_dir) -> comp.CompressedKb:
+    return comp.compress_with(tables_kb(spark, sf_dir, _ONE).persist(), [_LIST[0]])
+
+
+@query("result_text", f"""@, {_ENTAILED} SELECT 'rules' AS part, '{parse_rule(_LIST[0])}' AS line
+    UNION ALL SELECT 'necessary', concat_ws(chr(9), 'cust_nation', c0, c1) FROM cust_nation UNION ALL SELECT 'necessary', concat_ws(chr(9), 'nation_region', c0, c1) FROM nation_region
+    UNION ALL SELECT 'necessary', concat_ws(chr(9), 'cust_region', c0, c1) FROM (SELECT * FROM cust_region EXCEPT SELECT * FROM entailed)
+    UNION ALL SELECT 'counterexamples', concat_ws(chr(9), 'cust_region', c0, c1) FROM (SELECT * FROM entailed EXCEPT SELECT * FROM cust_region)
+    UNION ALL SELECT 'supplementary', val FROM (SELECT c0 AS val FROM cust_region UNION SELECT c1 FROM cust_region EXCEPT SELECT c0 FROM cust_nation EXCEPT SELECT c1 FROM cust_nation EXCEPT SELECT c0 FROM nation_region EXCEPT SELECT c1 FROM nation_region)""")
+def result_text(spark, sf_dir):
+    """All lines of a result that was written as text."""
+    path = scratch(spark, "result-text")
+    result = _by_one_rule(spark, sf_dir)
+    facts.write_result(result, path)
+    lines = lambda part: spark.read.text(f"{path}/{part}").select(F.lit(part).alias("part"), F.col("value").alias("line"))
+    return union(lines(p) for p in ("rules", "necessary", *(["counterexamples"] if result.counterexamples else []), "supplementary"))
+
+
+@query("graph_export", f"@, {_EDGES}, ends AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges) SELECT 'edge' AS kind, src AS a, dst AS b FROM edges UNION ALL SELECT 'node', id, json_extract_string(id, '$.rel') FROM ends")
+def graph_export(spark, sf_dir):
+    """Nodes and edges of a dependency graph that was written for a graph store."""
+    path = scratch(spark, "graph")
+    store.write_graph(_cycle_edges(spark, sf_dir), path)
+    nodes, edges = (spark.read.csv(f"{path}/{x}", header=True) for x in ("nodes", "edges"))
+    return edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")).unionByName(nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("rel").alias("b")))
+
+
+@query("counterexamples_changed", f"""@, {_ENTAILED}, gone AS (SELECT * FROM cust_nation WHERE c1 = (SELECT min(c1) FROM cust_nation)), wrong AS (
+        SELECT * FROM entailed EXCEPT SELECT * FROM cust_region UNION (SELECT * FROM cust_nation EXCEPT SELECT * FROM gone)
+    ) SELECT c0, c1, (c0, c1) IN (SELECT c0, c1 FROM wrong) AS present FROM cust_nation""")
+def counterexamples_changed(spark, sf_dir):
+    """Which records are counterexamples after all of them were added and those of the least nation taken out."""
+    result, kb = _by_one_rule(spark, sf_dir), tables_kb(spark, sf_dir, ("cust_nation",))
+    records = kb["cust_nation"]
+    result.add_counterexamples("cust_region", records)
+    result.remove_counterexamples("cust_region", records.join(F.broadcast(records.agg(F.min("c1").alias("c1"))), "c1", "left_semi").select("c0", "c1"))
+    return result.has_counterexamples("cust_region", records).select("c0", "c1", "present")
+
+
+@query("hypothesis_changed", f"""@ SELECT '{parse_rule(_PEER)}' AS rule, (SELECT CAST(count(*) AS DOUBLE) FROM supp_peer WHERE (c0, c1) IN (SELECT a.c0, b.c0 FROM supp_nation a JOIN supp_nation b ON a.c1 = b.c1)) AS pos
+    UNION ALL SELECT '{parse_rule(_LIST[3])}', (SELECT count(*) FROM supp_peer WHERE (c0, c1) IN (SELECT c1, c0 FROM supp_peer))""")
+def hypothesis_changed(spark, sf_dir):
+    """The rules of a hypothesis, with the facts that each entails, after some were added, added again under other names, and removed."""
+    result, kb = _by_one_rule(spark, sf_dir), tables_kb(spark, sf_dir)
+    again = _PEER.replace("X", "A").replace("Y", "B")
+    kept = [result.add_rule(_PEER), result.add_rule(again), result.add_rule(_LIST[3]), result.has_rule(again), result.remove_rule(_LIST[0]), result.remove_rule(_LIST[0])]
+    if kept != [True, False, True, True, True, False]:
+        raise AssertionError(kept)
+    return scored(kb, result.rules).select("rule", "pos")
+
+
+@query("split_written", f"""@, {_JACCARD}, sim AS (SELECT least(rel1, rel2) AS a, greatest(rel1, rel2) AS b, max(jaccard) AS s FROM jaccard WHERE rel1 <> rel2 GROUP BY ALL),
+    bars AS (SELECT unnest(range(0, 11)) AS i), link AS (SELECT i, a, b FROM bars, sim WHERE s >= CAST(i AS DOUBLE) / 10 UNION ALL SELECT i, b, a FROM bars, sim WHERE s >= CAST(i AS DOUBLE) / 10),
+    reach(i, a, b) AS (SELECT DISTINCT i, rel, rel FROM bars, cells UNION SELECT reach.i, reach.a, link.b FROM reach JOIN link ON link.i = reach.i AND link.a = reach.b),
+    grp AS (SELECT i, a, min(b) AS part FROM reach GROUP BY i, a), pick AS (SELECT min(i) AS i FROM (SELECT i, count(DISTINCT part) AS n FROM grp GROUP BY i) WHERE n >= 4)
+    SELECT part, a AS rel, (SELECT count(*) FROM cells WHERE rel = a AND pos = 0) AS facts FROM grp WHERE i = (SELECT i FROM pick)""")
+def split_written(spark, sf_dir):
+    """Facts by part and relation, read from the files of a split into four parts at least."""
+    path = scratch(spark, "split")
+    groups = profile.write_split(tables_kb(spark, sf_dir), 4, path)
+    parts = [facts.read_fact_lines(spark, f"{path}/split-{i}").groupBy("rel").agg(F.count("*").alias("facts")).select(F.lit(min(names)).alias("part"), "rel", "facts") for i, names in enumerate(groups)]
+    return union(parts)
+
+
+@query("kb_unknown_symbol", "@ SELECT 'symbol ' || max(val) || ' is not in the dictionary' AS error FROM sigma")
+def kb_unknown_symbol(spark, sf_dir):
+    """What a checked scan says where the dictionary lacks one symbol."""
+    path, kb = scratch(spark, "kb-checked"), tables_kb(spark, sf_dir).persist()
+    store.write_kb(kb, path)
+    names = kb.constants().select(F.col("val").alias("name"))
+    known = names.join(F.broadcast(names.agg(F.max("name").alias("name"))), "name", "left_anti")
+    try:
+        store.read_kb(spark, path, check=known)
+    except KbError as e:
+        return spark.createDataFrame([(str(e),)], "error string")
+    return spark.createDataFrame([], "error string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule over three relations of the tables, scored."""
     return scored(tables_kb(spark, sf_dir, ("cust_nation", "nation_region", "cust_region")), ["cust_region(X,Y):-cust_nation(X,Z),nation_region(Z,Y)"])

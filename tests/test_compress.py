@@ -152,6 +152,38 @@ def test_recovery(spark, facts, rules, wrong, more, want):
         assert set(map(tuple, out[name].collect())) == tuples
 
 
+def test_a_long_chain_comes_back_in_few_rounds(spark):
+    """20,000 steps of a linear rule, which doubling takes; a counterexample ends the other chain."""
+    n = 20_000
+    kb = KnowledgeBase(spark)
+    chain = lambda letter, steps: spark.range(steps).selectExpr(f"'{letter}' || id AS x", f"'{letter}' || (id + 1) AS y")
+    kb.attach("next", chain("a", n).unionByName(chain("b", 100)))
+    kb.attach_rows("reached", [("a0",), ("b0",)])
+    wrong = {"reached": spark.createDataFrame([("b50",)], "c0 string")}
+    found = recover.recover(kb, ["reached(Y):-reached(X),next(X,Y)"], wrong)
+    assert found["reached"].count() == n + 1 + 50
+    assert found["reached"].filter("c0 IN ('b49', 'b50', 'b51', 'a20000')").count() == 2
+
+
+def test_closures_with_doubling_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(recover, "PATIENCE", 1)
+    rng = random.Random(1)
+    step = {(f"n{i}", f"n{i + 1}") for i in range(9)} | {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(4)}
+    start = {(f"g{i % 2}", f"n{rng.randrange(5)}") for i in range(3)}
+    kb = kb_of(spark, {"step": [" ".join(x) for x in step], "at": [" ".join(x) for x in start]})
+    want = set(start)
+    while more := {(g, b) for g, a in want for x, b in step if a == x} - want:
+        want |= more
+    found = recover.recover(kb, ["at(G,Y):-at(G,X),step(X,Y)"])
+    assert rows(found["at"]) == sorted(want)
+    few = {("g0", "n7"), ("g1", "n3")} - start
+    want = set(start)
+    while more := {(g, b) for g, a in want for x, b in step if a == x} - want - few:
+        want |= more
+    found = recover.recover(kb, ["at(G,Y):-at(G,X),step(X,Y)"], {"at": spark.createDataFrame(sorted(few), "c0 string, c1 string")})
+    assert rows(found["at"]) == sorted(want)
+
+
 def test_given_rules_and_bundle(spark, tmp_path):
     kb = kb_of(spark, FAMILY | {"peer": ["a b", "b a", "c d", "d c"]})
     result = compress.compress_with(kb, ["parent(X,Y):-father(X,Y)", "grandParent(X,Z):-parent(X,Y),parent(Y,Z)", "peer(X,Y):-peer(Y,X)"])
