@@ -7,18 +7,17 @@ hexadecimal.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compress import CompressedKb
-from ..operators.kb import KbError, KnowledgeBase, columns, counted, cut_lineage, numbered
+from ..operators.kb import KbError, KnowledgeBase, counted, cut_lineage, numbered
 from ..plans.rule import parse_rule
+from . import binary
 
 _REL = re.compile(r"(?P<name>.+)_(?P<arity>\d+)_(?P<rows>\d+)\.rel\Z")
 
@@ -50,14 +49,8 @@ def read_map(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("name", F.conv("hex", 16, 10).cast("long").alias("num"))
 
 
-def _numbers(spark: SparkSession, pattern: str, arity: int) -> DataFrame:
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for data in f["content"]:
-                yield pd.DataFrame(decode_ints(data, arity).astype("int64"), columns=columns(arity))
-
-    schema = ", ".join(f"{c} long" for c in columns(arity))
-    return spark.read.format("binaryFile").load(pattern).select("content").mapInPandas(unpack, schema)
+def _numbers(spark: SparkSession, path: str, arity: int) -> DataFrame:
+    return binary.read_rows(spark, path, arity)
 
 
 def _named(kb: KnowledgeBase, numbers: DataFrame, names: DataFrame, check: bool) -> DataFrame:
@@ -94,39 +87,34 @@ def read_compressed(spark: SparkSession, folder: str, arities: dict[str, int], c
     return CompressedKb(None, rules, kept, wrong, more)
 
 
-def _blocks(numbers: DataFrame) -> DataFrame:
-    """Rows of numbers as blocks of bytes."""
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"content": [f.to_numpy("<i4").tobytes()]})
-
-    return numbers.mapInPandas(pack, "content binary")
-
-
-def _write_file(spark: SparkSession, path: str, blocks: Iterator[bytes]) -> None:
-    """One file in any file system that Spark knows, block by block: the driver holds one block at a time."""
+def _write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file in any file system that Spark knows."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
     try:
-        for block in blocks:
-            out.write(bytearray(block))
+        out.write(bytearray(data))
     finally:
         out.close()
 
 
 def _write_numbers(spark: SparkSession, path: str, numbers: DataFrame) -> None:
-    _write_file(spark, path, (r["content"] for r in _blocks(numbers).toLocalIterator()))
+    """One file; its parts are written, and put together, by tasks."""
+    folder, name = path.rsplit("/", 1)
+    parts = f"{folder}/_parts-{name}"  # beside the target, as parts are moved or copied within one file system
+    binary.joined(spark, parts, binary.write_parts(numbers, parts), path)
+    binary.dropped(spark, parts)
 
 
 def _write_map(numbers: DataFrame, folder: str) -> None:
-    rows = numbers.select(F.concat_ws("\t", "name", F.lower(F.hex("num"))).alias("line"), F.spark_partition_id().alias("part"))
-    lines = rows.groupBy("part").agg(F.concat(F.array_join(F.collect_list("line"), "\n"), F.lit("\n")).alias("text"))
-    _write_file(numbers.sparkSession, f"{folder}/map1.tsv", (r["text"].encode() for r in lines.toLocalIterator()))
+    """A map file for each partition."""
+    spark, parts = numbers.sparkSession, f"{folder}/_parts-map"
+    lines = numbers.select(F.concat_ws("\t", "name", F.lower(F.hex("num"))))
+    binary.placed(spark, parts, binary.write_parts(lines, parts, lines=True), f"{folder}/map{{}}.tsv")
+    binary.dropped(spark, parts)
 
 
 def write_folder(kb: KnowledgeBase, folder: str, numbers: DataFrame | None = None) -> None:
-    """Maps and relation files.  The format asks for one file for each relation, so files are written one after the other."""
+    """Maps and relation files, one for each relation as the format asks; see :mod:`.binary` for how tasks write one file."""
     numbers = cut_lineage(kb.numeration()) if numbers is None else numbers
     _write_map(numbers, folder)
     rows = counted(kb.frames)
@@ -142,7 +130,7 @@ def write_compressed(result: CompressedKb, folder: str) -> None:
     numbers = cut_lineage(numbered(names, "name", "num"))
     write_folder(kept, folder, numbers)
     if result.rules:
-        _write_file(spark, f"{folder}/rules.hyp", [f"{r}\n".encode() for r in result.rules])
+        _write_file(spark, f"{folder}/rules.hyp", "".join(f"{r}\n" for r in result.rules).encode())
     wrong = KnowledgeBase(spark, "counterexamples")
     for name, df in result.counterexamples.items():
         wrong.attach(name, df, known_set=True)

@@ -1,11 +1,14 @@
 """Knowledge bases: catalogue, records, profiles, storage."""
 
+from pathlib import Path
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from factweave.operators import datagen, profile
 from factweave.operators.kb import KbError, KnowledgeBase, NameMap
-from factweave.sources import facts, legacy, store
+from factweave.sources import binary, facts, legacy, store
 from factweave.streaming.intake import fact_stream, intake
 
 
@@ -117,6 +120,52 @@ def test_binary_folder(spark, tmp_path):
         legacy.read_folder(spark, str(tmp_path))
 
 
+def test_binary_ranges_and_parts(spark, tmp_path):
+    df = spark.range(0, 10_007, 1, 7).selectExpr("id AS c0", "id % 13 AS c1", "-id AS c2")
+    parts, file = str(tmp_path / "p"), str(tmp_path / "a b%20c" / "rel.rel")
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "part-left").write_bytes(b"of an attempt that was lost")
+    found = binary.write_parts(df, parts)
+    assert len(found) == 7 and sum(n for _, n in found) == 10_007 * 12 and not (tmp_path / "p" / "part-left").exists()
+    binary.joined(spark, parts, found, file)
+    assert [p.name for p in (tmp_path / "a b%20c").iterdir()] == ["rel.rel"]
+    data = Path(file).read_bytes()
+    assert data == np.array([[i, i % 13, -i] for i in range(10_007)], "<i4").tobytes()  # order of partitions, then of rows
+    back = binary.read_rows(spark, file, 3, range_bytes=10_000)
+    assert back.rdd.getNumPartitions() == 13 and sorted(map(tuple, back.collect())) == [(i, i % 13, -i) for i in range(10_007)]
+    # a stream gives the same file, and a cut row is left out
+    size = sum(f["size"].sum() for f in binary._streamer("file://" + parts, f"file://{tmp_path}/streamed", [n for n, _ in found])([None]))
+    assert size == len(data) and (tmp_path / "streamed").read_bytes() == data
+    (tmp_path / "streamed").write_bytes(data[:-5])
+    assert binary.read_rows(spark, str(tmp_path / "streamed"), 3).count() == 10_006
+    # nothing to write, nothing to read
+    binary.joined(spark, str(tmp_path / "q"), binary.write_parts(df.limit(0), str(tmp_path / "q")), str(tmp_path / "none"))
+    assert (tmp_path / "none").read_bytes() == b"" and binary.read_rows(spark, str(tmp_path / "none"), 3).count() == 0
+    with pytest.raises(Exception, match="32 bits"):
+        binary.write_parts(spark.range(2**31, 2**31 + 2), str(tmp_path / "wide"))
+
+
+def test_binary_file_beyond_two_gigabytes(tmp_path):
+    n = 700_000_001  # 2.8 GB, which take no room: only the end is written
+    with open(tmp_path / "big", "wb") as f:
+        f.seek(4 * n - 4)
+        f.write(legacy.encode_ints([7]))
+    reader = binary._Reader(f"file://{tmp_path}/big", 1, binary.RANGE_BYTES)
+    ranges = reader.partitions()
+    assert len(ranges) == 42 and all(a.stop == b.start for a, b in zip(ranges, ranges[1:])) and ranges[-1].stop == 4 * n
+    tail = [x for batch in reader.read(ranges[-1]) for x in batch.column(0).to_pylist()]
+    assert len(tail) == (ranges[-1].stop - ranges[-1].start) // 4 and tail[-1] == 7 and not any(tail[:-1])
+
+
+def test_binary_maps_are_replaced(spark, tmp_path):
+    kb = KnowledgeBase(spark).attach_rows("p", [(f"x{i}", f"y{i % 3}") for i in range(200)])
+    (tmp_path / "map99.tsv").write_text("old\tff\n")
+    legacy.write_folder(kb, str(tmp_path))
+    assert not (tmp_path / "map99.tsv").exists() and not list(tmp_path.glob("_parts*"))
+    assert rows(legacy.read_folder(spark, str(tmp_path))["p"]) == rows(kb["p"])
+    assert rows(legacy.read_map(spark, str(tmp_path))) == rows(kb.numeration())
+
+
 def test_intake(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i, lines in enumerate(("p\ta\tb\nq\tc\n", "p\ta\tb\np\tx\ty\n")):
