@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -155,9 +156,20 @@ def _lines(batch: pa.RecordBatch) -> bytes:
     return "".join(f"{x}\n" for x in batch.column(0).to_pylist()).encode()
 
 
+_lock = threading.Lock()
+
+
+def _register(spark: SparkSession) -> None:
+    """Once for each session: a further time would take the source away from threads that use it."""
+    with _lock:
+        if spark.conf.get("spark.factweave.rows", None) is None:
+            spark.dataSource.register(RowsSource)
+            spark.conf.set("spark.factweave.rows", "registered")
+
+
 def read_rows(spark: SparkSession, path: str, arity: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``c0 .. c{n-1}`` (long) of a file of little-endian 32-bit numbers."""
-    spark.dataSource.register(RowsSource)
+    _register(spark)
     return spark.read.format(NAME).option("path", qualified(spark, path)).option("arity", arity).option("rangeBytes", range_bytes).load()
 
 
@@ -167,7 +179,7 @@ def write_parts(df: DataFrame, folder: str, lines: bool = False) -> list[tuple[s
     A folder without a manifest is of a write that did not end.
     """
     spark = df.sparkSession
-    spark.dataSource.register(RowsSource)
+    _register(spark)
     folder = qualified(spark, folder)
     df.write.format(NAME).mode("append").option("path", folder).option("lines", str(lines).lower()).save()
     fs, path = _open(folder)

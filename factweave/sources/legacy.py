@@ -7,6 +7,7 @@ hexadecimal.
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
@@ -15,10 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compress import CompressedKb
-from ..operators.kb import KbError, KnowledgeBase, counted, cut_lineage, numbered
+from ..operators.kb import KbError, KnowledgeBase, counted, cut_lineage, numbered, union
 from ..plans.rule import parse_rule
 from . import binary
 
+#: Files that are planned or written side by side.
+FILES_AT_ONCE = 4
+
 _REL = re.compile(r"(?P<name>.+)_(?P<arity>\d+)_(?P<rows>\d+)\.rel\Z")
 
 
@@ -53,12 +57,25 @@ def _numbers(spark: SparkSession, path: str, arity: int) -> DataFrame:
     return binary.read_rows(spark, path, arity)
 
 
-def _named(kb: KnowledgeBase, numbers: DataFrame, names: DataFrame, check: bool) -> DataFrame:
-    if check:
-        cells = numbers.select(F.explode(F.array(*numbers.columns)).alias("num")).distinct()
-        if cells.join(names, "num", "left_anti").limit(1).count():
-            raise KbError("a number is not in the map")
-    return kb.decoded(numbers, names)
+def _threads(spark: SparkSession) -> ThreadPoolExecutor:
+    """Threads in which the session is the active one, as Spark looks up a Python data source there."""
+    return ThreadPoolExecutor(FILES_AT_ONCE, initializer=lambda: spark.createDataFrame([], "x int"))
+
+
+def _checked(numbers: list[DataFrame], names: DataFrame) -> None:
+    """One job for all files: every number has a name."""
+    cells = union(df.select(F.explode(F.array(*df.columns)).alias("num")) for df in numbers).distinct()
+    if cells.join(names, "num", "left_anti").limit(1).count():
+        raise KbError("a number is not in the map")
+
+
+def _loaded(spark: SparkSession, files: list[tuple[str, int]], names: DataFrame, check: bool) -> list[DataFrame]:
+    """Relations of symbols; files are planned side by side."""
+    with _threads(spark) as pool:
+        numbers = list(pool.map(lambda f: _numbers(spark, *f), files))
+    if check and numbers:
+        _checked(numbers, names)
+    return [KnowledgeBase(spark).decoded(df, names) for df in numbers]
 
 
 def _files(spark: SparkSession, folder: str, glob: str) -> list[str]:
@@ -67,24 +84,23 @@ def _files(spark: SparkSession, folder: str, glob: str) -> list[str]:
 
 
 def read_folder(spark: SparkSession, folder: str, name: str = "kb", check: bool = True) -> KnowledgeBase:
-    kb, names = KnowledgeBase(spark, name), read_map(spark, folder)
-    for path in _files(spark, folder, "*.rel"):
-        relation, arity, _ = parse_file_name(path)
-        kb.attach(relation, _named(kb, _numbers(spark, path, arity), names, check))
+    kb = KnowledgeBase(spark, name)
+    found = [(path, *parse_file_name(path)[:2]) for path in _files(spark, folder, "*.rel")]
+    frames = _loaded(spark, [(path, arity) for path, _, arity in found], read_map(spark, folder), check)
+    for (_, relation, _), df in zip(found, frames, strict=True):
+        kb.attach(relation, df)
     return kb
 
 
 def read_compressed(spark: SparkSession, folder: str, arities: dict[str, int], check: bool = True) -> CompressedKb:
     """Necessary facts, counterexamples, rules and supplementary symbols; arities of relations come from the original."""
-    kept, names = read_folder(spark, folder, "necessary", check), read_map(spark, folder)
-    wrong = {}
-    for path in _files(spark, folder, "*.ceg"):
-        relation = PurePosixPath(path).stem
-        wrong[relation] = _named(kept, _numbers(spark, path, arities[relation]), names, check)
-    rules = [parse_rule(r["value"]) for r in spark.read.text(f"{folder}/rules.hyp").collect() if r["value"].strip()]
+    kept = read_folder(spark, folder, "necessary", check)
+    wrong = [(path, PurePosixPath(path).stem) for path in _files(spark, folder, "*.ceg")]
     cst = _files(spark, folder, "supplementary.cst")
-    more = _named(kept, _numbers(spark, cst[0], 1), names, check).select(F.col("c0").alias("val")) if cst else spark.createDataFrame([], "val string")
-    return CompressedKb(None, rules, kept, wrong, more)
+    frames = _loaded(spark, [(path, arities[n]) for path, n in wrong] + [(path, 1) for path in cst], read_map(spark, folder), check)
+    rules = [parse_rule(r["value"]) for r in spark.read.text(f"{folder}/rules.hyp").collect() if r["value"].strip()]
+    more = frames.pop().select(F.col("c0").alias("val")) if cst else spark.createDataFrame([], "val string")
+    return CompressedKb(None, rules, kept, {n: df for (_, n), df in zip(wrong, frames, strict=True)}, more)
 
 
 def _write_file(spark: SparkSession, path: str, data: bytes) -> None:
@@ -118,9 +134,13 @@ def write_folder(kb: KnowledgeBase, folder: str, numbers: DataFrame | None = Non
     numbers = cut_lineage(kb.numeration()) if numbers is None else numbers
     _write_map(numbers, folder)
     rows = counted(kb.frames)
-    for name in kb.names:
-        if rows[name]:
-            _write_numbers(kb.spark, f"{folder}/{file_name(name, kb.arity(name), rows[name])}", kb.encoded(name, numbers))
+    _write_all(kb, {n: f"{folder}/{file_name(n, kb.arity(n), rows[n])}" for n in kb.names if rows[n]}, numbers)
+
+
+def _write_all(kb: KnowledgeBase, paths: dict[str, str], numbers: DataFrame) -> None:
+    """Some files at a time: each is a few small jobs, which leave most of a cluster idle."""
+    with _threads(kb.spark) as pool:
+        list(pool.map(lambda n: _write_numbers(kb.spark, paths[n], kb.encoded(n, numbers)), paths))
 
 
 def write_compressed(result: CompressedKb, folder: str) -> None:
@@ -134,9 +154,7 @@ def write_compressed(result: CompressedKb, folder: str) -> None:
     wrong = KnowledgeBase(spark, "counterexamples")
     for name, df in result.counterexamples.items():
         wrong.attach(name, df, known_set=True)
-    for name, n in counted(wrong.frames).items():
-        if n:
-            _write_numbers(spark, f"{folder}/{name}.ceg", wrong.encoded(name, numbers))
+    _write_all(wrong, {name: f"{folder}/{name}.ceg" for name, n in counted(wrong.frames).items() if n}, numbers)
     more = KnowledgeBase(spark).attach("supplementary", result.supplementary.select("val"), known_set=True)
     if counted(more.frames)["supplementary"]:
-        _write_numbers(spark, f"{folder}/supplementary.cst", more.encoded("supplementary", numbers))
+        _write_all(more, {"supplementary": f"{folder}/supplementary.cst"}, numbers)
