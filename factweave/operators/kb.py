@@ -43,12 +43,37 @@ def counted(frames: dict[str, DataFrame]) -> dict[str, int]:
     return {r["rel"]: r["n"] for r in union(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("rel"), "n") for name, df in frames.items()).collect()}
 
 
+#: Changed records of one relation that the driver gathers before they become part of its plan.
+STAGED_ROWS = 10_000
+#: Changes that a relation's plan nests before it is written out.
+MOST_CHANGES = 4
+
+
 class KnowledgeBase:
+    """Relations by name.
+
+    Records that are given one by one are gathered on the driver, the last word on each counting, and join the plan
+    together when the relation is next read or ``STAGED_ROWS`` are at hand.  After ``MOST_CHANGES`` such steps the relation is written out.
+    """
+
     def __init__(self, spark: SparkSession, name: str = "kb"):
         self.spark, self.name = spark, name
-        self.frames: dict[str, DataFrame] = {}
         self.arities: dict[str, int] = {}
-        self.entailed: dict[str, DataFrame] = {}
+        self._frames: dict[str, DataFrame] = {}
+        self._entailed: dict[str, DataFrame] = {}
+        self._staged: dict[str, dict[tuple[str, ...], bool]] = {}
+        self._removed: dict[str, set[tuple[str, ...]]] = {}  # staged removals, also of records that were added again
+        self._changes: dict[str, int] = {}
+
+    @property
+    def frames(self) -> dict[str, DataFrame]:
+        self._settle_all()
+        return self._frames
+
+    @property
+    def entailed(self) -> dict[str, DataFrame]:
+        self._settle_all()
+        return self._entailed
 
     # -- catalogue ---------------------------------------------------------------------
 
@@ -56,7 +81,7 @@ class KnowledgeBase:
         return T.StructType([T.StructField(c, T.StringType()) for c in columns(arity)])
 
     def create(self, name: str, arity: int) -> None:
-        if name in self.frames:
+        if name in self.arities:
             raise KbError(f"relation {name} exists")
         if arity < 1:
             raise KbError("a relation has one column at least")
@@ -68,7 +93,7 @@ class KnowledgeBase:
 
         A ``known_set`` holds neither, which saves the shuffle that finds duplicates.
         """
-        if name in self.frames:
+        if name in self.arities:
             raise KbError(f"relation {name} exists")
         self.arities[name] = len(df.columns)
         self.frames[name] = self._facts(name, df, known_set)
@@ -90,15 +115,15 @@ class KnowledgeBase:
 
     def delete(self, name: str) -> None:
         self._known(name)
-        for d in (self.frames, self.arities, self.entailed):
+        for d in (self._frames, self.arities, self._entailed, self._staged, self._removed, self._changes):
             d.pop(name, None)
 
     def _known(self, name: str) -> None:
-        if name not in self.frames:
+        if name not in self.arities:
             raise KbError(f"no relation {name}")
 
     def has(self, name: str) -> bool:
-        return name in self.frames
+        return name in self.arities
 
     def arity(self, name: str) -> int:
         """0 if there is no such relation."""
@@ -110,7 +135,7 @@ class KnowledgeBase:
 
     @property
     def names(self) -> list[str]:
-        return sorted(self.frames)
+        return sorted(self.arities)
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> KnowledgeBase:
         for name in self.names:
@@ -132,17 +157,64 @@ class KnowledgeBase:
             raise KbError(f"{name} has arity {self.arities[name]}")
         return self.spark.createDataFrame(rows, self._schema(self.arities[name])).dropDuplicates()
 
+    def _stage(self, name: str, records: Iterable[Iterable[str]], kept: bool) -> None:
+        self._known(name)
+        rows = [tuple(map(str, r)) for r in records]
+        if any(len(r) != self.arities[name] for r in rows):
+            raise KbError(f"{name} has arity {self.arities[name]}")
+        staged = self._staged.setdefault(name, {})
+        for r in rows:
+            staged[r] = kept
+            if not kept:
+                self._removed.setdefault(name, set()).add(r)
+        if len(staged) > STAGED_ROWS:
+            self._settle(name)
+
+    def _settle(self, name: str) -> None:
+        """Staged records join the plan: what changed leaves the relation, and what is kept of it comes back."""
+        staged, removed = self._staged.pop(name, {}), self._removed.pop(name, set())
+        if not staged:
+            return
+        on = columns(self.arities[name])
+        schema = T.StructType([*self._schema(self.arities[name]).fields, T.StructField("_kept", T.BooleanType())])
+        last = self.spark.createDataFrame([(*r, kept) for r, kept in staged.items()], schema)
+        kept = last.filter("_kept").drop("_kept")
+        self._change(name, self._frames[name].join(last.drop("_kept"), on, "left_anti").unionByName(kept))
+        if removed and name in self._entailed:
+            gone = self.spark.createDataFrame(sorted(removed), self._schema(self.arities[name]))
+            self._entailed[name] = self._entailed[name].join(gone, on, "left_anti")
+
+    def _settle_all(self) -> None:
+        for name in list(self._staged):
+            self._settle(name)
+
+    def _change(self, name: str, df: DataFrame) -> None:
+        n = self._changes.get(name, 0) + 1
+        if n >= MOST_CHANGES:
+            df, n = cut_lineage(df), 0
+            if name in self._entailed:
+                self._entailed[name] = cut_lineage(self._entailed[name])
+        self._frames[name], self._changes[name] = df, n
+
     def add(self, name: str, records: DataFrame | Iterable[Iterable[str]]) -> None:
         """Adds records; those that are there already change nothing."""
-        self.frames[name] = self[name].unionByName(self._records(name, records)).dropDuplicates()
+        if isinstance(records, DataFrame):
+            new = self._records(name, records)
+            self._settle(name)
+            self._change(name, self._frames[name].unionByName(new).dropDuplicates())
+        else:
+            self._stage(name, records, True)
 
     def remove(self, name: str, records: DataFrame | Iterable[Iterable[str]]) -> None:
         """Removes records; missing ones are no error.  Entailment goes with them."""
-        gone = self._records(name, records)
-        on = columns(self.arities[name])
-        self.frames[name] = self[name].join(gone, on, "left_anti")
-        if name in self.entailed:
-            self.entailed[name] = self.entailed[name].join(gone, on, "left_anti")
+        if not isinstance(records, DataFrame):
+            self._stage(name, records, False)
+            return
+        gone, on = self._records(name, records), columns(self.arities[name])
+        self._settle(name)
+        if name in self._entailed:
+            self._entailed[name] = self._entailed[name].join(gone, on, "left_anti")
+        self._change(name, self._frames[name].join(gone, on, "left_anti"))
 
     def contains(self, name: str, records: DataFrame | Iterable[Iterable[str]]) -> DataFrame:
         """The given records with ``present``."""

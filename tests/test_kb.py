@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.operators import datagen, profile
-from factweave.operators.kb import KbError, KnowledgeBase, NameMap
+from factweave.operators.kb import MOST_CHANGES, KbError, KnowledgeBase, NameMap
 from factweave.sources import binary, facts, legacy, store
+from factweave.sources.versions import VersionedRelation
 from factweave.streaming.intake import fact_stream, intake
 
 
@@ -44,6 +45,65 @@ def test_catalogue_and_records(spark):
     assert kb.names == ["q", "r"] and rows(kb.constants()) == [("b",), ("e",)]
 
 
+def test_a_thousand_single_changes(spark):
+    import random
+
+    draw, kb, want = random.Random(3), small(spark), {("a", "b"), ("a", "c"), ("d", "b")}
+    for i in range(1000):
+        r = (f"x{draw.randrange(40)}", f"y{draw.randrange(5)}")
+        (kb.add if draw.random() < 0.6 else kb.remove)("p", [r])
+        want = want | {r} if (kb._staged["p"][r]) else want - {r}
+        if i in (3, 500):
+            assert set(rows(kb["p"])) == want and kb["p"].count() == len(want)
+    assert set(rows(kb["p"])) == want and kb["p"].count() == len(want)
+    joins = lambda: kb["p"]._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    most = MOST_CHANGES * (MOST_CHANGES + 1) // 2  # Spark puts an anti-join into both sides of the unions below it
+    assert 0 < joins() <= most
+    for i in range(2 * MOST_CHANGES + 1):
+        kb.add("p", [(f"n{i}", "z")])
+        assert kb["p"].filter(f"c0 = 'n{i}'").count() == 1
+        assert joins() <= most
+    # a record that goes and comes again is not entailed any more
+    kb.entail("p", [("a", "b"), ("d", "b")])
+    kb.remove("p", [("a", "b")])
+    kb.add("p", [("a", "b")])
+    assert rows(kb.entailed["p"]) == [("d", "b")] and ("a", "b") in rows(kb.not_entailed("p"))
+
+
+def test_versions(spark, tmp_path):
+    import random
+
+    draw, log, now, old = random.Random(7), VersionedRelation(spark, str(tmp_path / "v"), 2), set(), {0: set()}
+    for version in range(1, 25):
+        for _ in range(draw.choice((1, 1, 1, 40))):
+            r = (f"x{draw.randrange(20)}", f"y{draw.randrange(4)}")
+            kept = draw.random() < 0.6
+            (log.add if kept else log.remove)([r])
+            now = now | {r} if kept else now - {r}
+        assert log.commit() == version
+        old[version] = now
+    again = VersionedRelation(spark, str(tmp_path / "v"), 2)
+    assert again.version == 24 and again.segments == log.segments
+    for version, want in old.items():
+        got = rows(again.at(version))
+        assert got == sorted(want), version
+    base, changes = log._cover(24)
+    assert base is not None and len(changes) < 6
+    assert {(*r[:2], r[2]) for r in rows(log.changed(5, 20))} == {(*r, True) for r in old[20] - old[5]} | {(*r, False) for r in old[5] - old[20]}
+    # DataFrames; nulls do not enter, and of a record that goes and comes the coming counts
+    n = log.commit(added=spark.createDataFrame([("x", "1"), (None, "2")], "a string, b string"), removed=spark.createDataFrame([("x", "1"), *sorted(now)], "a string, b string"))
+    assert n == 25 and rows(log.at()) == [("x", "1")] and rows(log.at(24)) == sorted(now)
+    assert log.commit() == 25  # nothing to say, no version
+    # another writer was first
+    again.add([("late", "1")])
+    with pytest.raises(KbError, match="there already"):
+        again.commit()
+    assert rows(VersionedRelation(spark, str(tmp_path / "v"), 2).at()) == [("x", "1")]
+    for wrong in (lambda: log.at(99), lambda: log.add([("a",)]), lambda: VersionedRelation(spark, "x", 0)):
+        with pytest.raises(KbError):
+            wrong()
+
+
 def test_nulls_do_not_enter(spark):
     kb = KnowledgeBase(spark).attach("n", spark.createDataFrame([("a", None), ("a", "b")], "x string, y string"))
     assert rows(kb["n"]) == [("a", "b")]
