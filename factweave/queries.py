@@ -22,6 +22,7 @@ from .plans.compile import RulePlan, body_bindings, selected
 from .plans.rule import Rule, Var, parse_rule
 from .sources import facts, legacy, store
 from .sources.shared import scratch
+from .sources.versions import VersionedRelation
 from .streaming.intake import fact_stream, intake
 
 #: Relation: source table and the expressions of its columns; both engines read them.
@@ -830,6 +831,56 @@ def split_written(spark, sf_dir):
     return union(parts)
 
 
+_VERSIONS = """v1 AS (SELECT * FROM order_nation), least_n AS (SELECT min(c1) AS n FROM order_nation),
+    v2 AS (SELECT c0, c1 FROM v1 WHERE c1 <> (SELECT n FROM least_n) UNION SELECT c0, 'n_moved' FROM v1 WHERE c1 = (SELECT n FROM least_n)),
+    v3 AS (SELECT c0, c1 FROM v2 WHERE c1 <> 'n_moved' UNION SELECT c0, c1 FROM v1 WHERE c1 = (SELECT n FROM least_n) UNION SELECT 'o_new', 'n_new'),
+    versions AS (SELECT 1 AS version, c0, c1 FROM v1 UNION ALL SELECT 2, c0, c1 FROM v2 UNION ALL SELECT 3, c0, c1 FROM v3)"""
+
+
+def _versions(spark, sf_dir) -> VersionedRelation:
+    """Orders by nation; those of the least nation move away in version 2 and back in version 3, which has one more."""
+    log = VersionedRelation(spark, scratch(spark, "versions"), 2)
+    log.commit(added=tables_kb(spark, sf_dir, ("order_nation",))["order_nation"])
+    first = log.at(1)
+    least = first.join(F.broadcast(first.agg(F.min("c1").alias("c1"))), "c1", "left_semi").select("c0", "c1")
+    moved = least.select("c0", F.lit("n_moved").alias("c1"))
+    log.commit(added=moved, removed=least)
+    log.add([("o_new", "n_new")])
+    log.commit(added=least, removed=moved)
+    return log
+
+
+@query("record_versions", f"@, {_VERSIONS} SELECT CAST(version AS INTEGER) AS version, c0, c1 FROM versions")
+def record_versions(spark, sf_dir):
+    """The facts of all versions of a relation, the older ones read after the newer were made."""
+    log = _versions(spark, sf_dir)
+    return union(log.at(v).select(F.lit(v).alias("version"), "c0", "c1") for v in range(1, log.version + 1))
+
+
+@query("record_version_changes", f"""@, {_VERSIONS} SELECT CAST(a AS INTEGER) AS old, CAST(b AS INTEGER) AS new, c0, c1, kept FROM (
+        SELECT 1 AS a, 2 AS b, *, true AS kept FROM (SELECT * FROM v2 EXCEPT SELECT * FROM v1) UNION ALL SELECT 1, 2, *, false FROM (SELECT * FROM v1 EXCEPT SELECT * FROM v2)
+        UNION ALL SELECT 1, 3, *, true FROM (SELECT * FROM v3 EXCEPT SELECT * FROM v1) UNION ALL SELECT 1, 3, *, false FROM (SELECT * FROM v1 EXCEPT SELECT * FROM v3))""")
+def record_version_changes(spark, sf_dir):
+    """What came and went between versions; from the first to the third that is the new record alone."""
+    log = _versions(spark, sf_dir)
+    return union(log.changed(a, b).select(F.lit(a).alias("old"), F.lit(b).alias("new"), "c0", "c1", "kept") for a, b in ((1, 2), (1, 3)))
+
+
+@query("records_one_by_one", """@, many AS (SELECT c1, count(*) AS n FROM supp_nation GROUP BY c1) SELECT c0, c1 FROM nation_region WHERE c0 NOT IN (SELECT c1 FROM many)
+    UNION SELECT c0, 'r' || (SELECT n FROM many WHERE many.c1 = c0) FROM nation_region WHERE c0 IN (SELECT c1 FROM many)""")
+def records_one_by_one(spark, sf_dir):
+    """Each nation with suppliers leaves its region for one named by their number, one record at a time, read after every fifth."""
+    kb = tables_kb(spark, sf_dir, ("nation_region", "supp_nation"))
+    region = dict(map(tuple, kb["nation_region"].collect()))  # nations are few
+    for i, r in enumerate(kb["supp_nation"].groupBy("c1").agg(F.count("*").alias("n")).orderBy("c1").collect()):
+        if r["c1"] in region:
+            kb.remove("nation_region", [(r["c1"], region[r["c1"]])])
+            kb.add("nation_region", [(r["c1"], f"r{r['n']}")])
+        if i % 5 == 0:
+            kb["nation_region"].count()
+    return kb["nation_region"]
+
+
 @query("kb_unknown_symbol", "@ SELECT 'symbol ' || max(val) || ' is not in the dictionary' AS error FROM sigma")
 def kb_unknown_symbol(spark, sf_dir):
     """What a checked scan says where the dictionary lacks one symbol."""
