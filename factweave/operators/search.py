@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import heapq
 import threading
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import Eval, Metric, evaluation
@@ -14,6 +17,7 @@ from ..plans.rule import Rule, start_rule
 from .candidates import Level, Seen, admitted, domain_sizes, generalisations, specialisations
 from .evaluate import evaluate, scored
 from .kb import KnowledgeBase
+from .monitor import Monitor
 from .profile import promising_constants, similar_columns, value_counts
 
 
@@ -42,11 +46,36 @@ class Interrupted(Exception):
     """The search was asked to stop; what it found so far stands."""
 
 
+@contextmanager
+def stoppable(spark: SparkSession, stop: Callable[[], bool], every: float = 0.5) -> Iterator[None]:
+    """Cancels the jobs that this thread runs within, and no others, once ``stop`` says so; what they were for raises :class:`Interrupted`."""
+    sc, tag, done = spark.sparkContext, f"factweave-{uuid.uuid4().hex}", threading.Event()
+
+    def watch() -> None:
+        while not done.wait(every):
+            if stop():
+                sc.cancelJobsWithTag(tag)  # again and again, as a level is several jobs
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    sc.addJobTag(tag)
+    watcher.start()
+    try:
+        yield
+    except Exception as e:
+        if stop():
+            raise Interrupted from e
+        raise
+    finally:
+        done.set()
+        watcher.join()
+        sc.removeJobTag(tag)
+
+
 class Miner:
     """Searches rules of any relation of one knowledge base; it marks what they entail there."""
 
-    def __init__(self, kb: KnowledgeBase, config: MinerConfig | None = None, stop: Callable[[], bool] = lambda: False):
-        self.kb, self.config, self.stop = kb, config or MinerConfig(), stop
+    def __init__(self, kb: KnowledgeBase, config: MinerConfig | None = None, stop: Callable[[], bool] = lambda: False, steps: Monitor | None = None):
+        self.kb, self.config, self.stop, self.steps = kb, config or MinerConfig(), stop, steps or Monitor()
         self.lock = threading.Lock()
         # one table of values by column serves everything that is needed of the knowledge base as a whole
         self.values = value_counts(kb).persist()
@@ -100,19 +129,30 @@ class Miner:
         return [(r, e) for r, e, parent in out if e.value(c.metric) > parent.value(c.metric)]
 
     def find_rule(self, relation: str, seen: Seen) -> tuple[Rule, Eval] | None:
-        """The best rule that a beam search meets, if it is useful."""
+        """The best rule that a beam search meets, if it is useful.
+
+        A search that is stopped, between levels or within one, gives the best rule of the last whole level.
+        """
         c, first = self.config, start_rule(relation, self.kb.arity(relation))
-        beams = [(first, evaluate(self.kb, first, self.symbols))]
+        if self.stop():
+            raise Interrupted
+        with stoppable(self.kb.spark, self.stop):
+            beams = [(first, evaluate(self.kb, first, self.symbols))]
         while True:
-            if self.stop():
-                best = min(beams, key=self.order)
-                if best[1].useful:
-                    return best
-                raise Interrupted
             with self.lock:
                 self.monitor["rounds"] += 1
-            level = self.children(beams, seen)
             best_now = min(beams, key=self.order)
+            try:
+                if self.stop():
+                    raise Interrupted
+                with stoppable(self.kb.spark, self.stop), self.steps.step("level", relation) as now:
+                    before = seen.evaluated + seen.covered_less
+                    level = self.children(beams, seen)
+                    now.rows_in, now.rows_out = seen.evaluated + seen.covered_less - before, len(level)
+            except Interrupted:
+                if best_now[1].useful:
+                    return best_now
+                raise
             if not level:
                 return best_now if best_now[1].useful else None
             level = heapq.nsmallest(c.beam, level, key=self.order)

@@ -431,6 +431,72 @@ def test_mined_rules_of_families(spark):
     kb.unpersist()
 
 
+def test_jobs_are_cancelled_while_they_run(spark):
+    import threading
+    import time
+
+    from factweave.operators.search import Interrupted, stoppable
+
+    def slow(frames):
+        for f in frames:
+            time.sleep(60)
+            yield f
+
+    began, other = time.time(), []
+    beside = threading.Thread(target=lambda: other.append(spark.range(1).mapInPandas(lambda fs: (time.sleep(4) or f for f in fs), "id long").count()))
+    beside.start()
+    with pytest.raises(Interrupted), stoppable(spark, lambda: time.time() - began > 2):
+        spark.range(3).mapInPandas(slow, "id long").collect()
+    assert time.time() - began < 30
+    beside.join()
+    assert other == [1] and spark.range(5).count() == 5  # jobs of other threads and later ones run on
+    with pytest.raises(ZeroDivisionError), stoppable(spark, lambda: False):
+        1 / 0
+
+
+def test_a_stop_within_a_level_keeps_what_was_found(spark, monkeypatch):
+    import threading
+    import time
+
+    from factweave.operators.candidates import Level
+
+    stop, count, calls = threading.Event(), Level.count, []
+
+    def hang(frames):
+        for f in frames:
+            time.sleep(60)
+            yield f
+
+    def slow(self, work):
+        calls.append(1)
+        if len(calls) == 2:  # a level whose job would take a minute
+            threading.Timer(1, stop.set).start()
+            self.kb.spark.range(1).mapInPandas(hang, "id long").collect()
+        return count(self, work)
+
+    monkeypatch.setattr(Level, "count", slow)
+    kb, began = kb_of(spark, {"h": [f"a{i} b{i}" for i in range(30)], "p": [f"a{i} b{i}" for i in range(30)]}), time.time()
+    result = compress.Compressor(kb, MinerConfig(stop_ratio=1.0, threads=1), stop=stop.is_set).run()
+    assert time.time() - began < 55 and len(calls) == 2
+    assert all(len(r.head.args) == 2 for r in result.rules) and result.valid()
+
+
+def test_steps_of_a_compression(spark):
+    kb = kb_of(spark, FAMILY)
+    result = compress.compress_with(kb, ["parent(X,Y):-father(X,Y)", "father(X,Y):-parent(X,Y)"])
+    found = {(r["step"], r["relation"], r["rule"]): r for r in result.steps.table(spark).collect()}
+    father, parent = kb["father"].count(), kb["parent"].count()
+    first, second = "parent(X0,X1):-father(X0,X1)", "father(X0,X1):-parent(X0,X1)"
+    joint = kb["father"].intersect(kb["parent"]).count()
+    assert found["evidence", "parent", first]["rows_out"] == found["evidence", "father", second]["rows_out"] == joint > 0
+    assert found["counterexamples", "parent", first]["rows_out"] == father - joint and found["counterexamples", "father", second]["rows_out"] == parent - joint
+    assert found["dependencies", kb.name, None]["rows_out"] == found["feedback", kb.name, None]["rows_in"] == 2 * joint
+    assert found["feedback", kb.name, None]["rows_out"] == result.sizes()["feedback"] and all(r["seconds"] > 0 for r in found.values())
+    mined = compress.compress(datagen.family_kb(spark, "tiny", 5), MinerConfig(threads=1))
+    levels = [r for r in mined.steps.table(spark).collect() if r["step"] == "level"]
+    assert sum(r["rows_in"] for r in levels) == mined.monitor["evaluated"] + mined.monitor["low_coverage"] and len(levels) == mined.monitor["rounds"]
+
+
 def test_mining_can_be_stopped_and_restricted(spark):
     kb = datagen.family_kb(spark, "tiny", 5)
     assert compress.Compressor(kb, stop=lambda: True).run().rules == []
