@@ -7,6 +7,7 @@ prefix for their kind.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -593,13 +594,19 @@ def mine_tables_rules(spark, sf_dir):
 @query("mine_family")
 def mine_family(spark, sf_dir):
     """Rules of generated families, one for each supplier or nation, by the capacity and by the ratio."""
-    rows = []
-    for size, ids in (("tiny", _table_ids(spark, sf_dir, "supplier", "s_suppkey")), ("simple", _table_ids(spark, sf_dir, "nation", "n_nationkey"))):
-        for metric in (scores.Metric.CAPACITY, scores.Metric.RATIO):
-            kb = datagen.family_kb(spark, size, ids).persist()
-            result = comp.compress(kb, MinerConfig(beam=5, stop_ratio=1.0, metric=metric))
-            kb.unpersist()
-            rows += [(size, metric.value, str(r), float(result.sizes()["compression_percent"])) for r in result.rules]
+    sizes = {"tiny": _table_ids(spark, sf_dir, "supplier", "s_suppkey"), "simple": _table_ids(spark, sf_dir, "nation", "n_nationkey")}
+
+    def mined(size: str, metric: scores.Metric) -> list[tuple]:
+        kb = datagen.family_kb(spark, size, sizes[size]).persist()
+        result = comp.compress(kb, MinerConfig(beam=5, stop_ratio=1.0, metric=metric))
+        percent = float(result.sizes()["compression_percent"])
+        kb.unpersist()
+        return [(size, metric.value, str(r), percent) for r in result.rules]
+
+    # small searches, each a chain of small jobs: side by side they share the cluster
+    work = [(size, metric) for size in sizes for metric in (scores.Metric.CAPACITY, scores.Metric.RATIO)]
+    with ThreadPoolExecutor(len(work)) as pool:
+        rows = [row for found in pool.map(lambda w: mined(*w), work) for row in found]
     return spark.createDataFrame(rows, "size string, metric string, rule string, compression_percent double")
 
 
@@ -785,6 +792,14 @@ def result_text(spark, sf_dir):
     return union(lines(p) for p in ("rules", "necessary", *(["counterexamples"] if result.counterexamples else []), "supplementary"))
 
 
+@query("compress_steps", f"""@, {_ENTAILED}, e AS (SELECT count(*) AS n FROM (SELECT * FROM cust_region INTERSECT SELECT * FROM entailed))
+    SELECT 'counterexamples' AS step, (SELECT count(*) FROM (SELECT * FROM entailed EXCEPT SELECT * FROM cust_region)) AS rows_out
+    UNION ALL SELECT 'evidence', n FROM e UNION ALL SELECT 'dependencies', 2 * n FROM e UNION ALL SELECT 'feedback', 0""")
+def compress_steps(spark, sf_dir):
+    """Rows that each step of a compression wrote, as the plans that wrote them counted."""
+    return _by_one_rule(spark, sf_dir).steps.table(spark).select("step", "rows_out")
+
+
 @query("graph_export", f"@, {_EDGES}, ends AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges) SELECT 'edge' AS kind, src AS a, dst AS b FROM edges UNION ALL SELECT 'node', id, json_extract_string(id, '$.rel') FROM ends")
 def graph_export(spark, sf_dir):
     """Nodes and edges of a dependency graph that was written for a graph store."""
