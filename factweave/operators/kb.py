@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import written
+from .grouped import Grouped
 
 
 class KbError(ValueError):
@@ -64,6 +65,7 @@ class KnowledgeBase:
         self._staged: dict[str, dict[tuple[str, ...], bool]] = {}
         self._removed: dict[str, set[tuple[str, ...]]] = {}  # staged removals, also of records that were added again
         self._changes: dict[str, int] = {}
+        self.grouped: dict[str, Grouped] = {}  # relations that hold between groups of symbols, as long as nothing changes them
 
     @property
     def frames(self) -> dict[str, DataFrame]:
@@ -99,6 +101,16 @@ class KnowledgeBase:
         self.frames[name] = self._facts(name, df, known_set)
         return self
 
+    def attach_mates(self, name: str, members: DataFrame, loops: bool = False) -> KnowledgeBase:
+        """All pairs of different values that have a class in common, from columns value and class; with ``loops`` each also with itself.
+
+        The relation is kept by groups (:mod:`operators.grouped`); its pairs are made where they are read.
+        """
+        pairs = Grouped.mates(members.toDF("val", "cls").select(*(F.col(c).cast("string") for c in ("val", "cls"))), loops)
+        self.attach(name, pairs.pairs(), known_set=True)
+        self.grouped[name] = pairs
+        return self
+
     def attach_rows(self, name: str, rows: Iterable[Iterable[str]], arity: int | None = None) -> KnowledgeBase:
         data = [tuple(map(str, r)) for r in rows]
         arity = arity or len(data[0])
@@ -115,7 +127,7 @@ class KnowledgeBase:
 
     def delete(self, name: str) -> None:
         self._known(name)
-        for d in (self._frames, self.arities, self._entailed, self._staged, self._removed, self._changes):
+        for d in (self._frames, self.arities, self._entailed, self._staged, self._removed, self._changes, self.grouped):
             d.pop(name, None)
 
     def _known(self, name: str) -> None:
@@ -139,7 +151,8 @@ class KnowledgeBase:
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> KnowledgeBase:
         for name in self.names:
-            self.frames[name] = self.frames[name].persist(level)
+            if name not in self.grouped:  # pairs are made again rather than kept
+                self.frames[name] = self.frames[name].persist(level)
         return self
 
     def unpersist(self) -> None:
@@ -189,6 +202,7 @@ class KnowledgeBase:
             self._settle(name)
 
     def _change(self, name: str, df: DataFrame) -> None:
+        self.grouped.pop(name, None)
         n = self._changes.get(name, 0) + 1
         if n >= MOST_CHANGES:
             df, n = cut_lineage(df), 0
@@ -244,20 +258,42 @@ class KnowledgeBase:
         old = self.entailed.get(name)
         return self[name] if old is None else self[name].join(old, columns(self.arities[name]), "left_anti")
 
+    def size(self, name: str) -> DataFrame:
+        """One row, ``n``: the facts of a relation."""
+        frame = self[name]  # first, as reading it takes in what is staged
+        return self.grouped[name].count() if name in self.grouped else frame.agg(F.count("*").alias("n"))
+
     # -- views -------------------------------------------------------------------------
 
     def facts(self) -> DataFrame:
         """All facts in one table: ``rel`` and ``args``."""
-        return union(self[n].select(F.lit(n).alias("rel"), F.array(*columns(self.arities[n])).alias("args")) for n in self.names)
+        return self._facts_of(self.names)
+
+    def _facts_of(self, names: Iterable[str]) -> DataFrame:
+        return union(self[n].select(F.lit(n).alias("rel"), F.array(*columns(self.arities[n])).alias("args")) for n in names)
 
     def cells(self) -> DataFrame:
         """``rel, arity, pos, val``: one row for each argument of each fact."""
-        return self.facts().select("rel", F.size("args").alias("arity"), F.posexplode("args").alias("pos", "val"))
+        return self._cells(self.names)
+
+    def _cells(self, names: Iterable[str]) -> DataFrame:
+        return self._facts_of(names).select("rel", F.size("args").alias("arity"), F.posexplode("args").alias("pos", "val"))
 
     def values(self) -> DataFrame:
         """``rel, pos, val``: one row for each different value of each column, found relation by relation."""
         each = lambda n: F.explode(F.array(*(F.struct(F.lit(i).alias("pos"), F.col(c).alias("val")) for i, c in enumerate(columns(self.arities[n])))))
-        return union(self[n].select(F.lit(n).alias("rel"), each(n).alias("x")).select("rel", "x.pos", "x.val") for n in self.names)
+        whole = lambda n: self.grouped[n].values().select(F.lit(n).alias("rel"), "pos", "val")
+        self._settle_all()
+        return union(whole(n) if n in self.grouped else self[n].select(F.lit(n).alias("rel"), each(n).alias("x")).select("rel", "x.pos", "x.val") for n in self.names)
+
+    def value_counts(self) -> DataFrame:
+        """``rel, pos, val, n``: facts of each value of each column."""
+        self._settle_all()
+        plain = [n for n in self.names if n not in self.grouped]
+        parts = [self.grouped[n].value_counts().select(F.lit(n).alias("rel"), "pos", "val", "n") for n in self.names if n in self.grouped]
+        if plain:
+            parts.append(self._cells(plain).groupBy("rel", "pos", "val").agg(F.count("*").alias("n")))
+        return union(parts)
 
     def domains(self) -> DataFrame:
         """``rel, pos, val``: the different values of each column."""
@@ -265,7 +301,7 @@ class KnowledgeBase:
 
     def constants(self) -> DataFrame:
         """``val``: all symbols of the facts."""
-        return self.cells().select("val").distinct()
+        return self.values().select("val").distinct()
 
     def numeration(self, names_too: bool = True) -> DataFrame:
         """``name, num``: symbols (and relation names) numbered from 1 in their order.

@@ -14,11 +14,11 @@ from .kb import KnowledgeBase, cut_lineage, union
 
 def value_counts(kb: KnowledgeBase) -> DataFrame:
     """``rel, pos, val, n``."""
-    return kb.cells().groupBy("rel", "pos", "val").agg(F.count("*").alias("n"))
+    return kb.value_counts()
 
 
 def sizes(kb: KnowledgeBase) -> DataFrame:
-    return union(kb[n].agg(F.count("*").alias("total")).select(F.lit(n).alias("rel"), F.lit(kb.arity(n)).alias("arity"), "total") for n in kb.names)
+    return union(kb.size(n).select(F.lit(n).alias("rel"), F.lit(kb.arity(n)).alias("arity"), F.col("n").alias("total")) for n in kb.names)
 
 
 def promising_constants(kb: KnowledgeBase, coverage: float = 0.25, strict: bool = False, counts: DataFrame | None = None) -> DataFrame:
