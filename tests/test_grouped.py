@@ -4,9 +4,14 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from factweave.operators import candidates as cand
 from factweave.operators import profile
+from factweave.operators.evaluate import coverage, scored
+from factweave.operators.evidence import dependency_edges
 from factweave.operators.grouped import BLOCK, Grouped
 from factweave.operators.kb import KnowledgeBase
+from factweave.plans.compile import RulePlan
+from factweave.plans.rule import parse_rule
 
 MEMBERS = [("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("c", "1"), ("d", "2"), ("e", "3"), ("f", "4"), ("g", "4"), (None, "1"), ("h", None), ("a", "1")]
 OTHER = [("a", "x"), ("b", "x"), ("e", "x"), ("f", "y"), ("g", "y"), ("k", "y"), ("c", "z")]
@@ -63,3 +68,41 @@ def test_relations_meet_by_groups(spark):
         further = [("a", "u"), ("b", "u"), ("c", "v"), ("e", "w"), ("f", "t"), ("k", "s")]
         assert rows(one.hop(spark.createDataFrame(further, "z string, y string"), "z", "x")) == sorted({(i, y) for i, j in a for z, y in further if j == z})
         assert rows(one.loops()) == sorted((x,) for x, y in a if x == y)
+
+
+def both(spark):
+    one, other = KnowledgeBase(spark), KnowledgeBase(spark)
+    one.attach_mates("mates", spark.createDataFrame(MEMBERS, "v string, k string"))
+    other.attach("mates", spark.createDataFrame(plain(MEMBERS, False), "a string, b string"))
+    for kb in (one, other):
+        kb.attach_rows("at", [("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("f", "4"), ("x", "4")])
+        kb.attach_rows("near", [("a", "b"), ("f", "g"), ("g", "f"), ("a", "x"), ("b", "b")])
+    return one, other
+
+
+def test_rules_are_counted_by_groups(spark):
+    one, other = both(spark)
+    rules = ["mates(X,Y):-mates(Y,X)", "mates(X,Y):-at(X,Z),at(Y,Z)", "mates(X,Y):-mates(X,Z),mates(Z,Y)", "mates(X,Y):-near(X,Y)", "mates(X,Y):-near(Y,?),near(X,?)", "mates(X,X):-at(X,?)", "at(X,Y):-mates(X,Z),at(Z,Y)", "mates(?,?):-near(?,nobody)"]
+    found = lambda kb: rows(scored(kb, rules).select("rule", "pos", "all"))
+    assert found(one) == found(other)
+    assert rows(coverage(one, rules)) == rows(coverage(other, rules))
+    plans = [RulePlan(one, parse_rule(r)).counts()._jdf.queryExecution().optimizedPlan().toString() for r in rules[:5]]
+    assert not any("collect_list" in p for p in plans)
+    one.entail_where("mates", "c0 < c1")
+    other.entail("mates", other["mates"].filter("c0 < c1"))
+    assert rows(one.entailed["mates"]) == rows(other.entailed["mates"]) and found(one) == found(other)
+
+
+def test_edges_and_refinements_by_groups(spark):
+    one, other = both(spark)
+    rules = ["mates(X,Y):-mates(Y,X)", "at(X,Y):-near(X,?),at(X,Y)", "mates(X,Y):-near(X,Y)"]
+    edges = [rows(dependency_edges(kb, rules)) for kb in both(spark)]
+    assert edges[0] == edges[1] and len(edges[0]) == len(set(edges[0]))
+    for parent in ("mates(X,?):-mates(?,X)", "mates(X,?):-at(X,?)"):
+        rule = parse_rule(parent)
+        few = [c for c in cand.admitted(cand.specialisations(rule, one.arities, {}), cand.Seen())][: cand.FEW]
+        counts = []
+        for kb in (one, other):
+            domains = kb.domains()
+            counts.append(cand.Level(kb, domains, cand.domain_sizes(domains), kb.constants().count()).count([(rule, few)]))
+        assert counts[0] == counts[1]
