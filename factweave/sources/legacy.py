@@ -133,7 +133,7 @@ def write_folder(kb: KnowledgeBase, folder: str, numbers: DataFrame | None = Non
     """Maps and relation files, one for each relation as the format asks; see :mod:`.binary` for how tasks write one file."""
     numbers = cut_lineage(kb.numeration()) if numbers is None else numbers
     _write_map(numbers, folder)
-    rows = counted(kb.frames)
+    rows = kb.sizes()
     _write_all(kb, {n: f"{folder}/{file_name(n, kb.arity(n), rows[n])}" for n in kb.names if rows[n]}, numbers)
 
 
