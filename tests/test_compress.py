@@ -13,6 +13,7 @@ from factweave.operators.evaluate import scored
 from factweave.operators.kb import KbError, KnowledgeBase
 from factweave.operators.search import Miner, MinerConfig
 from factweave.plans import masks
+from factweave.plans.compile import RulePlan
 from factweave.plans.fingerprint import fingerprint
 from factweave.plans.rule import Const, Var, parse_rule, start_rule
 from factweave.sources import store
@@ -546,3 +547,25 @@ def test_hints(spark):
     kb.attach_rows("parent", [(f"{p}{i}", f"c{i}_{k}") for i, k in kids for p in "fm"]).attach_rows("family", [(f"f{i}", f"m{i}", f"c{i}_{k}") for i, k in kids])
     got = {r["rule"]: r["tau"] for r in hints.discover(kb, found, cover, ratio).collect()}
     assert got == {"parent(X0,X1):-father(X0,X1)": pytest.approx(20 / 22), "parent(X0,X1):-mother(X0,X1)": pytest.approx(20 / 22), "family(X0,X1,X2):-father(X0,X2),mother(X1,X2)": pytest.approx(20 / 24)}
+
+
+def test_witnesses_are_joined_by_what_the_joins_make(spark, monkeypatch):
+    """Where head and first atom have a frequent value in common, the atoms meet before the head; the least witness stays."""
+    n = 300
+    kb = KnowledgeBase(spark)
+    kb.attach_rows("lives", [(f"c{i}", "n0") for i in range(n)] + [("lonely", "n0")])
+    kb.attach_rows("of", [(f"o{j}-{i}", f"c{i}") for i in range(n) for j in (0, 1)])
+    kb.attach_rows("at", [(f"o{j}-{i}", "n0") for i in range(n) for j in (0, 1)])
+    plan = RulePlan(kb, parse_rule("lives(X,Y):-at(Z,Y),of(Z,X)"))
+    made = []
+    join = type(kb["at"]).join
+    monkeypatch.setattr(type(kb["at"]), "join", lambda self, *a, **b: made.append(join(self, *a, **b)) or made[-1])
+    got = sorted(map(tuple, plan.grounded().collect()))
+    monkeypatch.undo()
+    assert got == sorted((f"c{i}", "n0", [f"o0-{i}", "n0"], [f"o0-{i}", f"c{i}"]) for i in range(n))
+    assert max(df.count() for df in made) <= 4 * n  # head and first atom alone would make n times 2n
+    # with repeated bodies, places that nobody asks for and an atom of its own
+    for text in ("lives(X,?):-at(Z,Y),of(Z,X)", "lives(X,Y):-at(Z,Y),of(Z,X),at(W,Y),of(W,X)", "lives(X,Y):-at(Z,Y),of(Z,X),at(?,n0)", "lives(X,n0):-of(Z,X),at(Z,?)"):
+        found = RulePlan(kb, parse_rule(text)).grounded()
+        rows = sorted((r["c0"], r["b0"]) for r in found.select("c0", F.col("b0")).collect())
+        assert rows == sorted((f"c{i}", [f"o0-{i}", "n0"] if "):-at" in text else [f"o0-{i}", f"c{i}"]) for i in range(n)), text
