@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import tarjan
+from .grouped import Grouped
 from .kb import KnowledgeBase, cut_lineage, union
 
 
@@ -108,17 +109,47 @@ def pivot(found: list[tuple[float, list[list[str]]]]) -> int:
 
 def split(kb: KnowledgeBase, parts: int | None = None, steps: int = 10) -> list[list[str]]:
     """Groups of relations at the pivot, or at the first threshold that leaves ``parts`` groups at least; relations without a group are one each."""
-    found = connectivity(kb, steps)
+    return _split(kb, connectivity(kb, steps), parts)
+
+
+def _split(kb: KnowledgeBase, found: list[tuple[float, list[list[str]]]], parts: int | None) -> list[list[str]]:
     groups = found[pivot(found)][1] if parts is None else next((g for _, g in found if len(g) >= parts), [])
     return groups + [[n] for n in kb.names if n not in {x for g in groups for x in g}]
 
 
 def write_split(kb: KnowledgeBase, parts: int | None, path: str, steps: int = 10) -> list[list[str]]:
-    """The groups of :func:`split`, each written as fact lines below ``path``, and the groups of every threshold as JSON."""
-    groups = split(kb, parts, steps)
+    """The groups of :func:`split`, each written below ``path``, and the groups of every threshold as JSON.
+
+    Facts are lines of text; of relations that are kept by groups, the groups and links are Parquet beside them (``split-<i>-groups``, ``split-<i>-links``),
+    which ``grouped`` lists.  :func:`read_split` reads either.
+    """
+    found = connectivity(kb, steps)
+    groups = _split(kb, found, parts)
+    held = [[n for n in names if n in kb.grouped] for names in groups]
     for i, names in enumerate(groups):
-        rows = kb.facts().filter(F.col("rel").isin(*names))
-        rows.select(F.concat_ws("\t", F.array("rel"), F.col("args")).alias("value")).write.mode("overwrite").text(f"{path}/split-{i}")
-    lines = [(json.dumps({"threshold": bar, "groups": g}),) for bar, g in connectivity(kb, steps)]
-    kb.spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/connectivity")
+        plain = [n for n in names if n not in held[i]]
+        rows = kb.facts(plain).select(F.concat_ws("\t", F.array("rel"), F.col("args")).alias("value")) if plain else kb.spark.createDataFrame([], "value string")
+        rows.write.mode("overwrite").text(f"{path}/split-{i}")
+        if held[i]:
+            of = {n: kb.groups_of(n) for n in held[i]}
+            union(g.groups.select(F.lit(n).alias("rel"), "val", "grp") for n, g in of.items()).write.mode("overwrite").parquet(f"{path}/split-{i}-groups")
+            union(g.links.select(F.lit(n).alias("rel"), "s", "t", "off", "diag") for n, g in of.items()).write.mode("overwrite").parquet(f"{path}/split-{i}-links")
+    for name, lines in (("grouped", held), ("connectivity", [{"threshold": bar, "groups": g} for bar, g in found])):
+        kb.spark.createDataFrame([(json.dumps(x),) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
     return groups
+
+
+def read_split(spark: SparkSession, path: str, part: int) -> tuple[DataFrame, dict[str, Grouped]]:
+    """One part of a split: ``rel`` and ``args`` of its lines, and its relations that are kept by groups."""
+    from ..sources.facts import read_fact_lines
+
+    # one line for each part
+    held = json.loads([r["value"] for r in spark.read.text(f"{path}/grouped").collect()][part])
+    table = lambda kind, n: spark.read.parquet(f"{path}/split-{part}-{kind}").filter(F.col("rel") == n).drop("rel")
+    return read_fact_lines(spark, f"{path}/split-{part}"), {n: Grouped(table("groups", n), table("links", n)) for n in held}
+
+
+def split_sizes(spark: SparkSession, path: str, part: int) -> DataFrame:
+    """``rel, facts`` of one part of a split, from its files."""
+    lines, held = read_split(spark, path, part)
+    return union([lines.groupBy("rel").agg(F.count("*").alias("facts")), *(g.count().select(F.lit(n).alias("rel"), F.col("n").alias("facts")) for n, g in held.items())])

@@ -154,3 +154,18 @@ def test_refinements_are_counted_from_one_table_of_domains(spark, monkeypatch):
     """The tables are read once for the domains, and not again for the symbols."""
     monkeypatch.setattr(KnowledgeBase, "constants", lambda self: pytest.fail("the symbols are in the domains"))
     assert QUERIES["candidates_case5"](spark, "/root/testdata/sf0.001").count()
+
+
+def test_a_split_keeps_relations_by_groups(spark, tmp_path):
+    """No line is written for a pair, and the files give all facts back."""
+    results = []
+    for kb, name in zip(both(spark), ("one", "other"), strict=True):
+        path = str(tmp_path / name)
+        groups = profile.write_split(kb, 2, path)
+        sizes = [r for i in range(len(groups)) for r in rows(profile.split_sizes(spark, path, i))]
+        found = [profile.read_split(spark, path, i) for i in range(len(groups))]
+        pairs = sorted(tuple(r["args"]) for lines, _ in found for r in lines.filter("rel = 'mates'").collect())
+        held = [g for _, groups_of in found for g in groups_of.values()]
+        results.append((groups, sorted(sizes), pairs or rows(held[0].pairs())))
+        assert bool(pairs) == (name == "other") and len(held) == (name == "one")
+    assert results[0] == results[1]
