@@ -150,6 +150,6 @@ def read_split(spark: SparkSession, path: str, part: int) -> tuple[DataFrame, di
 
 
 def split_sizes(spark: SparkSession, path: str, part: int) -> DataFrame:
-    """``rel, facts`` of one part of a split, from its files."""
+    """``rel, facts`` of one part of a split, from its files; relations without facts have no row."""
     lines, held = read_split(spark, path, part)
-    return union([lines.groupBy("rel").agg(F.count("*").alias("facts")), *(g.count().select(F.lit(n).alias("rel"), F.col("n").alias("facts")) for n, g in held.items())])
+    return union([lines.groupBy("rel").agg(F.count("*").alias("facts")), *(g.count().filter("n > 0").select(F.lit(n).alias("rel"), F.col("n").alias("facts")) for n, g in held.items())])

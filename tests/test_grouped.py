@@ -169,3 +169,11 @@ def test_a_split_keeps_relations_by_groups(spark, tmp_path):
         results.append((groups, sorted(sizes), pairs or rows(held[0].pairs())))
         assert bool(pairs) == (name == "other") and len(held) == (name == "one")
     assert results[0] == results[1]
+
+
+def test_a_relation_without_pairs_has_no_row_in_a_split(spark, tmp_path):
+    kb = KnowledgeBase(spark)
+    kb.attach_mates("mates", spark.createDataFrame([("a", "1"), ("b", "2")], "v string, k string"))
+    kb.attach_rows("p", [("a", "b")])
+    groups = profile.write_split(kb, 1, str(tmp_path))
+    assert [r for i in range(len(groups)) for r in rows(profile.split_sizes(spark, str(tmp_path), i))] == [("p", 1)]
