@@ -45,6 +45,15 @@ class Grouped:
         links = at.withColumnRenamed("grp", "s").join(at.withColumnRenamed("grp", "t"), "cls").select("s", "t").distinct()
         return cls(held.select("val", "grp"), links.select("s", "t", F.lit(True).alias("off"), ((F.col("s") == F.col("t")) & F.lit(loops)).alias("diag")))
 
+    @classmethod
+    def regrouped(cls, groups: DataFrame, links: DataFrame) -> Grouped:
+        """From groups in which a value may stand several times, and links that may be there several times."""
+        held = groups.groupBy("val").agg(F.sort_array(F.collect_set("grp")).alias("at")).select("val", "at", _id("at").alias("grp"))
+        parts = held.select("grp", F.explode("at").alias("old")).distinct()
+        joined = _relinked(links.groupBy("s", "t").agg(F.bool_or("off").alias("off"), F.bool_or("diag").alias("diag")), parts, parts)
+        joined = joined.groupBy("s", "t").agg(F.bool_or("off").alias("off"), F.bool_or("diag").alias("diag")).filter("off OR diag")
+        return cls(held.select("val", "grp"), joined)
+
     def _sizes(self, name: str, n: str) -> DataFrame:
         return self.groups.groupBy(F.col("grp").alias(name)).agg(F.count("*").alias(n))
 

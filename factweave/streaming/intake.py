@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.kb import columns, union
+from ..sources.facts import GROUPS, LINKS, beside, groups_of, kinds
+
 
 def fact_stream(spark: SparkSession, folder: str) -> DataFrame:
     """``rel`` and ``args`` of the lines of files that arrive in a folder."""
@@ -35,3 +38,18 @@ def intake(facts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
         new.unpersist()
 
     return facts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def arrived(spark: SparkSession, target: str) -> DataFrame:
+    """``rel`` and ``args`` of all facts that ``target`` holds, each once; of relations that came by groups, the pairs are made here."""
+    held = spark.read.schema("args array<string>, rel string").parquet(target)
+    plain, by_groups = kinds(r["rel"] for r in held.select("rel").distinct().collect())  # names of the catalogue
+    of = lambda name: held.filter(F.col("rel") == name)
+    parts = [held.filter(F.col("rel").isin([n for n in plain if n not in by_groups])).select("rel", "args")]
+    for name in by_groups:
+        groups, pair = groups_of(of(name + GROUPS), of(name + LINKS)).written(), F.array(*columns(2)).alias("args")
+        parts.append(groups.pairs().select(F.lit(name).alias("rel"), pair))
+        if name in plain:
+            own = of(name).select(*(F.col("args")[i].alias(c) for i, c in enumerate(columns(2))))
+            parts.append(beside(own, groups).select(F.lit(name).alias("rel"), pair))
+    return union(parts)

@@ -177,3 +177,31 @@ def test_a_relation_without_pairs_has_no_row_in_a_split(spark, tmp_path):
     kb.attach_rows("p", [("a", "b")])
     groups = profile.write_split(kb, 1, str(tmp_path))
     assert [r for i in range(len(groups)) for r in rows(profile.split_sizes(spark, str(tmp_path), i))] == [("p", 1)]
+
+
+def test_a_stream_takes_relations_by_groups(spark, tmp_path):
+    """No line arrives for a pair; pairs that come singly beside groups, and groups that come again, add nothing twice."""
+    from factweave.sources import facts
+    from factweave.streaming.intake import arrived, fact_stream, intake
+
+    kb = both(spark)[0]
+    facts.write_facts(kb, str(tmp_path / "in"), by_groups=True)
+    (tmp_path / "text").mkdir()
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "in")).collect())
+    assert not any(x.startswith("mates\t") for x in lines) and any(x.startswith("mates@groups\t") for x in lines)
+    want = sorted((r["rel"], *r["args"]) for r in kb.facts().collect())
+    pair = next(x for x in want if x[0] == "mates")
+    got = []
+    for more in ([], ["\t".join(pair), "mates\tnew\ta", *lines]):
+        (tmp_path / "in" / f"more-{len(more)}.txt").write_text("".join(f"{x}\n" for x in more))
+        intake(fact_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        got.append(sorted((r["rel"], *r["args"]) for r in arrived(spark, str(tmp_path / "out")).collect()))
+    assert got == [want, sorted([*want, ("mates", "new", "a")])]
+    assert sorted((r["rel"], *r["args"]) for r in facts.read_facts(spark, str(tmp_path / "in")).facts().collect()) == got[1]
+
+
+def test_groups_that_come_at_different_times(spark):
+    """A value that is named in two groups stands beside the values of both."""
+    groups = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("a", "1")], "val string, grp string")
+    links = spark.createDataFrame([("1", "1", True, False), ("2", "2", True, False), ("2", "2", False, True)], "s string, t string, off boolean, diag boolean")
+    assert rows(Grouped.regrouped(groups, links).pairs()) == [("a", "b"), ("b", "a"), ("b", "b"), ("b", "c"), ("c", "b"), ("c", "c")]
