@@ -2,6 +2,10 @@
 
 Relations are rows of little-endian 32-bit numbers; the maps give each number's name, in
 hexadecimal.
+
+A relation that is kept by groups has a row for each pair, too, as other readers of the format need it.  With ``by_groups`` it has
+``<name>.<part>.grp`` (value, group) and ``<name>.<part>.lnk`` (group, group, 1 for off + 2 for diag) instead, of the same numbers;
+parts are ``facts``, or ``rest`` and ``mirror`` of a half.  The reader takes either.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compress import CompressedKb
+from ..operators.grouped import Grouped, Halved
 from ..operators.kb import KbError, KnowledgeBase, counted, cut_lineage, numbered, union
 from ..plans.rule import parse_rule
 from . import binary
@@ -89,9 +94,40 @@ def read_folder(spark: SparkSession, folder: str, name: str = "kb", check: bool
     frames = _loaded(spark, [(path, arity) for path, _, arity in found], read_map(spark, folder), check)
     for (_, relation, _), df in zip(found, frames, strict=True):
         kb.attach(relation, df)
+    for relation, parts in _read_groups(spark, folder, check).items():
+        kb.attach_grouped(relation, parts["facts"] if "facts" in parts else Halved(**parts))
     return kb
 
 
+def _read_groups(spark: SparkSession, folder: str, check: bool) -> dict[str, dict[str, Grouped]]:
+    """The parts of relations that were written by groups."""
+    out: dict[str, dict[str, Grouped]] = {}
+    paths = _files(spark, folder, "*.grp")
+    names = read_map(spark, folder) if paths else None
+    for path in paths:
+        relation, part = PurePosixPath(path).stem.rsplit(".", 1)
+        groups, links = _numbers(spark, path, 2), _numbers(spark, f"{path.removesuffix('.grp')}.lnk", 3)
+        if check:
+            _checked([groups.select("c0")], names)
+        values = groups.join(names, groups["c0"] == names["num"]).select(F.col("name").alias("val"), F.col("c1").cast("string").alias("grp"))
+        flag = lambda n: F.col("c2").bitwiseAND(F.lit(n)) != 0
+        ends = links.select(F.col("c0").cast("string").alias("s"), F.col("c1").cast("string").alias("t"), flag(1).alias("off"), flag(2).alias("diag"))
+        out.setdefault(relation, {})[part] = Grouped(values, ends).written()
+    return out
+
+
+def _write_groups(facts: Grouped, path: str, numbers: DataFrame) -> None:
+    """The two files of a part; groups are numbered, too."""
+    spark = numbers.sparkSession
+    facts = facts.written()
+    ids = cut_lineage(numbered(facts.groups.select("grp").distinct(), "grp", "id"))
+    of = lambda c, number: ids.select(F.col("grp").alias(c), F.col("id").alias(number))
+    values = facts.groups.join(numbers.withColumnRenamed("name", "val"), "val").join(ids, "grp").select(F.col("num").alias("c0"), F.col("id").alias("c1"))
+    _write_numbers(spark, f"{path}.grp", values)
+    flags = F.col("off").cast("long") + 2 * F.col("diag").cast("long")
+    _write_numbers(spark, f"{path}.lnk", facts.links.join(of("s", "c0"), "s").join(of("t", "c1"), "t").select("c0", "c1", flags.alias("c2")))
+
+
 def read_compressed(spark: SparkSession, folder: str, arities: dict[str, int], check: bool = True) -> CompressedKb:
     """Necessary facts, counterexamples, rules and supplementary symbols; arities of relations come from the original."""
     kept = read_folder(spark, folder, "necessary", check)
@@ -129,12 +165,21 @@ def _write_map(numbers: DataFrame, folder: str) -> None:
     binary.dropped(spark, parts)
 
 
-def write_folder(kb: KnowledgeBase, folder: str, numbers: DataFrame | None = None) -> None:
-    """Maps and relation files, one for each relation as the format asks; see :mod:`.binary` for how tasks write one file."""
+def write_folder(kb: KnowledgeBase, folder: str, numbers: DataFrame | None = None, by_groups: bool = False) -> None:
+    """Maps and relation files, one for each relation as the format asks; see :mod:`.binary` for how tasks write one file.
+
+    With ``by_groups`` relations that are kept by groups are written as groups and links.
+    """
     numbers = cut_lineage(kb.numeration()) if numbers is None else numbers
     _write_map(numbers, folder)
     rows = kb.sizes()
-    _write_all(kb, {n: f"{folder}/{file_name(n, kb.arity(n), rows[n])}" for n in kb.names if rows[n]}, numbers)
+    held = [n for n in kb.names if by_groups and rows[n] and (n in kb.grouped or n in kb.halved)]
+    _write_all(kb, {n: f"{folder}/{file_name(n, kb.arity(n), rows[n])}" for n in kb.names if rows[n] and n not in held}, numbers)
+    for n in held:
+        known = kb.grouped.get(n) or kb.halved[n]
+        parts = {"facts": known} if n in kb.grouped else {"rest": known.rest, "mirror": known.mirror}
+        for part, facts in parts.items():
+            _write_groups(facts, f"{folder}/{n}.{part}", numbers)
 
 
 def _write_all(kb: KnowledgeBase, paths: dict[str, str], numbers: DataFrame) -> None:
@@ -143,12 +188,12 @@ def _write_all(kb: KnowledgeBase, paths: dict[str, str], numbers: DataFrame) ->
         list(pool.map(lambda n: _write_numbers(kb.spark, paths[n], kb.encoded(n, numbers)), paths))
 
 
-def write_compressed(result: CompressedKb, folder: str) -> None:
-    """A compressed knowledge base in the binary format; parts that are empty have no file."""
+def write_compressed(result: CompressedKb, folder: str, by_groups: bool = False) -> None:
+    """A compressed knowledge base in the binary format; parts that are empty have no file.  For ``by_groups`` see :func:`write_folder`."""
     kept, spark = result.necessary, result.necessary.spark
     names = result.symbols().select(F.col("val").alias("name")).unionByName(spark.createDataFrame([(n,) for n in kept.names], "name string")).distinct()
     numbers = cut_lineage(numbered(names, "name", "num"))
-    write_folder(kept, folder, numbers)
+    write_folder(kept, folder, numbers, by_groups)
     if result.rules:
         _write_file(spark, f"{folder}/rules.hyp", "".join(f"{r}\n" for r in result.rules).encode())
     wrong = KnowledgeBase(spark, "counterexamples")

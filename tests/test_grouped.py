@@ -205,3 +205,20 @@ def test_groups_that_come_at_different_times(spark):
     groups = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("a", "1")], "val string, grp string")
     links = spark.createDataFrame([("1", "1", True, False), ("2", "2", True, False), ("2", "2", False, True)], "s string, t string, off boolean, diag boolean")
     assert rows(Grouped.regrouped(groups, links).pairs()) == [("a", "b"), ("b", "a"), ("b", "b"), ("b", "c"), ("c", "b"), ("c", "c")]
+
+
+def test_binary_folders_keep_relations_by_groups(spark, tmp_path):
+    """A whole relation and a half of one come back by groups, with the facts that a row for each pair gives."""
+    from factweave.sources import legacy
+
+    kb = both(spark)[0]
+    result = compress_with(kb, ["mates(X,Y):-mates(Y,X)"])
+    for by_groups in (False, True):
+        whole, half = str(tmp_path / f"w{by_groups}"), str(tmp_path / f"h{by_groups}")
+        legacy.write_folder(kb, whole, by_groups=by_groups)
+        legacy.write_compressed(result, half, by_groups=by_groups)
+        assert bool(list((tmp_path / f"h{by_groups}").glob("mates_2_*.rel"))) != by_groups
+        back, kept = legacy.read_folder(spark, whole), legacy.read_compressed(spark, half, kb.arities)
+        assert ("mates" in back.grouped) == ("mates" in kept.necessary.halved) == by_groups
+        assert rows(back.facts()) == rows(kb.facts()) == rows(kept.recover().facts())
+        assert rows(kept.necessary.facts()) == rows(result.necessary.facts())
