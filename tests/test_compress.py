@@ -569,3 +569,18 @@ def test_witnesses_are_joined_by_what_the_joins_make(spark, monkeypatch):
         found = RulePlan(kb, parse_rule(text)).grounded()
         rows = sorted((r["c0"], r["b0"]) for r in found.select("c0", F.col("b0")).collect())
         assert rows == sorted((f"c{i}", [f"o0-{i}", "n0"] if "):-at" in text else [f"o0-{i}", f"c{i}"]) for i in range(n)), text
+
+
+def test_small_searches_are_planned_once_in_few_tasks(spark):
+    """In a session of their own, which leaves the given one as it is, over tables that were written once."""
+    from factweave.operators import datagen
+    from factweave.operators.search import SMALL_BASE, SMALL_TASK, small_session
+    from factweave.sources.shared import written_in
+
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    own = small_session(spark, 2 * SMALL_TASK + 1)
+    assert own.conf.get("spark.sql.shuffle.partitions") == "3" and own.conf.get("spark.sql.adaptive.enabled") == "false"
+    assert (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")) == before
+    assert small_session(spark, SMALL_BASE + 1) is spark
+    kb, tables = datagen.family_kb(spark, "tiny", 3), datagen.written_families(spark, "tiny", 3)
+    assert {n: rows(written_in(own, df)) for n, df in tables.items()} == {n: rows(kb[n]) for n in kb.names}
